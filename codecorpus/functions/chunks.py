@@ -2,7 +2,7 @@
 
 Reading a window deep inside a UTF-8 string walks the string from its start, so cutting a
 long text window by window is quadratic. The text is therefore split once into pieces
-longer than any window; every later read touches two neighbouring pieces at most.
+longer than any chunk; every later read touches two neighbouring pieces at most.
 """
 
 from __future__ import annotations
@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PIECE = 65_536
+from .text import let
+
 BOUNDARY = r"[\n;})]"
 # A cut is sought in the last fifth of a chunk.
 KEEP_NUM, KEEP_DEN = 4, 5
@@ -48,14 +49,14 @@ def _fold(n: Column, steps: Column, end_of, overlap: int) -> Column:
     """Walk from cut to cut; stop once a chunk reaches the end of the text."""
 
     def step(a: Column, _: Column) -> Column:
-        end = end_of(a.p)
-        return F.when(a.done, a).otherwise(
-            F.struct(
+        return F.when(a.done, a).otherwise(let(
+            end_of(a.p),
+            lambda end: F.struct(
                 (end - overlap).alias("p"),
                 (end >= n).alias("done"),
                 F.concat(a.out, F.array(_span(a.p, end))).alias("out"),
-            )
-        )
+            ),
+        ))
 
     start = F.struct(
         F.lit(0).alias("p"), F.lit(False).alias("done"),
@@ -64,72 +65,62 @@ def _fold(n: Column, steps: Column, end_of, overlap: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), steps), start, step, lambda a: a.out)
 
 
-def overlap_spans(code: Column, parts: Column, size: int, overlap: int) -> Column:
-    """Spans of `size` characters cut behind the last boundary of the final fifth, where the
-    next chunk starts `overlap` characters before the cut. One span when the text fits."""
-    keep = size * KEEP_NUM // KEEP_DEN
-    if not 0 <= overlap < keep:
-        raise ValueError("overlap must be smaller than four fifths of the chunk size")
-    piece = max(PIECE, 2 * size)
-    n = F.length(code)
-
-    def end_of(p: Column) -> Column:
-        window = _read(parts, piece, p + (keep + 1), F.lit(size - keep))
-        r = F.regexp_instr(F.reverse(window), F.lit(BOUNDARY))
-        return (
-            F.when(p + size >= n, n)
-            .when(r > 0, p + F.lit(size + 2) - r)
-            .otherwise(p + size)
-        )
-
-    steps = F.ceil(n / F.lit(float(keep + 2 - overlap))).cast("int")
-    return _fold(n, steps, end_of, overlap)
-
-
-def boundary_spans(code: Column, parts: Column, size: int) -> Column:
-    """Consecutive spans: while `size` characters remain, cut behind the last boundary in the
-    final fifth of them, else after all of them; what remains is the last span."""
-    keep = -(-size * KEEP_NUM // KEEP_DEN)
-    piece = max(PIECE, 2 * size)
-    n = F.length(code)
-
-    def end_of(p: Column) -> Column:
-        window = _read(parts, piece, p + keep, F.lit(size - keep))
-        r = F.regexp_instr(F.reverse(window), F.lit(BOUNDARY))
-        return (
-            F.when(p + size > n, n)
-            .when(r > 0, p + F.lit(size + 1) - r)
-            .otherwise(p + size)
-        )
-
-    steps = F.ceil(n / F.lit(float(keep + 1))).cast("int")
-    return F.when(n > 0, _fold(n, steps, end_of, 0)).otherwise(
-        F.array().cast("array<struct<s:int,e:int>>")
+def _behind_last_boundary(window: Column, window_end: Column, otherwise: Column) -> Column:
+    """Position behind the last boundary of a window that ends before `window_end`."""
+    return let(
+        F.regexp_instr(F.reverse(window), F.lit(BOUNDARY)),
+        lambda r: F.when(r > 0, window_end + 1 - r).otherwise(otherwise),
     )
 
 
-def _texts(parts: Column, piece: int, spans: Column) -> Column:
-    return F.transform(
-        spans,
+def _cut(code: Column, piece: int, spans) -> Column:
+    """array<struct<start, end, text>> for the spans that `spans(pieces, length)` gives."""
+    bound = F.struct(pieces(code, piece).alias("parts"), F.length(code).alias("n"))
+    return let(bound, lambda b: F.transform(
+        spans(b.parts, b.n),
         lambda c: F.struct(
             c.s.cast("long").alias("start"), c.e.cast("long").alias("end"),
-            _read(parts, piece, c.s, c.e - c.s).alias("text"),
+            _read(b.parts, piece, c.s, c.e - c.s).alias("text"),
         ),
-    )
+    ))
 
 
 def overlap_chunks(code: Column, size: int = DEFAULT_SIZE, overlap: int | None = None) -> Column:
-    """array<struct<start, end, text>> of overlapping boundary chunks."""
+    """Chunks of `size` characters cut behind the last boundary of the final fifth, where the
+    next chunk starts `overlap` characters before the cut. One chunk when the text fits."""
     ov = int(size * DEFAULT_OVERLAP) if overlap is None else overlap
-    piece = max(PIECE, 2 * size)
-    parts = pieces(code, piece)
-    return _texts(parts, piece, overlap_spans(code, parts, size, ov))
+    keep = size * KEEP_NUM // KEEP_DEN
+    if not 0 <= ov < keep:
+        raise ValueError("overlap must be smaller than four fifths of the chunk size")
+    piece = 2 * size
+
+    def spans(parts: Column, n: Column) -> Column:
+        def end_of(p: Column) -> Column:
+            window = _read(parts, piece, p + (keep + 1), F.lit(size - keep))
+            cut = _behind_last_boundary(window, p + (size + 1), p + size)
+            return F.when(p + size >= n, n).otherwise(cut)
+
+        return _fold(n, F.ceil(n / F.lit(float(keep + 2 - ov))).cast("int"), end_of, ov)
+
+    return _cut(code, piece, spans)
 
 
 def boundary_chunks(code: Column, size: int = STREAM_SIZE) -> Column:
-    piece = max(PIECE, 2 * size)
-    parts = pieces(code, piece)
-    return _texts(parts, piece, boundary_spans(code, parts, size))
+    """Consecutive chunks: while `size` characters remain, cut behind the last boundary in
+    the final fifth of them, else after all of them; what remains is the last chunk."""
+    keep = -(-size * KEEP_NUM // KEEP_DEN)
+    piece = 2 * size
+
+    def spans(parts: Column, n: Column) -> Column:
+        def end_of(p: Column) -> Column:
+            window = _read(parts, piece, p + keep, F.lit(size - keep))
+            cut = _behind_last_boundary(window, p + size, p + size)
+            return F.when(p + size > n, n).otherwise(cut)
+
+        fold = _fold(n, F.ceil(n / F.lit(float(keep + 1))).cast("int"), end_of, 0)
+        return F.filter(fold, lambda c: c.e > c.s)
+
+    return _cut(code, piece, spans)
 
 
 def fixed_chunks(code: Column, size: int = STREAM_SIZE) -> Column:
@@ -154,17 +145,18 @@ def token_chunks(
     head = size - stride
     if not 0 < head <= stride:
         raise ValueError("overlap must lie between 0 and one half")
-    n = F.length(code).cast("long")
-    strides = fixed_cuts(code, stride)
-    texts = F.transform(
-        strides,
-        lambda text, i: F.struct(
+
+    def chunks(b: Column) -> Column:
+        return F.transform(b.strides, lambda text, i: F.struct(
             (i.cast("long") * stride).alias("start"),
-            F.least(i.cast("long") * stride + size, n).alias("end"),
+            F.least(i.cast("long") * stride + size, b.n).alias("end"),
             F.concat(
-                text, F.coalesce(F.left(F.get(strides, i + 1), F.lit(head)), F.lit(""))
+                text, F.coalesce(F.left(F.get(b.strides, i + 1), F.lit(head)), F.lit(""))
             ).alias("text"),
-        ),
-    )
+        ))
+
     # a chunk that only repeats the tail of the one before it is not produced
-    return F.filter(texts, lambda c: (c.start == 0) | (c.start + head < n))
+    bound = F.struct(
+        fixed_cuts(code, stride).alias("strides"), F.length(code).cast("long").alias("n"))
+    return let(bound, lambda b: F.filter(
+        chunks(b), lambda c: (c.start == 0) | (c.start + head < b.n)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .features import line_count
-from .text import WS, WS_CHARS, collapse_ws, count_char, identifiers, ratio
+from .text import WS, WS_CHARS, collapse_ws, count_char, identifiers, let, ratio
 
 # The six signs of minified or obfuscated code, in reporting order.
 INDICATORS = (
@@ -64,17 +64,19 @@ TYPED_EXTENSIONS = ("ts", "tsx")
 
 
 def mean_trimmed_line_length(code: Column) -> Column:
-    lines = F.split(code, "\n", -1)
     total = F.aggregate(
-        lines, F.lit(0).cast("long"),
+        F.split(code, "\n", -1), F.lit(0).cast("long"),
         lambda acc, line: acc + F.length(F.btrim(line, F.lit(WS_CHARS))),
     )
-    return ratio(total, F.size(lines))
+    return ratio(total, line_count(code))
 
 
 def short_name_share(tokens: Column) -> Column:
     """Share of one-letter names among identifier tokens; null without tokens."""
-    return ratio(F.size(F.filter(tokens, lambda t: F.length(t) == 1)), F.size(tokens))
+    return let(
+        tokens,
+        lambda ts: ratio(F.size(F.filter(ts, lambda t: F.length(t) == 1)), F.size(ts)),
+    )
 
 
 def has_many_short_names(tokens: Column) -> Column:

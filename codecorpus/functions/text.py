@@ -8,6 +8,7 @@ White space is the ASCII class ``WS``.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,6 +25,15 @@ IDENT = (
 )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once per row and use it as often as `body` likes.
+
+    A column used inside a lambda is an expression that runs again for every element; bound
+    this way it is a value.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def whole_words(*words: str) -> str:
     """Pattern for any of the given plain words between word boundaries."""
     return r"(?<!\w)(?:" + "|".join(words) + r")(?!\w)"

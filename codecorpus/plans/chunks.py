@@ -90,9 +90,9 @@ def chunk_counts(spark, sf_dir):
 
 
 @register("reassembled_text", with_ctes(rel.UNITS_SQL, body="""
-SELECT unit_id, upper(code) AS code, ceil(length(code) / 1500.0)::BIGINT AS n_chunks
-FROM units WHERE length(code) > 0 AND kind = 'script'"""))
+SELECT unit_id, replace(code, 'e', 'E') AS code, ceil(length(code) / 1500.0)::BIGINT AS n_chunks
+FROM units WHERE length(code) > 0"""))
 def reassembled_text(spark, sf_dir):
-    scripts = rel.units(spark, sf_dir).filter(F.col("kind") == "script")
-    done = op.fixed_chunks(scripts, 1500).withColumn("text", F.upper("text"))
+    done = op.fixed_chunks(rel.units(spark, sf_dir), 1500).withColumn(
+        "text", F.replace("text", F.lit("e"), F.lit("E")))
     return op.reassemble(done)
