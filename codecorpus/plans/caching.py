@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fingerprint as fp
 from ..operators import cache as op
+from ..session import ensure_checkpoint_dir
 from . import relations as rel
 from .registry import register, with_ctes
 
@@ -91,7 +92,9 @@ WHERE before >= {space}""")
 
 @register("cache_after_eviction", _evicted_sql(1_000_000))
 def cache_after_eviction(spark, sf_dir):
-    return _cache_cols(op.evict_oldest(_cache(spark, sf_dir), 1_000_000))
+    """The cache is pinned first: eviction reads its narrow columns several times."""
+    ensure_checkpoint_dir(spark)
+    return _cache_cols(op.evict_oldest(_cache(spark, sf_dir).checkpoint(), 1_000_000))
 
 
 @register("cache_stats", with_ctes(rel.ENTRIES_SQL, rel.LOOKUPS_SQL, body=f"""
