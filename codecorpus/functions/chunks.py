@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .text import let
 
-BOUNDARY = r"[\n;})]"
+NO_BOUNDARY = r"^[^\n;})]*"
 # A cut is sought in the last fifth of a chunk.
 KEEP_NUM, KEEP_DEN = 4, 5
 DEFAULT_SIZE = 4_000
@@ -66,11 +66,14 @@ def _fold(n: Column, steps: Column, end_of, overlap: int) -> Column:
 
 
 def _behind_last_boundary(window: Column, window_end: Column, otherwise: Column) -> Column:
-    """Position behind the last boundary of a window that ends before `window_end`."""
-    return let(
-        F.regexp_instr(F.reverse(window), F.lit(BOUNDARY)),
-        lambda r: F.when(r > 0, window_end + 1 - r).otherwise(otherwise),
-    )
+    """Position behind the last boundary of a window that ends before `window_end`.
+
+    Lengths count code points; match positions would count UTF-16 units."""
+    def cut(w: Column) -> Column:
+        rest = F.length(F.regexp_extract(F.reverse(w), NO_BOUNDARY, 0))
+        return F.when(rest < F.length(w), window_end - rest).otherwise(otherwise)
+
+    return let(window, cut)
 
 
 def _cut(code: Column, piece: int, spans) -> Column:
@@ -100,7 +103,7 @@ def overlap_chunks(code: Column, size: int = DEFAULT_SIZE, overlap: int | None =
             cut = _behind_last_boundary(window, p + (size + 1), p + size)
             return F.when(p + size >= n, n).otherwise(cut)
 
-        return _fold(n, F.ceil(n / F.lit(float(keep + 2 - ov))).cast("int"), end_of, ov)
+        return _fold(n, F.ceil(n / F.lit(float(min(size, keep + 2) - ov))).cast("int"), end_of, ov)
 
     return _cut(code, piece, spans)
 

@@ -137,8 +137,7 @@ def has_markup_syntax(code: Column) -> Column:
     An opening tag is a ``<`` glued to a word character with some ``>`` after it. Looking
     for that ``>`` after the first such place gives the same answer in one pass.
     """
-    first = F.regexp_instr(code, F.lit(r"<\w"))
-    opening = (first > 0) & (F.position(F.lit(">"), code, F.greatest(first, F.lit(1))) > 0)
+    opening = F.regexp_extract(code, r"(?s)<\w(.*)$", 1).contains(">")
     comment = F.btrim(code, F.lit(WS_CHARS)).startswith("<!--")
     return (opening | code.rlike(r"</\w+>")) & ~comment
 

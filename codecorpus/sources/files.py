@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.classify import is_valid_source_path
+from .unlisted import list_unlisted, read_unlisted
 
 # What a directory scan takes and what it passes over, at any depth.
 DEFAULT_PATTERNS = ("*.js", "*.mjs", "*.cjs")
@@ -27,7 +28,8 @@ def as_units(files: DataFrame) -> DataFrame:
 
 def read_file(spark: SparkSession, path: str) -> DataFrame:
     """One file as one unit, with its size in bytes."""
-    return as_units(spark.read.text(path, wholetext=True))
+    return as_units(spark.read.text(path, wholetext=True)).unionByName(
+        read_unlisted(list_unlisted(spark, path)))
 
 
 def glob_regex(pattern: str) -> str:
@@ -103,22 +105,24 @@ def scan_folder(
 ) -> DataFrame:
     """Script files below a folder as units.
 
-    The name filter and the depth go to the file listing; paths are then filtered on file
-    metadata, which prunes files before they are opened. Names that start with ``.`` or
-    ``_`` are invisible to Spark's file listing.
+    The name filter and the depth go to Spark's file listing; paths are then filtered on
+    file metadata, which prunes files before they are opened. Empty files and names that
+    start with an underscore, which that listing leaves out, are added.
     """
     reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
     if not patterns:
         reader = reader.option("pathGlobFilter", "*.{js,mjs,cjs}")
-    files = reader.text(root, wholetext=True)
-    path = F.col("_metadata.file_path")
-    rel = relative_path(path, root)
     wanted = patterns or [("**/" if recursive else "") + p for p in DEFAULT_PATTERNS]
-    kept = files.filter(matches_any(rel, wanted) & ~in_excluded_folder(rel))
     skipped = [p.removeprefix("!") for p in exclude]
-    if skipped:
-        kept = kept.filter(~matches_any(rel, skipped))
-    return as_units(kept.filter(is_valid_source_path(path)))
+
+    def chosen(path: Column, rel: Column) -> Column:
+        keep = matches_any(rel, wanted) & ~in_excluded_folder(rel) & is_valid_source_path(path)
+        return keep & ~matches_any(rel, skipped) if skipped else keep
+
+    path = F.col("_metadata.file_path")
+    listed = reader.text(root, wholetext=True).filter(chosen(path, relative_path(path, root)))
+    others = list_unlisted(spark, root, recursive).filter(chosen(F.col("path"), F.col("rel")))
+    return as_units(listed).unionByName(read_unlisted(others))
 
 
 def distinct_paths(files: DataFrame) -> DataFrame:

@@ -1,0 +1,86 @@
+"""Files that Spark's file listing leaves out: empty ones, and those with a name or folder
+that starts with an underscore. Script trees have many of both (``__tests__``, ``_app.js``).
+
+Folders are listed in tasks, one per folder below the root; the contents are read in tasks
+of their own, spread evenly, so a folder with most of the files does not keep one task busy.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+LISTED = "path string, rel string, n_bytes long"
+READ = "path string, code string, n_bytes long"
+
+
+def _open(uri: str) -> tuple[pafs.FileSystem, str]:
+    if "://" not in uri:
+        uri = "file://" + uri.removeprefix("file:")
+    return pafs.FileSystem.from_uri(uri)
+
+
+def _left_out(rel: str, size: int) -> bool:
+    parts = rel.split("/")
+    if any(p.startswith(".") for p in parts):
+        return False
+    return size == 0 or any(p.startswith("_") for p in parts)
+
+
+def _folders(root: str, recursive: bool) -> list[tuple[str, str, bool]]:
+    """(root, folder below it, whether to descend), one entry per listing task."""
+    fs, base = _open(root)
+    if fs.get_file_info(base).type == pafs.FileType.File or not recursive:
+        return [(root, "", False)]
+    below = fs.get_file_info(pafs.FileSelector(base, recursive=False))
+    subs = [i.base_name for i in below
+            if i.type == pafs.FileType.Directory and not i.base_name.startswith(".")]
+    return [(root, "", False)] + [(root, s, True) for s in subs]
+
+
+def _list(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for root, sub, descend in batch.itertuples(index=False):
+            fs, base = _open(root)
+            scheme = "file://" if fs.type_name == "local" else root.split("://")[0] + "://"
+            top = fs.get_file_info(base)
+            if top.type == pafs.FileType.File:
+                infos, base = [top], base.rsplit("/", 1)[0]
+            else:
+                start = f"{base.rstrip('/')}/{sub}".rstrip("/")
+                infos = fs.get_file_info(pafs.FileSelector(start, recursive=descend))
+            rows = []
+            for info in infos:
+                rel = info.path[len(base.rstrip("/")) + 1:]
+                if info.type == pafs.FileType.File and _left_out(rel, info.size):
+                    rows.append((scheme + info.path, rel, info.size))
+            yield pd.DataFrame(rows, columns=["path", "rel", "n_bytes"])
+
+
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for path, size in batch.itertuples(index=False):
+            fs, inner = _open(path)
+            with fs.open_input_stream(inner) as stream:
+                text = stream.read().decode("utf8", errors="replace")
+            yield pd.DataFrame({"path": [path], "code": [text], "n_bytes": [size]})
+
+
+def list_unlisted(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
+    """(path, rel, n_bytes) of the files below `root` that Spark's listing leaves out."""
+    folders = _folders(root, recursive)
+    jobs = spark.createDataFrame(folders, "root string, sub string, descend boolean")
+    return jobs.repartition(min(len(folders), 1000)).mapInPandas(_list, LISTED)
+
+
+def read_unlisted(listed: DataFrame) -> DataFrame:
+    """Contents of listed files as units. The round-robin shuffle spreads the reading."""
+    read = listed.select("path", "n_bytes").repartition(
+        int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ).mapInPandas(_read, READ)
+    return read.select(
+        F.col("path").alias("unit_id"), "path", F.lit("file").alias("kind"), "code", "n_bytes")
