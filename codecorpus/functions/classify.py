@@ -61,6 +61,7 @@ RETRYABLE = ("timeout", "connection")
 
 VALID_EXTENSIONS = ("js", "mjs", "cjs")
 TYPED_EXTENSIONS = ("ts", "tsx")
+DECIDING_EXTENSIONS = (*TYPED_EXTENSIONS, "jsx")
 
 
 def mean_trimmed_line_length(code: Column) -> Column:
@@ -142,26 +143,10 @@ def has_markup_syntax(code: Column) -> Column:
     return (opening | code.rlike(r"</\w+>")) & ~comment
 
 
-def dialect(path: Column, code: Column) -> Column:
-    """By extension, else by typed syntax, else by markup; both last cases parse as babel."""
+def dialect_by_extension(path: Column) -> Column:
+    """The dialect an extension settles, else null."""
     ext = file_extension(path)
-    return (
-        F.when(ext.isin(*TYPED_EXTENSIONS), "typescript")
-        .when(ext == "jsx", "babel")
-        .when(has_typed_syntax(code), "typescript")
-        .otherwise("babel")
-    )
-
-
-def dialect_rule(path: Column, code: Column) -> Column:
-    """Which rule decided `dialect`."""
-    ext = file_extension(path)
-    return (
-        F.when(ext.isin(*TYPED_EXTENSIONS, "jsx"), "extension")
-        .when(has_typed_syntax(code), "typed_syntax")
-        .when(has_markup_syntax(code), "markup_syntax")
-        .otherwise("default")
-    )
+    return F.when(ext.isin(*TYPED_EXTENSIONS), "typescript").when(ext == "jsx", "babel")
 
 
 def oversize_error(code: Column, max_size: int = MAX_UNIT_SIZE) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .classify import bad_escapes, guard_reserved
-from .text import WS, WS_CHARS, literal_replacement, whole_word_pattern
+from .text import WS, WS_CHARS, let, literal_replacement, whole_word_pattern
 
 # Fixed values.
 DEFAULT_CONFIDENCE = 0.5
@@ -39,14 +39,21 @@ METHOD_LOOKAHEAD = 40
 def text_fallback(text: Column) -> Column:
     """array<struct<original_name, suggested_name>> found in free text, first 20."""
 
-    def found(pattern: str) -> Column:
-        return F.zip_with(
-            F.regexp_extract_all(text, F.lit(pattern), F.lit(1)),
-            F.regexp_extract_all(text, F.lit(pattern), F.lit(2)),
-            lambda a, b: F.struct(a.alias("original_name"), b.alias("suggested_name")),
+    def found(pattern: str, sign: str | None) -> Column:
+        pairs = F.transform(
+            F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+            lambda m: F.struct(
+                F.regexp_extract(m, pattern, 1).alias("original_name"),
+                F.regexp_extract(m, pattern, 2).alias("suggested_name"),
+            ),
         )
+        if sign is None:
+            return pairs
+        none = F.array().cast("array<struct<original_name:string,suggested_name:string>>")
+        return F.when(text.contains(sign), pairs).otherwise(none)
 
-    return F.slice(F.concat(*[found(p) for p in FALLBACK_SHAPES]), 1, FALLBACK_LIMIT)
+    hits = [found(p, sign) for p, sign in zip(FALLBACK_SHAPES, (None, "->", "=>"), strict=True)]
+    return F.slice(F.concat(*hits), 1, FALLBACK_LIMIT)
 
 
 def repair_trailing_comma(json_text: Column) -> Column:
@@ -125,12 +132,16 @@ def apply_in_sequence(code: Column, renames: Column) -> Column:
     alone, and a rename that would add a broken escape sequence is passed over.
     """
 
-    def step(acc: Column, r: Column) -> Column:
-        changed = F.regexp_replace(
+    def changed(acc: Column, r: Column) -> Column:
+        new = F.regexp_replace(
             acc, whole_word_pattern(r.original_name), literal_replacement(r.suggested_name)
         )
-        worse = F.size(bad_escapes(changed)) > F.size(bad_escapes(acc))
-        return F.when((F.length(r.original_name) <= 1) | worse, acc).otherwise(changed)
+        return let(new, lambda n: F.when(
+            F.size(bad_escapes(n)) > F.size(bad_escapes(acc)), acc).otherwise(n))
+
+    def step(acc: Column, r: Column) -> Column:
+        may_apply = (F.length(r.original_name) > 1) & F.contains(acc, r.original_name)
+        return F.when(may_apply, changed(acc, r)).otherwise(acc)
 
     return F.aggregate(renames, code, step)
 

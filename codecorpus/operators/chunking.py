@@ -6,15 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chunks as ch
+from .rows import explode_once
 
 
 def explode_chunks(units: DataFrame, chunk_array: Column) -> DataFrame:
-    """One row per chunk. The text column is dropped before the rows multiply."""
-    cut = units.select("unit_id", chunk_array.alias("chunks"))
-    return cut.select("unit_id", F.posexplode("chunks").alias("chunk_index", "c")).select(
-        "unit_id", F.col("chunk_index").cast("long").alias("chunk_index"),
-        "c.start", "c.end", "c.text",
-    )
+    """One row per chunk. The rows carry the chunk, not the text it was cut from."""
+    rows = explode_once(
+        units, "unit_id", array=chunk_array, name="c", position="chunk_index")
+    return rows.select("unit_id", "chunk_index", "c.start", "c.end", "c.text")
 
 
 def overlap_chunks(

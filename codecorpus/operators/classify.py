@@ -25,12 +25,9 @@ def obfuscation_indicators(units: DataFrame) -> DataFrame:
 
 def split_readable(units: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(units that need work, units that are readable already)."""
-    flagged = obfuscation_indicators(units)
-    cols = ("unit_id", "path", "kind", "code")
-    return (
-        flagged.filter("needs_processing").select(*cols),
-        flagged.filter(~F.col("needs_processing")).select(*cols),
-    )
+    signs = [c.cast("int") for c in cl.indicators(F.col("code")).values()]
+    needs = sum(signs[1:], signs[0]) >= cl.POSITIVE_AT
+    return units.filter(needs), units.filter(~needs)
 
 
 def split_oversize(
@@ -45,10 +42,22 @@ def split_oversize(
 
 
 def detect_dialect(units: DataFrame) -> DataFrame:
-    return units.select(
+    """Dialect of each unit and the rule that told it.
+
+    The text is only searched where the extension leaves it open, and once for both columns.
+    """
+    known = cl.file_extension(F.col("path")).isin(*cl.DECIDING_EXTENSIONS)
+    facts = units.select(
+        "unit_id", "path",
+        F.when(~known, cl.has_typed_syntax(F.col("code"))).alias("typed"),
+        F.when(~known, cl.has_markup_syntax(F.col("code"))).alias("markup"),
+    )
+    by_path = cl.dialect_by_extension(F.col("path"))
+    return facts.select(
         "unit_id", "path",
-        cl.dialect(F.col("path"), F.col("code")).alias("dialect"),
-        cl.dialect_rule(F.col("path"), F.col("code")).alias("rule"),
+        F.coalesce(by_path, F.when(F.col("typed"), "typescript").otherwise("babel")).alias("dialect"),
+        F.when(by_path.isNotNull(), "extension").when(F.col("typed"), "typed_syntax")
+        .when(F.col("markup"), "markup_syntax").otherwise("default").alias("rule"),
     )
 
 

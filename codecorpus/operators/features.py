@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import features as ft
+from ..functions.text import let
+from .rows import explode_once
 
 COMPARISONS = {
     "unpack": ft.unpack_metrics,
@@ -58,12 +60,9 @@ def framework_tags(units: DataFrame) -> DataFrame:
 
 def dependency_rows(units: DataFrame) -> DataFrame:
     """One row per dependency statement, in order."""
-    return units.select(
-        "unit_id", F.posexplode(ft.dependencies(F.col("code"))).alias("ordinal", "dep")
-    ).select(
-        "unit_id", F.col("ordinal").cast("long").alias("ordinal"),
-        F.col("dep.statement").alias("statement"), F.col("dep.module").alias("module"),
-    )
+    rows = explode_once(
+        units, "unit_id", array=ft.dependencies(F.col("code")), name="dep", position="ordinal")
+    return rows.select("unit_id", "ordinal", "dep.statement", "dep.module")
 
 
 def dependency_counts(units: DataFrame) -> DataFrame:
@@ -73,12 +72,12 @@ def dependency_counts(units: DataFrame) -> DataFrame:
     two plain sums, combined before the only shuffle, instead of a distinct count.
     """
     modules = F.transform(ft.dependencies(F.col("code")), lambda d: d.module)
-    mentions = units.select(modules.alias("m")).select(F.explode(F.concat(
-        F.transform("m", lambda x: F.struct(
+    mentions = explode_once(units, name="d", array=let(modules, lambda m: F.concat(
+        F.transform(m, lambda x: F.struct(
             x.alias("module"), F.lit(1).alias("s"), F.lit(0).alias("u"))),
-        F.transform(F.array_distinct("m"), lambda x: F.struct(
+        F.transform(F.array_distinct(m), lambda x: F.struct(
             x.alias("module"), F.lit(0).alias("s"), F.lit(1).alias("u"))),
-    )).alias("d"))
+    )))
     return mentions.groupBy(F.col("d.module").alias("module")).agg(
         F.sum("d.s").cast("long").alias("statements"),
         F.sum("d.u").cast("long").alias("units"),

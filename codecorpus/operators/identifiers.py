@@ -6,18 +6,21 @@ Units are tokenised whole: cutting a text first would split names at the cuts.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import count_matches, identifiers, whole_word_regex
+from ..functions.text import count_matches, identifiers, let, whole_word_regex, whole_words
+from .rows import explode_once
+
+FEW_TERMS = 32
 
 
 def unit_identifiers(units: DataFrame) -> DataFrame:
     """Distinct identifiers of each unit. No shuffle: a unit is one row."""
     found = F.array_distinct(identifiers(F.col("code")))
-    return units.select("unit_id", F.explode(found).alias("identifier"))
+    return explode_once(units, "unit_id", array=found, name="identifier")
 
 
 def identifier_inventory(units: DataFrame) -> DataFrame:
@@ -27,13 +30,12 @@ def identifier_inventory(units: DataFrame) -> DataFrame:
     sum. Counts are combined per task before the shuffle, so a name that is everywhere
     arrives as one row per task.
     """
-    toks = units.select(identifiers(F.col("code")).alias("t"))
-    rows = toks.select(F.explode(F.concat(
-        F.transform("t", lambda x: F.struct(
+    rows = explode_once(units, name="r", array=let(identifiers(F.col("code")), lambda t: F.concat(
+        F.transform(t, lambda x: F.struct(
             x.alias("identifier"), F.lit(1).alias("n"), F.lit(0).alias("u"))),
-        F.transform(F.array_distinct("t"), lambda x: F.struct(
+        F.transform(F.array_distinct(t), lambda x: F.struct(
             x.alias("identifier"), F.lit(0).alias("n"), F.lit(1).alias("u"))),
-    )).alias("r"))
+    )))
     return rows.groupBy(F.col("r.identifier").alias("identifier")).agg(
         F.sum("r.n").cast("long").alias("occurrences"),
         F.sum("r.u").cast("long").alias("units"),
@@ -42,17 +44,22 @@ def identifier_inventory(units: DataFrame) -> DataFrame:
 
 def approx_identifier_count(units: DataFrame, rsd: float = 0.02) -> DataFrame:
     """Estimated number of distinct identifiers per kind of unit, by a fixed-size sketch."""
-    toks = units.select("kind", F.explode(identifiers(F.col("code"))).alias("identifier"))
+    toks = explode_once(units, "kind", array=identifiers(F.col("code")), name="identifier")
     return toks.groupBy("kind").agg(
         F.approx_count_distinct("identifier", rsd).cast("long").alias("identifiers")
     )
 
 
+def _equals(term: str) -> Callable[[Column], Column]:
+    return lambda x: x == term
+
+
 def _term_hits(code: Column, terms: Sequence[str]) -> Column:
     """array<struct<term, n>> with one zero row per term.
 
     A term of word characters occurs as a whole word exactly where a maximal word run equals
-    it, so one tokenisation serves all such terms. Other terms are matched one by one.
+    it, so all such terms share one pass over the text: one pattern for a few terms, a
+    tokenisation for many. Other terms are matched one by one, where the text has them.
     """
     words = [t for t in terms if re.fullmatch(r"\w+", t, re.ASCII)]
     others = [t for t in terms if t not in set(words)]
@@ -62,12 +69,19 @@ def _term_hits(code: Column, terms: Sequence[str]) -> Column:
 
     parts = [F.array(*[row(F.lit(t), F.lit(0)) for t in terms])]
     if words:
-        runs = F.regexp_extract_all(code, F.lit(r"\w+"), F.lit(0))
-        hits = F.filter(runs, lambda t: t.isin(*words))
-        parts.append(F.transform(hits, lambda t: row(t, F.lit(1))))
+        if len(words) <= FEW_TERMS:
+            hits = F.regexp_extract_all(code, F.lit(whole_words(*words)), F.lit(0))
+            parts.append(let(hits, lambda found: F.array(*[
+                row(F.lit(t), F.size(F.filter(found, _equals(t)))) for t in words])))
+        else:
+            runs = F.regexp_extract_all(code, F.lit(r"\w+"), F.lit(0))
+            hits = F.filter(runs, lambda t: t.isin(*words))
+            parts.append(F.transform(hits, lambda t: row(t, F.lit(1))))
     if others:
         parts.append(F.array(*[
-            row(F.lit(t), count_matches(code, whole_word_regex(t))) for t in others
+            row(F.lit(t), F.when(code.contains(t), count_matches(code, whole_word_regex(t)))
+                .otherwise(0))
+            for t in others
         ]))
     return F.concat(*parts)
 
@@ -76,16 +90,20 @@ def count_terms(units: DataFrame, terms: Iterable[str], per_unit: bool = False)
     """Whole-word occurrences of the given terms, absent ones with zero."""
     wanted = list(dict.fromkeys(t for t in terms if t))
     keys = ["unit_id", "term"] if per_unit else ["term"]
-    hits = units.select("unit_id", _term_hits(F.col("code"), wanted).alias("h")).select(
-        "unit_id", F.inline("h")
-    )
-    return hits.groupBy(*keys).agg(F.sum("n").cast("long").alias("n"))
+    hits = explode_once(units, "unit_id", array=_term_hits(F.col("code"), wanted), name="h")
+    return hits.select("unit_id", "h.term", "h.n").groupBy(*keys).agg(
+        F.sum("n").cast("long").alias("n"))
+
+
+def _replacement(old: str, new: str) -> Callable[[Column], Column]:
+    literal = new.replace("\\", "\\\\").replace("$", "\\$")
+    return lambda c: F.when(
+        c.contains(old), F.regexp_replace(c, whole_word_regex(old), literal)).otherwise(c)
 
 
 def replace_terms(units: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Whole-word replacement of each pair in order; the replacement is taken literally."""
     code = F.col("code")
     for old, new in pairs:
-        literal = new.replace("\\", "\\\\").replace("$", "\\$")
-        code = F.regexp_replace(code, whole_word_regex(old), literal)
+        code = let(code, _replacement(old, new))
     return units.withColumn("code", code)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import renames as rn
 from ..functions.classify import guard_reserved, has_bad_escape
-from ..functions.text import exact_mean
+from ..functions.text import exact_mean, let
+from .rows import explode_once
 
 # Names under which an answer may hold its list and its fields, by preference.
 LIST_FIELDS = ("suggestions", "renames", "variablesAndFunctionsToRename")
@@ -15,6 +16,7 @@ OLD_FIELDS = ("name", "originalName", "from")
 NEW_FIELDS = ("newName", "suggestedName", "to")
 REASON_FIELDS = ("reasoning", "reason")
 TYPES = ("variable", "function", "class", "method", "property")
+NUMBER = "^(BIGINT|DECIMAL|DOUBLE|FLOAT)"
 
 
 def _kind(v: Column) -> Column:
@@ -49,85 +51,103 @@ def _items(answer: Column) -> Column:
     return F.try_variant_get(chosen, "$", "array<variant>")
 
 
-def _first_truthy(item: Column, fields: tuple[str, ...]) -> Column:
-    """The first field that is present and neither empty, zero, false nor null."""
-    def truthy(f: str) -> Column:
-        v = F.try_variant_get(item, f"$.{f}", "variant")
-        kind = _kind(v)
-        text = F.try_variant_get(v, "$", "string")
-        number = F.try_variant_get(v, "$", "double")
-        falsy = (
-            (kind == "VOID")
-            | ((kind == "STRING") & (text == ""))
-            | ((kind == "BOOLEAN") & (text == "false"))
-            | (kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & (number == 0))
-        )
-        return F.when(~falsy, v)
-    return F.coalesce(*[truthy(f) for f in fields])
+def _usable(kind: Column, text: Column) -> Column:
+    """Whether a field counts: present and neither empty, zero, false nor null."""
+    zero = kind.rlike(NUMBER) & (text.try_cast("double") == 0)
+    return ~(
+        (kind == "VOID") | ((kind == "STRING") & (text == ""))
+        | ((kind == "BOOLEAN") & (text == "false")) | F.coalesce(zero, F.lit(False))
+    )
 
 
-def _string(v: Column) -> Column:
-    return F.when(_kind(v) == "STRING", F.try_variant_get(v, "$", "string"))
+def _first_usable(fields: tuple[str, ...], value: str) -> Column:
+    """`value` (kind or text) of the first field that counts."""
+    return F.coalesce(*[
+        F.when(_usable(F.col(f"{f}_kind"), F.col(f"{f}_text")), F.col(f"{f}_{value}"))
+        for f in fields
+    ])
 
 
-def parse_suggestions(responses: DataFrame) -> DataFrame:
-    """Rename suggestions in answers (request_id, payload); one row per list item.
+def _listed(responses: DataFrame) -> DataFrame:
+    """Answers with their list; parsing and searching are separate projections, so that a
+    text is parsed once however often its parts are used."""
+    answers = responses.select("*", _answer(F.col("payload")).alias("answer"))
+    return answers.select(
+        "*", F.col("answer").isNull().alias("no_json"), _items(F.col("answer")).alias("items"))
 
-    A row with `error` set stands for an item, or a whole answer (ordinal null), that cannot
-    be used. One bad item never costs the other items of its answer.
-    """
-    answers = responses.select("request_id", _answer(F.col("payload")).alias("answer"))
-    lists = answers.select("request_id", "answer", _items(F.col("answer")).alias("items"))
-    rows = lists.select(
-        "request_id", "answer", F.col("items").isNull().alias("no_list"),
-        F.posexplode_outer("items").alias("ordinal", "item"),
-    ).filter(F.col("no_list") | F.col("ordinal").isNotNull())
-    item = F.col("item")
-    confidence = F.try_variant_get(item, "$.confidence", "double")
-    is_number = _kind(F.try_variant_get(item, "$.confidence", "variant")).rlike(
-        "^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
-    kind = F.lower(_string(F.try_variant_get(item, "$.type", "variant")))
-    reason = _first_truthy(item, REASON_FIELDS)
+
+def _checked_items(rows: DataFrame, *more: str) -> DataFrame:
+    """Suggestions from rows of (request_id, ordinal, item, no_list, no_json, more…)."""
+    keep = ["request_id", "ordinal", "no_list", "no_json", *more]
+    names = OLD_FIELDS + NEW_FIELDS + REASON_FIELDS + ("type", "confidence")
     fields = rows.select(
-        "request_id", F.col("ordinal").cast("long").alias("ordinal"),
-        F.col("no_list"), F.col("answer").isNull().alias("no_json"),
-        _kind(item).startswith("OBJECT").alias("is_object"),
-        _string(_first_truthy(item, OLD_FIELDS)).alias("original_name"),
-        _string(_first_truthy(item, NEW_FIELDS)).alias("suggested_name"),
-        F.when(is_number & confidence.between(0.0, 1.0), confidence)
-        .otherwise(rn.DEFAULT_CONFIDENCE).alias("confidence"),
-        _string(reason).alias("reasoning"),
-        reason.isNotNull().alias("has_reason"),
-        F.when(kind.isin(*TYPES), kind).otherwise("variable").alias("type"),
+        *keep, _kind(F.col("item")).startswith("OBJECT").alias("is_object"),
+        *[F.try_variant_get("item", f"$.{f}", "variant").alias(f) for f in names],
+    )
+    texts = fields.select(
+        *keep, "is_object",
+        *[_kind(F.col(f)).alias(f"{f}_kind") for f in names],
+        *[F.try_variant_get(F.col(f), "$", "string").alias(f"{f}_text")
+          for f in names if f != "confidence"],
+        F.try_variant_get("confidence", "$", "double").alias("confidence"),
     )
+    chosen = texts.select(
+        *keep, "is_object", "confidence", "confidence_kind", "type_kind",
+        F.lower("type_text").alias("type"),
+        *[_first_usable(fs, v).alias(f"{n}_{v}")
+          for n, fs in (("old", OLD_FIELDS), ("new", NEW_FIELDS), ("reason", REASON_FIELDS))
+          for v in ("kind", "text")],
+    )
+
+    def is_text(name: str) -> Column:
+        return F.coalesce(F.col(f"{name}_kind") == "STRING", F.lit(False))
+
     error = (
         F.when(F.col("no_json"), "No JSON found in response")
         .when(F.col("no_list"), "Response does not contain a suggestions array")
         .when(~F.col("is_object"),
               F.concat(F.lit("Invalid suggestion at index "), F.col("ordinal").cast("string")))
-        .when(F.col("original_name").isNull(), "Invalid originalName: expected non-empty string")
-        .when(F.col("suggested_name").isNull(), "Invalid suggestedName: expected non-empty string")
-        .when(F.col("has_reason") & F.col("reasoning").isNull(),
+        .when(~is_text("old"), "Invalid originalName: expected non-empty string")
+        .when(~is_text("new"), "Invalid suggestedName: expected non-empty string")
+        .when(F.col("reason_kind").isNotNull() & ~is_text("reason"),
               "Invalid reasoning: expected text")
     )
-    checked = fields.withColumn("error", error)
+    in_range = F.col("confidence_kind").rlike(NUMBER) & F.col("confidence").between(0.0, 1.0)
+    known = (F.col("type_kind") == "STRING") & F.col("type").isin(*TYPES)
+    checked = chosen.withColumn("error", error)
     ok = F.col("error").isNull()
     return checked.select(
-        "request_id", "ordinal",
-        *[F.when(ok, F.col(c)).alias(c) for c in ("original_name", "suggested_name", "confidence")],
-        F.when(ok, F.coalesce("reasoning", F.lit(""))).alias("reasoning"),
-        F.when(ok, F.col("type")).alias("type"),
+        "request_id", "ordinal", *more,
+        F.when(ok, F.col("old_text")).alias("original_name"),
+        F.when(ok, F.col("new_text")).alias("suggested_name"),
+        F.when(ok, F.when(in_range, F.col("confidence")).otherwise(rn.DEFAULT_CONFIDENCE))
+        .alias("confidence"),
+        F.when(ok, F.coalesce("reason_text", F.lit(""))).alias("reasoning"),
+        F.when(ok, F.when(known, F.col("type")).otherwise("variable")).alias("type"),
         "error",
     )
 
 
+def parse_suggestions(responses: DataFrame) -> DataFrame:
+    """Rename suggestions in answers (request_id, payload); one row per list item.
+
+    A row with `error` set stands for an item, or a whole answer (ordinal null), that cannot
+    be used. One bad item never costs the other items of its answer.
+    """
+    rows = _listed(responses.select("request_id", "payload")).select(
+        "request_id", "no_json", F.col("items").isNull().alias("no_list"),
+        F.posexplode_outer("items").alias("ordinal", "item"),
+    ).filter(F.col("no_list") | F.col("ordinal").isNotNull())
+    return _checked_items(rows.withColumn("ordinal", F.col("ordinal").cast("long")))
+
+
 def parse_text_fallback(responses: DataFrame) -> DataFrame:
     """Renames named in free text, at the default confidence."""
-    return responses.select(
-        "request_id", F.posexplode(rn.text_fallback(F.col("payload"))).alias("ordinal", "r")
-    ).select(
-        "request_id", F.col("ordinal").cast("long").alias("ordinal"),
-        "r.original_name", "r.suggested_name",
+    rows = explode_once(
+        responses, "request_id", array=rn.text_fallback(F.col("payload")), name="r",
+        position="ordinal")
+    return rows.select(
+        "request_id", "ordinal", "r.original_name", "r.suggested_name",
         F.lit(rn.DEFAULT_CONFIDENCE).alias("confidence"),
         F.lit(rn.FALLBACK_REASON).alias("reasoning"),
         F.lit("variable").alias("type"),
@@ -137,16 +157,33 @@ def parse_text_fallback(responses: DataFrame) -> DataFrame:
 def parse_with_fallback(responses: DataFrame) -> DataFrame:
     """Suggestions from JSON answers, and from the text of answers without usable JSON.
 
-    Both parsers run inside the row, so this costs no join and no shuffle.
+    Each answer is parsed once and read once: both sorts of rows come out of one explode.
     """
-    tagged = responses.select(
-        "request_id", "payload", _items(_answer(F.col("payload"))).isNull().alias("as_text")
+    pair = "struct<original_name:string,suggested_name:string>"
+    listed = _listed(responses.select("request_id", "payload"))
+    from_json = F.transform("items", lambda v: F.struct(
+        v.alias("item"), F.lit(None).cast(pair).alias("pair")))
+    from_text = F.transform(rn.text_fallback(F.col("payload")), lambda p: F.struct(
+        F.lit(None).cast("variant").alias("item"), p.alias("pair")))
+    rows = explode_once(
+        listed, "request_id", name="r", position="ordinal",
+        array=F.when(F.col("items").isNotNull(), from_json).otherwise(from_text),
+    ).select("request_id", "ordinal", "r.item", "r.pair")
+    no = F.lit(False)
+    checked = _checked_items(rows.withColumns({"no_list": no, "no_json": no}), "pair")
+    found = F.col("pair").isNotNull()
+
+    def either(text_value: Column, name: str) -> Column:
+        return F.when(found, text_value).otherwise(F.col(name)).alias(name)
+
+    return checked.filter(found | F.col("error").isNull()).select(
+        "request_id", "ordinal",
+        either(F.col("pair.original_name"), "original_name"),
+        either(F.col("pair.suggested_name"), "suggested_name"),
+        either(F.lit(rn.DEFAULT_CONFIDENCE), "confidence"),
+        either(F.lit(rn.FALLBACK_REASON), "reasoning"),
+        either(F.lit("variable"), "type"),
     )
-    cols = ("request_id", "ordinal", "original_name", "suggested_name", "confidence",
-            "reasoning", "type")
-    from_json = parse_suggestions(tagged.filter(~F.col("as_text"))).filter(F.col("error").isNull())
-    from_text = parse_text_fallback(tagged.filter("as_text"))
-    return from_json.select(*cols).unionByName(from_text.select(*cols))
 
 
 def repair_json(responses: DataFrame) -> DataFrame:
@@ -157,14 +194,10 @@ def pair_parallel_arrays(responses: DataFrame) -> DataFrame:
     """Rows from answers whose first item holds two parallel arrays."""
     shape = "array<struct<name:array<string>,newName:array<string>>>"
     first = F.get(F.from_json("payload", shape), 0)
-    pairs = responses.select("request_id", first.alias("f")).select(
-        "request_id",
-        F.posexplode(rn.pair_up(F.col("f.name"), F.col("f.newName"))).alias("ordinal", "p"),
-    )
-    return pairs.select(
-        "request_id", F.col("ordinal").cast("long").alias("ordinal"),
-        F.col("p.name").alias("name"), F.col("p.new_name").alias("new_name"),
-    )
+    pairs = explode_once(
+        responses, "request_id", name="p", position="ordinal",
+        array=let(first, lambda f: rn.pair_up(f["name"], f["newName"])))
+    return pairs.select("request_id", "ordinal", "p.name", "p.new_name")
 
 
 def best_suggestions(suggestions: DataFrame) -> DataFrame:
@@ -231,9 +264,9 @@ def _present(tokenised: DataFrame, renames: DataFrame) -> DataFrame:
     longer than its text, so the map built from it is bounded.
     """
     wanted = renames.select("unit_id").distinct()
-    names = tokenised.join(wanted, "unit_id", "left_semi").select(
-        "unit_id", F.explode(F.array_distinct("toks")).alias("original_name")
-    )
+    names = explode_once(
+        tokenised.join(wanted, "unit_id", "left_semi"), "unit_id",
+        array=F.array_distinct("toks"), name="original_name")
     return renames.join(names, ["unit_id", "original_name"], "left_semi")
 
 
@@ -295,9 +328,9 @@ def rename_hits(units: DataFrame, suggestions: DataFrame) -> DataFrame:
     """Occurrences of each suggested name in its unit, zero included."""
     best = best_suggestions(suggestions).select("unit_id", "original_name", "suggested_name")
     wanted = best.select("unit_id").distinct()
-    toks = units.join(wanted, "unit_id", "left_semi").select(
-        "unit_id", F.explode(rn.tokens(F.col("code"))).alias("original_name")
-    )
+    toks = explode_once(
+        units.join(wanted, "unit_id", "left_semi"), "unit_id",
+        array=rn.tokens(F.col("code")), name="original_name")
     counts = toks.groupBy("unit_id", "original_name").agg(F.count(F.lit(1)).alias("n"))
     return best.join(counts, ["unit_id", "original_name"], "left").withColumn(
         "n", F.coalesce("n", F.lit(0))

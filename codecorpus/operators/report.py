@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from ..functions.text import exact_mean, exact_sum, js_round
 from ..session import ensure_checkpoint_dir
+from .rows import explode_once
 
 
 def run_summary(log: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -129,7 +130,8 @@ def bottlenecks(samples: DataFrame) -> DataFrame:
         ))
 
     found = F.array_compact(F.array(*[rule(*r) for r in BOTTLENECKS]))
-    return samples.select("run_id", "sample_id", F.inline(found))
+    return explode_once(samples, "run_id", "sample_id", array=found, name="b").select(
+        "run_id", "sample_id", "b.*")
 
 
 def metric_means(metrics: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from codecorpus.functions import chunks as ch
 from codecorpus.functions import classify as cl
 from codecorpus.functions import features as ft
 from codecorpus.functions import text as tx
+from codecorpus.operators.classify import detect_dialect
 
 EXPLICIT_B = (r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))")
 
@@ -68,9 +69,8 @@ def test_dialect_by_extension_then_syntax(spark):
     rows = [("a.TSX", ""), ("a.jsx", "interface A"), ("a.js", "let a: number = 1"),
             ("a.js", "<div>"), ("a.js", "<!-- <p> -->"), ("a.js", "a<b && c"), ("a.js", "if (a<b) {} c>d")]
     df = spark.createDataFrame(rows, "path string, code string")
-    got = df.select(cl.dialect(F.col("path"), F.col("code")).alias("d"),
-                    cl.dialect_rule(F.col("path"), F.col("code")).alias("r")).collect()
-    assert [(g.d, g.r) for g in got] == [
+    got = detect_dialect(df.withColumn("unit_id", F.lit("u"))).collect()
+    assert [(g.dialect, g.rule) for g in got] == [
         ("typescript", "extension"), ("babel", "extension"), ("typescript", "typed_syntax"),
         ("typescript", "typed_syntax"), ("typescript", "typed_syntax"), ("babel", "default"),
         ("babel", "markup_syntax")]
