@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .features import line_count
-from .text import WS, WS_CHARS, collapse_ws, count_char, identifiers, let, ratio
+from .text import WS, WS_CHARS, count_char, identifiers, let, matches_near, ratio
 
 # The six signs of minified or obfuscated code, in reporting order.
 INDICATORS = (
@@ -22,16 +22,17 @@ SEMICOLONS_PER_LINE = 5
 POSITIVE_AT = 2
 MAX_UNIT_SIZE = 10 * 1024 * 1024
 
-# Shapes that only typed dialects use. The repeated part of the annotation is
-# possessive: it cannot match in another way, and a long union must not deepen the stack.
+# Shapes that only typed dialects use, each with a text it cannot do without.
+# The repeated part of the annotation is possessive: it cannot match in another way, and a
+# long union must not deepen the stack.
 TYPED_SHAPES = (
-    rf":{WS}*\w++(?:\[\])?+(?:{WS}*\|{WS}*\w++)*+{WS}*[=;,)]",
-    rf"interface{WS}+\w",
-    rf"type{WS}+\w+{WS}*=",
-    rf"enum{WS}+\w",
-    r"<\w+>",
-    rf"\w\?{WS}*:",
-    rf"(?:public|private|protected){WS}",
+    (":", rf":{WS}*\w++(?:\[\])?+(?:{WS}*\|{WS}*\w++)*+{WS}*[=;,)]"),
+    ("interface", rf"interface{WS}+\w"),
+    ("type", rf"type{WS}+\w+{WS}*="),
+    ("enum", rf"enum{WS}+\w"),
+    ("<", r"<\w+>"),
+    ("?", rf"\w\?{WS}*:"),
+    ("p", rf"(?:public|private|protected){WS}"),
 )
 
 # Words no identifier may take.
@@ -92,15 +93,15 @@ def has_few_line_breaks(code: Column) -> Column:
 
 
 def has_escapes(code: Column) -> Column:
-    return code.rlike(r"(?i)\\x[0-9a-f]{2}|\\u[0-9a-f]{4}")
+    return matches_near(code, "\\", r"(?i)\\x[0-9a-f]{2}|\\u[0-9a-f]{4}")
 
 
 def has_eval(code: Column) -> Column:
-    return code.rlike(rf"eval{WS}*\(")
+    return matches_near(code, "eval", rf"eval{WS}*\(")
 
 
 def has_literal_concat(code: Column) -> Column:
-    return code.rlike(rf"""["'][^"']*["']{WS}*\+{WS}*["'][^"']*["']""")
+    return matches_near(code, "+", rf"""["'][^"']*["']{WS}*\+{WS}*["'][^"']*["']""")
 
 
 def indicators(code: Column) -> dict[str, Column]:
@@ -126,9 +127,9 @@ def is_valid_source_path(path: Column) -> Column:
 
 
 def has_typed_syntax(code: Column) -> Column:
-    hit = code.rlike(TYPED_SHAPES[0])
-    for p in TYPED_SHAPES[1:]:
-        hit = hit | code.rlike(p)
+    hit = F.lit(False)
+    for needle, pattern in TYPED_SHAPES:
+        hit = hit | matches_near(code, needle, pattern)
     return hit
 
 
@@ -140,7 +141,7 @@ def has_markup_syntax(code: Column) -> Column:
     """
     opening = F.regexp_extract(code, r"(?s)<\w(.*)$", 1).contains(">")
     comment = F.btrim(code, F.lit(WS_CHARS)).startswith("<!--")
-    return (opening | code.rlike(r"</\w+>")) & ~comment
+    return code.contains("<") & (opening | code.rlike(r"</\w+>")) & ~comment
 
 
 def dialect_by_extension(path: Column) -> Column:
@@ -181,10 +182,6 @@ def guard_reserved(name: Column) -> Column:
     return F.when(name.isin(*RESERVED), F.concat(name, F.lit("$"))).otherwise(name)
 
 
-def is_cosmetic_change(before: Column, after: Column) -> Column:
-    return collapse_ws(before) == collapse_ws(after)
-
-
 def _contains_any(message: Column, parts: tuple[str, ...]) -> Column:
     low = F.lower(message)
     hit = low.contains(parts[0])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS, count_char, count_matches, js_round, ratio, whole_words
+from .text import WS, count_char, count_matches, count_near, js_round, ratio, whole_words
 
 # The shapes counted as functions and declarations. Where a shape starts with
 # a run of word characters one of them is enough, the count is the same and stays linear.
@@ -43,15 +43,15 @@ def token_estimate(code: Column) -> Column:
 
 def function_count(code: Column) -> Column:
     return (
-        count_matches(code, NAMED_FUNCTION)
-        + count_matches(code, KEYED_FUNCTION)
-        + count_matches(code, ARROW_BLOCK)
+        count_near(code, "function", NAMED_FUNCTION)
+        + count_near(code, "function", KEYED_FUNCTION)
+        + count_near(code, "=>", ARROW_BLOCK)
     )
 
 
 def function_count_full(code: Column) -> Column:
     """Adds functions assigned to a name. ``x = function y`` counts twice by design."""
-    return function_count(code) + count_matches(code, ASSIGNED_FUNCTION)
+    return function_count(code) + count_near(code, "function", ASSIGNED_FUNCTION)
 
 
 def variable_count(code: Column) -> Column:
@@ -105,7 +105,7 @@ def complexity_label(lines: Column, function_words: Column) -> Column:
 
 def function_words(code: Column) -> Column:
     """Plain substring count of the word ``function``."""
-    return count_matches(code, "function")
+    return count_near(code, "function", "function")
 
 
 def branch_count(code: Column) -> Column:
@@ -129,56 +129,60 @@ def framework_tags(code: Column) -> Column:
 def dependencies(code: Column) -> Column:
     """array<struct<statement, module>>: required modules first, then imported ones."""
 
-    def found(pattern: str) -> Column:
-        return F.zip_with(
+    none = F.array().cast("array<struct<statement:string,module:string>>")
+
+    def found(word: str, pattern: str) -> Column:
+        rows = F.transform(
             F.regexp_extract_all(code, F.lit(pattern), F.lit(0)),
-            F.regexp_extract_all(code, F.lit(pattern), F.lit(1)),
-            lambda s, m: F.struct(s.alias("statement"), m.alias("module")),
+            lambda s: F.struct(
+                s.alias("statement"), F.regexp_extract(s, pattern, 1).alias("module")),
         )
+        return F.when(code.contains(word), rows).otherwise(none)
+
+    return F.concat(found("require(", REQUIRE), found("import", IMPORT))
 
-    return F.concat(found(REQUIRE), found(IMPORT))
 
+def sizes(code: Column) -> Column:
+    """struct<lines, chars>: all that the version metrics need to know of a text."""
+    return F.struct(line_count(code).alias("lines"), n_chars(code).alias("chars"))
 
-def mean_line_length(code: Column) -> Column:
-    lines = line_count(code)
-    return ratio(F.length(code) - lines + 1, lines)
+
+def _mean_line_length(size: Column) -> Column:
+    return ratio(size.chars - size.lines + 1, size.lines)
 
 
 def unpack_metrics(before: Column, after: Column) -> dict[str, Column]:
     """Line and size growth in percent, mean line lengths; null growth for empty input."""
-    lb, la = line_count(before), line_count(after)
-    nb, na = n_chars(before), n_chars(after)
     return {
-        "original_lines": lb,
-        "processed_lines": la,
-        "line_increase": js_round(ratio(la - lb, lb) * 100),
-        "original_avg_line_length": js_round(mean_line_length(before)),
-        "processed_avg_line_length": js_round(mean_line_length(after)),
-        "size_increase": js_round(ratio(na - nb, nb) * 100),
+        "original_lines": before.lines,
+        "processed_lines": after.lines,
+        "line_increase": js_round(ratio(after.lines - before.lines, before.lines) * 100),
+        "original_avg_line_length": js_round(_mean_line_length(before)),
+        "processed_avg_line_length": js_round(_mean_line_length(after)),
+        "size_increase": js_round(ratio(after.chars - before.chars, before.chars) * 100),
     }
 
 
 def transform_metrics(before: Column, after: Column) -> dict[str, Column]:
     """Lines added, size change, length ratio; null ratio for empty input."""
     return {
-        "lines_added": line_count(after) - line_count(before),
-        "characters_changed": F.abs(n_chars(after) - n_chars(before)),
-        "transformation_ratio": ratio(n_chars(after), n_chars(before)),
+        "lines_added": after.lines - before.lines,
+        "characters_changed": F.abs(after.chars - before.chars),
+        "transformation_ratio": ratio(after.chars, before.chars),
     }
 
 
 def format_metrics(before: Column, after: Column) -> dict[str, Column]:
     """Line and length differences, ratio 1 for empty input."""
-    lb, la = line_count(before), line_count(after)
-    nb, na = n_chars(before), n_chars(after)
     return {
-        "original_lines": lb,
-        "formatted_lines": la,
-        "lines_difference": la - lb,
-        "original_length": nb,
-        "formatted_length": na,
-        "length_difference": na - nb,
-        "compression_ratio": F.when(nb > 0, ratio(na, nb)).otherwise(F.lit(1.0)),
+        "original_lines": before.lines,
+        "formatted_lines": after.lines,
+        "lines_difference": after.lines - before.lines,
+        "original_length": before.chars,
+        "formatted_length": after.chars,
+        "length_difference": after.chars - before.chars,
+        "compression_ratio": F.when(before.chars > 0, ratio(after.chars, before.chars))
+        .otherwise(F.lit(1.0)),
     }
 
 
@@ -195,5 +199,12 @@ IDIOMS = {
 }
 
 
+IDIOM_NEEDLES = {"void_zero": "void 0", "compare_boolean": "==", "double_negation": "!!"}
+
+
 def idiom_counts(code: Column) -> dict[str, Column]:
-    return {name: count_matches(code, p) for name, p in IDIOMS.items()}
+    return {
+        name: count_near(code, IDIOM_NEEDLES[name], p) if name in IDIOM_NEEDLES
+        else count_matches(code, p)
+        for name, p in IDIOMS.items()
+    }

@@ -30,7 +30,7 @@ def keep_return_line(code: Column) -> Column:
     already holds at the first line break that does not stand right before a brace. The
     text therefore comes out unchanged; it is the default of the preprocessing chain.
     """
-    return F.regexp_replace(code, rf"(return[^}}\n]*)[^}}]*?(?=\n{WS}*[^}}])", "$1")
+    return F.regexp_replace(code, rf"(return[^}}\n]*+)[^}}]*?(?=\n{WS}*[^}}])", "$1")
 
 
 def drop_after_return(code: Column) -> Column:

@@ -43,6 +43,18 @@ def count_matches(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
+def count_near(text: Column, needle: str, pattern: str) -> Column:
+    """`count_matches` for a pattern that cannot match without `needle` in the text: a plain
+    substring search spares most texts the pattern."""
+    return F.when(text.contains(needle), count_matches(text, pattern)).otherwise(
+        F.lit(0).cast("long"))
+
+
+def matches_near(text: Column, needle: str, pattern: str) -> Column:
+    """Whether `pattern`, which cannot match without `needle`, occurs in the text."""
+    return text.contains(needle) & text.rlike(pattern)
+
+
 def count_char(text: Column, ch: str) -> Column:
     """Occurrences of one character, by the length that its removal costs."""
     return (F.length(text) - F.length(F.replace(text, F.lit(ch), F.lit("")))).cast("long")

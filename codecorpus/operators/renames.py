@@ -23,32 +23,22 @@ def _kind(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
 
 
-def _is_container(v: Column) -> Column:
-    return _kind(v).rlike("^(ARRAY|OBJECT)")
-
-
 def _answer(payload: Column) -> Column:
     """The JSON of an answer: the whole text, else the part from the first bracket or brace,
-    whichever comes first, to the last one of its sort."""
+    whichever comes first, to the last one of its sort. Text that starts with a bracket or
+    a brace can only parse to a list or an object."""
+    whole = F.when(payload.rlike(r"^[ \t\n\r]*[\[{]"), F.try_parse_json(payload))
     arr = F.try_parse_json(F.regexp_extract(payload, r"(?s)\[.*\]", 0))
     obj = F.try_parse_json(F.regexp_extract(payload, r"(?s)\{.*\}", 0))
-    whole = F.try_parse_json(payload)
     a, o = F.instr(payload, "["), F.instr(payload, "{")
     list_first = (a > 0) & ((o == 0) | (a < o))
-    return F.coalesce(
-        F.when(_is_container(whole), whole),
-        F.when(list_first & _is_container(arr), arr),
-        F.when(_is_container(obj), obj),
-    )
+    return F.coalesce(whole, F.when(list_first, arr), obj)
 
 
 def _items(answer: Column) -> Column:
     """The list of an answer as array<variant>, null when it has none."""
-    lists = [F.try_variant_get(answer, f"$.{f}", "variant") for f in LIST_FIELDS]
-    chosen = F.when(_kind(answer).startswith("ARRAY"), answer)
-    for v in lists:
-        chosen = F.coalesce(chosen, F.when(_kind(v).startswith("ARRAY"), v))
-    return F.try_variant_get(chosen, "$", "array<variant>")
+    places = ("$",) + tuple(f"$.{f}" for f in LIST_FIELDS)
+    return F.coalesce(*[F.try_variant_get(answer, p, "array<variant>") for p in places])
 
 
 def _usable(kind: Column, text: Column) -> Column:
