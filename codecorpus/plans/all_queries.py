@@ -7,7 +7,7 @@ from importlib import import_module
 from .registry import ORACLES, QUERIES, Query
 
 MODULES = ("measure", "classification", "files", "chunks", "names", "renaming", "calls",
-           "caching", "reports", "cleanup")
+           "caching", "reports", "cleanup", "arrivals")
 
 
 def _load() -> None:

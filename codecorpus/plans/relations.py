@@ -309,7 +309,8 @@ def cache_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def now() -> Column:
-    return F.lit(NOW).cast("timestamp")
+    """`NOW` as an instant, whatever the zone of the session."""
+    return F.timestamp_micros(F.lit(1_704_157_200_000_000))
 
 
 ENTRIES_SQL = f"""

@@ -85,18 +85,26 @@ def relative_path(path: Column, root: str) -> Column:
     ).otherwise(plain)
 
 
+def is_chosen(
+    path: Column, rel_path: Column, recursive: bool = True,
+    patterns: Sequence[str] | None = None, exclude: Sequence[str] = (),
+) -> Column:
+    """Whether a folder scan takes a file, from its path and its path below the root."""
+    wanted = patterns or [("**/" if recursive else "") + p for p in DEFAULT_PATTERNS]
+    keep = matches_any(rel_path, wanted) & ~in_excluded_folder(rel_path)
+    skipped = [p.removeprefix("!") for p in exclude]
+    if skipped:
+        keep = keep & ~matches_any(rel_path, skipped)
+    return keep & is_valid_source_path(path)
+
+
 def select_paths(
     files: DataFrame, root: str = "", recursive: bool = True,
     patterns: Sequence[str] | None = None, exclude: Sequence[str] = (),
 ) -> DataFrame:
-    """Filter a table with a path column the way a directory scan does."""
+    """Filter a table with a path column the way a folder scan does."""
     rel = relative_path(F.col("path"), root) if root else F.col("path")
-    wanted = patterns or [("**/" if recursive else "") + p for p in DEFAULT_PATTERNS]
-    kept = files.filter(matches_any(rel, wanted) & ~in_excluded_folder(rel))
-    skipped = [p.removeprefix("!") for p in exclude]
-    if skipped:
-        kept = kept.filter(~matches_any(rel, skipped))
-    return kept.filter(is_valid_source_path(F.col("path")))
+    return files.filter(is_chosen(F.col("path"), rel, recursive, patterns, exclude))
 
 
 def scan_folder(
@@ -112,16 +120,12 @@ def scan_folder(
     reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
     if not patterns:
         reader = reader.option("pathGlobFilter", "*.{js,mjs,cjs}")
-    wanted = patterns or [("**/" if recursive else "") + p for p in DEFAULT_PATTERNS]
-    skipped = [p.removeprefix("!") for p in exclude]
-
-    def chosen(path: Column, rel: Column) -> Column:
-        keep = matches_any(rel, wanted) & ~in_excluded_folder(rel) & is_valid_source_path(path)
-        return keep & ~matches_any(rel, skipped) if skipped else keep
-
     path = F.col("_metadata.file_path")
-    listed = reader.text(root, wholetext=True).filter(chosen(path, relative_path(path, root)))
-    others = list_unlisted(spark, root, recursive).filter(chosen(F.col("path"), F.col("rel")))
+    rules = (recursive, patterns, exclude)
+    listed = reader.text(root, wholetext=True).filter(
+        is_chosen(path, relative_path(path, root), *rules))
+    others = list_unlisted(spark, root, recursive).filter(
+        is_chosen(F.col("path"), F.col("rel"), *rules))
     return as_units(listed).unionByName(read_unlisted(others))
 
 

@@ -18,7 +18,8 @@ LISTED = "path string, rel string, n_bytes long"
 READ = "path string, code string, n_bytes long"
 
 
-def _open(uri: str) -> tuple[pafs.FileSystem, str]:
+def open_filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    """File system and inner path of a URI or a local path."""
     if "://" not in uri:
         uri = "file://" + uri.removeprefix("file:")
     return pafs.FileSystem.from_uri(uri)
@@ -33,7 +34,7 @@ def _left_out(rel: str, size: int) -> bool:
 
 def _folders(root: str, recursive: bool) -> list[tuple[str, str, bool]]:
     """(root, folder below it, whether to descend), one entry per listing task."""
-    fs, base = _open(root)
+    fs, base = open_filesystem(root)
     if fs.get_file_info(base).type == pafs.FileType.File or not recursive:
         return [(root, "", False)]
     below = fs.get_file_info(pafs.FileSelector(base, recursive=False))
@@ -45,7 +46,7 @@ def _folders(root: str, recursive: bool) -> list[tuple[str, str, bool]]:
 def _list(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for root, sub, descend in batch.itertuples(index=False):
-            fs, base = _open(root)
+            fs, base = open_filesystem(root)
             scheme = "file://" if fs.type_name == "local" else root.split("://")[0] + "://"
             top = fs.get_file_info(base)
             if top.type == pafs.FileType.File:
@@ -64,7 +65,7 @@ def _list(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, size in batch.itertuples(index=False):
-            fs, inner = _open(path)
+            fs, inner = open_filesystem(path)
             with fs.open_input_stream(inner) as stream:
                 text = stream.read().decode("utf8", errors="replace")
             yield pd.DataFrame({"path": [path], "code": [text], "n_bytes": [size]})

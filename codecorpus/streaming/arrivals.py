@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.files import as_units
+from ..sources.files import as_units, is_chosen, relative_path
 
 
-def file_stream(spark: SparkSession, root: str, max_files: int = 1000) -> DataFrame:
-    """Units of files that arrive below `root`."""
-    return as_units(
+def file_stream(
+    spark: SparkSession, root: str, max_files: int = 1000, exclude: Sequence[str] = ()
+) -> DataFrame:
+    """Units of script files that arrive below `root`, chosen as a folder scan does.
+
+    Spark's file stream sees neither empty files nor names that start with an underscore;
+    a scan sees both.
+    """
+    path = F.col("_metadata.file_path")
+    files = (
         spark.readStream.format("text").schema("value string")
         .option("wholetext", "true")
         .option("recursiveFileLookup", "true")
@@ -21,6 +28,7 @@ def file_stream(spark: SparkSession, root: str, max_files: int = 1000) -> DataFr
         .option("maxFilesPerTrigger", max_files)
         .load(root)
     )
+    return as_units(files.filter(is_chosen(path, relative_path(path, root), exclude=exclude)))
 
 
 def watch_files(

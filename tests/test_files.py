@@ -154,3 +154,22 @@ def test_repeated_keys_pass_once_within_their_time_to_live(spark, tmp_path):
     # far later, with the watermark past the first entry, the key is new again
     assert len(batch(("c", "2024-01-01 01:00:00"))) == 3
     assert len(batch(("a", "2024-01-01 01:00:10"))) == 4
+
+
+def test_files_are_written_once_and_not_overwritten(spark, tmp_path):
+    root = str(tmp_path / "w")
+
+    def put(text, force=False):
+        df = spark.createDataFrame([(f"{root}/x/a.js", text), (f"{root}/b.js", "same")],
+                                   "path string, code string")
+        return {r.path.rsplit("/", 1)[1]: (r.written, r.error_code)
+                for r in sinks.write_files(df, force).collect()}
+
+    assert put("é") == {"a.js": (True, None), "b.js": (True, None)}
+    # a repeated task finds its own output
+    assert put("é") == {"a.js": (True, None), "b.js": (True, None)}
+    assert put("new") == {"a.js": (False, "FILE_WRITE_ERROR"), "b.js": (True, None)}
+    assert (tmp_path / "w/x/a.js").read_text(encoding="utf8") == "é"
+    assert put("new", force=True)["a.js"] == (True, None)
+    assert (tmp_path / "w/x/a.js").read_text() == "new"
+    assert sorted(p.name for p in (tmp_path / "w").rglob("*.*")) == ["a.js", "b.js"]
