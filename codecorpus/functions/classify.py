@@ -150,22 +150,14 @@ def dialect_by_extension(path: Column) -> Column:
     return F.when(ext.isin(*TYPED_EXTENSIONS), "typescript").when(ext == "jsx", "babel")
 
 
-def oversize_error(code: Column, max_size: int = MAX_UNIT_SIZE) -> Column:
-    """struct error for a text over the size limit, else null."""
-    n = F.length(code)
+def oversize_message(code: Column, max_size: int = MAX_UNIT_SIZE) -> Column:
+    """What is wrong with a text over the size limit, else null; fits a step of a chain."""
     mb = 1024 * 1024
-    message = F.concat(
+    return F.when(F.length(code) > max_size, F.concat(
         F.lit("Input code too large: "),
-        F.floor(n / F.lit(float(mb)) + 0.5).cast("string"),
+        F.floor(F.length(code) / F.lit(float(mb)) + 0.5).cast("string"),
         F.lit(f"MB (max: {int(max_size / mb + 0.5)}MB)"),
-    )
-    return F.when(
-        n > max_size,
-        F.struct(
-            F.lit("WEBCRACK_FAILED").alias("code"), message.alias("message"),
-            F.lit("webcrack").alias("step"), F.lit(True).alias("recoverable"),
-        ),
-    )
+    ))
 
 
 def bad_escapes(code: Column) -> Column:

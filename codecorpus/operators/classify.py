@@ -37,8 +37,11 @@ def split_oversize(
     """(units within the limit, error rows for the others)."""
     too_long = F.length("code") > max_size
     errors = units.filter(too_long).select(
-        "unit_id", cl.oversize_error(F.col("code"), max_size).alias("e")
-    ).select("unit_id", "e.*")
+        "unit_id",
+        F.lit("WEBCRACK_FAILED").alias("code"),
+        cl.oversize_message(F.col("code"), max_size).alias("message"),
+        F.lit("webcrack").alias("step"), F.lit(True).alias("recoverable"),
+    )
     return units.filter(~too_long), errors
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import random
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify as cl
 from ..functions.prompts import full_prompt
+from ..functions.text import js_round
 from ..schemas import RESPONSES
 from ..sources import catalog as cat
 
@@ -189,11 +190,15 @@ def compare_costs(loads: DataFrame) -> DataFrame:
     )
 
 
-def provider_usage(calls: DataFrame) -> DataFrame:
-    """Requests, tokens and rounded mean per provider."""
-    requests = F.count(F.lit(1))
+def provider_usage(calls: DataFrame, providers: Sequence[str] = ()) -> DataFrame:
+    """Requests, tokens and rounded mean per provider; zeros for given ones without calls."""
+    requests = F.count("counted")
     tokens = F.coalesce(F.sum("tokens_used"), F.lit(0)).cast("long")
-    return calls.groupBy("provider").agg(
-        requests.alias("requests"), tokens.alias("tokens"),
-        F.floor(tokens / requests + 0.5).cast("long").alias("mean_tokens"),
-    )
+    rows = calls.select("provider", "tokens_used", F.lit(1).alias("counted"))
+    if providers:
+        idle = calls.sparkSession.createDataFrame(
+            [(p, None, None) for p in providers], "provider string, tokens_used long, counted int")
+        rows = rows.unionByName(idle)
+    usage = rows.groupBy("provider").agg(requests.alias("requests"), tokens.alias("tokens"))
+    mean = F.try_divide(F.col("tokens").cast("double"), F.col("requests").cast("double"))
+    return usage.withColumn("mean_tokens", F.coalesce(js_round(mean), F.lit(0).cast("long")))

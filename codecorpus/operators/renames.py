@@ -208,12 +208,17 @@ def best_suggestions(suggestions: DataFrame) -> DataFrame:
     )
 
 
-def overall_confidence(suggestions: DataFrame, key: str = "unit_id") -> DataFrame:
-    """Mean confidence per key; keys whose confidences are all null get 0."""
-    return suggestions.groupBy(key).agg(
+def overall_confidence(
+    suggestions: DataFrame, key: str = "unit_id", all_keys: DataFrame | None = None
+) -> DataFrame:
+    """Mean confidence per key, 0 for keys of `all_keys` without suggestions."""
+    means = suggestions.groupBy(key).agg(
         F.count(F.lit(1)).alias("n"),
         F.coalesce(exact_mean(F.col("confidence")), F.lit(0.0)).alias("confidence"),
     )
+    if all_keys is None:
+        return means
+    return all_keys.select(key).join(means, key, "left").fillna(0, ["n", "confidence"])
 
 
 def quality_warnings(

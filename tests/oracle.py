@@ -34,6 +34,10 @@ def _sorted(columns, rows):
     return [columns[i] for i in order], sorted(out, key=repr)
 
 
+TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE",
+         "boolean": "BOOLEAN"}
+
+
 def compare(spark, con, query, sql, sf_dir):
     """None if both give the same rows, else a description of the difference."""
     df = query(spark, sf_dir)
@@ -42,6 +46,10 @@ def compare(spark, con, query, sql, sf_dir):
     want_cols, want = _sorted([c[0] for c in result.description], result.fetchall())
     if got_cols != want_cols:
         return f"columns {got_cols} != {want_cols}"
+    got_types = {n: TYPES.get(t, t) for n, t in df.dtypes}
+    want_types = {c[0]: str(c[1]) for c in result.description}
+    if got_types != want_types:
+        return f"types { {n: (t, want_types[n]) for n, t in got_types.items() if t != want_types[n]} }"
     if len(got) != len(want):
         return f"rows {len(got)} != {len(want)}"
     bad = [(g, w) for g, w in zip(got, want, strict=True) if repr(g) != repr(w)]

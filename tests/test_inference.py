@@ -114,9 +114,11 @@ def test_costs(spark):
     assert both == pytest.approx({"anthropic": 0.0105, "openai": 0.0125})
 
 
-def test_no_usage_gives_no_provider_row(spark):
-    df = spark.createDataFrame([], "provider string, tokens_used long")
-    assert inf.provider_usage(df).count() == 0
+def test_usage_of_idle_providers_is_zero(spark):
+    df = spark.createDataFrame([("a", 10), ("a", 15)], "provider string, tokens_used long")
+    assert inf.provider_usage(df.limit(0)).count() == 0
+    got = {r.provider: tuple(r)[1:] for r in inf.provider_usage(df, ["a", "b"]).collect()}
+    assert got == {"a": (2, 25, 13), "b": (0, 0, 0)}
 
 
 def test_specialised_models_are_dropped_and_families_ranked(spark):

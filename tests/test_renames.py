@@ -95,6 +95,9 @@ def test_most_confident_wins_and_first_wins_ties(spark):
 def test_mean_confidence_and_warnings(spark):
     df = suggestions(spark, (0, 0, "a", "x", 0.8), (0, 1, "b", "y", 0.6), (0, 2, "c", "z", 1.0))
     assert op.overall_confidence(df).first().confidence == pytest.approx(0.8)
+    keys = spark.createDataFrame([("u",), ("none",)], "unit_id string")
+    got = {r.unit_id: r.confidence for r in op.overall_confidence(df, all_keys=keys).collect()}
+    assert got == {"u": pytest.approx(0.8), "none": 0.0}
     assert op.quality_warnings(df).first().warnings == []
     low = suggestions(spark, (0, 0, "a", "x", 0.1), (0, 1, "b", "y", 0.45))
     assert op.quality_warnings(low).first().warnings == [
