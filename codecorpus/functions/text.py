@@ -84,9 +84,12 @@ def exact_sum(x: Column) -> Column:
     """Sum whose result does not depend on the order in which partial sums are merged.
 
     A floating sum changes in its last digits with the order of the shuffle blocks, so
-    re-running a task could change a report. Six decimals are kept.
+    re-running a task could change a report. Twelve decimals are kept; a group with a value
+    beyond their range, or with one that is no number, has the floating sum.
     """
-    return F.sum(x.cast("decimal(18,6)")).cast("double")
+    d = x.try_cast("decimal(32,12)")
+    beyond = F.count_if(x.isNotNull() & d.isNull()) > 0
+    return F.when(beyond, F.sum(x.cast("double"))).otherwise(F.sum(d).cast("double"))
 
 
 def exact_mean(x: Column) -> Column:

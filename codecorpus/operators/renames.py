@@ -70,16 +70,14 @@ def _checked_items(rows: DataFrame, *more: str) -> DataFrame:
     """Suggestions from rows of (request_id, ordinal, item, no_list, no_json, more…)."""
     keep = ["request_id", "ordinal", "no_list", "no_json", *more]
     names = OLD_FIELDS + NEW_FIELDS + REASON_FIELDS + ("type", "confidence")
-    fields = rows.select(
-        *keep, _kind(F.col("item")).startswith("OBJECT").alias("is_object"),
-        *[F.try_variant_get("item", f"$.{f}", "variant").alias(f) for f in names],
-    )
+    shape = f"struct<{','.join(f'{f}:variant' for f in names)}>"
+    fields = rows.select(*keep, F.try_variant_get("item", "$", shape).alias("f"))
     texts = fields.select(
-        *keep, "is_object",
-        *[_kind(F.col(f)).alias(f"{f}_kind") for f in names],
-        *[F.try_variant_get(F.col(f), "$", "string").alias(f"{f}_text")
+        *keep, F.col("f").isNotNull().alias("is_object"),
+        *[_kind(F.col(f"f.{f}")).alias(f"{f}_kind") for f in names],
+        *[F.try_variant_get(F.col(f"f.{f}"), "$", "string").alias(f"{f}_text")
           for f in names if f != "confidence"],
-        F.try_variant_get("confidence", "$", "double").alias("confidence"),
+        F.try_variant_get("f.confidence", "$", "double").alias("confidence"),
     )
     chosen = texts.select(
         *keep, "is_object", "confidence", "confidence_kind", "type_kind",
@@ -302,13 +300,32 @@ def apply_everywhere(units: DataFrame, renames: DataFrame) -> DataFrame:
     )
 
 
+def _may_match(units: DataFrame, renames: DataFrame) -> DataFrame:
+    """Renames that can find something: the first word of the original occurs in the text of
+    the unit or in a target that another rename may write. Joined by (unit, word), so that
+    a unit is spread over all tasks; originals without any word are kept."""
+    runs = r"\w+"
+    wanted = renames.select("unit_id").distinct()
+    written = explode_once(
+        renames, "unit_id", name="word",
+        array=F.regexp_extract_all("suggested_name", F.lit(runs), F.lit(0)))
+    in_text = explode_once(
+        units.join(wanted, "unit_id", "left_semi"), "unit_id", name="word",
+        array=F.array_distinct(F.regexp_extract_all("code", F.lit(runs), F.lit(0))))
+    keyed = renames.withColumn("word", F.regexp_extract("original_name", runs, 0))
+    found = keyed.filter(F.col("word") != "").join(
+        in_text.unionByName(written).distinct(), ["unit_id", "word"], "left_semi")
+    return found.unionByName(keyed.filter(F.col("word") == "").select(*found.columns)).drop("word")
+
+
 def apply_in_sequence(units: DataFrame, suggestions: DataFrame) -> DataFrame:
     """Apply one rename after the other, longest original first.
 
-    Renames may chain here: a later one also hits names that an earlier one wrote. The list
-    of a unit holds each of its names once.
+    Renames may chain here: a later one also hits names that an earlier one wrote. Only
+    renames that can find something are gathered, each name of a unit once.
     """
-    lists = best_suggestions(suggestions).groupBy("unit_id").agg(
+    best = best_suggestions(suggestions).filter(F.length("original_name") > 1)
+    lists = _may_match(units, best).groupBy("unit_id").agg(
         F.collect_list(F.struct("original_name", "suggested_name")).alias("l")
     )
     joined = units.join(lists, "unit_id", "left")

@@ -151,12 +151,12 @@ BUSY = 0.8
 
 def _trend(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
     w = W.partitionBy(*keys).orderBy("ts", "sample_id")
-    value = F.col("throughput").cast("decimal(18,6)")
+    value = F.col("throughput").try_cast("decimal(32,12)")
 
     def mean(first: int, last: int) -> Column:
         return F.sum(value).over(w.rowsBetween(first, last)).cast("double") / (last - first + 1)
 
-    full = F.count(F.lit(1)).over(w.rowsBetween(-TREND_LEAD, 0)) == TREND_SAMPLES
+    full = F.count(value).over(w.rowsBetween(-TREND_LEAD, 0)) == TREND_SAMPLES
     earlier, recent = mean(-TREND_LEAD, -3), mean(-2, 0)
     return samples.withColumn("trend", F.when(full, F.try_divide(recent - earlier, earlier)))
 

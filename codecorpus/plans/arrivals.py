@@ -24,8 +24,8 @@ NAME_SQL = r"""names AS (
 
 def _named(spark, sf_dir):
     p = F.col("page_id")
-    stem = rel._pick([F.lit("_"), F.lit("f"), F.lit("__tests__/f"), F.lit("node_modules/f")], p)
-    ext = rel._pick([F.lit(".js"), F.lit(".mjs"), F.lit(".txt")], p)
+    stem = rel.pick([F.lit("_"), F.lit("f"), F.lit("__tests__/f"), F.lit("node_modules/f")], p)
+    ext = rel.pick([F.lit(".js"), F.lit(".mjs"), F.lit(".txt")], p)
     return rel.scripts(spark, sf_dir).select(
         F.concat(stem, p.cast("string"), ext).alias("name"), "code")
 
@@ -80,3 +80,35 @@ def first_keys_on_stream(spark, sf_dir):
      .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
      .awaitTermination())
     return spark.read.schema("key string").parquet(out)
+
+
+@register("refused_overwrites", with_ctes(rel.UNITS_SQL, rel.REWORKED_SQL, body="""
+SELECT unit_id, s.code = r.code AS written, CASE WHEN s.code <> r.code THEN 'FILE_WRITE_ERROR' END AS error_code
+FROM scripts s JOIN reworked r USING (unit_id)"""))
+def refused_overwrites(spark, sf_dir):
+    """Scripts written as files, then their second version onto the same files."""
+    folder = scratch_folder(spark, "outputs")
+    scripts = rel.scripts(spark, sf_dir).withColumn(
+        "path", F.concat(F.lit(folder + "/"), "unit_id"))
+    sinks.write_files(scripts).write.format("noop").mode("overwrite").save()
+    again = sinks.write_files(rel.reworked(scripts))
+    return again.select(
+        fl.relative_path(F.col("path"), folder).alias("unit_id"), "written", "error_code")
+
+
+@register("rewritten_with_backup", with_ctes(rel.SCRIPTS_SQL, body=r"""
+SELECT unit_id, 'old' AS version, sha256(code) AS digest FROM scripts
+UNION ALL SELECT unit_id, 'new', sha256(replace(code, ';', ';' || chr(10))) FROM scripts"""))
+def rewritten_with_backup(spark, sf_dir):
+    """A table of scripts changed in place, and the copy kept of it."""
+    path, backups = scratch_folder(spark, "table"), scratch_folder(spark, "backups")
+    sinks.write_table(rel.scripts(spark, sf_dir).select("unit_id", "code"), path)
+    backup = sinks.rewrite_with_backup(
+        spark, path, backups, "first",
+        lambda df: df.withColumn("code", F.replace("code", F.lit(";"), F.lit(";\n"))))
+
+    def digests(folder, version):
+        return spark.read.schema("unit_id string, code string").parquet(folder).select(
+            "unit_id", F.lit(version).alias("version"), F.sha2("code", 256).alias("digest"))
+
+    return digests(backup, "old").unionByName(digests(path, "new"))

@@ -29,7 +29,7 @@ def prompt_sql(code: str) -> str:
       || chr(10) || chr(10) || '```javascript' || chr(10) || {code} || chr(10) || '```' || chr(10) || {FORM_SQL}"""
 
 
-PROVIDER_SQL = rel._pick_sql([rel.sql_text(p) for p in rel.PROVIDERS], "chunk_index")
+PROVIDER_SQL = rel.pick_sql([rel.sql_text(p) for p in rel.PROVIDERS], "chunk_index")
 REQUESTS_SQL = f"""
 requests AS (
   SELECT request_id, unit_id, chunk_index, provider, {prompt_sql('text')} AS prompt
@@ -40,7 +40,7 @@ requests AS (
 
 def script_requests(spark, sf_dir):
     chunks = ck.overlap_chunks(rel.scripts(spark, sf_dir))
-    provider = rel._pick([F.lit(p) for p in rel.PROVIDERS], F.col("chunk_index"))
+    provider = rel.pick([F.lit(p) for p in rel.PROVIDERS], F.col("chunk_index"))
     return op.build_requests(chunks, provider, F.lit("any"))
 
 
@@ -98,14 +98,14 @@ SIZES_SQL = f"""
 sizes AS (
   SELECT unit_id, provider, size, CASE WHEN cheap AND provider <> 'ollama' THEN 0 ELSE size END AS eff, cheap
   FROM (SELECT 'document/' || doc_id AS unit_id, n_chars * 5 AS size, doc_id % 3 = 0 AS cheap,
-               {rel._pick_sql([rel.sql_text(p) for p in rel.PROVIDERS], 'doc_id')} AS provider FROM documents))"""
+               {rel.pick_sql([rel.sql_text(p) for p in rel.PROVIDERS], 'doc_id')} AS provider FROM documents))"""
 
 
 def _sizes(spark, sf_dir):
     d = F.col("doc_id")
     return rel.table(spark, sf_dir, "documents").select(
         F.concat(F.lit("document/"), d.cast("string")).alias("unit_id"),
-        rel._pick([F.lit(p) for p in rel.PROVIDERS], d).alias("provider"),
+        rel.pick([F.lit(p) for p in rel.PROVIDERS], d).alias("provider"),
         (F.col("n_chars") * 5).alias("size"), (d % 3 == 0).alias("cheap"))
 
 

@@ -64,7 +64,7 @@ LISTED = ("o4-mini", "o3", "o1-pro", "gpt-4o", "gpt-4.1-nano", "gpt-4-turbo", "g
           "omni-moderation", "custom", "gpt-4o-audio")
 LISTING_SQL = f"""
 listing AS (
-  SELECT {rel._pick_sql([rel.sql_text(n) for n in LISTED], 'event_id')} || '-' || user_id AS model FROM events)"""
+  SELECT {rel.pick_sql([rel.sql_text(n) for n in LISTED], 'event_id')} || '-' || user_id AS model FROM events)"""
 
 
 @register("ranked_models", with_ctes(LISTING_SQL, body=r"""
@@ -75,7 +75,7 @@ FROM (SELECT DISTINCT model FROM listing)
 WHERE NOT regexp_matches(model, 'instruct|audio|realtime|search|transcribe|tts|whisper|dall-e|davinci|babbage|embedding|moderation|0301|0314|0613')"""))
 def ranked_models(spark, sf_dir):
     listed = rel.table(spark, sf_dir, "events").select(
-        F.concat(rel._pick([F.lit(n) for n in LISTED], F.col("event_id")), F.lit("-"),
+        F.concat(rel.pick([F.lit(n) for n in LISTED], F.col("event_id")), F.lit("-"),
                  F.col("user_id").cast("string")).alias("model"))
     return cat.ranked_models(listed)
 

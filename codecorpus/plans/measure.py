@@ -209,4 +209,4 @@ def corpus_overview(spark, sf_dir):
     return facts.groupBy("kind").agg(
         F.count(F.lit(1)).alias("units"), F.sum("lines").alias("lines"),
         F.sum("tokens").alias("tokens"), F.max("depth").alias("max_depth"),
-        exact_mean(F.col("share")).alias("short_name_share"))
+        exact_mean(F.col("share").cast("decimal(18,6)")).alias("short_name_share"))

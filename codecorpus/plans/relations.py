@@ -81,11 +81,11 @@ def sql_text(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _pick(options: list[Column], index: Column) -> Column:
+def pick(options: list[Column], index: Column) -> Column:
     return F.element_at(F.array(*options), (index % len(options) + 1).cast("int"))
 
 
-def _pick_sql(options: list[str], index: str) -> str:
+def pick_sql(options: list[str], index: str) -> str:
     return f"list_extract([{', '.join(options)}], ({index} % {len(options)}) + 1)"
 
 
@@ -104,13 +104,13 @@ def _repeat_sql(text: str, n: int) -> str:
 def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One script unit per page."""
     pid = F.col("page_id")
-    snippet = _pick([_repeat(t, n) for t, n in SNIPPETS], pid)
+    snippet = pick([_repeat(t, n) for t, n in SNIPPETS], pid)
     code = F.when(pid % 5 == 0, snippet).otherwise(
         F.concat(snippet, F.lit("\n"), inline_script(F.col("html"))))
     path = F.concat(
         F.lit("site"), (pid % 3).cast("string"), F.lit("/"),
-        _pick([F.lit(x) for x in FOLDERS], pid), F.lit("/f"), (pid % 1000).cast("string"),
-        F.lit("."), _pick([F.lit(x) for x in EXTENSIONS], pid),
+        pick([F.lit(x) for x in FOLDERS], pid), F.lit("/f"), (pid % 1000).cast("string"),
+        F.lit("."), pick([F.lit(x) for x in EXTENSIONS], pid),
     )
     return table(spark, sf_dir, "pages").select(
         F.concat(F.lit("script/"), pid.cast("string")).alias("unit_id"), path.alias("path"),
@@ -121,16 +121,16 @@ def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SCRIPTS_SQL = f"""
 scripts AS (
   SELECT 'script/' || page_id AS unit_id,
-         'site' || (page_id % 3) || '/' || {_pick_sql([sql_text(x) for x in FOLDERS], 'page_id')}
+         'site' || (page_id % 3) || '/' || {pick_sql([sql_text(x) for x in FOLDERS], 'page_id')}
            || '/f' || (page_id % 1000) || '.'
-           || {_pick_sql([sql_text(x) for x in EXTENSIONS], 'page_id')} AS path,
+           || {pick_sql([sql_text(x) for x in EXTENSIONS], 'page_id')} AS path,
          'script' AS kind,
          CASE WHEN page_id % 5 = 0 THEN snippet
               ELSE snippet || chr(10)
                    || regexp_extract(html, '(?s)<script>(.*?)</script>', 1) END AS code,
          page_id
   FROM (SELECT page_id, html,
-               {_pick_sql([_repeat_sql(t, n) for t, n in SNIPPETS], 'page_id')} AS snippet
+               {pick_sql([_repeat_sql(t, n) for t, n in SNIPPETS], 'page_id')} AS snippet
         FROM pages))"""
 
 
@@ -254,7 +254,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
             out = F.replace(out, F.lit(mark), col)
         return out
 
-    payload = _pick([text(t) for t in ANSWERS], e)
+    payload = pick([text(t) for t in ANSWERS], e)
     return table(spark, sf_dir, "events").select(
         F.concat(F.lit("r"), ident).alias("request_id"), payload.alias("payload"))
 
@@ -289,7 +289,7 @@ def _answer_sql(template: str) -> str:
 
 RESPONSES_SQL = f"""
 responses AS (
-  SELECT 'r' || event_id AS request_id, {_pick_sql([_answer_sql(t) for t in ANSWERS], 'event_id')}
+  SELECT 'r' || event_id AS request_id, {pick_sql([_answer_sql(t) for t in ANSWERS], 'event_id')}
            AS payload FROM events)"""
 
 NOW = "2024-01-02 01:00:00"
@@ -354,10 +354,10 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         e.cast("string").alias("unit_id"), F.col("event_type").alias("step"), (~bad).alias("ok"),
         F.col("value").alias("ms"), _prop_k().alias("tokens"),
         (e % 2 == 0).alias("recoverable"),
-        _pick([F.lit(c) for c in ERROR_CODES], F.col("user_id")).alias("code"),
-        F.concat(F.lit("Failure "), _pick([F.lit(m) for m in MESSAGES], e)).alias("message"),
-        _pick([F.lit(s) for s in STATUSES], e).cast("long").alias("status"),
-        _pick([F.lit(p) for p in PROVIDERS], e).alias("provider"),
+        pick([F.lit(c) for c in ERROR_CODES], F.col("user_id")).alias("code"),
+        F.concat(F.lit("Failure "), pick([F.lit(m) for m in MESSAGES], e)).alias("message"),
+        pick([F.lit(s) for s in STATUSES], e).cast("long").alias("status"),
+        pick([F.lit(p) for p in PROVIDERS], e).alias("provider"),
     )
 
 
@@ -372,10 +372,10 @@ run_log AS (
   SELECT event_id::VARCHAR AS unit_id, event_type AS step, event_type <> 'error' AS ok,
          value AS ms, regexp_extract(props, '"k": *([0-9]+)', 1)::BIGINT AS tokens,
          event_id % 2 = 0 AS recoverable,
-         {_pick_sql([sql_text(c) for c in ERROR_CODES], 'user_id')} AS code,
-         'Failure ' || {_pick_sql([sql_text(m) for m in MESSAGES], 'event_id')} AS message,
-         {_pick_sql([str(s) for s in STATUSES], 'event_id')}::BIGINT AS status,
-         {_pick_sql([sql_text(p) for p in PROVIDERS], 'event_id')} AS provider
+         {pick_sql([sql_text(c) for c in ERROR_CODES], 'user_id')} AS code,
+         'Failure ' || {pick_sql([sql_text(m) for m in MESSAGES], 'event_id')} AS message,
+         {pick_sql([str(s) for s in STATUSES], 'event_id')}::BIGINT AS status,
+         {pick_sql([sql_text(p) for p in PROVIDERS], 'event_id')} AS provider
   FROM events)"""
 
 
@@ -400,10 +400,10 @@ samples AS (
 def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request settings of every sort, good and bad, one per event."""
     e = F.col("event_id")
-    provider = _pick([F.lit(p) for p in (*PROVIDERS, "bedrock")], e)
+    provider = pick([F.lit(p) for p in (*PROVIDERS, "bedrock")], e)
     return table(spark, sf_dir, "events").select(
         e.alias("setting_id"), provider.alias("provider"),
-        _pick([F.lit(m) for m in SETTING_MODELS], F.floor(e / 5)).alias("model"),
+        pick([F.lit(m) for m in SETTING_MODELS], F.floor(e / 5)).alias("model"),
         F.when(e % 7 != 0, F.concat(F.lit("key"), e.cast("string"))).alias("api_key"),
         F.when(e % 3 != 0, F.lit("http://localhost/")).alias("base_url"),
         (F.col("value") / F.lit(10.0) - F.lit(0.5)).alias("temperature"),
@@ -417,8 +417,8 @@ SETTING_MODELS = ("gpt-4o", "claude-3-opus-20240229", "llama3:8b", "gpt-4o-mini"
 SETTINGS_SQL = f"""
 settings AS (
   SELECT event_id AS setting_id,
-         {_pick_sql([sql_text(p) for p in (*PROVIDERS, "bedrock")], 'event_id')} AS provider,
-         {_pick_sql([sql_text(m) for m in SETTING_MODELS], '(event_id // 5)')} AS model,
+         {pick_sql([sql_text(p) for p in (*PROVIDERS, "bedrock")], 'event_id')} AS provider,
+         {pick_sql([sql_text(m) for m in SETTING_MODELS], '(event_id // 5)')} AS model,
          CASE WHEN event_id % 7 <> 0 THEN 'key' || event_id END AS api_key,
          CASE WHEN event_id % 3 <> 0 THEN 'http://localhost/' END AS base_url,
          value / 10.0::DOUBLE - 0.5::DOUBLE AS temperature,
@@ -434,8 +434,8 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     return table(spark, sf_dir, "events").select(
         F.concat(F.lit("r"), e.cast("string")).alias("request_id"),
-        _pick([F.lit(p) for p in PROVIDERS], e).alias("provider"),
-        _pick([F.lit(m) for m in CALL_MODELS], F.floor(e / 4)).alias("model"),
+        pick([F.lit(p) for p in PROVIDERS], e).alias("provider"),
+        pick([F.lit(m) for m in CALL_MODELS], F.floor(e / 4)).alias("model"),
         (_prop_k() * 37 + e % 1000).alias("input_tokens"), (_prop_k() * 11).alias("output_tokens"),
         (_prop_k() * 48).alias("tokens_used"),
     )
@@ -444,7 +444,7 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 CALLS_SQL = f"""
 calls AS (
   SELECT 'r' || event_id AS request_id,
-         {_pick_sql([sql_text(p) for p in PROVIDERS], 'event_id')} AS provider,
-         {_pick_sql([sql_text(m) for m in CALL_MODELS], '(event_id // 4)')} AS model,
+         {pick_sql([sql_text(p) for p in PROVIDERS], 'event_id')} AS provider,
+         {pick_sql([sql_text(m) for m in CALL_MODELS], '(event_id // 4)')} AS model,
          k * 37 + event_id % 1000 AS input_tokens, k * 11 AS output_tokens, k * 48 AS tokens_used
   FROM (SELECT *, regexp_extract(props, '"k": *([0-9]+)', 1)::BIGINT AS k FROM events))"""

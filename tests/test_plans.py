@@ -9,7 +9,7 @@ import pytest
 from __spark_entry__ import queries
 
 SF = "/root/testdata/sf0.001"
-WITH_PYTHON = {"inference_responses", "scanned_files"}
+WITH_PYTHON = {"inference_responses", "scanned_files", "refused_overwrites"}
 NAMES = sorted(queries())
 
 

@@ -171,3 +171,11 @@ def test_version_metrics_of_empty_input(spark, units):
     assert ft.compare_versions(before, after, "format").first().compression_ratio == 1.0
     assert ft.compare_versions(before, after, "transform").first().transformation_ratio is None
     assert ft.compare_versions(before, after, "unpack").first().size_increase is None
+
+
+def test_sums_survive_values_beyond_the_exact_range(spark):
+    df = spark.createDataFrame(
+        [("a", 0.1), ("a", 0.2), ("b", 1e300), ("b", 1.0), ("c", float("nan")), ("d", None)],
+        "name string, value double")
+    got = {r.name: r["mean"] for r in rp.metric_means(df).collect()}
+    assert got["a"] == 0.15 and got["b"] == 5e299 and got["c"] != got["c"] and got["d"] == 0.0
