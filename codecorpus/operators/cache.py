@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.fingerprint import entry_size, json_string
+from .skew import join_unique
 
 # Fixed value: entries live one hour unless told otherwise.
 DEFAULT_TTL = 3_600
@@ -29,23 +30,34 @@ def drop_expired(cache: DataFrame, now: Column) -> DataFrame:
 def lookup(requests: DataFrame, cache: DataFrame, now: Column) -> DataFrame:
     """Requests (with key) and the payload of their valid entry, plus a hit flag.
 
-    The presence of the row decides, not its value. A key that many requests share makes a
-    large join partition, which adaptive execution splits; the entry side is unique.
+    The presence of the row decides, not its value.
     """
     valid = drop_expired(cache, now).select(
         F.col("key"), F.col("payload").alias("cached_payload"), F.lit(True).alias("hit")
     )
-    return requests.join(valid, "key", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    return join_unique(requests, valid, "key").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
 def cache_hits(requests: DataFrame, cache: DataFrame, now: Column) -> DataFrame:
     valid = drop_expired(cache, now).select("key", F.col("payload").alias("cached_payload"))
-    return requests.join(valid, "key")
+    return join_unique(requests, valid, "key", "inner")
 
 
 def cache_misses(requests: DataFrame, cache: DataFrame, now: Column) -> DataFrame:
-    """Requests without a valid entry: only these go to inference."""
-    return requests.join(drop_expired(cache, now).select("key"), "key", "left_anti")
+    """Requests without a valid entry."""
+    return join_unique(requests, drop_expired(cache, now).select("key"), "key", "left_anti")
+
+
+def calls_to_make(requests: DataFrame, cache: DataFrame, now: Column) -> DataFrame:
+    """One request (the first by id) per key without a valid entry: what inference is for.
+
+    Requests that share a key share its answer. They are reduced to one row per key and task
+    before the shuffle, so nothing is skewed afterwards.
+    """
+    rest = [c for c in requests.columns if c not in ("key", "request_id")]
+    first = requests.groupBy("key").agg(F.min(F.struct("request_id", *rest)).alias("r"))
+    missing = first.join(drop_expired(cache, now).select("key"), "key", "left_anti")
+    return missing.select("key", "r.*").select(*requests.columns)
 
 
 def upsert(cache: DataFrame, entries: DataFrame) -> DataFrame:

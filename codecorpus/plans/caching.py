@@ -83,6 +83,13 @@ def cache_misses(spark, sf_dir):
         rel.lookups(spark, sf_dir), _cache(spark, sf_dir), rel.now()).select("request_id", "key")
 
 
+@register("calls_to_make", with_ctes(rel.ENTRIES_SQL, rel.LOOKUPS_SQL, body=f"""
+SELECT min(request_id) AS request_id, key FROM lookups l
+WHERE NOT EXISTS (SELECT 1 FROM cache c WHERE c.key = l.key AND expires_at >= TIMESTAMP '{rel.NOW}') GROUP BY key"""))
+def calls_to_make(spark, sf_dir):
+    return op.calls_to_make(rel.lookups(spark, sf_dir), _cache(spark, sf_dir), rel.now())
+
+
 def _evicted_sql(space: int) -> str:
     return with_ctes(rel.ENTRIES_SQL, body=f"""
 SELECT {CACHE_COLS} FROM (

@@ -12,6 +12,7 @@ from codecorpus.operators import cache as ca
 from codecorpus.operators import features as ft
 from codecorpus.operators import identifiers as ids
 from codecorpus.operators import report as rp
+from codecorpus.operators import skew
 
 CACHE = "key string, payload string, created_at timestamp, expires_at timestamp, size long"
 
@@ -179,3 +180,31 @@ def test_sums_survive_values_beyond_the_exact_range(spark):
         "name string, value double")
     got = {r.name: r["mean"] for r in rp.metric_means(df).collect()}
     assert got["a"] == 0.15 and got["b"] == 5e299 and got["c"] != got["c"] and got["d"] == 0.0
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_anti"])
+@pytest.mark.parametrize("share", [0.0001, 0.01, 0.3, 1.0])
+def test_split_join_equals_plain_join(spark, how, share):
+    rng = random.Random(5)
+    rows = [(i, "hot" if rng.random() < 0.4 else "gone" if rng.random() < 0.2 else f"k{rng.randint(0, 60)}")
+            for i in range(2000)] + [(-1, None)]
+    left = spark.createDataFrame(rows, "id long, key string")
+    right = spark.createDataFrame([(f"k{i}", i) for i in range(50)] + [("hot", -5)], "key string, v long")
+    got = skew.join_unique(left, right, "key", how, share)
+    want = left.join(right, "key", how)
+    assert got.columns == want.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_hot_keys_are_bounded_by_their_share(spark):
+    df = spark.range(1000).select(F.when(F.col("id") < 400, "hot").otherwise(
+        F.col("id").cast("string")).alias("key"))
+    assert [r.key for r in skew.hot_keys(df, "key").collect()] == ["hot"]
+
+
+def test_requests_that_share_a_key_are_called_once(spark):
+    asked = spark.createDataFrame([("r2", "a", "p"), ("r1", "a", "p"), ("r3", "b", "q"), ("r4", "c", "z")],
+                                  "request_id string, key string, prompt string")
+    cache = entries(spark, [("b", 0.0, 1, 10)])
+    got = sorted((r.request_id, r.key) for r in ca.calls_to_make(asked, cache, at(1)).collect())
+    assert got == [("r1", "a"), ("r4", "c")]
