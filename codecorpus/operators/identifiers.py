@@ -27,18 +27,22 @@ def identifier_inventory(units: DataFrame) -> DataFrame:
     """Occurrences and units per identifier over the corpus.
 
     Distinct names are taken inside the row, which turns the distinct count of units into a
-    sum. Counts are combined per task before the shuffle, so a name that is everywhere
-    arrives as one row per task.
+    count of rows. Each unit gives two lists, all its names and its distinct names; counts are
+    combined per task before the shuffle, so a name that is everywhere arrives as one row
+    per task.
     """
-    rows = explode_once(units, name="r", array=let(identifiers(F.col("code")), lambda t: F.concat(
-        F.transform(t, lambda x: F.struct(
-            x.alias("identifier"), F.lit(1).alias("n"), F.lit(0).alias("u"))),
-        F.transform(F.array_distinct(t), lambda x: F.struct(
-            x.alias("identifier"), F.lit(0).alias("n"), F.lit(1).alias("u"))),
-    )))
-    return rows.groupBy(F.col("r.identifier").alias("identifier")).agg(
-        F.sum("r.n").cast("long").alias("occurrences"),
-        F.sum("r.u").cast("long").alias("units"),
+    def lists(names: Column) -> Column:
+        return F.array(
+            F.struct(F.lit(False).alias("once"), names.alias("names")),
+            F.struct(F.lit(True).alias("once"), F.array_distinct(names).alias("names")),
+        )
+
+    both = explode_once(units, array=let(identifiers(F.col("code")), lists), name="l")
+    rows = explode_once(
+        both.select("l.once", "l.names"), "once", array=F.col("names"), name="identifier")
+    return rows.groupBy("identifier").agg(
+        F.count_if(~F.col("once")).alias("occurrences"),
+        F.count_if(F.col("once")).alias("units"),
     )
 
 

@@ -26,7 +26,8 @@ def join_unique(
 
     Rows of hot keys stay where they are: their few entries are broadcast, a table whose
     number of rows is bounded by the share. All other rows are joined by a shuffle on the
-    key. Which keys are hot only decides the way, never the result.
+    key. Which keys are hot only decides the way, never the result, as long as `rows` gives the
+    same rows each time it is read: a table, or columns computed from one.
     """
     hot = F.broadcast(hot_keys(rows, key, share))
     hot_entries = F.broadcast(lookup.join(hot, key, "left_semi"))

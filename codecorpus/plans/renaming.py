@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import renames as fn
 from ..operators import renames as op
 from . import relations as rel
 from .classification import BAD_ESCAPES, RESERVED_SQL
