@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from codecorpus.plans.all_queries import oracles as oracle_sql
+from codecorpus.plans.all_queries import queries
 from tests.oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
