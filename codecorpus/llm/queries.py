@@ -20,7 +20,7 @@ OP8_SQL = f"""
 WITH RECURSIVE {WORDS_SQL},
 sets AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[])
     WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' '))) END AS sh
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh
     FROM words),
 sized AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n FROM sets),
 posts AS (SELECT doc_id, unnest(sh) AS s FROM sets),
