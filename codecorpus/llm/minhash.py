@@ -206,7 +206,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, slots: i
     # one text for each class of a family; its set, hashed anew, must be the class it stands for
     texts = filled.groupBy("class_id").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"))
     members = stored(family.withColumnRenamed("id", "class_id").join(texts, "class_id"), "members")
-    sets = (docs.join(members.select("doc_id", F.col("class_id").alias("wanted")), "doc_id")
+    sets = (docs.join(members.select("doc_id", F.col("class_id").alias("wanted")).hint("merge"), "doc_id")
             .select("text", "wanted").mapInArrow(_setter(width), "class_id long, wanted long, members binary")
             .filter("class_id = wanted").drop("wanted").dropDuplicates(["class_id"]))
     weights = members.groupBy("root").agg(F.sum("n_shingles").alias("weight"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash
+from . import lm, minhash, packing, quality, repeats, tokens
 from .tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,5 +40,35 @@ def op8_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), percent=85)
 
 
-QUERIES: dict[str, Query] = {"op8_superminhash": op8_superminhash}
+def op2_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"), 200)
+    return out.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op3_dominance_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = tokens.pieces(read_table(spark, sf_dir, "documents"), 2048)
+    return packing.pack(cut, 2048, ("doc_id", "piece"))
+
+
+def op4_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.scored(read_table(spark, sf_dir, "documents").select("doc_id", "text"),
+                         read_table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op7_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 1
+    out = lm.scored(read_table(spark, sf_dir, "documents"), ~held)
+    return out.withColumn("held_out", held)
+
+
+QUERIES: dict[str, Query] = {
+    "op2_run_length_index": op2_run_length_index,
+    "op3_dominance_packing": op3_dominance_packing,
+    "op4_quadratic_discriminant": op4_quadratic_discriminant,
+    "op7_backoff_automaton": op7_backoff_automaton,
+    "op8_superminhash": op8_superminhash,
+}
 ORACLES: dict[str, str] = {"op8_superminhash": OP8_SQL}
