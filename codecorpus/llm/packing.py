@@ -183,6 +183,8 @@ def pack(pieces: DataFrame, capacity: int, order: tuple[str, ...]) -> DataFrame:
     ranked = ranked.join(base.select("length", "_part", F.coalesce("_base", F.lit(0)).alias("_base")), ["length", "_part"])
     by_length = {k: g.sort_values("start").to_numpy() for k, g in slots.groupby("length")}
 
+    own_columns = pieces.columns
+
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rank = (f["_rank"] + f["_base"]).to_numpy(np.int64)
@@ -195,7 +197,7 @@ def pack(pieces: DataFrame, capacity: int, order: tuple[str, ...]) -> DataFrame:
                 nth = rank[own] - row[:, 1]
                 sequence[own] = row[:, 3] + nth // row[:, 5]
                 offset[own] = row[:, 4] + nth % row[:, 5] * k
-            yield f[pieces.columns].assign(sequence_id=sequence, offset=offset)
+            yield f[own_columns].assign(sequence_id=sequence, offset=offset)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
     return ranked.mapInPandas(place, f"{schema}, sequence_id long, offset long")
