@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import lm, minhash, packing, quality, repeats, tokens
 from .tables import read_table
 
@@ -64,7 +66,12 @@ def op7_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("held_out", held)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
+    "pipeline": pipeline,
     "op2_run_length_index": op2_run_length_index,
     "op3_dominance_packing": op3_dominance_packing,
     "op4_quadratic_discriminant": op4_quadratic_discriminant,
