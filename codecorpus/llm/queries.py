@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import lm, minhash, packing, quality, repeats, tokens
+from . import crosspoly, lm, minhash, packing, pivots, quality, repeats, tokens
 from .tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,33 @@ def op8_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), percent=85)
 
 
+OP1_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+    vec_id, score FROM s QUALIFY rank <= 20"""
+
+OP9_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+roots AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT r.a AS vec_id, coalesce(n.n, 0) AS n_links, component_id, r.a = component_id AS kept
+FROM roots r LEFT JOIN n ON n.a = r.a"""
+
+
+def op1_pivot_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op9_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspoly.near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op2_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeats.remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"), 200)
     return out.select(
@@ -72,10 +99,16 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "pipeline": pipeline,
+    "op1_pivot_table": op1_pivot_table,
     "op2_run_length_index": op2_run_length_index,
     "op3_dominance_packing": op3_dominance_packing,
     "op4_quadratic_discriminant": op4_quadratic_discriminant,
     "op7_backoff_automaton": op7_backoff_automaton,
     "op8_superminhash": op8_superminhash,
+    "op9_cross_polytope": op9_cross_polytope,
+}
+ORACLES: dict[str, str] = {
+    "op1_pivot_table": OP1_SQL,
+    "op8_superminhash": OP8_SQL,
+    "op9_cross_polytope": OP9_SQL,
 }
-ORACLES: dict[str, str] = {"op8_superminhash": OP8_SQL}
