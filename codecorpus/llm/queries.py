@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import crosspoly, lm, minhash, packing, pivots, quality, repeats, tokens
+from . import crosspoly, lm, minhash, packing, pivots, quality, repeats, tokens, warc
 from .tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,18 +97,40 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+OP6_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+h AS (SELECT page_id, strlen(t) AS n, t, sha1(t) AS x, max(page_id) OVER (PARTITION BY t) AS best FROM p),
+bits AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: ['0000', '0001', '0010', '0011', '0100',
+    '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'][
+    strpos('0123456789abcdef', substr(x, i, 1))]), '') AS b FROM h)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+    array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+        list_sum(list_transform(range(0, 5), lambda j: CAST(substr(b, 5 * k + j + 1, 1) AS INTEGER) * (16 >> j)))
+        AS INTEGER), 1)), '') AS payload_digest,
+    CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id < best THEN best END AS refers_to
+FROM bits"""
+
+
+def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.archive(read_table(spark, sf_dir, "pages"))
+    return out.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Query] = {
     "pipeline": pipeline,
     "op1_pivot_table": op1_pivot_table,
     "op2_run_length_index": op2_run_length_index,
     "op3_dominance_packing": op3_dominance_packing,
     "op4_quadratic_discriminant": op4_quadratic_discriminant,
+    "op6_arc_to_warc": op6_arc_to_warc,
     "op7_backoff_automaton": op7_backoff_automaton,
     "op8_superminhash": op8_superminhash,
     "op9_cross_polytope": op9_cross_polytope,
 }
 ORACLES: dict[str, str] = {
     "op1_pivot_table": OP1_SQL,
+    "op6_arc_to_warc": OP6_SQL,
     "op8_superminhash": OP8_SQL,
     "op9_cross_polytope": OP9_SQL,
 }
