@@ -23,7 +23,7 @@ from .tables import pieces_for, stored
 from .textbytes import TILE, U64, mix, powers, prefix_sums, range_hash, texts_of
 
 WINDOW, GRAM = 200, 32
-#: Distinct stretches of one gram beyond which their windows are counted one by one instead.
+#: Distinct stretches of one gram beyond which they are gone through again by longer grams.
 MOST_KINDS = 2048
 #: Bytes of stretches in one index.
 INDEX_BYTES = 1 << 19
@@ -179,30 +179,13 @@ def covered(marked: np.ndarray, window: int) -> list[tuple[int, int]]:
     return list(zip(starts.tolist(), ends.tolist(), strict=True))
 
 
-def _cut(rows: pd.DataFrame) -> Iterator[tuple[int, int, int, bytes]]:
-    for text, wanted in zip(rows["text"], rows["wanted"], strict=True):
-        raw = text.encode()
-        for w in wanted:
-            yield w["gram"], w["body"], w["times"], raw[w["start"]:w["end"]]
-
-
 def _cutter(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        yield pd.DataFrame(list(_cut(f)), columns=["gram", "body", "times", "bytes"])
-
-
-def _window_cutter(window: int) -> Callable:
-    """One row per window, with a 128-bit hash of its bytes."""
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for gram, body, times, raw in _cut(f):
-                data = np.frombuffer(raw, np.uint8)
-                start = np.arange(len(data) - window + 1)
-                one = range_hash(prefix_sums(data), start, start + window)
-                two = range_hash(prefix_sums(255 - data), start, start + window)
-                yield pd.DataFrame({"one": one.view(np.int64), "two": two.view(np.int64), "gram": gram,
-                                    "body": body, "times": times, "place": start})
-    return cut
+        rows = []
+        for text, wanted in zip(f["text"], f["wanted"], strict=True):
+            raw = text.encode() if isinstance(text, str) else text
+            rows += [(w["gram"], w["body"], w["times"], w["kinds"], raw[w["start"]:w["end"]]) for w in wanted]
+        yield pd.DataFrame(rows, columns=["gram", "body", "times", "kinds", "bytes"])
 
 
 def _indexer(window: int) -> Callable:
@@ -242,10 +225,17 @@ def _indexer(window: int) -> Callable:
     return index
 
 
+def next_gram(window: int, gram: int) -> int:
+    """A gram that leaves few windows to a stretch; then the window itself, which has one stretch each."""
+    return window if gram >= window * 4 // 5 else window * 4 // 5
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(rid, spans): byte ranges covered by strings of `window` bytes that start elsewhere too.
 
-    docs: (rid, text), equal rids standing for equal rows. Spans of a row may overlap.
+    docs: (rid, text), equal rids standing for equal rows. Spans of a row may overlap. A gram in
+    very many surroundings, such as a common line, is settled by a second pass over its
+    stretches with longer grams, so that no index has to hold them all.
     """
     anchors = stored(docs.mapInArrow(_scanner(window, gram), "rid long, at long, gram long, body long"), "stretches")
     many = anchors.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
@@ -262,24 +252,22 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
         F.lit(0).cast("long").alias("start"), (end - start).alias("end"))).cast(span).alias("spans"))
     mixed = stored(kinds.filter("kinds > 1").withColumns({"start": start, "end": end}), "mixed")
 
-    def texts(part: DataFrame) -> DataFrame:
-        wanted = part.groupBy("rid").agg(F.collect_list(F.struct("gram", "body", "times", "start", "end")).alias("wanted"))
-        return docs.join(wanted, "rid").select("text", "wanted")
-
     facts = mixed.agg(F.max("kinds"), F.sum(F.col("end") - F.col("start"))).first()
     if facts[0]:
-        cold = texts(mixed.filter(F.col("kinds") <= MOST_KINDS)).mapInPandas(
-            _cutter, "gram long, body long, times long, bytes binary")
+        wanted = mixed.groupBy("rid").agg(F.collect_list(
+            F.struct("gram", "body", "times", "kinds", "start", "end")).alias("wanted"))
+        cut = stored(docs.join(wanted, "rid").select("text", "wanted").mapInPandas(
+            _cutter, "gram long, body long, times long, kinds long, bytes binary"), "cut")
         parts = pieces_for(facts[1], 4 * INDEX_BYTES)
+        cold = cut.filter(F.col("kinds") <= MOST_KINDS).select("gram", "body", "times", "bytes")
         marks = marks.union(cold.repartition(max(parts, 8), "gram").sortWithinPartitions("gram").mapInPandas(
             _indexer(window), f"gram long, body long, spans {span}"))
-    if facts[0] and facts[0] > MOST_KINDS:
-        wins = stored(texts(mixed.filter(F.col("kinds") > MOST_KINDS)).mapInPandas(
-            _window_cutter(window), "one long, two long, gram long, body long, times long, place long"), "windows")
-        more = wins.groupBy("one", "two").agg(F.count("*").alias("n"), F.max("times").alias("t")).filter("n > 1 or t > 1")
-        hot = wins.join(more, ["one", "two"]).groupBy("gram", "body").agg(F.transform(
-            F.collect_set("place"), lambda p: F.struct(p.alias("start"), (p + window).alias("end"))).alias("spans"))
-        marks = marks.union(hot.select("gram", "body", F.col("spans").cast(span)))
+        if facts[0] > MOST_KINDS:
+            hot = cut.filter(F.col("kinds") > MOST_KINDS).withColumn("rid", F.xxhash64("gram", "body"))
+            whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.length("bytes").cast("long").alias("end")))
+            deeper = repeated_spans(hot.select("rid", F.col("bytes").alias("text")), window, next_gram(window, gram))
+            marks = marks.union(hot.filter("times > 1").select("gram", "body", whole.cast(span))).union(
+                hot.filter("times = 1").join(deeper, "rid").select("gram", "body", "spans"))
     found = shared.join(marks, ["gram", "body"]).select("rid", F.transform("spans", lambda s: F.struct(
         (s["start"] + start).alias("start"), (s["end"] + start).alias("end"))).alias("spans"))
     return found.groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans"))

@@ -56,10 +56,11 @@ def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
 
 
 def texts_of(column: pa.Array | pa.ChunkedArray) -> tuple[memoryview, np.ndarray]:
-    """A string column's bytes and its len + 1 offsets; nulls are empty."""
+    """A string or binary column's bytes and its len + 1 offsets; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
+    raw = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
+    column = column.cast(pa.large_binary() if raw else pa.large_string()).fill_null(b"" if raw else "")
     buffers = column.buffers()
     n = len(column)
     offsets = np.frombuffer(buffers[1], np.int64, n + 1, column.offset * 8) if n else np.zeros(1, np.int64)
