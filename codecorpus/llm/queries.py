@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import crosspoly, lm, minhash, packing, pivots, quality, repeats, tokens, warc
+from . import crosspoly, lattice, lm, matrices, minhash, packing, pivots, quality, repeats, tokens, warc
 from .tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,16 +117,28 @@ def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_segment_tree_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = matrices.written(read_table(spark, sf_dir, "documents"), capacity=2048)
+    return rows.select("sequence_id", "n_tokens", F.crc32("input_ids").alias("matrix_crc32"), "cu_seqlens",
+                       "position_resets", "doc_ids", "pieces", "starts")
+
+
+def op10_n_best_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.segmented(read_table(spark, sf_dir, "documents"), n=3)
+
+
 QUERIES: dict[str, Query] = {
     "pipeline": pipeline,
     "op1_pivot_table": op1_pivot_table,
     "op2_run_length_index": op2_run_length_index,
     "op3_dominance_packing": op3_dominance_packing,
     "op4_quadratic_discriminant": op4_quadratic_discriminant,
+    "op5_segment_tree_matrices": op5_segment_tree_matrices,
     "op6_arc_to_warc": op6_arc_to_warc,
     "op7_backoff_automaton": op7_backoff_automaton,
     "op8_superminhash": op8_superminhash,
     "op9_cross_polytope": op9_cross_polytope,
+    "op10_n_best_lattice": op10_n_best_lattice,
 }
 ORACLES: dict[str, str] = {
     "op1_pivot_table": OP1_SQL,
