@@ -114,7 +114,7 @@ def _meet(key: int, ids: np.ndarray, many: np.ndarray, x: np.ndarray, home: np.n
     if not len(a):
         return links, edges
     keys = bucket_keys(x, axes, tables)
-    own = np.uint64(key % 2**64)
+    own = np.array([key], np.int64).view(np.uint64)[0]
     table = int(np.argmax((keys[home.argmax()] == own).any(axis=1)))
     for i in range(0, len(a), 1 << 16):
         p, q = a[i:i + (1 << 16)], b[i:i + (1 << 16)]

@@ -63,7 +63,7 @@ class Lattice:
         norm = math.log(sum(1 / (r + 2) for r in range(len(usable))))
         self.score = {p: (-math.log(ranks[i] + 2) - norm, i) for p, i in usable}
         self.longest = max((len(p) for p, _ in usable), default=1)
-        self.known: dict[str, tuple] = {}
+        self.known: dict[tuple[str, int], tuple] = {}
 
     def edges(self, chunk: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For each position, the pieces that end there: start, score, ids."""
@@ -105,7 +105,7 @@ class Lattice:
 
     def chunk(self, chunk: str, n: int) -> tuple:
         """(least loss, score, ids as bytes, [(loss, ids as bytes) of the next best])."""
-        found = self.known.get(chunk)
+        found = self.known.get((chunk, n))
         if found is None:
             if len(self.known) > MOST_KEPT:
                 self.known = {}
@@ -113,7 +113,7 @@ class Lattice:
             more = [(first[0] - s, np.array(ids, "<u4").tobytes()) for s, ids in rest]
             found = (more[0][0] if more else math.inf, first[0], np.array(first[1], "<u4").tobytes(), more)
             if len(chunk) < 64:
-                self.known[chunk] = found
+                self.known[chunk, n] = found
         return found
 
     def encode(self, text: str, n: int) -> list[tuple[float, bytes]]:

@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from .tables import pieces_for, stored
 
-PIVOTS, SAMPLE = 64, 2048
-CANDIDATE_BLOCK, QUERY_BLOCK = 2048, 2048
-_STEP = 64
+PIVOTS, SAMPLE = 32, 2048
+CANDIDATE_BLOCK, QUERY_BLOCK = 8192, 1024
+_STEP = 256
 
 
 def finite(vector: F.Column) -> F.Column:
@@ -62,27 +62,30 @@ def search_block(qid: np.ndarray, q: np.ndarray, dq: np.ndarray, cid: np.ndarray
                  k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Per query its k best candidates of a block: query ids, candidate ids, scores."""
     square_q, square_c = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", c, c)
+    near_c, near_q = dc.T.astype(np.float32), dq.astype(np.float32)
     for i in range(len(qid)):
-        low = np.zeros(len(c))
-        for p in range(dc.shape[1]):
-            np.maximum(low, np.abs(dc[:, p] - dq[i, p]), out=low)
+        low = np.abs(near_c[0] - near_q[i, 0])
+        for p in range(1, len(near_c)):
+            np.maximum(low, np.abs(near_c[p] - near_q[i, p]), out=low)
         # distances are rounded: the bound gives way by far more than their error
-        slack = 1e-6 * (square_q[i] + square_c + 1)
-        high = (square_q[i] + square_c - low * low) / 2 + slack
+        slack = 1e-5 * (square_q[i] + square_c + dq[i].max() ** 2 + 1)
+        high = (square_q[i] + square_c - low.astype(float) ** 2) / 2 + slack
         high[cid == qid[i]] = -np.inf
-        order = np.argsort(-high, kind="stable")
-        order = order[:len(order) - int(np.count_nonzero(np.isneginf(high)))]
         ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at, step = 0, _STEP
-        while at < len(order):
-            if len(scores) >= k and high[order[at]] < scores[-1]:
-                break
-            some = order[at:at + step]
-            ids = np.concatenate([ids, cid[some]])
-            scores = np.concatenate([scores, _products(q[i], c[some])])
+        order = np.argsort(-high)
+        bounds, at, step = high[order], 0, _STEP
+        stop = len(order) - int(np.count_nonzero(np.isneginf(bounds)))
+        while at < stop and not (len(scores) >= k and bounds[at] < scores[-1]):
+            if len(scores) >= k:  # later bounds that can't reach the k-th score are passed over at once
+                stop = int(np.searchsorted(-bounds[:stop], -scores[-1], "right"))
+            some = order[at:min(at + step, stop)]
+            score = _products(q[i], c[some])
+            good = score >= scores[-1] if len(scores) >= k else np.ones(len(score), bool)
+            ids = np.concatenate([ids, cid[some[good]]])
+            scores = np.concatenate([scores, score[good]])
             best = np.lexsort((ids, -scores))[:k]
             ids, scores = ids[best], scores[best]
-            at, step = at + step, step * 2
+            at, step = at + step, step * 4
         yield np.full(len(ids), qid[i]), ids, scores
 
 
