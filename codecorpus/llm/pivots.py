@@ -49,19 +49,25 @@ def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
-def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact integer products of a row with rows, held to the range of a long."""
+def exact_type(q: np.ndarray, c: np.ndarray) -> type:
+    """The narrowest type in which inner products of these integer rows are exact."""
     largest = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(q.shape[-1], 1)
-    if largest < 2**53:
+    return np.float32 if largest < 2**24 else np.float64 if largest < 2**53 else object
+
+
+def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Integer products of a row with rows, both in an exact type, held to the range of a long."""
+    if q.dtype != object:
         return (c @ q).astype(np.int64)
-    exact = np.array([[int(v) for v in row] for row in c], object).reshape(c.shape) @ np.array([int(v) for v in q], object)
-    return np.array([min(max(int(v), -2**63), 2**63 - 1) for v in exact], np.int64)
+    return np.array([min(max(int(v), -2**63), 2**63 - 1) for v in c @ q], np.int64)
 
 
 def search_block(qid: np.ndarray, q: np.ndarray, dq: np.ndarray, cid: np.ndarray, c: np.ndarray, dc: np.ndarray,
                  k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Per query its k best candidates of a block: query ids, candidate ids, scores."""
     square_q, square_c = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", c, c)
+    kind = exact_type(q, c)
+    whole_q, whole_c = (np.vectorize(int, otypes=[object])(x) if kind is object and x.size else x.astype(kind) for x in (q, c))
     near_c, near_q = dc.T.astype(np.float32), dq.astype(np.float32)
     for i in range(len(qid)):
         low = np.abs(near_c[0] - near_q[i, 0])
@@ -79,7 +85,7 @@ def search_block(qid: np.ndarray, q: np.ndarray, dq: np.ndarray, cid: np.ndarray
             if len(scores) >= k:  # later bounds that can't reach the k-th score are passed over at once
                 stop = int(np.searchsorted(-bounds[:stop], -scores[-1], "right"))
             some = order[at:min(at + step, stop)]
-            score = _products(q[i], c[some])
+            score = _products(whole_q[i], whole_c[some])
             good = score >= scores[-1] if len(scores) >= k else np.ones(len(score), bool)
             ids = np.concatenate([ids, cid[some[good]]])
             scores = np.concatenate([scores, score[good]])

@@ -62,9 +62,11 @@ def test_top_k_of_odd_rows(spark):
     assert pivots.top_k(spark.createDataFrame([(1, [1.0], 0)], SCHEMA), F.lit(True)).count() == 0
 
 
-def test_products_beyond_doubles():
-    q = np.array([2.0**40, 3.0])
-    assert pivots._products(q, np.array([[2.0**20 + 1, 1.0], [-(2.0**62), 0.0]])).tolist() == [2**60 + 2**40 + 3, -2**63]
+def test_products_beyond_doubles(spark):
+    x = [[2.0**34, 3.0], [2.0**14 + 1, 1.0], [-(2.0**61), 0.0]]
+    got = pivots.top_k(spark.createDataFrame([(i, r, 0) for i, r in enumerate(x)], SCHEMA), F.col("vec_id") == 0)
+    assert [tuple(r) for r in got.orderBy("rank").collect()] == [
+        (0, 1, 1, 2**40 * (2**20 + 64) + 192 * 64), (0, 2, 2, -2**63)]
 
 
 def brute_links(x, least):
