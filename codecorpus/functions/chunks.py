@@ -26,8 +26,11 @@ TOKEN_OVERLAP = 0.2
 
 
 def fixed_cuts(code: Column, size: int) -> Column:
-    """array<string> of consecutive cuts of exactly `size` characters, the last one shorter."""
-    return F.regexp_extract_all(code, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    """array<string> of consecutive cuts of exactly `size` characters, the last one shorter.
+
+    An empty text is one empty cut, so that its unit is not lost."""
+    return F.when(code == "", F.array(F.lit(""))).otherwise(
+        F.regexp_extract_all(code, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)))
 
 
 def pieces(code: Column, size: int) -> Column:
@@ -45,24 +48,36 @@ def _span(s: Column, e: Column) -> Column:
     return F.struct(s.alias("s"), e.alias("e"))
 
 
+BLOCK = 128
+
+
 def _fold(n: Column, steps: Column, end_of, overlap: int) -> Column:
-    """Walk from cut to cut; stop once a chunk reaches the end of the text."""
+    """Walk from cut to cut; stop once a chunk reaches the end of the text.
+
+    Appending copies an array, so chunks are gathered in blocks of BLOCK, and the blocks are
+    flattened once at the end.
+    """
+
+    none = F.array().cast("array<struct<s:int,e:int>>")
 
     def step(a: Column, _: Column) -> Column:
         return F.when(a.done, a).otherwise(let(
             end_of(a.p),
-            lambda end: F.struct(
+            lambda end: let(F.concat(a.out, F.array(_span(a.p, end))), lambda out: F.struct(
                 (end - overlap).alias("p"),
                 (end >= n).alias("done"),
-                F.concat(a.out, F.array(_span(a.p, end))).alias("out"),
-            ),
+                F.when(F.size(out) < BLOCK, a.blocks).otherwise(
+                    F.concat(a.blocks, F.array(out))).alias("blocks"),
+                F.when(F.size(out) < BLOCK, out).otherwise(none).alias("out"),
+            )),
         ))
 
     start = F.struct(
         F.lit(0).alias("p"), F.lit(False).alias("done"),
-        F.array().cast("array<struct<s:int,e:int>>").alias("out"),
+        F.array().cast("array<array<struct<s:int,e:int>>>").alias("blocks"), none.alias("out"),
     )
-    return F.aggregate(F.sequence(F.lit(0), steps), start, step, lambda a: a.out)
+    return F.aggregate(F.sequence(F.lit(0), steps), start, step,
+                       lambda a: F.flatten(F.concat(a.blocks, F.array(a.out))))
 
 
 def _behind_last_boundary(window: Column, window_end: Column, otherwise: Column) -> Column:
@@ -121,7 +136,7 @@ def boundary_chunks(code: Column, size: int = STREAM_SIZE) -> Column:
             return F.when(p + size > n, n).otherwise(cut)
 
         fold = _fold(n, F.ceil(n / F.lit(float(keep + 1))).cast("int"), end_of, 0)
-        return F.filter(fold, lambda c: c.e > c.s)
+        return F.filter(fold, lambda c: (c.e > c.s) | (n == 0))
 
     return _cut(code, piece, spans)
 

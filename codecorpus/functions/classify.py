@@ -264,12 +264,12 @@ def workload(size: Column, complexity: Column, tags: Column) -> Column:
         return F.struct(
             F.lit(strategy).alias("strategy"),
             F.lit(profile).alias("profile"),
-            (chunk if chunk is not None else F.lit(None)).cast("double").alias("chunk_size"),
+            (chunk if chunk is not None else F.lit(None)).cast("long").alias("chunk_size"),
             F.lit(overlap).cast("long").alias("overlap"),
             F.lit(reason).alias("reason"),
         )
 
-    cap = F.least(F.lit(float(CHUNK_CAP)), size / F.lit(4.0))
+    cap = F.least(F.lit(CHUNK_CAP).cast("long"), F.floor(size / F.lit(4.0)))
     return (
         F.when(size > CHUNKING_ABOVE,
                plan("chunking", "chunks", "Large file size detected", cap, CHUNK_OVERLAP))

@@ -11,7 +11,6 @@ from .text import WS, WS_CHARS, let, literal_replacement, whole_word_pattern
 # Fixed values.
 DEFAULT_CONFIDENCE = 0.5
 FALLBACK_REASON = "Extracted from text response"
-FALLBACK_LIMIT = 20
 LOW_MEAN = 0.6
 DEFAULT_THRESHOLD = 0.3
 
@@ -37,7 +36,7 @@ METHOD_LOOKAHEAD = 40
 
 
 def text_fallback(text: Column) -> Column:
-    """array<struct<original_name, suggested_name>> found in free text, first 20."""
+    """array<struct<original_name, suggested_name>> found in free text, all of them."""
 
     def found(pattern: str, sign: str | None) -> Column:
         pairs = F.transform(
@@ -53,7 +52,7 @@ def text_fallback(text: Column) -> Column:
         return F.when(text.contains(sign), pairs).otherwise(none)
 
     hits = [found(p, sign) for p, sign in zip(FALLBACK_SHAPES, (None, "->", "=>"), strict=True)]
-    return F.slice(F.concat(*hits), 1, FALLBACK_LIMIT)
+    return F.concat(*hits)
 
 
 def repair_trailing_comma(json_text: Column) -> Column:

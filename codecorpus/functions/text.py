@@ -80,16 +80,40 @@ def collapse_ws(text: Column) -> Column:
     return F.btrim(F.regexp_replace(text, WS + "+", " "), F.lit(WS_CHARS))
 
 
+# Values from which sums keep 18 decimals; smaller and larger ones are scaled by powers of two.
+PLAIN_FROM, PLAIN_TO = 1e-9, 1e10
+
+
+def is_plain(x: Column) -> Column:
+    """Whether a decimal of 18 places holds the value to the last digit that counts."""
+    size = F.abs(x.cast("double"))
+    return (size == 0) | ((size >= PLAIN_FROM) & (size < PLAIN_TO))
+
+
 def exact_sum(x: Column) -> Column:
     """Sum whose result does not depend on the order in which partial sums are merged.
 
     A floating sum changes in its last digits with the order of the shuffle blocks, so
-    re-running a task could change a report. Twelve decimals are kept; a group with a value
-    beyond their range, or with one that is no number, has the floating sum.
+    re-running a task could change a report. Values are added as decimals in three ranges of
+    their size: with 18 places from 1e-9 to 1e10, scaled by powers of two from 1e-30 and to 1e25.
+    Only what lies beyond, or is no number, is added as floating values.
     """
-    d = x.try_cast("decimal(32,12)")
-    beyond = F.count_if(x.isNotNull() & d.isNull()) > 0
-    return F.when(beyond, F.sum(x.cast("double"))).otherwise(F.sum(d).cast("double"))
+    v = x.cast("double")
+    size = F.abs(v)
+    plain = is_plain(x)
+    tiny = ~plain & (size >= 1e-30) & (size < PLAIN_FROM)
+    large = ~plain & (size >= PLAIN_TO) & (size < 1e25)
+    none = F.lit(0.0)
+
+    def part(chosen: Column, scale: float, kind: str) -> Column:
+        return F.coalesce(F.sum(F.when(chosen, v * scale).cast(kind)).cast("double") / scale, none)
+
+    total = (
+        F.coalesce(F.sum(F.when(plain, x).cast("decimal(28,18)")).cast("double"), none)
+        + part(tiny, 2.0**90, "decimal(28,6)") + part(large, 2.0**-30, "decimal(28,10)")
+        + F.coalesce(F.sum(F.when(~(plain | tiny | large), v)), none)
+    )
+    return F.when(F.count(x) > 0, total)
 
 
 def exact_mean(x: Column) -> Column:

@@ -32,17 +32,19 @@ def split_readable(units: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def split_oversize(
-    units: DataFrame, max_size: int = cl.MAX_UNIT_SIZE
+    units: DataFrame, max_size: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(units within the limit, error rows for the others)."""
-    too_long = F.length("code") > max_size
+    """(all units, flagged by `oversize`; error rows for those over the limit).
+
+    Without a limit no unit is over it. Callers that must not go on with large units filter."""
+    too_long = F.lit(False) if max_size is None else F.length("code") > max_size
     errors = units.filter(too_long).select(
         "unit_id",
         F.lit("WEBCRACK_FAILED").alias("code"),
-        cl.oversize_message(F.col("code"), max_size).alias("message"),
+        cl.oversize_message(F.col("code"), max_size or cl.MAX_UNIT_SIZE).alias("message"),
         F.lit("webcrack").alias("step"), F.lit(True).alias("recoverable"),
     )
-    return units.filter(~too_long), errors
+    return units.withColumn("oversize", too_long), errors
 
 
 def detect_dialect(units: DataFrame) -> DataFrame:

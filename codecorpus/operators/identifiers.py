@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from ..functions.text import count_matches, identifiers, let, whole_word_regex, whole_words
 from .rows import explode_once
 
-FEW_TERMS = 32
-
 
 def unit_identifiers(units: DataFrame) -> DataFrame:
     """Distinct identifiers of each unit. No shuffle: a unit is one row."""
@@ -54,16 +52,17 @@ def approx_identifier_count(units: DataFrame, rsd: float = 0.02) -> DataFrame:
     )
 
 
-def _equals(term: str) -> Callable[[Column], Column]:
-    return lambda x: x == term
+def _run_length(ordered: Column, value: Column) -> Column:
+    """How often a value stands in a sorted array: from its first place to its last."""
+    return F.size(ordered) - F.array_position(F.reverse(ordered), value) - F.array_position(ordered, value) + 2
 
 
 def _term_hits(code: Column, terms: Sequence[str]) -> Column:
     """array<struct<term, n>> with one zero row per term.
 
     A term of word characters occurs as a whole word exactly where a maximal word run equals
-    it, so all such terms share one pass over the text: one pattern for a few terms, a
-    tokenisation for many. Other terms are matched one by one, where the text has them.
+    it, so all such terms share one pass over the text, and counts are made in the row.
+    Other terms are matched one by one, where the text has them.
     """
     words = [t for t in terms if re.fullmatch(r"\w+", t, re.ASCII)]
     others = [t for t in terms if t not in set(words)]
@@ -73,14 +72,9 @@ def _term_hits(code: Column, terms: Sequence[str]) -> Column:
 
     parts = [F.array(*[row(F.lit(t), F.lit(0)) for t in terms])]
     if words:
-        if len(words) <= FEW_TERMS:
-            hits = F.regexp_extract_all(code, F.lit(whole_words(*words)), F.lit(0))
-            parts.append(let(hits, lambda found: F.array(*[
-                row(F.lit(t), F.size(F.filter(found, _equals(t)))) for t in words])))
-        else:
-            runs = F.regexp_extract_all(code, F.lit(r"\w+"), F.lit(0))
-            hits = F.filter(runs, lambda t: t.isin(*words))
-            parts.append(F.transform(hits, lambda t: row(t, F.lit(1))))
+        hits = F.regexp_extract_all(code, F.lit(whole_words(*words)), F.lit(0))
+        parts.append(let(F.array_sort(hits), lambda found: F.transform(
+            F.array_distinct(found), lambda t: row(t, _run_length(found, t)))))
     if others:
         parts.append(F.array(*[
             row(F.lit(t), F.when(code.contains(t), count_matches(code, whole_word_regex(t)))

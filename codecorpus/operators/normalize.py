@@ -34,7 +34,7 @@ def whitespace_fingerprint(units: DataFrame) -> DataFrame:
 
 
 def preprocess(units: DataFrame) -> DataFrame:
-    """Apply the preprocessing of each unit's workload class; chunked units stay as they are."""
+    """Apply the preprocessing of each unit's workload class; units to be chunked are cleaned whole."""
     code = F.col("code")
     plan = workload(
         ft.n_chars(code), ft.branch_count(code) + ft.brace_depth(code), ft.framework_tags(code)
@@ -43,7 +43,7 @@ def preprocess(units: DataFrame) -> DataFrame:
     cleaned = nm.normalize_whitespace(nm.keep_return_line(code))
     return classed.select(
         "unit_id", F.col("w.profile").alias("profile"),
-        F.when(F.col("w.profile") == "cleanup", cleaned)
+        F.when(F.col("w.profile").isin("cleanup", "chunks"), cleaned)
         .when(F.col("w.profile") == "conditionals", nm.fold_conditionals(code))
         .otherwise(code).alias("code"),
     )

@@ -145,7 +145,9 @@ def parse_text_fallback(responses: DataFrame) -> DataFrame:
 def parse_with_fallback(responses: DataFrame) -> DataFrame:
     """Suggestions from JSON answers, and from the text of answers without usable JSON.
 
-    Each answer is parsed once and read once: both sorts of rows come out of one explode.
+    Each answer is parsed once and read once: all sorts of rows come out of one explode. Items
+    that cannot be used are rows with `error` set, and so is an answer (ordinal null) with
+    neither a list nor a rename in its text.
     """
     pair = "struct<original_name:string,suggested_name:string>"
     listed = _listed(responses.select("request_id", "payload"))
@@ -153,24 +155,29 @@ def parse_with_fallback(responses: DataFrame) -> DataFrame:
         v.alias("item"), F.lit(None).cast(pair).alias("pair")))
     from_text = F.transform(rn.text_fallback(F.col("payload")), lambda p: F.struct(
         F.lit(None).cast("variant").alias("item"), p.alias("pair")))
+    nothing = F.array(F.struct(
+        F.lit(None).cast("variant").alias("item"), F.lit(None).cast(pair).alias("pair")))
     rows = explode_once(
-        listed, "request_id", name="r", position="ordinal",
-        array=F.when(F.col("items").isNotNull(), from_json).otherwise(from_text),
-    ).select("request_id", "ordinal", "r.item", "r.pair")
-    no = F.lit(False)
-    checked = _checked_items(rows.withColumns({"no_list": no, "no_json": no}), "pair")
+        listed, "request_id", "no_json", name="r", position="ordinal",
+        array=F.when(F.col("items").isNotNull(), from_json).otherwise(
+            let(from_text, lambda t: F.when(F.size(t) > 0, t).otherwise(nothing))),
+    ).select("request_id", "no_json", "ordinal", "r.item", "r.pair")
+    no_list = F.col("item").isNull() & F.col("pair").isNull()
+    checked = _checked_items(rows.withColumns({
+        "no_list": no_list, "ordinal": F.when(~no_list, F.col("ordinal"))}), "pair")
     found = F.col("pair").isNotNull()
 
     def either(text_value: Column, name: str) -> Column:
         return F.when(found, text_value).otherwise(F.col(name)).alias(name)
 
-    return checked.filter(found | F.col("error").isNull()).select(
+    return checked.select(
         "request_id", "ordinal",
         either(F.col("pair.original_name"), "original_name"),
         either(F.col("pair.suggested_name"), "suggested_name"),
         either(F.lit(rn.DEFAULT_CONFIDENCE), "confidence"),
         either(F.lit(rn.FALLBACK_REASON), "reasoning"),
         either(F.lit("variable"), "type"),
+        F.when(~found, F.col("error")).alias("error"),
     )
 
 
@@ -179,12 +186,17 @@ def repair_json(responses: DataFrame) -> DataFrame:
 
 
 def pair_parallel_arrays(responses: DataFrame) -> DataFrame:
-    """Rows from answers whose first item holds two parallel arrays."""
-    shape = "array<struct<name:array<string>,newName:array<string>>>"
-    first = F.get(F.from_json("payload", shape), 0)
+    """Rows from answers that list renames; an item may hold two names or two parallel arrays."""
+    items = F.try_variant_get(F.try_parse_json("payload"), "$", "array<variant>")
+
+    def listed(item: Column, path: str) -> Column:
+        one = F.try_variant_get(item, path, "string")
+        return F.coalesce(F.try_variant_get(item, path, "array<string>"), F.when(one.isNotNull(), F.array(one)))
+
+    found = F.transform(items, lambda v: rn.pair_up(listed(v, "$.name"), listed(v, "$.newName")))
     pairs = explode_once(
         responses, "request_id", name="p", position="ordinal",
-        array=let(first, lambda f: rn.pair_up(f["name"], f["newName"])))
+        array=F.flatten(F.filter(found, lambda p: p.isNotNull())))
     return pairs.select("request_id", "ordinal", "p.name", "p.new_name")
 
 

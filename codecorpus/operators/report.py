@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import exact_mean, exact_sum, js_round
+from ..functions.text import exact_mean, exact_sum, is_plain, js_round
 from ..session import ensure_checkpoint_dir
 from .rows import explode_once
 
@@ -151,10 +151,13 @@ BUSY = 0.8
 
 def _trend(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
     w = W.partitionBy(*keys).orderBy("ts", "sample_id")
-    value = F.col("throughput").try_cast("decimal(32,12)")
+    value = F.col("throughput").cast("double")
+    decimal = F.when(is_plain(value), value).cast("decimal(28,18)")
 
     def mean(first: int, last: int) -> Column:
-        return F.sum(value).over(w.rowsBetween(first, last)).cast("double") / (last - first + 1)
+        frame, n = w.rowsBetween(first, last), last - first + 1
+        total = F.when(F.count(decimal).over(frame) == n, F.sum(decimal).over(frame).cast("double"))
+        return F.coalesce(total, F.sum(value).over(frame)) / n  # the frame's order is fixed
 
     full = F.count(value).over(w.rowsBetween(-TREND_LEAD, 0)) == TREND_SAMPLES
     earlier, recent = mean(-TREND_LEAD, -3), mean(-2, 0)

@@ -18,6 +18,7 @@ from .registry import register, with_ctes
 NAME_SQL = r"""names AS (
   SELECT unit_id, code, CASE page_id % 4 WHEN 0 THEN '_' || page_id WHEN 1 THEN 'f' || page_id
            WHEN 2 THEN '__tests__/f' || page_id ELSE 'node_modules/f' || page_id END
+         || CASE WHEN starts_with(unit_id, 'snippet/') THEN 's' ELSE '' END
          || CASE page_id % 3 WHEN 0 THEN '.js' WHEN 1 THEN '.mjs' ELSE '.txt' END AS name
   FROM scripts)"""
 
@@ -27,7 +28,8 @@ def _named(spark, sf_dir):
     stem = rel.pick([F.lit("_"), F.lit("f"), F.lit("__tests__/f"), F.lit("node_modules/f")], p)
     ext = rel.pick([F.lit(".js"), F.lit(".mjs"), F.lit(".txt")], p)
     return rel.scripts(spark, sf_dir).select(
-        F.concat(stem, p.cast("string"), ext).alias("name"), "code")
+        F.concat(stem, p.cast("string"), F.when(F.col("unit_id").startswith("snippet/"), "s").otherwise(""), ext)
+        .alias("name"), "code")
 
 
 def _write(spark, sf_dir, folder):

@@ -43,7 +43,7 @@ def _boundary_sql(size: int) -> str:
     return f"""
 cuts AS (
   SELECT unit_id, code, 0::BIGINT AS chunk_index, 0::BIGINT AS s, ({end('0')})::BIGINT AS e
-  FROM units WHERE length(code) > 0
+  FROM units
   UNION ALL
   SELECT unit_id, code, chunk_index + 1, e, ({end('e')})::BIGINT FROM cuts WHERE e < length(code))"""
 
@@ -64,7 +64,7 @@ def boundary_chunks(spark, sf_dir):
 @register("fixed_chunks", with_ctes(rel.UNITS_SQL, body="""
 SELECT unit_id, s // 1500 AS chunk_index, s AS start, least(s + 1500, length(code)) AS "end",
        substring(code, s + 1, 1500) AS text
-FROM (SELECT unit_id, code, unnest(range(0, length(code), 1500)) AS s FROM units)"""))
+FROM (SELECT unit_id, code, unnest(range(0, greatest(length(code), 1), 1500)) AS s FROM units)"""))
 def fixed_chunks(spark, sf_dir):
     return op.fixed_chunks(rel.units(spark, sf_dir), 1500)
 
@@ -72,7 +72,7 @@ def fixed_chunks(spark, sf_dir):
 @register("token_chunks", with_ctes(rel.UNITS_SQL, body="""
 SELECT unit_id, s // 1280 AS chunk_index, s AS start, least(s + 1600, length(code)) AS "end",
        substring(code, s + 1, 1600) AS text
-FROM (SELECT unit_id, code, unnest(range(0, length(code), 1280)) AS s FROM units)
+FROM (SELECT unit_id, code, unnest(range(0, greatest(length(code), 1), 1280)) AS s FROM units)
 WHERE s = 0 OR s + 320 < length(code)"""))
 def token_chunks(spark, sf_dir):
     return op.token_chunks(rel.units(spark, sf_dir), 1600)
@@ -90,8 +90,8 @@ def chunk_counts(spark, sf_dir):
 
 
 @register("reassembled_text", with_ctes(rel.UNITS_SQL, body="""
-SELECT unit_id, replace(code, 'e', 'E') AS code, ceil(length(code) / 1500.0)::BIGINT AS n_chunks
-FROM units WHERE length(code) > 0"""))
+SELECT unit_id, replace(code, 'e', 'E') AS code, greatest(ceil(length(code) / 1500.0), 1)::BIGINT AS n_chunks
+FROM units"""))
 def reassembled_text(spark, sf_dir):
     done = op.fixed_chunks(rel.units(spark, sf_dir), 1500).withColumn(
         "text", F.replace("text", F.lit("e"), F.lit("E")))

@@ -207,7 +207,7 @@ SELECT unit_id, size,
   CASE WHEN size > 100000 THEN 'chunking' ELSE 'preprocessing' END AS strategy,
   CASE WHEN size > 100000 THEN 'chunks' WHEN complexity > 50 THEN 'conditionals'
        WHEN react THEN 'react' ELSE 'cleanup' END AS profile,
-  CASE WHEN size > 100000 THEN least(50000.0::DOUBLE, size / 4.0::DOUBLE) END AS chunk_size,
+  CASE WHEN size > 100000 THEN least(50000, floor(size / 4.0))::BIGINT END AS chunk_size,
   CASE WHEN size > 100000 THEN 1000::BIGINT END AS overlap,
   CASE WHEN size > 100000 THEN 'Large file size detected'
        WHEN complexity > 50 THEN 'High code complexity detected'

@@ -45,7 +45,7 @@ def dropped_after_return(spark, sf_dir):
 
 
 @register("preprocessed_units", with_ctes(rel.UNITS_SQL, DEPTH_SQL, body=f"""
-SELECT unit_id, profile, CASE profile WHEN 'cleanup' THEN {NORMALISED} WHEN 'conditionals' THEN {FOLDED}
+SELECT unit_id, profile, CASE profile WHEN 'cleanup' THEN {NORMALISED} WHEN 'chunks' THEN {NORMALISED} WHEN 'conditionals' THEN {FOLDED}
                                       ELSE code END AS code
 FROM (SELECT unit_id, code, CASE WHEN length(code) > 100000 THEN 'chunks'
                WHEN {BRANCHES} + depth > 50 THEN 'conditionals'

@@ -42,7 +42,7 @@ def valid_source_paths(spark, sf_dir):
 
 @register("plan_preview", with_ctes(rel.SCRIPTS_SQL, body=f"""
 SELECT 'files' AS item, count(*)::VARCHAR AS value FROM scripts WHERE {VALID_SQL}
-UNION ALL SELECT 'path', path FROM (SELECT path FROM scripts WHERE {VALID_SQL} ORDER BY path LIMIT 5)"""))
+UNION ALL SELECT 'path', path FROM scripts WHERE {VALID_SQL}"""))
 def plan_preview(spark, sf_dir):
     return fl.preview(fl.valid_paths(rel.scripts(spark, sf_dir)))
 

@@ -89,8 +89,9 @@ def pick_sql(options: list[str], index: str) -> str:
     return f"list_extract([{', '.join(options)}], ({index} % {len(options)}) + 1)"
 
 
-def inline_script(html: Column) -> Column:
-    return F.regexp_extract(html, "(?s)<script>(.*?)</script>", 1)
+def inline_scripts(html: Column) -> Column:
+    """All scripts of a page, one below the other."""
+    return F.array_join(F.regexp_extract_all(html, F.lit("(?s)<script>(.*?)</script>"), F.lit(1)), "\n")
 
 
 def _repeat(text: str, n: int) -> Column:
@@ -102,34 +103,38 @@ def _repeat_sql(text: str, n: int) -> str:
 
 
 def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One script unit per page."""
+    """One unit per page with a snippet and all scripts of the page, and for every fifth page
+    one more with a snippet alone, which keeps edge cases such as the empty unit."""
     pid = F.col("page_id")
     snippet = pick([_repeat(t, n) for t, n in SNIPPETS], pid)
-    code = F.when(pid % 5 == 0, snippet).otherwise(
-        F.concat(snippet, F.lit("\n"), inline_script(F.col("html"))))
+    both = F.struct(F.lit("script/").alias("name"), F.concat(
+        snippet, F.lit("\n"), inline_scripts(F.col("html"))).alias("code"))
+    alone = F.struct(F.lit("snippet/").alias("name"), snippet.alias("code"))
     path = F.concat(
         F.lit("site"), (pid % 3).cast("string"), F.lit("/"),
-        pick([F.lit(x) for x in FOLDERS], pid), F.lit("/f"), (pid % 1000).cast("string"),
-        F.lit("."), pick([F.lit(x) for x in EXTENSIONS], pid),
+        pick([F.lit(x) for x in FOLDERS], pid), F.when(F.col("u.name") == "script/", "/f").otherwise("/s"),
+        (pid % 1000).cast("string"), F.lit("."), pick([F.lit(x) for x in EXTENSIONS], pid),
     )
-    return table(spark, sf_dir, "pages").select(
-        F.concat(F.lit("script/"), pid.cast("string")).alias("unit_id"), path.alias("path"),
-        F.lit("script").alias("kind"), code.alias("code"), pid.alias("page_id"),
+    rows = table(spark, sf_dir, "pages").select(
+        pid,
+        F.explode(F.when(pid % 5 == 0, F.array(both, alone)).otherwise(F.array(both))).alias("u"))
+    return rows.select(
+        F.concat("u.name", pid.cast("string")).alias("unit_id"), path.alias("path"),
+        F.lit("script").alias("kind"), "u.code", "page_id",
     )
 
 
 SCRIPTS_SQL = f"""
 scripts AS (
-  SELECT 'script/' || page_id AS unit_id,
+  SELECT name || page_id AS unit_id,
          'site' || (page_id % 3) || '/' || {pick_sql([sql_text(x) for x in FOLDERS], 'page_id')}
-           || '/f' || (page_id % 1000) || '.'
+           || CASE name WHEN 'script/' THEN '/f' ELSE '/s' END || (page_id % 1000) || '.'
            || {pick_sql([sql_text(x) for x in EXTENSIONS], 'page_id')} AS path,
          'script' AS kind,
-         CASE WHEN page_id % 5 = 0 THEN snippet
-              ELSE snippet || chr(10)
-                   || regexp_extract(html, '(?s)<script>(.*?)</script>', 1) END AS code,
+         CASE WHEN name = 'snippet/' THEN snippet ELSE snippet || chr(10)
+              || array_to_string(regexp_extract_all(html, '(?s)<script>(.*?)</script>', 1), chr(10)) END AS code,
          page_id
-  FROM (SELECT page_id, html,
+  FROM (SELECT page_id, html, unnest(CASE WHEN page_id % 5 = 0 THEN ['script/', 'snippet/'] ELSE ['script/'] END) AS name,
                {pick_sql([_repeat_sql(t, n) for t, n in SNIPPETS], 'page_id')} AS snippet
         FROM pages))"""
 

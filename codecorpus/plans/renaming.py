@@ -100,7 +100,7 @@ FALLBACK_SQL = rf"""
 fallback AS (
   SELECT request_id, (generate_subscripts(l, 1) - 1)::BIGINT AS ordinal, unnest(l) AS p, as_text
   FROM (SELECT request_id, as_text, ({_shape(r'(?i)rename\s+(\w+)\s+to\s+(\w+)')} || {_shape(r'(\w+)\s*->\s*(\w+)')}
-                 || {_shape(r'(\w+)\s*=>\s*(\w+)')})[1:20] AS l
+                 || {_shape(r'(\w+)\s*=>\s*(\w+)')}) AS l
         FROM (SELECT request_id, payload, items IS NULL AS as_text FROM lists)))"""
 FALLBACK_ROWS = """request_id, ordinal, p[1] AS original_name, p[2] AS suggested_name,
        0.5::DOUBLE AS confidence, 'Extracted from text response' AS reasoning, 'variable' AS type"""
@@ -114,8 +114,8 @@ def rename_text_fallback(spark, sf_dir):
 
 @register("parsed_with_fallback", with_ctes(
     rel.RESPONSES_SQL, ANSWER_SQL, PARSED_SQL, FALLBACK_SQL, body=f"""
-SELECT * EXCLUDE (error) FROM parsed WHERE error IS NULL
-UNION ALL SELECT {FALLBACK_ROWS} FROM fallback WHERE as_text"""))
+SELECT * FROM parsed WHERE request_id NOT IN (SELECT request_id FROM fallback WHERE as_text)
+UNION ALL SELECT {FALLBACK_ROWS}, NULL FROM fallback WHERE as_text"""))
 def parsed_with_fallback(spark, sf_dir):
     return op.parse_with_fallback(rel.responses(spark, sf_dir))
 
@@ -126,12 +126,17 @@ def repaired_json(spark, sf_dir):
     return op.repair_json(rel.responses(spark, sf_dir))
 
 
-@register("rename_parallel_arrays", with_ctes(rel.RESPONSES_SQL, body="""
-SELECT request_id, (generate_subscripts(l, 1) - 1)::BIGINT AS ordinal, unnest(l)[1] AS name, unnest(l)[2] AS new_name
-FROM (SELECT request_id, list_zip(n[1:least(len(n), len(m))], m[1:least(len(n), len(m))]) AS l
-      FROM (SELECT request_id, (payload::JSON->'$[0].name')::VARCHAR[] AS n,
-                   (payload::JSON->'$[0].newName')::VARCHAR[] AS m
-            FROM responses WHERE json_valid(payload) AND json_type(payload, '$[0].name') = 'ARRAY'))"""))
+@register("rename_parallel_arrays", with_ctes(rel.RESPONSES_SQL, body=r"""
+SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY i, j) - 1 AS ordinal, p[1] AS name, p[2] AS new_name
+FROM (SELECT request_id, i, generate_subscripts(l, 1) AS j, unnest(l) AS p
+      FROM (SELECT request_id, i, list_zip(n[1:least(len(n), len(m))], m[1:least(len(n), len(m))]) AS l
+            FROM (SELECT request_id, i,
+                    CASE WHEN json_type(item, '$.name') = 'ARRAY' THEN (item->'$.name')::VARCHAR[] ELSE [item->>'$.name'] END AS n,
+                    CASE WHEN json_type(item, '$.newName') = 'ARRAY' THEN (item->'$.newName')::VARCHAR[] ELSE [item->>'$.newName'] END AS m
+                  FROM (SELECT request_id, unnest(items) AS item, generate_subscripts(items, 1) AS i
+                        FROM (SELECT request_id, CASE WHEN json_valid(payload) AND NOT regexp_matches(payload, ',\s*[\]}]')
+                                AND json_type(payload) = 'ARRAY' THEN json_extract(payload, '$[*]') END AS items FROM responses))
+                  WHERE item->>'$.name' IS NOT NULL AND item->>'$.newName' IS NOT NULL)))"""))
 def rename_parallel_arrays(spark, sf_dir):
     return op.pair_parallel_arrays(rel.responses(spark, sf_dir))
 

@@ -14,7 +14,6 @@ from .unlisted import list_unlisted, read_unlisted
 # What a directory scan takes and what it passes over, at any depth.
 DEFAULT_PATTERNS = ("*.js", "*.mjs", "*.cjs")
 EXCLUDED_FOLDERS = ("node_modules", ".git", "dist", "build")
-PREVIEW_FILES = 5
 
 
 def as_units(files: DataFrame) -> DataFrame:
@@ -138,12 +137,14 @@ def valid_paths(files: DataFrame) -> DataFrame:
     return files.filter(is_valid_source_path(F.col("path")))
 
 
-def preview(files: DataFrame, first: int = PREVIEW_FILES) -> DataFrame:
-    """What a run would process: the number of files and the first ones by path.
+def preview(files: DataFrame, first: int | None = None) -> DataFrame:
+    """What a run would process: the number of files and their paths, or the first ones by path.
 
     Sort and limit together keep `first` rows per task. Nothing is written."""
     total = files.agg(F.count(F.lit(1)).alias("files"))
-    top = files.select("path").orderBy("path").limit(first)
+    top = files.select("path")
+    if first is not None:
+        top = top.orderBy("path").limit(first)
     return total.select(F.lit("files").alias("item"), F.col("files").cast("string").alias("value")) \
         .unionByName(top.select(F.lit("path").alias("item"), F.col("path").alias("value")))
 

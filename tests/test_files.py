@@ -91,8 +91,9 @@ def test_output_paths(spark):
 
 def test_preview_counts_and_lists_first_paths(spark):
     df = spark.createDataFrame([(f"f{i}.js",) for i in range(9, 0, -1)], "path string")
-    rows = [(r.item, r.value) for r in fl.preview(df).collect()]
+    rows = [(r.item, r.value) for r in fl.preview(df, 5).collect()]
     assert rows == [("files", "9")] + [("path", f"f{i}.js") for i in range(1, 6)]
+    assert fl.preview(df).filter("item = 'path'").count() == 9
 
 
 def test_sink_refuses_to_overwrite_unless_forced(spark, tmp_path):

@@ -64,11 +64,11 @@ def test_empty_list_gives_no_row(spark):
     assert parse(spark, {"suggestions": []}, []) == []
 
 
-def test_text_fallback_keeps_order_and_limit(spark):
+def test_text_fallback_keeps_order_and_all(spark):
     text = "a -> b; Rename x1 to y1. c=>d " + " ".join(f"p{i}->q{i}" for i in range(30))
     df = spark.createDataFrame([("r", text)], "request_id string, payload string")
     rows = op.parse_text_fallback(df).orderBy("ordinal").collect()
-    assert len(rows) == fn.FALLBACK_LIMIT
+    assert len(rows) == 33
     assert [(r.original_name, r.suggested_name) for r in rows[:3]] == [("x1", "y1"), ("a", "b"), ("p0", "q0")]
     assert {(r.confidence, r.type) for r in rows} == {(0.5, "variable")}
 
