@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .classify import bad_escapes, guard_reserved
-from .text import WS, WS_CHARS, let, literal_replacement, whole_word_pattern
+from .classify import bad_escapes
+from .text import WS, let, literal_replacement, whole_word_pattern
 
 # Fixed values.
 DEFAULT_CONFIDENCE = 0.5
@@ -22,18 +22,6 @@ FALLBACK_SHAPES = (
     rf"(?<!\w)(\w++){WS}*=>{WS}*(\w+)",
 )
 
-# One token is a quoted string, a comment, a run of name characters, or what lies between.
-# Runs keep letters of every script together, so a name inside a longer word is not a token.
-_DQ = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
-_SQ = r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
-_LINE = r"//[^\n]*+"
-_BLOCK = r"/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/"
-_NAME = r"[\p{L}\p{N}_$]++"
-_REST = r"""[^\p{L}\p{N}_$"'/]++|["'/]"""
-TOKEN = "|".join((_DQ, _SQ, _LINE, _BLOCK, _NAME, _REST))
-
-METHOD_LOOKAHEAD = 40
-
 
 def text_fallback(text: Column) -> Column:
     """array<struct<original_name, suggested_name>> found in free text, all of them."""
@@ -68,61 +56,6 @@ def pair_up(names: Column, new_names: Column) -> Column:
     )
 
 
-def tokens(code: Column) -> Column:
-    return F.regexp_extract_all(code, F.lit(TOKEN), F.lit(0))
-
-
-def _at(toks: Column, i: Column) -> Column:
-    return F.when(i < 0, F.lit("")).otherwise(F.coalesce(F.get(toks, F.greatest(i, F.lit(0))), F.lit("")))
-
-
-def is_free_name(toks: Column, i: Column) -> Column:
-    """Whether token `i` stands for a variable, as far as its neighbours tell.
-
-    Property names after a dot, object keys and method definitions are not free. Spread
-    dots and the branches of a conditional are no such places.
-    """
-    prev = F.rtrim(F.regexp_replace(_at(toks, i - 1), WS + "+$", ""))
-    before = F.when(prev == "", F.rtrim(_at(toks, i - 2))).otherwise(prev)
-    after = F.btrim(_at(toks, i + 1), F.lit(WS_CHARS))
-    follow = F.array_join(F.slice(toks, i + 2, METHOD_LOOKAHEAD), "")
-    is_property = before.endswith(".") & ~before.endswith("...")
-    is_key = after.startswith(":") & before.rlike(r"[{,]$")
-    is_method = (
-        after.startswith("(")
-        & (before.rlike(r"[{};]$") | before.isin("static", "async", "get", "set"))
-        & follow.rlike(rf"^{WS}*\([^()]*\){WS}*\{{")
-    )
-    return ~(is_property | is_key | is_method)
-
-
-def apply_by_token(toks: Column, renames: Column) -> Column:
-    """All renames at once: each free token that is a key of the map is replaced."""
-    return F.array_join(
-        F.transform(
-            toks,
-            lambda t, i: F.when(
-                F.map_contains_key(renames, t) & is_free_name(toks, i), F.try_element_at(renames, t)
-            ).otherwise(t),
-        ),
-        "",
-    )
-
-
-def apply_everywhere(toks: Column, renames: Column) -> Column:
-    """Every identifier token is replaced, keys and properties included; a reserved target
-    gets a trailing ``$``."""
-    return F.array_join(
-        F.transform(
-            toks,
-            lambda t: F.when(
-                F.map_contains_key(renames, t), guard_reserved(F.try_element_at(renames, t))
-            ).otherwise(t),
-        ),
-        "",
-    )
-
-
 def apply_in_sequence(code: Column, renames: Column) -> Column:
     """Whole-word replacement one rename after the other, longest original first.
 

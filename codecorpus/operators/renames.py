@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import renames as rn
+from ..functions import scan
 from ..functions.classify import guard_reserved, has_bad_escape
 from ..functions.text import exact_mean, let
 from .rows import explode_once
@@ -262,54 +266,61 @@ def split_malformed(renames: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def _present(tokenised: DataFrame, renames: DataFrame) -> DataFrame:
-    """Renames whose original occurs in the text of their unit.
+NAMES = r"[\p{L}\p{N}_$]+"
+PAIRS = "array<struct<original_name:string,suggested_name:string>>"
+
+
+def _with_renames(units: DataFrame, renames: DataFrame) -> DataFrame:
+    """(unit_id, code, renames): each unit with the renames whose original occurs in its text.
 
-    The join key spreads a unit over all tasks by name, and what remains per unit is no
-    longer than its text, so the map built from it is bounded.
+    Distinct names go through the join by (unit, name), which spreads a unit over all tasks; what
+    remains per unit is no longer than its text. The text itself moves once.
     """
-    wanted = renames.select("unit_id").distinct()
     names = explode_once(
-        tokenised.join(wanted, "unit_id", "left_semi"), "unit_id",
-        array=F.array_distinct("toks"), name="original_name")
-    return renames.join(names, ["unit_id", "original_name"], "left_semi")
+        units, "unit_id", name="original_name",
+        array=F.array_distinct(F.regexp_extract_all("code", F.lit(NAMES), F.lit(0))))
+    found = renames.join(names, ["unit_id", "original_name"], "left_semi").groupBy("unit_id").agg(
+        F.collect_list(F.struct("original_name", "suggested_name")).alias("renames"))
+    return units.select("unit_id", "code").join(found, "unit_id", "left").withColumn(
+        "renames", F.coalesce("renames", F.array().cast(PAIRS)))
 
 
-def _with_map(units: DataFrame, renames: DataFrame) -> DataFrame:
-    tokenised = units.withColumn("toks", rn.tokens(F.col("code")))
-    maps = _present(tokenised, renames).groupBy("unit_id").agg(
-        F.map_from_entries(
-            F.collect_list(F.struct("original_name", "suggested_name"))).alias("renames")
-    )
-    empty = F.create_map().cast("map<string,string>")
-    return tokenised.join(maps, "unit_id", "left").withColumn(
-        "renames", F.coalesce("renames", empty)
-    )
+def _rewritten(rows: DataFrame) -> DataFrame:
+    """(unit_id, code, hits): names looked up by hash, batch by batch."""
+    def rewrite(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = [scan.rename(c, {r["original_name"]: r["suggested_name"] for r in rs}) if c is not None and len(rs)
+                   else (c, {}) for c, rs in zip(f["code"], f["renames"], strict=True)]
+            yield pd.DataFrame({"unit_id": f["unit_id"], "code": [c for c, _ in out],
+                                "hits": [list(h.items()) for _, h in out]})
+    return rows.mapInPandas(rewrite, "unit_id string, code string, hits array<struct<original_name:string,n:long>>")
 
 
 def apply_by_token(units: DataFrame, suggestions: DataFrame) -> DataFrame:
     """Apply the best suggestion of each name at once, to free names only.
 
-    Lexical: strings and comments are kept, properties, object keys and method definitions
-    are skipped, scopes are not told apart.
+    Lexical: strings, comments and template words are kept, properties, object keys and method
+    definitions are skipped, scopes and regular-expression literals are not told apart.
     """
-    best = best_suggestions(suggestions)
-    return _with_map(units, best).select(
-        "unit_id", rn.apply_by_token(F.col("toks"), F.col("renames")).alias("code")
-    )
+    return _rewritten(_with_renames(units, best_suggestions(suggestions))).select("unit_id", "code")
 
 
 def apply_everywhere(units: DataFrame, renames: DataFrame) -> DataFrame:
     """Rename every identifier occurrence; the last of several renames of a name wins.
 
-    `renames` has unit_id, ordinal, original_name, suggested_name.
+    `renames` has unit_id, ordinal, original_name, suggested_name. A reserved target gets a
+    trailing ``$``.
     """
     last = renames.groupBy("unit_id", "original_name").agg(
         F.max_by("suggested_name", "ordinal").alias("suggested_name")
-    )
-    return _with_map(units, last).select(
-        "unit_id", rn.apply_everywhere(F.col("toks"), F.col("renames")).alias("code")
-    )
+    ).withColumn("suggested_name", guard_reserved(F.col("suggested_name")))
+
+    def rewrite(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"unit_id": f["unit_id"], "code": [
+                scan.rename_all(c, {r["original_name"]: r["suggested_name"] for r in rs}) if c is not None and len(rs)
+                else c for c, rs in zip(f["code"], f["renames"], strict=True)]})
+    return _with_renames(units, last).mapInPandas(rewrite, "unit_id string, code string")
 
 
 def _may_match(units: DataFrame, renames: DataFrame) -> DataFrame:
@@ -317,12 +328,11 @@ def _may_match(units: DataFrame, renames: DataFrame) -> DataFrame:
     the unit or in a target that another rename may write. Joined by (unit, word), so that
     a unit is spread over all tasks; originals without any word are kept."""
     runs = r"\w+"
-    wanted = renames.select("unit_id").distinct()
     written = explode_once(
         renames, "unit_id", name="word",
         array=F.regexp_extract_all("suggested_name", F.lit(runs), F.lit(0)))
     in_text = explode_once(
-        units.join(wanted, "unit_id", "left_semi"), "unit_id", name="word",
+        units, "unit_id", name="word",
         array=F.array_distinct(F.regexp_extract_all("code", F.lit(runs), F.lit(0))))
     keyed = renames.withColumn("word", F.regexp_extract("original_name", runs, 0))
     found = keyed.filter(F.col("word") != "").join(
@@ -349,14 +359,11 @@ def apply_in_sequence(units: DataFrame, suggestions: DataFrame) -> DataFrame:
 
 
 def rename_hits(units: DataFrame, suggestions: DataFrame) -> DataFrame:
-    """Occurrences of each suggested name in its unit, zero included."""
+    """How often applying them changes each suggested name in its unit, zero included."""
     best = best_suggestions(suggestions).select("unit_id", "original_name", "suggested_name")
-    wanted = best.select("unit_id").distinct()
-    toks = explode_once(
-        units.join(wanted, "unit_id", "left_semi"), "unit_id",
-        array=rn.tokens(F.col("code")), name="original_name")
-    counts = toks.groupBy("unit_id", "original_name").agg(F.count(F.lit(1)).alias("n"))
-    return best.join(counts, ["unit_id", "original_name"], "left").withColumn(
+    changed = explode_once(
+        _rewritten(_with_renames(units, best)), "unit_id", array=F.col("hits"), name="h").select("unit_id", "h.*")
+    return best.join(changed, ["unit_id", "original_name"], "left").withColumn(
         "n", F.coalesce("n", F.lit(0))
     )
 

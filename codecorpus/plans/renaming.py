@@ -185,23 +185,29 @@ maps AS (
   SELECT unit_id, map_from_entries(list((original_name, suggested_name))) AS m FROM {source} GROUP BY unit_id)"""
 
 
-BEFORE = r"""CASE WHEN regexp_replace(coalesce(toks[i - 1], ''), '\s+$', '') = ''
-  THEN rtrim(coalesce(CASE WHEN i > 2 THEN toks[i - 2] END, ''))
-  ELSE rtrim(regexp_replace(coalesce(toks[i - 1], ''), '\s+$', '')) END"""
-AFTER = r"trim(coalesce(toks[i + 1], ''), ' ' || chr(9) || chr(10) || chr(13) || chr(12))"
-FREE_SQL = rf"""NOT (
-    (ends_with({BEFORE}, '.') AND NOT ends_with({BEFORE}, '...'))
-    OR (starts_with({AFTER}, ':') AND regexp_matches({BEFORE}, '[{{,]$'))
-    OR (starts_with({AFTER}, '(')
-        AND (regexp_matches({BEFORE}, '[{{}};]$') OR {BEFORE} IN ('static', 'async', 'get', 'set'))
-        AND regexp_matches(array_to_string(toks[i + 1 : i + 40], ''), '^\s*\([^()]*\)\s*\{{')))"""
+# Tokens with their neighbours; the end of a token leads to the text behind it.
+PLACED_SQL = r"""
+tk AS (SELECT unit_id, unnest(toks) AS t, generate_subscripts(toks, 1) AS i FROM tokenised),
+placed AS (
+  SELECT unit_id, i, t, e, CASE WHEN p1 = '' THEN rtrim(p2) ELSE p1 END AS bef,
+         trim(n1, ' ' || chr(9) || chr(10) || chr(13) || chr(12)) AS aft
+  FROM (SELECT unit_id, i, t, rtrim(regexp_replace(lag(t, 1, '') OVER w, '\s+$', '')) AS p1,
+               lag(t, 2, '') OVER w AS p2, lead(t, 1, '') OVER w AS n1, sum(length(t)) OVER w AS e
+        FROM tk WINDOW w AS (PARTITION BY unit_id ORDER BY i))),
+free AS (
+  SELECT p.unit_id, p.i, p.t, b.suggested_name
+  FROM placed p JOIN best b ON b.unit_id = p.unit_id AND b.original_name = p.t JOIN scripts s ON s.unit_id = p.unit_id
+  WHERE NOT ((ends_with(bef, '.') AND NOT ends_with(bef, '...'))
+    OR (starts_with(aft, ':') AND regexp_matches(bef, '[{,]$'))
+    OR (starts_with(aft, '(') AND (regexp_matches(bef, '[{};]$') OR bef IN ('static', 'async', 'get', 'set'))
+        AND regexp_matches(substring(s.code, e::BIGINT + 1), '^\s*\([^()]*\)\s*\{'))))"""
 
 
 @register("rename_applied", with_ctes(
-    rel.SCRIPTS_SQL, rel.RENAMES_SQL, rel.BEST_RENAMES_SQL, TOKENISED_SQL, _maps_sql("best"), body=f"""
-SELECT unit_id, CASE WHEN m IS NULL THEN code ELSE array_to_string(list_transform(toks,
-    lambda t, i: CASE WHEN m[t] IS NOT NULL AND {FREE_SQL} THEN m[t] ELSE t END), '') END AS code
-FROM tokenised LEFT JOIN maps USING (unit_id)"""))
+    rel.SCRIPTS_SQL, rel.RENAMES_SQL, rel.BEST_RENAMES_SQL, TOKENISED_SQL, PLACED_SQL, body="""
+SELECT s.unit_id, coalesce(r.code, '') AS code FROM scripts s LEFT JOIN (
+  SELECT k.unit_id, string_agg(coalesce(f.suggested_name, k.t), '' ORDER BY k.i) AS code
+  FROM tk k LEFT JOIN free f ON f.unit_id = k.unit_id AND f.i = k.i GROUP BY k.unit_id) r ON r.unit_id = s.unit_id"""))
 def rename_applied(spark, sf_dir):
     return op.apply_by_token(rel.scripts(spark, sf_dir), rel.renames(spark, sf_dir))
 
@@ -247,20 +253,19 @@ def rename_in_sequence(spark, sf_dir):
 
 HITS_SQL = """
 hits AS (
-  SELECT unit_id, original_name, suggested_name,
-         len(list_filter(toks, lambda t: t = original_name))::BIGINT AS n
-  FROM best JOIN tokenised USING (unit_id))"""
+  SELECT b.unit_id, b.original_name, b.suggested_name, count(f.t) AS n
+  FROM best b LEFT JOIN free f ON f.unit_id = b.unit_id AND f.t = b.original_name GROUP BY ALL)"""
 
 
 @register("rename_hits", with_ctes(
-    rel.SCRIPTS_SQL, rel.RENAMES_SQL, rel.BEST_RENAMES_SQL, TOKENISED_SQL, HITS_SQL,
+    rel.SCRIPTS_SQL, rel.RENAMES_SQL, rel.BEST_RENAMES_SQL, TOKENISED_SQL, PLACED_SQL, HITS_SQL,
     body="SELECT * FROM hits"))
 def rename_hits(spark, sf_dir):
     return op.rename_hits(rel.scripts(spark, sf_dir), rel.renames(spark, sf_dir))
 
 
 @register("rename_totals", with_ctes(
-    rel.SCRIPTS_SQL, rel.RENAMES_SQL, rel.BEST_RENAMES_SQL, TOKENISED_SQL, HITS_SQL, body="""
+    rel.SCRIPTS_SQL, rel.RENAMES_SQL, rel.BEST_RENAMES_SQL, TOKENISED_SQL, PLACED_SQL, HITS_SQL, body="""
 SELECT unit_id, count(*) AS offered, count(*) FILTER (WHERE n > 0) AS applied, sum(n)::BIGINT AS occurrences
 FROM hits GROUP BY unit_id"""))
 def rename_totals(spark, sf_dir):

@@ -88,12 +88,8 @@ def test_markup_check_equals_its_plain_pattern(spark):
 
 def test_long_patterns_do_not_exhaust_the_stack(spark, units):
     union = "let a: " + " | ".join(f"T{i}" for i in range(20_000)) + " = 1"
-    text = '"' + "\\n" * 50_000 + '" // end'
-    from codecorpus.functions import renames as rn
-    row = units(("a", union), ("b", text)).select(
-        F.max(cl.has_typed_syntax(F.col("code"))).alias("typed"),
-        F.max(F.size(rn.tokens(F.col("code")))).alias("n")).first()
-    assert row.typed and row.n > 10_000
+    row = units(("a", union)).select(F.max(cl.has_typed_syntax(F.col("code"))).alias("typed")).first()
+    assert row.typed
 
 
 def chunks_by_loop(code, size, overlap):
