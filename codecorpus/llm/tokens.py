@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .textbytes import blocks
 
 #: Chunks whose ids a worker keeps; beyond that it starts anew.
-MOST_KEPT = 200_000
+MOST_KEPT = 100_000
 #: A special token that no chunk is given to the tokenizer with; it parts the chunks of a batch.
 PART = "<|endoftext|>"
 END = b"\0\0\0\0"
