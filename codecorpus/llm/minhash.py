@@ -21,7 +21,7 @@ from .textbytes import U64, blocks, mix, shingles, texts_of, words
 
 SLOTS, ROWS = 128, 4
 #: Hashes of sets that one task compares at once; larger families are compared block by block.
-BLOCK_HASHES = 1 << 20
+BLOCK_HASHES = 1 << 17
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, slots: i
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
               .select("class_id", F.col("root").alias("family"), "block",
                       F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")))
-    parts = pieces_for(members.agg(F.sum("n_shingles")).first()[0], BLOCK_HASHES // 4)
+    parts = pieces_for(members.agg(F.sum("n_shingles")).first()[0], BLOCK_HASHES)
     links = (sets.join(placed, "class_id")
              .repartition(max(parts, 8), "family", "low", "high").sortWithinPartitions("family", "low", "high")
              .select("family", "low", "high", "block", "class_id", "members")
