@@ -92,80 +92,107 @@ def _hasher(axes: int, tables: int) -> Callable:
                 part = f.iloc[i:i + 4096]
                 keys = bucket_keys(_unit(part["vector"]), axes, tables).view(np.int64)
                 n, each = len(part), keys.shape[1] * keys.shape[2]
+                home = np.tile(np.arange(keys.shape[2]) == 0, n * keys.shape[1])
+                once = home | (keys != keys[:, :, :1]).ravel()  # where axes are few, a probe can lead back home
                 yield pd.DataFrame({"key": keys.ravel(), "class_id": np.repeat(part["class_id"].to_numpy(), each),
-                                    "home": np.tile(np.arange(keys.shape[2]) == 0, n * keys.shape[1])})
+                                    "home": home})[once]
     return place
 
 
-def _meet(key: int, ids: np.ndarray, many: np.ndarray, x: np.ndarray, home: np.ndarray, side: np.ndarray,
-          across: bool, least: float, axes: int, tables: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Links counted here, per vector, and edges that span them.
+def _near_pairs(x: np.ndarray, home: np.ndarray, side: np.ndarray, across: bool, least: float
+                ) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a bucket (or of two of its blocks) that may be near and of which one is at home."""
+    near = np.triu(x @ x.T >= least - 1e-9, 1)
+    near &= home[:, None] | home[None, :]
+    if across:
+        near &= side[:, None] != side[None, :]
+    return np.nonzero(near)
+
+
+def _counted(pairs: list[tuple], ids: np.ndarray, many: np.ndarray, x: np.ndarray, least: float, axes: int, tables: int
+             ) -> pd.DataFrame:
+    """Links per vector, and edges that span them, of pairs of rows (a, b, bucket key).
 
     A pair that meets in several buckets is counted in the first table, and there in the lesser key.
     """
+    a, b = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+    own = np.concatenate([np.full(len(p[0]), p[2], np.int64) for p in pairs]).view(np.uint64)
     square = np.einsum("ij,ij->i", x, x)
-    unit = x / np.sqrt(square)[:, None]
-    near = np.triu(unit @ unit.T >= least - 1e-9, 1)
-    near &= home[:, None] | home[None, :]
-    if across:
-        near &= side[:, None] != side[None, :]
-    a, b = np.nonzero(near)
-    links, parent, edges = np.zeros(len(ids), np.int64), np.arange(len(ids)), []
+    fit = (x[a] * x[b]).sum(axis=1) / (np.sqrt(square[a]) * np.sqrt(square[b])) >= least
+    a, b, own = a[fit], b[fit], own[fit]
     if not len(a):
-        return links, edges
-    keys = bucket_keys(x, axes, tables)
-    own = np.array([key], np.int64).view(np.uint64)[0]
-    table = int(np.argmax((keys[home.argmax()] == own).any(axis=1)))
-    for i in range(0, len(a), 1 << 16):
-        p, q = a[i:i + (1 << 16)], b[i:i + (1 << 16)]
-        cosine = (x[p] * x[q]).sum(axis=1) / (np.sqrt(square[p]) * np.sqrt(square[q]))
-        fit = cosine >= least
-        for t in range(table + 1):
-            kp, kq = keys[p, t], keys[q, t]
-            q_comes = (kq == kp[:, :1]).any(axis=1)
-            p_comes = (kp == kq[:, :1]).any(axis=1)
-            if t < table:
-                fit &= ~(q_comes | p_comes)
-            else:
-                fit &= ~(q_comes & p_comes) | (np.minimum(kp[:, 0], kq[:, 0]) == own)
-        p, q = p[fit], q[fit]
-        np.add.at(links, p, many[q])
-        np.add.at(links, q, many[p])
-        for u, v in zip(p.tolist(), q.tolist(), strict=True):
-            ru, rv = find(parent, u), find(parent, v)
-            if ru != rv:
-                parent[max(ru, rv)] = min(ru, rv)
-                edges.append((int(ids[u]), int(ids[v])))
-    return links, edges
+        return pd.DataFrame({"a": [], "b": [], "n": []}).astype({"a": "Int64", "b": "Int64", "n": "int64"})
+    rows, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    keys = bucket_keys(x[rows], axes, tables)
+    pa, pb = place[:len(a)], place[len(a):]
+    keep = np.zeros(len(a), bool)
+    for i in range(0, len(a), 1 << 15):
+        cut = slice(i, i + (1 << 15))
+        ka, kb = keys[pa[cut]], keys[pb[cut]]
+        b_comes, a_comes = (kb == ka[:, :, :1]).any(axis=2), (ka == kb[:, :, :1]).any(axis=2)
+        first = np.argmax(a_comes | b_comes, axis=1)
+        at = np.arange(len(first))
+        here = ((ka[at, first, 0] == own[cut]) & b_comes[at, first]) | ((kb[at, first, 0] == own[cut]) & a_comes[at, first])
+        both = a_comes[at, first] & b_comes[at, first]
+        keep[cut] = here & (~both | (np.minimum(ka[at, first, 0], kb[at, first, 0]) == own[cut]))
+    a, b = a[keep], b[keep]
+    links = np.zeros(len(ids), np.int64)
+    np.add.at(links, a, many[b])
+    np.add.at(links, b, many[a])
+    nodes, where = np.unique(ids[np.concatenate([a, b])], return_inverse=True)
+    parent, edges = np.arange(len(nodes)), []
+    for u, v in zip(where[:len(a)].tolist(), where[len(a):].tolist(), strict=True):
+        u, v = find(parent, u), find(parent, v)
+        if u != v:
+            parent[max(u, v)] = min(u, v)
+            edges.append((u, v))
+    some = np.flatnonzero(links)
+    ends = nodes[np.array(edges, np.int64).reshape(-1, 2)]
+    return pd.concat([
+        pd.DataFrame({"a": pd.array(ids[some], "Int64"), "b": pd.array([pd.NA] * len(some), "Int64"), "n": links[some]}),
+        pd.DataFrame({"a": pd.array(ends[:, 0], "Int64"), "b": pd.array(ends[:, 1], "Int64"), "n": np.zeros(len(ends), np.int64)}),
+    ])
+
+
+#: Pairs held before they are counted.
+MOST_PAIRS = 1 << 19
 
 
 def _verifier(least: float, axes: int, tables: int) -> Callable:
+    """Streams rows sorted by bucket and block pair; each is compared in one go."""
     group = ["key", "low", "high"]
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def told(rows: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            for (key, low, high), g in rows.groupby(group, sort=False):
-                # a probe may lead back to a bucket: a vector stands in it once, at home if it can
-                g = g.sort_values("home", ascending=False).drop_duplicates("class_id")
-                if len(g) > 1:
-                    ids = g["class_id"].to_numpy()
-                    links, edges = _meet(key, ids, g["many"].to_numpy(), _unit(g["vector"]), g["home"].to_numpy(bool),
-                                         g["block"].to_numpy(), low != high, least, axes, tables)
-                    out += [(i, None, n) for i, n in zip(ids.tolist(), links.tolist(), strict=True) if n]
-                    out += [(a, b, 0) for a, b in edges]
-            return pd.DataFrame(out, columns=["a", "b", "n"]).astype({"a": "Int64", "b": "Int64", "n": "int64"})
-
-        held: list[pd.DataFrame] = []
+        def told(f: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            if f.empty:
+                return
+            x, marks = _unit(f["vector"]), f[group].to_numpy()
+            unit = x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+            ids, many, home, side = (f[c].to_numpy() for c in ("class_id", "many", "home", "block"))
+            ends = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1).tolist(), len(f)]
+            pairs, held = [], 0
+            for s, e in zip(ends[:-1], ends[1:], strict=True):
+                if e - s > 1 and home[s:e].any():
+                    a, b = _near_pairs(unit[s:e], home[s:e], side[s:e], marks[s, 1] != marks[s, 2], least)
+                    if len(a):
+                        pairs.append((a + s, b + s, marks[s, 0]))
+                        held += len(a)
+                if held >= MOST_PAIRS:
+                    yield _counted(pairs, ids, many, x, least, axes, tables)
+                    pairs, held = [], 0
+            if pairs:
+                yield _counted(pairs, ids, many, x, least, axes, tables)
+
+        rest: list[pd.DataFrame] = []
         for f in frames:
             if f.empty:
                 continue
-            rows = pd.concat([*held, f], ignore_index=True)
+            rows = pd.concat([*rest, f], ignore_index=True)
             open_ = (rows[group] == rows[group].iloc[-1]).all(axis=1)
-            held = [rows[open_]]
-            yield told(rows[~open_])
-        if held:
-            yield told(held[0])
+            rest = [rows[open_]]
+            yield from told(rows[~open_])
+        if rest:
+            yield from told(rest[0])
     return verify
 
 
