@@ -48,8 +48,13 @@ def build_requests(
     )
 
 
-def _non_retryable(message: str) -> bool:
-    low = message.lower()
+def _non_retryable(error: Exception) -> bool:
+    """By the status an error carries: 429 and 500 or more may pass, others won't. Without one, by
+    its message."""
+    status = getattr(error, "status", None) or getattr(error, "status_code", None)
+    if isinstance(status, int):
+        return status != 429 and status < 500
+    low = str(error).lower()
     return any(part in low for part in cl.NON_RETRYABLE)
 
 
@@ -67,7 +72,7 @@ def _call(
         except Exception as error:  # a failed call is a result row, never a failed job
             message = str(error)
             row["error_message"] = message
-            if _non_retryable(message):
+            if _non_retryable(error):
                 row["error_class"] = "non_retryable"
                 break
             row["error_class"] = "exhausted"
@@ -100,9 +105,8 @@ def run_inference(
         with ThreadPoolExecutor(max_workers=threads) as pool:
             for batch in batches:
                 todo = batch.to_dict("records")
-                rows = list(pool.map(
-                    lambda r: _call(client, r, max_attempts, base_delay, sleep), todo))
-                yield pd.DataFrame(rows, columns=names)
+                for row in pool.map(lambda r: _call(client, r, max_attempts, base_delay, sleep), todo):
+                    yield pd.DataFrame([row], columns=names)  # an answer does not wait for its batch
 
     spread = requests.repartition(partitions) if partitions else requests
     return spread.mapInPandas(run, RESPONSES)

@@ -65,23 +65,33 @@ def arriving_files(spark, sf_dir):
         ar.watch_files(
             spark, folder, out, checkpoint, lambda df: _back(df, folder)).awaitTermination()
     return spark.read.schema("name string, digest string, n_bytes long").parquet(
-        f"{out}/batch_id=*")
+        f"{out}/progress=*/batch_id=*")
 
 
-@register("first_keys_on_stream", """
-SELECT DISTINCT user_id || '-' || event_type AS key FROM events""")
+TTL_DAYS = 10
+
+
+@register("first_keys_on_stream", f"""
+WITH RECURSIVE e AS (SELECT user_id || '-' || event_type AS key, ts FROM events),
+due AS (
+  SELECT key, min(ts) AS ts FROM e GROUP BY key
+  UNION ALL
+  SELECT d.key, min(e.ts) AS ts FROM due d JOIN e ON e.key = d.key AND e.ts >= d.ts + INTERVAL {TTL_DAYS} DAY
+  GROUP BY d.key, d.ts)
+SELECT key, epoch_us(ts) AS at_us FROM due""")
 def first_keys_on_stream(spark, sf_dir):
-    """Keys of the event stream, once each; the time to live is longer than the data."""
+    """Keys of the event stream, once each within ten days of event time."""
     out, checkpoint = scratch_folder(spark, "keys"), scratch_folder(spark, "progress")
     schema = rel.table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option(
         "pathGlobFilter", "events.parquet").parquet(sf_dir)
     keyed = stream.select(F.concat_ws("-", "user_id", "event_type").alias("key"), "ts")
-    firsts = ar.first_in_ttl(keyed, ttl_seconds=100 * 365 * 86_400)
-    (firsts.select("key").writeStream.format("parquet").option("path", out)
+    firsts = ar.first_in_ttl(keyed, ttl_seconds=TTL_DAYS * 86_400)
+    (firsts.writeStream.format("parquet").option("path", out)
      .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
      .awaitTermination())
-    return spark.read.schema("key string").parquet(out)
+    return spark.read.schema(firsts.schema).parquet(out).select(
+        "key", F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"))
 
 
 @register("refused_overwrites", with_ctes(rel.UNITS_SQL, rel.REWORKED_SQL, body="""

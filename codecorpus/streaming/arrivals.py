@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import hashlib
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from ..sources.files import as_units, is_chosen, relative_path
 
 
 def file_stream(
-    spark: SparkSession, root: str, max_files: int = 1000, exclude: Sequence[str] = ()
+    spark: SparkSession, root: str, max_files: int = 1000, recursive: bool = True,
+    patterns: Sequence[str] | None = None, exclude: Sequence[str] = (),
 ) -> DataFrame:
     """Units of script files that arrive below `root`, chosen as a folder scan does.
 
@@ -20,43 +25,71 @@ def file_stream(
     a scan sees both.
     """
     path = F.col("_metadata.file_path")
-    files = (
+    reader = (
         spark.readStream.format("text").schema("value string")
         .option("wholetext", "true")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.{js,mjs,cjs}")
+        .option("recursiveFileLookup", str(recursive).lower())
         .option("maxFilesPerTrigger", max_files)
-        .load(root)
     )
-    return as_units(files.filter(is_chosen(path, relative_path(path, root), exclude=exclude)))
+    if not patterns:
+        reader = reader.option("pathGlobFilter", "*.{js,mjs,cjs}")
+    chosen = is_chosen(path, relative_path(path, root), recursive, patterns, exclude)
+    return as_units(reader.load(root).filter(chosen))
 
 
 def watch_files(
     spark: SparkSession, root: str, output: str, checkpoint: str,
     change: Callable[[DataFrame], DataFrame], available_now: bool = True,
-    max_files: int = 1000,
+    max_files: int = 1000, recursive: bool = True, patterns: Sequence[str] | None = None,
+    exclude: Sequence[str] = (),
 ) -> StreamingQuery:
     """Apply `change` to every new file once.
 
-    Each micro-batch owns one ``batch_id=…`` folder and overwrites it, so a batch that is
-    repeated after a failure replaces its own half-written output.
+    Each micro-batch owns one ``progress=…/batch_id=…`` folder and overwrites it, so a batch that
+    is repeated after a failure replaces its own half-written output. A stream with another
+    checkpoint starts its batches anew, in a folder of its own.
     """
+    own = f"{output.rstrip('/')}/progress={hashlib.sha256(checkpoint.encode()).hexdigest()[:12]}"
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        change(batch).write.mode("overwrite").parquet(f"{output.rstrip('/')}/batch_id={batch_id}")
+        change(batch).write.mode("overwrite").parquet(f"{own}/batch_id={batch_id}")
 
     writer = (
-        file_stream(spark, root, max_files).writeStream
+        file_stream(spark, root, max_files, recursive, patterns, exclude).writeStream
         .foreachBatch(write).option("checkpointLocation", checkpoint)
     )
     trigger = {"availableNow": True} if available_now else {"processingTime": "10 seconds"}
     return writer.trigger(**trigger).start()
 
 
-def first_in_ttl(keyed: DataFrame, ttl_seconds: int, ts: str = "ts") -> DataFrame:
-    """The first row of each key within a time to live, on a stream.
+def first_in_ttl(keyed: DataFrame, ttl_seconds: float, ts: str = "ts") -> DataFrame:
+    """(key, ts) of the first row of each key, and of each first row after its time to live, on a stream.
 
-    State is one entry per key and is dropped by the watermark, so it is bounded by the
-    keys of one time to live.
+    A key's state is the time it last passed. Rows of a batch are taken in order of time, so
+    what passes does not depend on how rows fall into batches, as long as batches follow
+    each other in time. Once the watermark is past a key's time to live its state is dropped.
     """
-    timed = keyed.withColumn(ts, F.col(ts).cast("timestamp"))
-    return timed.withWatermark(ts, f"{ttl_seconds} seconds").dropDuplicatesWithinWatermark(["key"])
+    def passed(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        ttl = int(ttl_seconds * 1_000_000)
+        times = np.sort(np.concatenate([f["us"].to_numpy(np.int64) for f in frames]))
+        last, out = state.get[0] if state.exists else None, []
+        at = 0
+        while at < len(times):
+            if last is not None:  # straight to the first row that is due
+                at = int(np.searchsorted(times, last + ttl))
+                if at == len(times):
+                    break
+            last = int(times[at])
+            out.append(last)
+        if last is not None:
+            state.update((last,))
+            state.setTimeoutTimestamp(max((last + ttl) // 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"key": [key[0]] * len(out), "us": np.array(out, np.int64)})
+
+    timed = keyed.select("key", F.col(ts).cast("timestamp").alias(ts)).withWatermark(ts, "0 seconds")
+    rows = timed.withColumn("us", F.unix_micros(ts)).groupBy("key").applyInPandasWithState(
+        passed, "key string, us long", "last long", "append", "EventTimeTimeout")
+    return rows.select("key", F.timestamp_micros("us").cast(keyed.schema[ts].dataType).alias(ts))

@@ -157,6 +157,27 @@ def test_repeated_keys_pass_once_within_their_time_to_live(spark, tmp_path):
     assert len(batch(("a", "2024-01-01 01:00:10"))) == 4
 
 
+def test_keys_pass_again_after_their_time_to_live_within_a_batch(spark, tmp_path):
+    src, out, check = (str(tmp_path / d) for d in ("src", "out", "cp"))
+    rows = [("a", f"2024-01-01 00:{m:02d}:{s:02d}") for m, s in ((0, 0), (0, 9), (8, 20), (8, 29), (16, 40))]
+    spark.createDataFrame(rows, "key string, at string").select(
+        "key", F.to_timestamp_ntz("at").alias("ts")).coalesce(1).write.parquet(src)
+    stream = spark.readStream.schema("key string, ts timestamp_ntz").parquet(src)
+    q = (arrivals.first_in_ttl(stream, 10).writeStream.format("parquet").option("checkpointLocation", check)
+         .option("path", out).trigger(availableNow=True).start())
+    assert q.awaitTermination(120)
+    assert sorted(str(r.ts)[14:] for r in spark.read.parquet(out).collect()) == ["00:00", "08:20", "16:40"]
+
+
+def test_another_checkpoint_leaves_earlier_output(spark, tmp_path):
+    root, out = tmp_path / "in", str(tmp_path / "out")
+    write(root, **{"a.js": "x", "skip.js": "y"})
+    for name, exclude in (("one", []), ("two", ["skip.js"])):
+        q = arrivals.watch_files(spark, str(root), out, str(tmp_path / name), lambda df: df, exclude=exclude)
+        assert q.awaitTermination(120)
+    assert sorted(r.code for r in spark.read.parquet(out).collect()) == ["x", "x", "y"]
+
+
 def test_files_are_written_once_and_not_overwritten(spark, tmp_path):
     root = str(tmp_path / "w")
 
