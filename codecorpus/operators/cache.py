@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.fingerprint import entry_size, json_string
+from ..session import ensure_checkpoint_dir
 from .skew import join_unique
 
 # Fixed value: entries live one hour unless told otherwise.
@@ -71,48 +72,33 @@ def upsert(cache: DataFrame, entries: DataFrame) -> DataFrame:
                            for c in cache.columns])
 
 
-def _total_up_to(df: DataFrame, level: Column, space: Column, before: Column) -> DataFrame:
-    """One row: the first value of `level` at which the running size reaches `space`, and the
-    running size in front of it. `level` has few values, so the window runs over few rows."""
-    sums = df.groupBy(level.alias("v")).agg(F.sum("size").cast("long").alias("s"))
-    w = W.partitionBy(F.lit(0)).orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    running = sums.withColumn("upto", F.sum("s").over(w) + before)
-    reached = running.filter(F.col("upto") >= space)
-    return reached.agg(
-        F.min("v").alias("v"), F.min_by(F.col("upto") - F.col("s"), "v").alias("before")
-    )
-
-
 def evict_oldest(cache: DataFrame, space: int) -> DataFrame:
     """What remains after removing the oldest entries until `space` bytes are free.
 
-    The order is (created_at, key). A running total over all entries would pass through one
-    task; instead the cut is narrowed down: to an hour, to a second, to a microsecond, to a
-    four-digit prefix of the key, to one entry. Each level sums into a bounded number of
-    groups, combined per task, and looks only into the group the previous one chose. The
-    entries themselves are then filtered in place, without a shuffle.
+    The order is (created_at, key). Narrow rows are range-partitioned by it and pinned; the
+    ranges' totals, one number each, tell which range holds the cut, and a running total runs
+    through that range only. The entries are then filtered in place by the cut, without a
+    shuffle. The cut is found when this is called.
     """
     if space <= 0:
         return cache
-    need = F.lit(space)
+    ensure_checkpoint_dir(cache.sparkSession)
     micros = F.unix_micros("created_at")
-    narrow = cache.select("key", micros.alias("t"), "size")
-    levels = (
-        F.floor(F.col("t") / F.lit(3_600_000_000)),
-        F.floor(F.col("t") / F.lit(1_000_000)),
-        F.col("t"),
-        F.left("key", F.lit(4)),
-        F.col("key"),
+    ranged = (
+        cache.select(micros.alias("t"), "key", "size").repartitionByRange("t", "key")
+        .withColumn("range", F.spark_partition_id()).checkpoint()
     )
-    rows, before, cuts = narrow, F.lit(0).cast("long"), []
-    for level in levels:
-        cut = _total_up_to(rows, level, need, before)
-        value = cut.select("v").scalar()
-        before = cut.select("before").scalar()
-        rows = rows.filter(level == value)
-        cuts.append(value)
-    cut_time, cut_key = cuts[2], cuts[4]
-    return cache.filter((micros > cut_time) | ((micros == cut_time) & (F.col("key") > cut_key)))
+    before = 0
+    for number, total in sorted(ranged.groupBy("range").agg(F.sum("size")).collect()):
+        if before + total >= space:
+            break
+        before += total
+    else:
+        return cache.filter(F.lit(False))
+    w = W.partitionBy("range").orderBy("t", "key").rowsBetween(W.unboundedPreceding, 0)
+    upto = ranged.filter(F.col("range") == number).withColumn("upto", F.sum("size").over(w))
+    cut = upto.filter(F.col("upto") >= space - before).agg(F.min(F.struct("t", "key"))).first()[0]
+    return cache.filter((micros > cut["t"]) | ((micros == cut["t"]) & (F.col("key") > cut["key"])))
 
 
 def cache_stats(looked_up: DataFrame, cache: DataFrame) -> DataFrame:
