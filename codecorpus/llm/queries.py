@@ -61,6 +61,24 @@ SELECT r.a AS vec_id, coalesce(n.n, 0) AS n_links, component_id, r.a = component
 FROM roots r LEFT JOIN n ON n.a = r.a"""
 
 
+OP2_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS g
+    FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 199)) AS i FROM d)),
+hit AS (SELECT doc_id, i FROM w JOIN (SELECT g FROM w GROUP BY g HAVING count(*) > 1) USING (g)),
+run AS (SELECT doc_id, min(i) AS s, max(i) + 200 AS e FROM (
+    SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM (
+        SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh
+        FROM hit)) GROUP BY doc_id, k),
+part AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS b FROM run),
+cut AS (SELECT p.doc_id, count(*) AS n_spans, sum(e - s) AS n_removed, max(e) AS e,
+        string_agg(substr(h, 2 * b + 1, 2 * (s - b)), '' ORDER BY s) AS kept
+    FROM part p JOIN d USING (doc_id) GROUP BY p.doc_id)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+    sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE kept || substr(h, 2 * e + 1) END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)"""
+
+
 def op1_pivot_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -142,6 +160,7 @@ QUERIES: dict[str, Query] = {
 }
 ORACLES: dict[str, str] = {
     "op1_pivot_table": OP1_SQL,
+    "op2_run_length_index": OP2_SQL,
     "op6_arc_to_warc": OP6_SQL,
     "op8_superminhash": OP8_SQL,
     "op9_cross_polytope": OP9_SQL,
