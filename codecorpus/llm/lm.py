@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .tables import pieces_for
 from .textbytes import U64, mix, texts_of, words
 
-ORDER, STRENGTH, UNKNOWN = 2, 20.0, 0.5
+ORDER, STRENGTH, UNKNOWN = 2, 500.0, 0.5
 #: Bytes of text in a group.
 GROUP_BYTES = 12 << 20
 START, END = U64(0x51A7), U64(0xE2D5)
