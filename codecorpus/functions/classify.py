@@ -92,16 +92,22 @@ def has_few_line_breaks(code: Column) -> Column:
     return (semis > MIN_SEMICOLONS) & dense
 
 
+# Signs of hidden text.
+ESCAPES = r"(?i)\\x[0-9a-f]{2}|\\u[0-9a-f]{4}"
+EVAL = rf"eval{WS}*\("
+LITERAL_CONCAT = rf"""["'][^"']*["']{WS}*\+{WS}*["'][^"']*["']"""
+
+
 def has_escapes(code: Column) -> Column:
-    return matches_near(code, "\\", r"(?i)\\x[0-9a-f]{2}|\\u[0-9a-f]{4}")
+    return matches_near(code, "\\", ESCAPES)
 
 
 def has_eval(code: Column) -> Column:
-    return matches_near(code, "eval", rf"eval{WS}*\(")
+    return matches_near(code, "eval", EVAL)
 
 
 def has_literal_concat(code: Column) -> Column:
-    return matches_near(code, "+", rf"""["'][^"']*["']{WS}*\+{WS}*["'][^"']*["']""")
+    return matches_near(code, "+", LITERAL_CONCAT)
 
 
 def indicators(code: Column) -> dict[str, Column]:
@@ -160,10 +166,15 @@ def oversize_message(code: Column, max_size: int = MAX_UNIT_SIZE) -> Column:
     ))
 
 
+# What may be an escape, and what is one.
+MAYBE_ESCAPE = r"\\[a-zA-Z][a-zA-Z0-9_]+"
+GOOD_ESCAPE = r"^\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4})$"
+
+
 def bad_escapes(code: Column) -> Column:
     """Backslash sequences of two or more word characters that are no valid escape."""
-    found = F.regexp_extract_all(code, F.lit(r"\\[a-zA-Z][a-zA-Z0-9_]+"), F.lit(0))
-    return F.filter(found, lambda m: ~m.rlike(r"^\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4})$"))
+    found = F.regexp_extract_all(code, F.lit(MAYBE_ESCAPE), F.lit(0))
+    return F.filter(found, lambda m: ~m.rlike(GOOD_ESCAPE))
 
 
 def has_bad_escape(code: Column) -> Column:

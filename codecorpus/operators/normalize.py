@@ -37,7 +37,7 @@ def preprocess(units: DataFrame) -> DataFrame:
     """Apply the preprocessing of each unit's workload class; units to be chunked are cleaned whole."""
     code = F.col("code")
     plan = workload(
-        ft.n_chars(code), ft.branch_count(code) + ft.brace_depth(code), ft.framework_tags(code)
+        ft.n_chars(code), ft.cyclomatic_score(code), ft.framework_tags(code)
     )
     classed = units.withColumn("w", plan)
     cleaned = nm.normalize_whitespace(nm.keep_return_line(code))

@@ -9,43 +9,14 @@ def _schema(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(n, t, True) for n, t in fields.items()])
 
 
-S, L, D, B, TS = T.StringType(), T.LongType(), T.DoubleType(), T.BooleanType(), T.TimestampType()
-
-UNITS = _schema(unit_id=S, path=S, kind=S, code=S)
-
-SUGGESTIONS = _schema(
-    unit_id=S, chunk_index=L, ordinal=L, original_name=S, suggested_name=S,
-    confidence=D, reasoning=S, type=S,
-)
-
-REQUESTS = _schema(
-    request_id=S, unit_id=S, chunk_index=L, provider=S, model=S, prompt=S,
-    temperature=D, max_tokens=L,
-)
+S, L, D = T.StringType(), T.LongType(), T.DoubleType()
 
 RESPONSES = _schema(
     request_id=S, payload=S, tokens_used=L, attempts=L, ms=D, error_class=S, error_message=S,
 )
 
-RESPONSE_CACHE = _schema(key=S, payload=S, created_at=TS, expires_at=TS, size=L)
-
-ERRORS = _schema(
-    unit_id=S, step=S, code=S, message=S, recoverable=B, suggestions=T.ArrayType(S),
-)
-
-METRICS = _schema(run_id=S, ts=TS, name=S, value=D)
-
 MODELS = _schema(
     ordinal=L, provider=S, model=S, in_per_1k=D, out_per_1k=D, token_limit=L,
 )
 
 ROUTING = _schema(provider=S, variant=S, lo=L, hi=L, model=S)
-
-# The error codes a step may report.
-ERROR_CODES = (
-    "FILE_NOT_FOUND", "FILE_READ_ERROR", "FILE_WRITE_ERROR", "INVALID_FILE_FORMAT",
-    "INVALID_CONFIG", "MISSING_API_KEY", "INVALID_MODEL",
-    "WEBCRACK_FAILED", "BABEL_TRANSFORM_FAILED", "PRETTIER_FAILED", "CHUNKING_FAILED",
-    "LLM_REQUEST_FAILED", "LLM_TIMEOUT", "LLM_RATE_LIMITED", "LLM_QUOTA_EXCEEDED",
-    "LLM_INVALID_RESPONSE", "CACHE_ERROR", "UNKNOWN_ERROR",
-)
