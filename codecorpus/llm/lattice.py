@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-#: Chunks whose paths a worker keeps; beyond that it starts anew.
-MOST_KEPT = 150_000
+#: Chunks whose best path a worker keeps; those not asked for again since as many others go first.
+MOST_KEPT = 100_000
 #: Log score of a byte of a character that has no piece.
 BYTE_SCORE = -16.0
 
@@ -62,22 +62,66 @@ class Lattice:
         ranks = {i: r for r, i in enumerate(sorted(i for _, i in usable))}
         norm = math.log(sum(1 / (r + 2) for r in range(len(usable))))
         self.score = {p: (-math.log(ranks[i] + 2) - norm, i) for p, i in usable}
-        self.longest = max((len(p) for p, _ in usable), default=1)
-        self.known: dict[tuple[str, int], tuple] = {}
+        #: Pieces, and None for what only starts one: a walk along a text ends where nothing goes on.
+        self.walk: dict[str, tuple[float, int] | None] = {
+            p[:k]: None for p in self.score for k in range(1, len(p))} | self.score
+        self.known: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
 
     def edges(self, chunk: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For each position, the pieces that end there: start, score, ids."""
-        n, get = len(chunk), self.score.get
-        out: list[list] = [[] for _ in range(n + 1)]
+        out: list[list] = [[] for _ in range(len(chunk) + 1)]
+        for i in range(len(chunk)):
+            for j, score, ids in self.starting(chunk, i):
+                out[j].append((i, score, ids))
+        return out
+
+    def starting(self, chunk: str, i: int) -> Iterator[tuple[int, float, tuple[int, ...]]]:
+        """The pieces that start at a position: end, score, ids."""
+        for j in range(i + 1, len(chunk) + 1):
+            hit = self.walk.get(chunk[i:j], False)
+            if hit:
+                yield j, hit[0], (hit[1],)
+            elif j == i + 1:
+                raw = chunk[i].encode("utf-8", "surrogatepass")
+                yield j, BYTE_SCORE * len(raw), tuple(self.byte[b] for b in raw)
+            if hit is False:
+                return
+
+    def best(self, chunk: str) -> tuple[float, float, bytes]:
+        """(loss of the second best path, score and ids of the best), by the two best at each position."""
+        n, walk = len(chunk), self.walk
+        first, second = [0.0] + [-math.inf] * n, [-math.inf] * (n + 1)
+        came: list = [None] * (n + 1)
         for i in range(n):
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                hit = get(chunk[i:j])
-                if hit is not None:
-                    out[j].append((i, hit[0], (hit[1],)))
+            one, two = first[i], second[i]
+            for j in range(i + 1, n + 1):
+                hit = walk.get(chunk[i:j], False)
+                if hit:
+                    score, own = hit
                 elif j == i + 1:
                     raw = chunk[i].encode("utf-8", "surrogatepass")
-                    out[j].append((i, BYTE_SCORE * len(raw), tuple(self.byte[b] for b in raw)))
-        return out
+                    score, own = BYTE_SCORE * len(raw), raw
+                elif hit is None:
+                    continue
+                else:
+                    break
+                value = one + score
+                if value > first[j]:
+                    second[j] = max(first[j], two + score)
+                    first[j], came[j] = value, (i, own)
+                elif value > second[j]:
+                    second[j] = value
+                if hit is False:
+                    break
+        ids: list[int] = []
+        while n:
+            n, own = came[n]
+            if isinstance(own, bytes):
+                ids += [self.byte[b] for b in reversed(own)]
+            else:
+                ids.append(own)
+        return first[-1] - second[-1], first[-1], np.array(ids[::-1], "<u4").tobytes()
 
     def paths(self, chunk: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations of a chunk, best first; ties by earlier discovery."""
@@ -103,17 +147,15 @@ class Lattice:
                 heapq.heappush(heap, (-(got + s + best[i]), tie, i, got + s, (own, behind)))
         return out
 
-    def chunk(self, chunk: str, n: int) -> tuple:
-        """(least loss, score, ids as bytes, [(loss, ids as bytes) of the next best])."""
-        found = self.known.get((chunk, n))
+    def chunk(self, chunk: str) -> tuple[float, float, bytes]:
+        """`best`, kept for the next time."""
+        found = self.known.get(chunk)
         if found is None:
-            if len(self.known) > MOST_KEPT:
-                self.known = {}
-            first, *rest = self.paths(chunk, n)
-            more = [(first[0] - s, np.array(ids, "<u4").tobytes()) for s, ids in rest]
-            found = (more[0][0] if more else math.inf, first[0], np.array(first[1], "<u4").tobytes(), more)
+            found = self.older.get(chunk) or self.best(chunk)
+            if len(self.known) >= MOST_KEPT:
+                self.known, self.older = {}, self.known
             if len(chunk) < 64:
-                self.known[chunk, n] = found
+                self.known[chunk] = found
         return found
 
     def encode(self, text: str, n: int) -> list[tuple[float, bytes]]:
@@ -121,12 +163,16 @@ class Lattice:
         if not text:
             return [(0.0, b"")]
         chunks = _CHUNK.findall(MARK + text.replace(" ", MARK))
-        facts = [self.chunk(c, n) for c in chunks]
+        get = self.known.get
+        facts = [get(c) or self.chunk(c) for c in chunks]
         parts = [f[2] for f in facts]
         score = math.fsum(f[1] for f in facts)
         singles = []  # the n - 1 least losses of changing one chunk; no others can be needed
         for k in heapq.nsmallest(n - 1, range(len(facts)), key=lambda k: facts[k][0]):
-            singles += [(loss, k, ids) for loss, ids in facts[k][3]]
+            if facts[k][0] < math.inf:
+                top, *rest = self.paths(chunks[k], n)
+                singles += [(top[0] - value, k, np.array(ids, "<u4").tobytes()) for value, ids in rest]
+                parts[k] = np.array(top[1], "<u4").tobytes()  # of equally good paths, the one the rest differ from
         singles = sorted(singles, key=lambda x: x[:2])[:n - 1]
         out = [(score, b"".join(parts))]
         heap = [(singles[0][0], (0,))] if singles else []
