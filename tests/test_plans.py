@@ -6,10 +6,11 @@ import re
 
 import pytest
 
-from __spark_entry__ import queries
+from codecorpus.plans.all_queries import queries
 
 SF = "/root/testdata/sf0.001"
-WITH_PYTHON = {"inference_responses", "scanned_files", "refused_overwrites"}
+WITH_PYTHON = {"inference_responses", "scanned_files", "refused_overwrites", "rename_applied", "rename_everywhere",
+               "rename_hits", "rename_totals"}
 NAMES = sorted(queries())
 
 
@@ -58,3 +59,14 @@ def test_best_suggestion_is_combined_before_its_only_shuffle(spark):
     plan = plan_of(queries()["best_suggestion"](spark, SF))
     assert plan.count("Exchange hashpartitioning") == 1
     assert "partial_max" in plan and "Window" not in plan
+
+
+def test_renames_move_a_text_once(spark):
+    """Distinct names and their renames are shuffled apart from the text."""
+    plan = plan_of(queries()["rename_applied"](spark, SF))
+    assert plan.count("code#") and "toks" not in plan
+
+
+def test_eviction_filters_in_place(spark):
+    plan = plan_of(queries()["cache_after_eviction"](spark, SF))
+    assert plan.count("Scan") < 10 and "Window" not in plan and "Subquery" not in plan
