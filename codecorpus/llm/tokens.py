@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .textbytes import blocks
 
-#: Chunks whose ids a worker keeps; beyond that it starts anew.
-MOST_KEPT = 100_000
+#: Chunks whose ids a worker keeps; those not asked for again since as many others go first.
+MOST_KEPT = 150_000
 #: A special token that no chunk is given to the tokenizer with; it parts the chunks of a batch.
 PART = "<|endoftext|>"
 END = b"\0\0\0\0"
@@ -40,11 +40,15 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.part = self.tokenizer.token_to_id(PART)
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def _learn(self, chunks: set[str]) -> None:
         if len(self.known) > MOST_KEPT:
-            self.known = {"": b""}
+            self.known, self.older = {"": b""}, self.known
         new = chunks - self.known.keys()
+        again = new & self.older.keys()
+        self.known.update({c: self.older[c] for c in again})
+        new -= again
         odd = [c for c in new if "<|" in c]
         new = list(new.difference(odd))
         encode = self.tokenizer.encode_batch_fast
