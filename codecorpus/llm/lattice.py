@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Chunks whose best path a worker keeps; those not asked for again since as many others go first.
-MOST_KEPT = 100_000
+MOST_KEPT = 300_000
 #: Log score of a byte of a character that has no piece.
 BYTE_SCORE = -16.0
 
@@ -43,17 +43,18 @@ class Lattice:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.text: list[str | None] = []
+        self.raw: list[bytes] = []  # what each id stands for
         self.byte: dict[int, int] = {}
-        self.value: dict[int, int] = {}
         usable = []
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
-            self.text.append(None if model.is_control(i) or model.is_unknown(i) else piece)
             if model.is_byte(i):
                 self.byte[int(piece[1:-1], 16)] = i
-                self.value[i] = int(piece[1:-1], 16)
-            elif self.text[-1] is not None:
+                self.raw.append(bytes([int(piece[1:-1], 16)]))
+            elif model.is_control(i) or model.is_unknown(i):
+                self.raw.append(b"")
+            else:
+                self.raw.append(piece.encode())
                 usable.append((piece, i))
         if any(MARK in p.lstrip(MARK) for p, _ in usable):
             raise ValueError("a piece has a mark after another character: texts can't be cut at marks")
@@ -168,8 +169,8 @@ class Lattice:
         parts = [f[2] for f in facts]
         score = math.fsum(f[1] for f in facts)
         singles = []  # the n - 1 least losses of changing one chunk; no others can be needed
-        for k in heapq.nsmallest(n - 1, range(len(facts)), key=lambda k: facts[k][0]):
-            if facts[k][0] < math.inf:
+        for loss, k in heapq.nsmallest(n - 1, zip((f[0] for f in facts), range(len(facts)), strict=True)):
+            if loss < math.inf:
                 top, *rest = self.paths(chunks[k], n)
                 singles += [(top[0] - value, k, np.array(ids, "<u4").tobytes()) for value, ids in rest]
                 parts[k] = np.array(top[1], "<u4").tobytes()  # of equally good paths, the one the rest differ from
@@ -192,11 +193,8 @@ class Lattice:
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: pieces joined, bytes put together, marks as blanks, without the first."""
-        out: list[bytes] = []
-        for i in np.frombuffer(ids, "<u4").tolist():
-            value = self.value.get(i)
-            out.append(bytes([value]) if value is not None else (self.text[i] or "").encode())
-        text = b"".join(out).decode("utf-8", "replace").replace(MARK, " ")
+        raw = b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        text = raw.decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
 
