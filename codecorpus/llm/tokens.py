@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -18,6 +19,8 @@ MOST_KEPT = 150_000
 #: A special token that no chunk is given to the tokenizer with; it parts the chunks of a batch.
 PART = "<|endoftext|>"
 END = b"\0\0\0\0"
+#: Marks that may close a word; after a letter they are a token run of their own.
+CLOSING = ".,!?;:"
 
 
 def default_tokenizer() -> str:
@@ -39,6 +42,9 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.part = self.tokenizer.token_to_id(PART)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
@@ -49,9 +55,26 @@ class WordEncoder:
         again = new & self.older.keys()
         self.known.update({c: self.older[c] for c in again})
         new -= again
+        # words of letters are one run each, with or without marks behind them
+        split = {c: c.rstrip(CLOSING) for c in new}
+        split = {c: w.lower() if w.isascii() else w for c, w in split.items() if w.isalpha() and (
+            w.isascii() or unicodedata.normalize("NFC", w).lower().isalpha())}
+        new -= split.keys()
+        new |= {c[len(w):] for c, w in split.items()} - self.known.keys()
+        words = list({w for w in split.values() if w not in self.known})
+        encode = self.tokenizer.encode_batch_fast
+        for i in range(0, len(words), 20_000):
+            some = words[i:i + 20_000]
+            ids = np.array(encode([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(ends) != len(some):
+                raise RuntimeError("the tokenizer does not keep words apart")
+            raw, at = ids.tobytes(), 0
+            for w, e in zip(some, ends, strict=True):
+                self.known[w] = raw[4 * at:4 * e]
+                at = e
         odd = [c for c in new if "<|" in c]
         new = list(new.difference(odd))
-        encode = self.tokenizer.encode_batch_fast
         for c, e in zip(odd, encode(odd, add_special_tokens=False), strict=True):
             self.known[c] = np.array(e.ids, "<u4").tobytes()
         for i in range(0, len(new), 20_000):
@@ -64,6 +87,7 @@ class WordEncoder:
             for c, e in zip(some, ends, strict=True):
                 self.known[c] = raw[4 * at:4 * e]
                 at = e + 1
+        self.known.update({c: self.known[w] + self.known[c[len(w):]] for c, w in split.items()})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]

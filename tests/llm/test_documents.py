@@ -191,7 +191,7 @@ def test_longest_matches_equal_brute_force():
 def test_pieces_and_packing(spark, corpus):
     from tokenizers import Tokenizer
     tool = Tokenizer.from_file(tokens.default_tokenizer())
-    texts = [*corpus, "It's a <|endoftext|> day!\n\nNaïve  café—1234", "\x1cx y\xa0z", prose(random.Random(4), 3000)]
+    texts = [*corpus, "İstanbul, ﬁne. क़ ΣΑΣ. Straße! it's. don't?! ...a.b, 12. x1, Ａb; <|endoftext|>. e\u0301t\u00e9.", "It's a <|endoftext|> day!\n\nNaïve  café—1234", "\x1cx y\xa0z", prose(random.Random(4), 3000)]
     capacity = 64
     rows = packing.pack(tokens.pieces(table(spark, texts), capacity), capacity, ("doc_id", "piece")).collect()
     want = {}
