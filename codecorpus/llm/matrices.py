@@ -85,7 +85,7 @@ def _packer(capacity: int, dtype: str, pad: int) -> Callable:
         for g in groups:
             row = np.full(capacity, pad, dtype)
             at = np.cumsum([0, *lengths[g].tolist()])
-            row[:at[-1]] = np.frombuffer(b"".join(ids[k] for k in g), "<u4")
+            row[:at[-1]] = np.frombuffer(b"".join(ids[k] for k in g), dtype)
             rows.append(row.tobytes())
             ends.append(at)
             resets.append(at[:-1])
@@ -112,7 +112,7 @@ def packed(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None,
     """
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0]
     buckets = pieces_for(size or 0, BUCKET_BYTES)
-    cut = tokens.pieces(docs, capacity, tokenizer, with_ids=True)
+    cut = tokens.pieces(docs, capacity, tokenizer, with_ids=dtype)
     kind = cut.schema["doc_id"].dataType.simpleString()
     dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
     return dealt.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(

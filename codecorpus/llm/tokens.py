@@ -106,7 +106,7 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def _piecer(path: str, capacity: int, with_ids: bool) -> Callable:
+def _piecer(path: str, capacity: int, with_ids: str | None) -> Callable:
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(path)
         for batch in batches:
@@ -118,7 +118,8 @@ def _piecer(path: str, capacity: int, with_ids: bool) -> Callable:
                     ids += END
                     for at in range(0, len(ids), 4 * capacity):
                         own = ids[at:at + 4 * capacity]
-                        rows.append((k, at // 4 // capacity, at // 4, len(own) // 4, zlib.crc32(own), own if with_ids else b""))
+                        rows.append((k, at // 4 // capacity, at // 4, len(own) // 4, zlib.crc32(own),
+                                     np.frombuffer(own, "<u4").astype(with_ids).tobytes() if with_ids else b""))
                 row, piece, start, length, crc, own = zip(*rows, strict=True)
                 columns = [batch.column(0).take(pa.array(row)), *(pa.array(c, pa.int64()) for c in (piece, start, length, crc))]
                 names = ["row", "piece", "start", "length", "ids_crc32"]
@@ -129,11 +130,12 @@ def _piecer(path: str, capacity: int, with_ids: bool) -> Callable:
     return pieces
 
 
-def pieces(docs: DataFrame, capacity: int, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int, tokenizer: str | None = None, with_ids: str | None = None) -> DataFrame:
     """Per row of docs, its pieces: doc_id, piece, start, length, ids_crc32 and, if wanted, ids.
 
     A document is the ids of its text, then id 0; only longer ones are cut, every `capacity`
-    ids. Null and empty texts are one piece of one id. ids are little-endian unsigned 32-bit.
+    ids. Null and empty texts are one piece of one id. ids are of the type `with_ids`, the checksum
+    is of little-endian unsigned 32-bit ids.
     """
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string"))
     kind = rows.schema["doc_id"].dataType.simpleString()
