@@ -24,8 +24,6 @@ from pyspark.sql import functions as F
 
 from codecorpus.session import scratch_folder
 
-from .tables import pieces_for
-
 #: Fixed by the formats: fields of ARC header lines by version.
 ARC_FIELDS = {
     1: ("URL", "IP-address", "Archive-date", "Content-type", "Archive-length"),
@@ -34,8 +32,6 @@ ARC_FIELDS = {
 }
 #: Fixed by the format: the profile of revisit records.
 REVISIT = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
-#: Uncompressed bytes of one archive file.
-FILE_BYTES = 16 << 20
 _KEY = "Archive-Key"
 
 
@@ -172,7 +168,7 @@ def first_of_equal(records: DataFrame, least: int = 0) -> DataFrame:
         "key", "record_id", F.col("target").alias("refers_to")).distinct()
 
 
-def write_warc(records: DataFrame, revisits: DataFrame, folder: str, total: int) -> None:
+def write_warc(records: DataFrame, revisits: DataFrame, folder: str) -> None:
     """Writes WARC files, gzip-compressed, below `folder`: a revisit per row of revisits, else a response."""
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -192,10 +188,9 @@ def write_warc(records: DataFrame, revisits: DataFrame, folder: str, total: int)
                     values.append("\r\n".join(head) + "\r\n\r\n" + block.decode())
                 yield pd.DataFrame({"value": values})
 
-    files = pieces_for(total, FILE_BYTES)
     rows = records.join(revisits.hint("merge"), ["key", "record_id"], "left").select(
         "key", "record_id", "uri", "date", "head", "payload", "payload_digest", "refers_to")
-    values = rows.repartition(files, "record_id").mapInPandas(encode, "value string")
+    values = rows.mapInPandas(encode, "value string")  # a file per partition of the join
     values.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(folder)
 
 
@@ -255,8 +250,7 @@ def archive(pages: DataFrame, key: str = "page_id", url: str = "url", text: str
     spark = pages.sparkSession
     folder = scratch_folder(spark, "warc")
     arcs = to_arc(pages, key, url, text)
-    total = pages.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0]
-    write_warc(convert(arcs), first_of_equal(convert(arcs, with_payload=False), least), folder, total or 0)
+    write_warc(convert(arcs), first_of_equal(convert(arcs, with_payload=False), least), folder)
     records = read_warc(spark, folder)
     targets = records.filter("record_type = 'response'").select(
         F.col("record_id").alias("refers_to_id"), F.col("key").alias("refers_to")).distinct()
