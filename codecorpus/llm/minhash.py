@@ -94,7 +94,8 @@ def _sketcher(width: int, slots: int, rows: int) -> Callable:
                     batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(sizes.astype(np.int64)),
                     pa.array(_class_of(elements, bounds)),
                     pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat),
-                ], ["doc_id", "n_shingles", "class_id", "bands"])
+                    *(c.slice(i, j - i) for c in batch.columns[2:]),
+                ], ["doc_id", "n_shingles", "class_id", "bands", *batch.schema.names[2:]])
     return sketch
 
 
@@ -195,8 +196,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, slots: i
     docs are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = stored(docs.mapInArrow(
-        _sketcher(width, slots, rows), "doc_id long, n_shingles long, class_id long, bands array<long>"), "sketches")
+    return _linked(docs, percent, width, slots, rows)
+
+
+def _linked(docs: DataFrame, percent: int, width: int = 5, slots: int = SLOTS, rows: int = ROWS) -> DataFrame:
+    """near_duplicates of (doc_id long, text string); columns after these two are carried along."""
+    others = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema[2:]]
+    docs, carrying = docs.select("doc_id", "text"), docs
+    sketches = stored(carrying.mapInArrow(_sketcher(width, slots, rows), ", ".join(
+        ["doc_id long, n_shingles long, class_id long, bands array<long>", *others])), "sketches")
     filled = sketches.filter("n_shingles > 0 and doc_id is not null")
     keys = filled.select("class_id", "bands").dropDuplicates(["class_id"]).select(
         "class_id", F.explode("bands").alias("key"))
@@ -232,10 +240,27 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, slots: i
         "component_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("least"))
         .otherwise(F.col("doc_id")))
     return full.select("doc_id", "n_shingles", "component_id",
-                       F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+                       F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *carrying.columns[2:])
 
 
 def keep_first(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """docs without the near duplicates of a smaller doc_id; of rows that share a doc_id, all stay."""
-    gone = near_duplicates(docs, percent).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """One row of each group of near duplicates: of its rows of the smallest doc_id, the one of the least hash.
+
+    Rows are linked one by one, whatever ids they share: of texts that share a doc_id, only those go
+    that are near copies of a row that stays. Rows with a null doc_id are linked like others and come
+    after every id; of rows alike in all columns one stays. Rows without words are linked with
+    nothing and all stay. Rows are told apart by 64-bit hashes of all their columns beside the
+    doc_id; columns called _none, _own or _row are not allowed.
+    """
+    key, own = ["_none", "_own", "_row"], F.col("doc_id").cast("long")
+    rows = docs.withColumns({"_none": own.isNull(), "_own": F.coalesce(own, F.lit(0)), "_row": F.xxhash64(*docs.columns)})
+    found = _linked(rows.select(F.col("_row").alias("doc_id"), F.col("text").cast("string").alias("text"), "_none", "_own"), percent)
+    told = stored(found.filter("n_shingles > 0").groupBy(
+        "component_id", "_none", "_own", F.col("doc_id").alias("_row")).agg(F.count("*").alias("many")), "told")
+    first = told.groupBy("component_id").agg(F.min(F.struct(*key, "many")).alias("first")).select("first.*")
+    gone = told.select(key).join(first.filter("many = 1"), key, "left_anti")
+    left = rows.join(gone, key, "left_anti")
+    again = first.filter("many > 1").select(key)
+    if not again.isEmpty():  # all copies of these are gone; one comes back
+        left = left.unionByName(rows.join(again, key, "left_semi").dropDuplicates(key))
+    return left.select(docs.columns)

@@ -54,6 +54,24 @@ def test_one_of_each_group_stays(steps):
     assert texts(steps[2]) == {d: t for d, t in rows.items() if root[d] == d}
 
 
+def test_one_row_of_each_group_stays(spark):
+    def text(seed):
+        return " ".join(f"w{seed}x{k}" for k in range(80))
+
+    docs = [(5, text(0), "a"), (5, text(0), "a"), (5, text(0), "b"),  # rows alike, and alike but for the source
+            (None, text(1), "a"), (None, text(1), "a"), (None, text(1) + " end", "b"),
+            (1, text(2), "a"), (7, text(2) + " end", "a"), (7, text(3), "a"),  # one of two texts of an id is a copy
+            (None, text(2), "a"), (8, text(4), "a"), (8, text(4) + " end", "a"),
+            (9, None, "a"), (9, None, "a"), (None, "", "a")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    near = corpus_pipeline.near_dedup(spark, df, SF)
+    got = [(r["doc_id"], (r["text"] or "")[:4]) for r in near.collect()]
+    assert near.dtypes == df.dtypes and sorted(got, key=str) == sorted(
+        [(5, "w0x0"), (None, "w1x0"), (1, "w2x0"), (7, "w3x0"), (8, "w4x0"), (9, ""), (9, ""), (None, "")], key=str)
+    kept = corpus_pipeline.repeat_dedup(spark, near, SF).collect()
+    assert sorted((r["text"] or "")[:4] for r in kept) == ["", "", "", "w0x0", "w1x0", "w2x0", "w3x0", "w4x0"]
+
+
 def test_repeats_are_cut(steps):
     rows = texts(steps[2])
     cut = brute_repeats(list(rows.values()), 200)
