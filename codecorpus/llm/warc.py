@@ -3,18 +3,21 @@
 An ARC file starts with a version block that names its fields; each record is a header line of
 these fields, the last being the length of what follows. Version 1 has five fields, version 2
 ten. The converter reads a record by its declared length and makes the WARC headers up from
-it: identifier, date, type and digests. Archives are written by Spark's text writer, one record
-per value, so any store that Spark writes to will do.
+it: identifier, date, type and digests. Blocks are bytes of any kind. A record with an HTTP head
+is a response, a filedesc record a warcinfo, any other a resource of its ARC content type; the
+version block that starts a file is read for its fields only. Archives are written by Spark's
+text writer, so any store that Spark writes to will do: a file is one gzip member of bounded size.
 """
 
 from __future__ import annotations
 
 import base64
 import datetime
+import gzip
 import hashlib
+import io
 import re
 import uuid
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,7 +35,9 @@ ARC_FIELDS = {
 }
 #: Fixed by the format: the profile of revisit records.
 REVISIT = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
-_KEY = "Archive-Key"
+_KEY, _SIZE = "Archive-Key", "Archive-Payload-Length"
+#: Bytes of records that are written as one value, and values in a file.
+VALUE_BYTES, VALUES = 1 << 22, 32
 
 
 @dataclass
@@ -128,8 +133,16 @@ def to_arc(pages: DataFrame, key: str, url: str, text: str) -> DataFrame:
     return rows.mapInPandas(write, "key long, arc binary")
 
 
-_CONVERTED = ("key long, record_id string, uri string, date string, head string, payload {kind}, "
-              "payload_bytes long, payload_digest string, content_id string")
+def type_of(uri: str, kind: str, head: bytes) -> tuple[str, str]:
+    """WARC type and content type of an ARC record."""
+    if head:
+        return "response", "application/http; msgtype=response"
+    known = kind if "/" in kind else "application/octet-stream"
+    return ("warcinfo" if uri.startswith("filedesc:") else "resource"), known
+
+
+_CONVERTED = ("key long, record_id string, uri string, date string, record_type string, content_type string, head binary, "
+              "payload {kind}, payload_bytes long, payload_digest string, content_id string")
 
 
 def convert(arcs: DataFrame, with_payload: bool = True) -> DataFrame:
@@ -147,7 +160,7 @@ def convert(arcs: DataFrame, with_payload: bool = True) -> DataFrame:
                         head, payload = split_http(r.block)
                         uri, date = r.fields["URL"], iso_date(r.fields["Archive-date"])
                         name = uuid.uuid5(uuid.NAMESPACE_URL, f"{'' if pd.isna(k) else int(k)} {place} {date} {uri}")
-                        out.append((k, f"<urn:uuid:{name}>", uri, date, head.decode("utf-8", "replace"),
+                        out.append((k, f"<urn:uuid:{name}>", uri, date, *type_of(uri, r.fields["Content-type"], head), head,
                                     payload if with_payload else b"", len(payload), digest(payload),
                                     hashlib.sha256(payload).hexdigest()))
                 yield pd.DataFrame(out, columns=names).astype({"key": "Int64"})
@@ -156,11 +169,11 @@ def convert(arcs: DataFrame, with_payload: bool = True) -> DataFrame:
 
 def first_of_equal(records: DataFrame, least: int = 0) -> DataFrame:
     """(key, record_id, refers_to): of equal payloads of `least` bytes or more, the largest key's
-    record is the response, others refer to its record_id. refers_to is null for responses.
+    record keeps it, others refer to its record_id and are revisits. refers_to is null for the rest.
 
-    Rows with a null key are responses, and so are all rows that share the largest key.
+    Rows with a null key are no revisits, nor are rows that share the largest key, nor warcinfos.
     """
-    known = records.filter("key is not null").filter(F.col("payload_bytes") >= least).select(
+    known = records.filter("key is not null and record_type <> 'warcinfo'").filter(F.col("payload_bytes") >= least).select(
         "key", "record_id", "content_id", "payload_bytes")
     best = known.groupBy("content_id", "payload_bytes").agg(
         F.max("key").alias("best"), F.max_by("record_id", F.struct("key", "record_id")).alias("target"))
@@ -168,30 +181,46 @@ def first_of_equal(records: DataFrame, least: int = 0) -> DataFrame:
         "key", "record_id", F.col("target").alias("refers_to")).distinct()
 
 
-def write_warc(records: DataFrame, revisits: DataFrame, folder: str) -> None:
-    """Writes WARC files, gzip-compressed, below `folder`: a revisit per row of revisits, else a response."""
+def write_warc(records: DataFrame, revisits: DataFrame, folder: str, value_bytes: int = VALUE_BYTES) -> None:
+    """Writes WARC files, gzip-compressed, below `folder`: a revisit per row of revisits, else the record's own type.
+
+    A value holds records of up to value_bytes, or a single larger one, and a file VALUES values.
+    """
+    def encoded(r) -> bytes:
+        revisit = r.refers_to is not None
+        block = r.head + (b"" if revisit else r.payload)
+        head = ["WARC/1.0", f"WARC-Type: {'revisit' if revisit else r.record_type}",
+                f"WARC-Record-ID: {r.record_id}", f"WARC-Date: {r.date}", f"WARC-Target-URI: {r.uri}",
+                f"WARC-Block-Digest: sha1:{digest(block)}", f"WARC-Payload-Digest: sha1:{r.payload_digest}",
+                f"Content-Type: {r.content_type}", f"Content-Length: {len(block)}"]
+        if r.record_type == "warcinfo":
+            head[4] = f"WARC-Filename: {r.uri.removeprefix('filedesc://')}"
+        if not pd.isna(r.key):
+            head.append(f"{_KEY}: {int(r.key)}")
+        if revisit:
+            head += [f"WARC-Refers-To: {r.refers_to}", f"WARC-Profile: {REVISIT}", f"{_SIZE}: {int(r.payload_bytes)}"]
+        return "\r\n".join(head).encode() + b"\r\n\r\n" + block
+
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for f in frames:
             for i in range(0, len(f), 256):
-                values = []
                 for r in f.iloc[i:i + 256].itertuples():
-                    revisit = r.refers_to is not None
-                    block = r.head.encode() + (b"" if revisit else r.payload)
-                    head = ["WARC/1.0", f"WARC-Type: {'revisit' if revisit else 'response'}",
-                            f"WARC-Record-ID: {r.record_id}", f"WARC-Date: {r.date}", f"WARC-Target-URI: {r.uri}",
-                            f"WARC-Block-Digest: sha1:{digest(block)}", f"WARC-Payload-Digest: sha1:{r.payload_digest}",
-                            "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
-                    if not pd.isna(r.key):
-                        head.append(f"{_KEY}: {int(r.key)}")
-                    if revisit:
-                        head += [f"WARC-Refers-To: {r.refers_to}", f"WARC-Profile: {REVISIT}"]
-                    values.append("\r\n".join(head) + "\r\n\r\n" + block.decode())
-                yield pd.DataFrame({"value": values})
+                    record = encoded(r)
+                    if held and size + len(record) > value_bytes:
+                        yield pd.DataFrame({"value": [b"\r\n\r\n".join(held)]})
+                        held, size = [], 0
+                    held.append(record)
+                    size += len(record)
+        if held:
+            yield pd.DataFrame({"value": [b"\r\n\r\n".join(held)]})
 
     rows = records.join(revisits.hint("merge"), ["key", "record_id"], "left").select(
-        "key", "record_id", "uri", "date", "head", "payload", "payload_digest", "refers_to")
-    values = rows.mapInPandas(encode, "value string")  # a file per partition of the join
-    values.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(folder)
+        "key", "record_id", "uri", "date", "record_type", "content_type", "head", "payload", "payload_bytes",
+        "payload_digest", "refers_to")
+    # the cast leaves bytes as they are, and so does the text writer
+    values = rows.mapInPandas(encode, "value binary").select(F.col("value").cast("string"))
+    values.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", VALUES).text(folder)
 
 
 def parse_warc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -213,22 +242,26 @@ def parse_warc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     """One row per record: key, record_id, record_type, uri, date, payload_bytes, payload_digest,
-    refers_to_id and payload (null for revisits). Digests of blocks and payloads are checked."""
+    refers_to_id and payload (null for revisits). Files hold any number of gzip members. Digests of
+    blocks and payloads are checked where a record names SHA-1 ones; a warcinfo has no uri."""
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["key", "record_id", "record_type", "uri", "date", "payload_bytes", "payload_digest", "refers_to_id", "payload"]
         for f in frames:
             for content in f["content"]:
                 out = []
-                for h, block in parse_warc(zlib.decompress(content, 47)):
+                for h, block in parse_warc(gzip.GzipFile(fileobj=io.BytesIO(content)).read()):
                     head, payload = split_http(block)
-                    told = h["warc-payload-digest"].removeprefix("sha1:")
+                    whole, told = h.get("warc-block-digest", ""), h.get("warc-payload-digest", "")
                     revisit = h["warc-type"] == "revisit"
-                    if h["warc-block-digest"] != f"sha1:{digest(block)}" or not revisit and told != digest(payload):
+                    if whole.startswith("sha1:") and whole != f"sha1:{digest(block)}" or (
+                            not revisit and told.startswith("sha1:") and told != f"sha1:{digest(payload)}"):
                         raise ValueError(f"record {h['warc-record-id']} does not have its digest")
                     size = re.search(rb"(?i)^content-length:\s*(\d+)", head, re.M) if revisit else None
+                    size = h.get(_SIZE.lower()) if _SIZE.lower() in h else size and size[1]
                     key = h.get(_KEY.lower())
-                    out.append((None if key is None else int(key), h["warc-record-id"], h["warc-type"], h["warc-target-uri"],
-                                h["warc-date"], int(size[1]) if size else len(payload), told, h.get("warc-refers-to"),
+                    out.append((None if key is None else int(key), h["warc-record-id"], h["warc-type"], h.get("warc-target-uri"),
+                                h["warc-date"], int(size) if size else len(payload),
+                                told.removeprefix("sha1:") or None, h.get("warc-refers-to"),
                                 None if revisit else payload))
                     if len(out) == 256:
                         yield pd.DataFrame(out, columns=names).astype({"key": "Int64"})
@@ -252,7 +285,7 @@ def archive(pages: DataFrame, key: str = "page_id", url: str = "url", text: str
     arcs = to_arc(pages, key, url, text)
     write_warc(convert(arcs), first_of_equal(convert(arcs, with_payload=False), least), folder)
     records = read_warc(spark, folder)
-    targets = records.filter("record_type = 'response'").select(
+    targets = records.filter("record_type <> 'revisit'").select(
         F.col("record_id").alias("refers_to_id"), F.col("key").alias("refers_to")).distinct()
     return records.join(targets, "refers_to_id", "left")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import itertools
 import random
@@ -71,6 +72,50 @@ def test_several_records_in_an_arc_file(spark):
     assert [bytes(r["payload"]) for r in rows] == [b"one", b"two"] and len({r["record_id"] for r in rows}) == 2
 
 
+def test_records_of_any_bytes_and_types(spark, tmp_path):
+    page = b"HTTP/1.1 200 OK\r\nX-Name: caf\xe9\r\n\r\n<p>\xe9</p>"
+    image = bytes(range(256)) * 9
+    records = [("http://a", "2001", "text/html", page), ("http://b/x", "2002", "image/png", image),
+               ("dns:a", "2003", "text/dns", b"a. 1 IN A 1.2.3.4"), ("http://c", "2004", "no-type", b""),
+               ("filedesc://y.arc", "2005", "text/plain", b"about")]
+    arcs = spark.createDataFrame([(k, bytearray(warc.arc_file(1 + k, "x.arc", records))) for k in range(2)], "key long, arc binary")
+    folder = str(tmp_path / "warc")
+    warc.write_warc(warc.convert(arcs), warc.first_of_equal(warc.convert(arcs, with_payload=False)), folder, value_bytes=1000)
+    got = {(r["key"], r["uri"]): r for r in warc.read_warc(spark, folder).collect()}
+    assert len(got) == 10
+    for uri, _, kind, block in records:
+        about, payload = uri.startswith("filedesc:"), warc.split_http(block)[1]
+        old, new = (got[k, None if about else uri] for k in range(2))
+        assert new["record_type"] == ("warcinfo" if about else "resource" if kind != "text/html" else "response")
+        assert bytes(new["payload"]) == payload and old["payload_bytes"] == len(payload)
+        assert about or (old["record_type"], old["refers_to_id"]) == ("revisit", new["record_id"])
+    raw = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "warc").glob("*.gz"))
+    kinds = {(h["warc-type"], h["content-type"]) for h, _ in warc.parse_warc(raw) if h["warc-type"] != "revisit"}
+    assert kinds == {("response", "application/http; msgtype=response"), ("resource", "image/png"), ("resource", "text/dns"),
+                     ("resource", "application/octet-stream"), ("warcinfo", "text/plain")}
+    assert page in raw and image in raw
+
+
+def test_files_are_bounded(spark, tmp_path):
+    arcs = spark.createDataFrame([(k, bytearray(warc.arc_file(1, "x", [("u", "2001", "a/b", b"%d" % k * 400)])))
+                                  for k in range(100)], "key long, arc binary").coalesce(1)
+    rows = warc.convert(arcs)
+    warc.write_warc(rows, warc.first_of_equal(rows), str(tmp_path / "w"), value_bytes=1500)
+    sizes = [len(gzip.decompress(p.read_bytes())) for p in (tmp_path / "w").glob("*.gz")]
+    assert max(sizes) <= warc.VALUES * 1504 and warc.read_warc(spark, str(tmp_path / "w")).count() == 100
+
+
+def test_archives_of_many_gzip_members(spark, tmp_path):
+    parts = []
+    for k in range(3):
+        block = b"HTTP/1.1 200 OK\r\n\r\n%d" % k
+        parts.append(gzip.compress(b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <r%d>\r\nWARC-Target-URI: u\r\n"
+                                   b"WARC-Date: 2001-01-01T00:00:00Z\r\nContent-Length: %d\r\n\r\n" % (k, len(block))
+                                   + block + b"\r\n\r\n"))
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(parts))
+    assert sorted(bytes(r["payload"]) for r in warc.read_warc(spark, str(tmp_path)).collect()) == [b"0", b"1", b"2"]
+
+
 def test_warc_that_is_cut_short():
     with pytest.raises(ValueError):
         list(warc.parse_warc(b"WARC/1.0\r\nContent-Length: 9\r\n\r\nabc\r\n\r\n"))
