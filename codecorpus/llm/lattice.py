@@ -4,7 +4,9 @@ A text, blanks replaced by the piece mark and one mark put before it, is cut bef
 marks; where no piece has a mark after another character, no piece spans a cut and the lattice
 falls into these chunks. Within a chunk, forward Viterbi gives each position the best score of
 reaching it, and an A-star search from the end takes these as exact estimates, so complete
-paths come out best first. The best segmentations of a text combine those of its chunks.
+paths come out best first. A text's best segmentation takes the best path of each chunk, which
+Viterbi gives with the loss of the second best; only the n - 1 chunks of least loss can hold
+another of the n best, and A-star lists the paths of these.
 """
 
 from __future__ import annotations
@@ -125,7 +127,11 @@ class Lattice:
         return first[-1] - second[-1], first[-1], np.array(ids[::-1], "<u4").tobytes()
 
     def paths(self, chunk: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best segmentations of a chunk, best first; ties by earlier discovery."""
+        """The n best segmentations of a chunk, best first; ties by earlier discovery.
+
+        No position lies on more than n of the n best paths, so later entries of a position that
+        was taken n times already go; runs of one character, whose orders tie, stay cheap.
+        """
         edges = self.edges(chunk)
         best = [0.0] + [-math.inf] * len(chunk)
         for j in range(1, len(chunk) + 1):
@@ -134,8 +140,12 @@ class Lattice:
                     best[j] = best[i] + s
         # backward A-star: an entry is (- estimate of the whole, tie, position, score so far, ids behind)
         heap, tie, out = [(-best[-1], 0, len(chunk), 0.0, None)], 0, []
+        taken = [0] * (len(chunk) + 1)
         while heap and len(out) < n:
             total, _, j, got, behind = heapq.heappop(heap)
+            taken[j] += 1
+            if taken[j] > n:
+                continue
             if not j:
                 ids: list[int] = []
                 while behind:

@@ -182,6 +182,22 @@ def test_best_paths_of_a_chunk(tool, chunk):
     assert all(abs(ids[p] - s) < 1e-9 for s, p in got)
 
 
+@pytest.mark.parametrize("chunk", ["aaaaaaaa", "▁--------", "========", "▁ababab"])
+@pytest.mark.parametrize("n", [1, 2, 3, 7])
+def test_best_paths_with_ties(tool, chunk, n):
+    want, got = every_path(tool, chunk), tool.paths(chunk, n)
+    assert np.allclose([s for s, _ in got], [s for s, _ in want[:n]]) and len({ids for _, ids in got}) == len(got)
+
+
+@pytest.mark.parametrize("size", [1000, 100_000])
+@pytest.mark.parametrize("n", [1, 2, 3, 7])
+def test_long_runs_of_one_character(tool, size, n):
+    got = tool.encode("x" * size, n)
+    assert len(got) == n and len({ids for _, ids in got}) == n
+    assert [s for s, _ in got] == sorted((s for s, _ in got), reverse=True)
+    assert all(tool.decode(ids) == "x" * size for _, ids in got)
+
+
 @pytest.mark.parametrize("text", ["the tion of and", "a b", "aa aa aa", "", " x"])
 @pytest.mark.parametrize("n", [1, 2, 3, 7])
 def test_best_segmentations_of_a_text(tool, text, n):
