@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import crosspoly, lattice, lm, matrices, minhash, packing, pivots, quality, repeats, tokens, warc
+from . import (
+    crosspoly, lattice, licences, lm, matrices, middle, minhash, packing, pivots, quality, repeats, tokens, warc,
+)
 from .tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,6 +147,41 @@ def op10_n_best_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.segmented(read_table(spark, sf_dir, "documents"), n=3)
 
 
+OP12_SQL = r"""
+WITH u AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''),
+        '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS us,
+    sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
+h AS (SELECT doc_id, t, us, CAST(len(us) AS BIGINT) AS n, CAST('0x' || substr(d, 1, 8) AS BIGINT) AS h1,
+    CAST('0x' || substr(d, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(d, 17, 8) AS BIGINT) AS h3,
+    CAST('0x' || substr(d, 25, 8) AS BIGINT) AS h4 FROM u),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+        WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT doc_id, t, n, form, array_to_string(us[1:a], '') AS pre, array_to_string(us[a + 1:b], '') AS mid,
+    array_to_string(us[b + 1:], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p"""
+
+
+def op12_swar_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = middle.fill_in_middle(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def op13_licence_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licences.scanned(read_table(spark, sf_dir, "documents"))
+    starts, base = F.transform("phrases", lambda p: p["start"]), F.transform("phrases", lambda p: p["label"])
+    own = F.transform("spans", lambda s: s["label"])
+    return out.select(
+        "doc_id", "n_words", F.size("phrases").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"), F.array_join(F.sort_array(F.array_distinct(base)), ",").alias("base_labels"),
+        F.array_join(F.sort_array(F.array_union(base, own)), ",").alias("labels"), "score")
+
+
 QUERIES: dict[str, Query] = {
     "pipeline": pipeline,
     "op1_pivot_table": op1_pivot_table,
@@ -157,6 +194,8 @@ QUERIES: dict[str, Query] = {
     "op8_superminhash": op8_superminhash,
     "op9_cross_polytope": op9_cross_polytope,
     "op10_n_best_lattice": op10_n_best_lattice,
+    "op12_swar_middle": op12_swar_middle,
+    "op13_licence_automaton": op13_licence_automaton,
 }
 ORACLES: dict[str, str] = {
     "op1_pivot_table": OP1_SQL,
@@ -164,4 +203,5 @@ ORACLES: dict[str, str] = {
     "op6_arc_to_warc": OP6_SQL,
     "op8_superminhash": OP8_SQL,
     "op9_cross_polytope": OP9_SQL,
+    "op12_swar_middle": OP12_SQL,
 }
