@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from . import (
-    crosspoly, lattice, licences, lm, matrices, middle, minhash, packing, pivots, quality, repeats, tokens, warc,
+    align, crosspoly, lattice, licences, lm, matrices, middle, minhash, packing, pivots, quality, repeats, tokens, warc,
 )
-from .tables import read_table
+from .tables import read_table, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -147,6 +147,13 @@ def op10_n_best_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.segmented(read_table(spark, sf_dir, "documents"), n=3)
 
 
+def op11_byte_incidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = align.aligned(read_table(spark, sf_dir, "documents"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    rows = stored(rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", digest, "links"), "aligned")
+    return align.with_counts(rows, align.pair_counts(rows))
+
+
 OP12_SQL = r"""
 WITH u AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''),
         '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS us,
@@ -194,6 +201,7 @@ QUERIES: dict[str, Query] = {
     "op8_superminhash": op8_superminhash,
     "op9_cross_polytope": op9_cross_polytope,
     "op10_n_best_lattice": op10_n_best_lattice,
+    "op11_byte_incidence": op11_byte_incidence,
     "op12_swar_middle": op12_swar_middle,
     "op13_licence_automaton": op13_licence_automaton,
 }
