@@ -16,7 +16,7 @@ import os
 import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from itertools import accumulate
+from itertools import chain, compress, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +34,10 @@ TILE = 1 << 18
 MOST_KEPT = 150_000
 #: Longest chunk that is kept.
 KEPT_SIZE = 64
-#: New chunks aligned at a time, and about how many characters they have together.
-BATCH, BATCH_CHARS = 5000, 1 << 18
+
+
+#: Chunks the tokenizer A is given in one string.
+ROW = 400
 
 
 @dataclass
@@ -88,8 +90,8 @@ class Tokens:
     b: np.ndarray
     a_end: np.ndarray
     b_end: np.ndarray
-    a_before: list[int]
-    b_before: list[int]
+    a_before: np.ndarray
+    b_before: np.ndarray
 
     def _width(self) -> int:
         return int(self.a_end[-1]) if len(self.a_end) else 0
@@ -150,6 +152,13 @@ class Pair:
         self.a_size = np.array([len(x) for x in self.a_bytes])
         self.b_size = np.array([len(x) for x in self.b_bytes])
         self._pairs()
+        self.a_bytes, self.b_bytes = (np.array([*x, None], object)[:-1] for x in (self.a_bytes, self.b_bytes))
+        ids = [*range(len(self.a_bytes)), *range(len(self.b_bytes))]
+        marks = ["|"] * len(self.a_bytes) + [";"] * len(self.b_bytes)
+        #: Each id as it stands within a group and as the last of its side.
+        self.written = np.array([f"{i}{m}" for i, last in zip(ids, marks, strict=True) for m in (",", last)], object)
+        self.written_size = np.array([len(x) for x in self.written])
+        self.white = {chr(c) for c in range(0x10000) if re.match(f"[ {_OTHER}]", chr(c))}
         self.known: dict[str, tuple | None] = {}
         self.older: dict[str, tuple | None] = {}
 
@@ -170,71 +179,102 @@ class Pair:
 
     def encode(self, chunks: Sequence[str]) -> tuple[Tokens, list[bool]]:
         """Tokens of the chunks that both tokenizers give back byte for byte, and which these are."""
-        # the piece model puts a mark before a text; it drops one that is all of it
-        a = [e.ids for e in self.a.encode_batch_fast(list(chunks), add_special_tokens=False)]
-        b = self.b.encode([c[1:] for c in chunks], num_threads=1)
-        same = []
-        for k, c in enumerate(chunks):
-            raw = c.encode()
-            if not b[k]:
-                b[k] = self.b.encode("x" + c)[len(self.b.encode("x")):]
-            same.append(b"".join([self.a_bytes[i] for i in a[k]]) == raw == b"".join([self.b_bytes[i] for i in b[k]]))
-        if not all(same):
-            a, b = ([x for x, s in zip(side, same, strict=True) if s] for side in (a, b))
-        ids_a, ids_b = (np.array([i for x in side for i in x], np.int64) for side in (a, b))
-        return Tokens(ids_a, ids_b, np.cumsum(self.a_size[ids_a]), np.cumsum(self.b_size[ids_b]),
-                      [0, *accumulate(map(len, a))], [0, *accumulate(map(len, b))]), same
+        raw = [c.encode() for c in chunks]
+        a, a_before, good_a = self._kept(self._encode_a(chunks, raw), self.a_bytes, self.a_size, raw)
+        # the piece model puts a mark before a text, and drops a text that is only this mark
+        found = self.b.encode([c[1:] for c in chunks], num_threads=1)
+        for k, ids in enumerate(found):
+            if not ids:
+                found[k] = self.b.encode("x" + chunks[k])[len(self.b.encode("x")):]
+        b, b_before, good_b = self._kept(self._flat(found), self.b_bytes, self.b_size, raw)
+        same = good_a & good_b
+        if not same.all():
+            a, a_before, b, b_before = *_chosen(a, a_before, same), *_chosen(b, b_before, same)
+        return Tokens(a, b, np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b]), a_before, b_before), same.tolist()
+
+    @staticmethod
+    def _flat(ids: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many stand before each chunk."""
+        before = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)), out=before[1:])
+        return np.fromiter(chain.from_iterable(ids), np.int64, int(before[-1])), before
+
+    def _encode_a(self, chunks: Sequence[str], raw: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of A. Chunks go to the tokenizer some hundreds in a row, and up to one that ends in
+        white space: what follows would change its tokens."""
+        rows: list[list[str]] = [[]]
+        for c in chunks:
+            rows[-1].append(c)
+            if c[-1] in self.white or len(rows[-1]) >= ROW:
+                rows.append([])
+        found = self.a.encode_batch_fast(["".join(r) for r in rows], add_special_tokens=False)
+        ids = self._flat([e.ids for e in found])[0]
+        ends = np.cumsum(self.a_size[ids])
+        bounds = np.cumsum([0, *map(len, raw)])
+        before = np.searchsorted(ends, bounds, "right")
+        if np.array_equal(np.concatenate([[0], ends])[before], bounds):
+            return ids, before
+        return self._flat([e.ids for e in self.a.encode_batch_fast(list(chunks), add_special_tokens=False)])
+
+    @staticmethod
+    def _kept(found: tuple[np.ndarray, np.ndarray], entries: np.ndarray, sizes: np.ndarray,
+              raw: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """found, and per chunk whether its tokens' bytes are its own."""
+        ids, before = found
+        ends = np.concatenate([[0], np.cumsum(sizes[ids])])[before]
+        own = np.fromiter(map(len, raw), np.int64, len(raw))
+        same = np.diff(ends) == own
+        got = b"".join(entries[ids].tolist())
+        if not same.all() or got != b"".join(raw):
+            e = ends.tolist()
+            same = np.array([got[e[k]:e[k + 1]] == x for k, x in enumerate(raw)], bool)
+        return ids, before, same
 
     def _align(self, chunks: Sequence[str]) -> None:
-        """Learns (tokens of A, tokens of B, groups, links as numbers of pairs, groups as text) of new chunks."""
+        """Learns (tokens of A, tokens of B, groups, links as numbers of pairs, groups as text, a
+        semicolon behind each) of new chunks."""
         tokens, same = self.encode(chunks)
         ends = tokens.ends()
-        group_a, group_b = (g.tolist() for g in tokens.groups(ends))
-        keys = tokens.a[ends.rows()] * len(self.b_bytes) + tokens.b[ends.columns]
+        cut_a, cut_b = ends.rows(), ends.columns  # the last token of A and of B of each group
+        keys = tokens.a[cut_a] * len(self.b_bytes) + tokens.b[cut_b]
         codes = np.searchsorted(self.keys, keys).astype("<u4")
         if len(keys) and not np.array_equal(self.keys[np.minimum(codes, len(self.keys) - 1)], keys):
             raise RuntimeError("a pair that ends together is not among the possible ones")
-        links = codes.tobytes()
-        n = (group_a[-1] + 1) if group_a else 0
-        parts: list[tuple[list, list]] = [([], []) for _ in range(n)]
-        for g, i in zip(group_a, tokens.a.tolist(), strict=True):
-            parts[g][0].append(i)
-        for g, i in zip(group_b, tokens.b.tolist(), strict=True):
-            parts[g][1].append(i)
-        texts = [f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in parts]
-        # one link closes each group, so links before a chunk are those before its first group
-        opening = np.searchsorted(ends.rows(), tokens.a_before).tolist()
-        k = 0
-        for c, good in zip(chunks, same, strict=True):
-            if not good:
-                self.known[c] = None
-                continue
-            i, j = tokens.a_before[k], tokens.a_before[k + 1]
-            lo, hi = group_a[i], group_a[j - 1] + 1
-            self.known[c] = (j - i, tokens.b_before[k + 1] - tokens.b_before[k], hi - lo,
-                             links[4 * opening[k]:4 * opening[k + 1]], ";".join(texts[lo:hi]))
-            k += 1
-
-    def learn(self, chunks: set[str]) -> None:
+        # entries of `written` in the order of the text: tokens of A of a group, then those of B
+        group_a, group_b = tokens.groups(ends)
+        last_a, last_b = np.zeros(len(tokens.a), np.int64), np.zeros(len(tokens.b), np.int64)
+        last_a[cut_a] = last_b[cut_b] = 1
+        entry = np.concatenate([2 * tokens.a + last_a, 2 * (len(self.a_bytes) + tokens.b) + last_b])
+        entry = entry[np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")]
+        text = "".join(self.written[entry].tolist())
+        reach = np.concatenate([[0], np.cumsum(self.written_size[entry])])
+        before = tokens.a_before + tokens.b_before
+        at = reach[before].tolist()
+        # a chunk's last tokens end together, so the groups before it are those its first token comes behind
+        opening = np.searchsorted(cut_a, tokens.a_before)
+        links, first = codes.tobytes(), (4 * opening).tolist()
+        facts = zip(np.diff(tokens.a_before).tolist(), np.diff(tokens.b_before).tolist(), np.diff(opening).tolist(),
+                    [links[i:j] for i, j in pairwise(first)], [text[i:j] for i, j in pairwise(at)], strict=True)
+        self.known.update(zip(compress(chunks, same), facts, strict=True))
+        self.known.update((c, None) for c, s in zip(chunks, same, strict=True) if not s)
+
+    def learn(self, chunks: set[str]) -> list[str]:
+        """Aligns the chunks that are not known; returns those too long to be kept."""
         if len(self.known) > MOST_KEPT:
             self.known, self.older = {}, self.known
         new = chunks - self.known.keys()
         again = new & self.older.keys()
         self.known.update({c: self.older[c] for c in again})
-        batch, size = [], 0
-        for c in new - again:
-            batch.append(c)
-            size += len(c)
-            if len(batch) >= BATCH or size >= BATCH_CHARS:
-                self._align(batch)
-                batch, size = [], 0
-        if batch:
-            self._align(batch)
-
-    def forget_long(self, chunks: set[str]) -> None:
-        for c in chunks:
-            if len(c) > KEPT_SIZE:
-                self.known.pop(c, None)
+        new -= again
+        if new:
+            self._align(list(new))
+        return [c for c in new if len(c) > KEPT_SIZE]
+
+
+def _chosen(ids: np.ndarray, before: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of some of the chunks."""
+    sizes = np.diff(before)
+    return ids[np.repeat(same, sizes)], np.concatenate([[0], np.cumsum(sizes[same])])
 
 
 _pairs: dict[tuple[str, str], Pair] = {}
@@ -267,16 +307,16 @@ _NONE = (0, 0, 0, b"", "")
 
 
 def _documents(tool: Pair, texts: Sequence[str]) -> list[tuple]:
-    """Per text: tokens of A and B, groups, links, groups as text. All of them are cut into tiles
-    together, so chunks that are new are aligned in large batches and little is held."""
+    """Per text: tokens of A and B, groups, links, groups as text with a semicolon behind each.
+
+    New chunks of about TILE characters of texts are aligned together; more are not held."""
     out: list[tuple] = []
     waiting: list[list[str]] = []
     size = 0
 
     def settle() -> None:
         nonlocal size
-        chunks = set().union(*waiting)
-        tool.learn(chunks)
+        long = tool.learn(set().union(*waiting))
         get = tool.known.__getitem__
         for w in waiting:
             facts = list(map(get, w))
@@ -284,8 +324,9 @@ def _documents(tool: Pair, texts: Sequence[str]) -> list[tuple]:
                 out.append(_NONE)
                 continue
             a, b, g, links, groups = zip(*facts, strict=True) if facts else ((),) * 5
-            out.append((sum(a), sum(b), sum(g), b"".join(links), ";".join(groups)))
-        tool.forget_long(chunks)
+            out.append((sum(a), sum(b), sum(g), b"".join(links), "".join(groups)))
+        for c in long:
+            del tool.known[c]
         waiting.clear()
         size = 0
 
@@ -308,7 +349,7 @@ def _documents(tool: Pair, texts: Sequence[str]) -> list[tuple]:
             out.append(_NONE)
         else:
             a, b, g, links, groups = zip(*parts, strict=True)
-            out.append((sum(a), sum(b), sum(g), b"".join(links), ";".join(groups)))
+            out.append((sum(a), sum(b), sum(g), b"".join(links), "".join(groups)))
     settle()
     return out
 
@@ -323,7 +364,8 @@ def _aligner(paths: tuple[str, str]) -> Callable:
                 a, b, g, links, groups = zip(*_documents(tool, texts), strict=True)
                 yield pa.record_batch(
                     [part.column("key"), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(g, pa.int64()),
-                     pa.array([len(x) // 4 for x in links], pa.int64()), pa.array(groups, pa.string()), pa.array(links, pa.binary())],
+                     pa.array([len(x) // 4 for x in links], pa.int64()), pa.array([x[:-1] for x in groups], pa.string()),
+                     pa.array(links, pa.binary())],
                     ["key", "n_a", "n_b", "n_groups", "n_links", "groups", "links"])
     return align
 

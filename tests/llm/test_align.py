@@ -103,7 +103,7 @@ def test_chunks_as_whole_texts(tool, seed, monkeypatch):
             assert (n_a, n_b, n_groups, raw, groups) == align._NONE
             continue
         a, b, _, _, want = found
-        assert groups == ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in want)
+        assert groups == "".join(f"{','.join(map(str, x))}|{','.join(map(str, y))};" for x, y in want)
         assert (n_a, n_b, n_groups) == (len(a), len(b), len(want))
         codes = np.frombuffer(raw, "<u4")
         assert [(int(tool.pair_a[c]), int(tool.pair_b[c])) for c in codes] == [(x[-1], y[-1]) for x, y in want]
