@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_folder
 from ..sources import files as fl
 from ..sources import sinks
+from ..sources.listing import plain_uri, read_files
 from ..streaming import arrivals as ar
 from . import relations as rel
 from .registry import register, with_ctes
@@ -53,11 +54,22 @@ def scanned_files(spark, sf_dir):
     return _back(fl.scan_folder(spark, folder), folder)
 
 
+@register("files_read_whole", with_ctes(rel.SCRIPTS_SQL, NAME_SQL, body="""
+SELECT name, sha256(code) AS digest, octet_length(encode(code)) AS n_bytes FROM names"""))
+def files_read_whole(spark, sf_dir):
+    """Every script as a file, and each file that a table names read whole, with its size."""
+    folder = scratch_folder(spark, "wholes")
+    _write(spark, sf_dir, folder)
+    paths = _named(spark, sf_dir).select(F.concat(F.lit(plain_uri(folder) + "/"), "name").alias("path"))
+    return _back(read_files(paths), folder)
+
+
 @register("arriving_files", with_ctes(rel.SCRIPTS_SQL, NAME_SQL, body="""
 SELECT name, sha256(code) AS digest, octet_length(encode(code)) AS n_bytes FROM names
-WHERE NOT contains(name, '_') AND NOT ends_with(name, '.txt') AND length(code) > 0"""))
+WHERE NOT contains(name, 'node_modules/') AND NOT ends_with(name, '.txt')"""))
 def arriving_files(spark, sf_dir):
-    """Every script as a file that arrives; the stream runs twice and repeats nothing."""
+    """Every script as a file that arrives; the stream runs twice and repeats nothing. Empty files and
+    underscored names arrive too."""
     folder = scratch_folder(spark, "arrivals")
     out, checkpoint = scratch_folder(spark, "processed"), scratch_folder(spark, "progress")
     _write(spark, sf_dir, folder)

@@ -9,26 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.classify import is_valid_source_path
-from .unlisted import list_unlisted, read_unlisted
+from .listing import list_files, plain_uri, read_files
 
 # What a directory scan takes and what it passes over, at any depth.
 DEFAULT_PATTERNS = ("*.js", "*.mjs", "*.cjs")
 EXCLUDED_FOLDERS = ("node_modules", ".git", "dist", "build")
 
 
-def as_units(files: DataFrame) -> DataFrame:
-    """Rows of the whole-text reader, batch or stream, as units."""
-    path = F.col("_metadata.file_path")
-    return files.select(
-        path.alias("unit_id"), path.alias("path"), F.lit("file").alias("kind"),
-        F.col("value").alias("code"), F.col("_metadata.file_size").alias("n_bytes"),
-    )
-
-
 def read_file(spark: SparkSession, path: str) -> DataFrame:
     """One file as one unit, with its size in bytes."""
-    return as_units(spark.read.text(path, wholetext=True)).unionByName(
-        read_unlisted(list_unlisted(spark, path)))
+    return read_files(spark.createDataFrame([(plain_uri(path),)], "path string"))
 
 
 def glob_regex(pattern: str) -> str:
@@ -106,26 +96,24 @@ def select_paths(
     return files.filter(is_chosen(F.col("path"), rel, recursive, patterns, exclude))
 
 
-def scan_folder(
+def chosen_files(
     spark: SparkSession, root: str, recursive: bool = True,
     patterns: Sequence[str] | None = None, exclude: Sequence[str] = (),
 ) -> DataFrame:
-    """Script files below a folder as units.
+    """(path, rel, n_bytes, modified) of the files that a scan of `root` takes.
 
-    The name filter and the depth go to Spark's file listing; paths are then filtered on
-    file metadata, which prunes files before they are opened. Empty files and names that
-    start with an underscore, which that listing leaves out, are added.
+    The tree is listed once, in tasks; folders that are passed over are not opened.
     """
-    reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
-    if not patterns:
-        reader = reader.option("pathGlobFilter", "*.{js,mjs,cjs}")
-    path = F.col("_metadata.file_path")
-    rules = (recursive, patterns, exclude)
-    listed = reader.text(root, wholetext=True).filter(
-        is_chosen(path, relative_path(path, root), *rules))
-    others = list_unlisted(spark, root, recursive).filter(
-        is_chosen(F.col("path"), F.col("rel"), *rules))
-    return as_units(listed).unionByName(read_unlisted(others))
+    listed = list_files(spark, root, recursive, skip=EXCLUDED_FOLDERS)
+    return listed.filter(is_chosen(F.col("path"), F.col("rel"), recursive, patterns, exclude))
+
+
+def scan_folder(
+    spark: SparkSession, root: str, recursive: bool = True,
+    patterns: Sequence[str] | None = None, exclude: Sequence[str] = (),
+) -> DataFrame:
+    """Script files below a folder as units; those passed over are filtered before any is opened."""
+    return read_files(chosen_files(spark, root, recursive, patterns, exclude))
 
 
 def distinct_paths(files: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
-from .unlisted import open_filesystem
+from .listing import open_filesystem
 
 
 def write_table(df: DataFrame, path: str, force: bool = False, by: tuple[str, ...] = ()) -> None:

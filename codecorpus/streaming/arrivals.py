@@ -12,54 +12,76 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 
-from ..sources.files import as_units, is_chosen, relative_path
+from ..sources.files import chosen_files
+from ..sources.listing import read_files
 
 
-def file_stream(
-    spark: SparkSession, root: str, max_files: int = 1000, recursive: bool = True,
+SEEN = "path string, rel string, n_bytes long, modified timestamp"
+
+
+def discover(
+    spark: SparkSession, root: str, log: str, max_files: int = 1000, recursive: bool = True,
     patterns: Sequence[str] | None = None, exclude: Sequence[str] = (),
-) -> DataFrame:
-    """Units of script files that arrive below `root`, chosen as a folder scan does.
+) -> int:
+    """Adds the chosen files below `root` that the log lacks to it; returns how many.
 
-    Spark's file stream sees neither empty files nor names that start with an underscore;
-    a scan sees both.
+    The log is a Parquet table of paths and times of change: a file that changes is a new row. Rows
+    that are in it count as found, however much of an append became visible before a failure,
+    so what a failed one did not write is found again and nothing is found twice. One process at a
+    time may write to a log. A file of the log holds `max_files` rows at most.
     """
-    path = F.col("_metadata.file_path")
-    reader = (
-        spark.readStream.format("text").schema("value string")
-        .option("wholetext", "true")
-        .option("recursiveFileLookup", str(recursive).lower())
-        .option("maxFilesPerTrigger", max_files)
-    )
-    if not patterns:
-        reader = reader.option("pathGlobFilter", "*.{js,mjs,cjs}")
-    chosen = is_chosen(path, relative_path(path, root), recursive, patterns, exclude)
-    return as_units(reader.load(root).filter(chosen))
+    spark.createDataFrame([], SEEN).write.mode("ignore").parquet(log)
+    seen = spark.read.schema(SEEN).parquet(log).select("path", "modified")
+    new = chosen_files(spark, root, recursive, patterns, exclude).join(seen, ["path", "modified"], "left_anti")
+    n = new.count()
+    if n:
+        new.select("path", "rel", "n_bytes", "modified").repartition(-(-n // max_files)).write.mode("append").option(
+            "maxRecordsPerFile", max_files).parquet(log)
+    return n
+
+
+def file_stream(spark: SparkSession, log: str) -> DataFrame:
+    """Units of the files of a log, as they are added to it: one file of the log per batch.
+
+    A file is read when its batch runs; a batch that runs again reads the same files.
+    """
+    return read_files(spark.readStream.schema(SEEN).option("maxFilesPerTrigger", 1).parquet(log))
 
 
 def watch_files(
     spark: SparkSession, root: str, output: str, checkpoint: str,
     change: Callable[[DataFrame], DataFrame], available_now: bool = True,
     max_files: int = 1000, recursive: bool = True, patterns: Sequence[str] | None = None,
-    exclude: Sequence[str] = (),
+    exclude: Sequence[str] = (), every: str = "10 seconds",
 ) -> StreamingQuery:
-    """Apply `change` to every new file once.
+    """Apply `change` to every new file once, empty ones and names with an underscore included.
 
     Each micro-batch owns one ``progress=…/batch_id=…`` folder and overwrites it, so a batch that
     is repeated after a failure replaces its own half-written output. A stream with another
-    checkpoint starts its batches anew, in a folder of its own.
+    checkpoint starts its batches anew, in a folder of its own. Below `checkpoint` lie the log of
+    files and the progress of the stream over it. Without `available_now` the tree is listed
+    at each tick, and what is new is processed before the next one.
     """
     own = f"{output.rstrip('/')}/progress={hashlib.sha256(checkpoint.encode()).hexdigest()[:12]}"
+    base = checkpoint.rstrip("/")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         change(batch).write.mode("overwrite").parquet(f"{own}/batch_id={batch_id}")
 
-    writer = (
-        file_stream(spark, root, max_files, recursive, patterns, exclude).writeStream
-        .foreachBatch(write).option("checkpointLocation", checkpoint)
-    )
-    trigger = {"availableNow": True} if available_now else {"processingTime": "10 seconds"}
-    return writer.trigger(**trigger).start()
+    def process() -> StreamingQuery:
+        discover(spark, root, f"{base}/files", max_files, recursive, patterns, exclude)
+        return (file_stream(spark, f"{base}/files").writeStream.foreachBatch(write)
+                .option("checkpointLocation", f"{base}/batches").trigger(availableNow=True).start())
+
+    if available_now:
+        return process()
+
+    def tick(_batch: DataFrame, _batch_id: int) -> None:
+        process().awaitTermination()
+
+    ticks = spark.readStream.format("rate").load()
+    return (ticks.writeStream.foreachBatch(tick).option("checkpointLocation", f"{base}/ticks")
+            .trigger(processingTime=every).start())
 
 
 def first_in_ttl(keyed: DataFrame, ttl_seconds: float, ts: str = "ts") -> DataFrame:

@@ -1,11 +1,15 @@
 from __future__ import annotations
 
+import os
+import time
+
+import pandas as pd
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from codecorpus.sources import files as fl
-from codecorpus.sources import sinks
+from codecorpus.sources import listing, sinks
 from codecorpus.streaming import arrivals
 
 
@@ -61,10 +65,66 @@ def test_flat_scan_pattern_and_exclude(spark, tree):
     assert names(fl.scan_folder(spark, tree, patterns=["*.txt", "E.*"]), tree) == ["E.JS"]
 
 
-def test_scan_prunes_files_by_path_before_opening_them(spark, tree):
+def test_scan_prunes_files_by_path_before_opening_them(spark, tree, monkeypatch):
     scan = fl.scan_folder(spark, tree, patterns=["lib/*.js"])
     text = scan._jdf.queryExecution().executedPlan().toString()
-    assert "file_path" in text.split("DataFilters: [")[1].split("Format:")[0]
+    assert "RLIKE" in text.split("MapInPandas")[1]  # below the step that opens files
+
+
+def walked(root):
+    return sorted(os.path.relpath(os.path.join(d, f), root) for d, _, files in os.walk(root) for f in files)
+
+
+@pytest.mark.parametrize("page", [1, 3, 5000])
+def test_listing_equals_a_walk(spark, tmp_path, page):
+    root = tmp_path / "deep"
+    at = root
+    for k in range(12):
+        at = at / f"d{k}"
+        write(at, **{f"f{i}.js": "x" * i for i in range(k % 4)}, **{f"side{k}/_g.js": "", f"side{k}/h": "1"})
+    (root / "empty").mkdir()
+    (root / "link").symlink_to(root / "d0")
+    rows = listing.list_files(spark, str(root), page=page).collect()
+    assert sorted(r.rel for r in rows) == walked(root)
+    assert all(r.n_bytes == os.path.getsize(root / r.rel) and r.path == f"file://{root}/{r.rel}" for r in rows)
+    assert all(abs(r.modified.timestamp() - os.path.getmtime(root / r.rel)) < 1 for r in rows)
+
+
+def test_flat_folder_comes_in_pages(spark, tmp_path):
+    for i in range(20_000):
+        (tmp_path / f"{i}.js").touch()
+    step = listing._lister(str(tmp_path), True, frozenset(), 1000)
+    sizes = [len(f) for f in step(iter([pd.DataFrame({"rel": [""]})]))]
+    assert sum(sizes) == 20_000 and max(sizes) == 1000
+    assert listing.list_files(spark, str(tmp_path)).count() == 20_000
+
+
+def test_folders_beyond_a_page_are_handed_on(tmp_path):
+    write(tmp_path, **{f"d{i}/f{j}": "" for i in range(9) for j in range(5)})
+    first = pd.concat(listing._lister(str(tmp_path), True, frozenset(), 12)(iter([pd.DataFrame({"rel": [""]})])))
+    assert 0 < first["folder"].sum() < 9 and (~first["folder"]).sum() == 5 * (9 - first["folder"].sum())
+
+
+def test_missing_root_and_odd_roots(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        listing.list_files(spark, str(tmp_path / "none"))
+    assert listing.list_files(spark, str(tmp_path)).count() == 0
+    write(tmp_path, **{"a b%20.js": "1"})
+    for root in (str(tmp_path), f"file://{tmp_path}", f"file:{tmp_path}/", f"{tmp_path}//"):
+        assert [(r.rel, r.path) for r in listing.list_files(spark, root).collect()] == [("a b%20.js", f"file://{tmp_path}/a b%20.js")]
+    assert [r.code for r in listing.read_files(listing.list_files(spark, str(tmp_path))).collect()] == ["1"]
+
+
+@pytest.mark.parametrize("uri,opened", [
+    ("s3a://bucket/x/y", "s3://bucket/x/y"), ("s3n://b/x", "s3://b/x"), ("gs://b/x", "gs://b/x"), ("hdfs://h:1/x", "hdfs://h:1/x"),
+    ("viewfs://cluster/a/b", ("viewfs://cluster", "/a/b")), ("viewfs:///a/b", ("default", "/a/b")), ("/tmp/x", None), ("file:/tmp/x", None)])
+def test_schemes(monkeypatch, uri, opened):
+    seen = []
+    monkeypatch.setattr(listing.pafs, "FileSystem", type("F", (), {"from_uri": staticmethod(lambda u: seen.append(u) or (None, ""))}))
+    monkeypatch.setattr(listing.pafs, "HadoopFileSystem", lambda host, port: seen.append(host))
+    inner = listing.open_filesystem(uri)[1]
+    assert (seen[0] if isinstance(opened, str) else (seen[0], inner) if opened else None) == opened
+    assert opened or inner == "/tmp/x"
 
 
 @pytest.mark.parametrize("pattern,path,hit", [
@@ -134,6 +194,66 @@ def test_watch_processes_each_file_once(spark, tmp_path):
     assert run() == [("a.js", "X;Y"), ("b.mjs", "Z"), ("d.cjs", "NEW")]
 
 
+def test_empty_and_underscored_files_arrive_and_changed_ones_again(spark, tmp_path):
+    root, out, check = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "cp")
+    write(root, **{"_a.js": "1", "e.js": "", "__tests__/b.js": "2", ".c.js": "no", "node_modules/d.js": "no"})
+
+    def run(**more):
+        assert arrivals.watch_files(spark, str(root), out, check, lambda df: df, **more).awaitTermination(120)
+        return sorted((r.path.split("/in/")[1], r.code) for r in spark.read.parquet(out).collect())
+
+    first = [("__tests__/b.js", "2"), ("_a.js", "1"), ("e.js", "")]
+    assert run() == first
+    assert run() == first  # a restart repeats nothing
+    old = tmp_path / "moved.js"
+    old.write_text("old")
+    os.utime(old, (1, 1))  # a file that arrives late with an old time
+    old.rename(root / "moved.js")
+    assert run() == sorted([*first, ("moved.js", "old")])
+    time.sleep(0.01)
+    write(root, **{"e.js": "now"})
+    assert run() == sorted([*first, ("moved.js", "old"), ("e.js", "now")])
+
+
+def test_batches_of_files_are_bounded(spark, tmp_path):
+    root, out, check = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "cp")
+    write(root, **{f"{i}.js": str(i) for i in range(25)})
+    sizes = []
+
+    def change(df):
+        sizes.append(df.count())
+        return df
+    assert arrivals.watch_files(spark, str(root), out, check, change, max_files=10).awaitTermination(120)
+    assert sum(sizes) == 25 and max(sizes) <= 10
+
+
+def test_a_log_half_written_is_taken_up_again(spark, tmp_path):
+    root, log = tmp_path / "in", str(tmp_path / "log")
+    write(root, **{f"{i}.js": str(i) for i in range(9)})
+    rows = fl.chosen_files(spark, str(root)).orderBy("path")
+    rows.limit(4).select("path", "rel", "n_bytes", "modified").write.parquet(log)
+    assert arrivals.discover(spark, str(root), log) == 5 and arrivals.discover(spark, str(root), log) == 0
+    assert spark.read.parquet(log).select("path").distinct().count() == spark.read.parquet(log).count() == 9
+
+
+def test_watching_goes_on_until_it_is_stopped(spark, tmp_path):
+    root, out, check = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "cp")
+    write(root, **{"a.js": "1"})
+    q = arrivals.watch_files(spark, str(root), out, check, lambda df: df, available_now=False, every="1 second")
+    try:
+        for text in ("1", "2"):
+            write(root, **{f"{text}.js": text})
+            for _ in range(120):
+                time.sleep(0.5)
+                if os.path.isdir(out) and spark.read.parquet(out).filter(F.col("path").endswith(f"/{text}.js")).count():
+                    break
+            else:
+                raise AssertionError("the file never came out")
+    finally:
+        q.stop()
+    assert sorted(r.code for r in spark.read.parquet(out).collect()) == ["1", "1", "2"]
+
+
 def test_repeated_keys_pass_once_within_their_time_to_live(spark, tmp_path):
     src, out, check = (str(tmp_path / d) for d in ("src", "out", "cp"))
 
