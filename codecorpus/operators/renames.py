@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import lexical as lx
 from ..functions import renames as rn
-from ..functions import scan
 from ..functions.classify import guard_reserved, has_bad_escape
 from ..functions.text import exact_mean, let
 from .rows import explode_once
@@ -266,34 +265,30 @@ def split_malformed(renames: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
-NAMES = r"[\p{L}\p{N}_$]+"
-PAIRS = "array<struct<original_name:string,suggested_name:string>>"
+def _hits(units: DataFrame, renames: DataFrame) -> DataFrame:
+    """(unit_id, code, hits): each unit with the names in it that have a rename, and where they stand.
 
-
-def _with_renames(units: DataFrame, renames: DataFrame) -> DataFrame:
-    """(unit_id, code, renames): each unit with the renames whose original occurs in its text.
-
-    Distinct names go through the join by (unit, name), which spreads a unit over all tasks; what
-    remains per unit is no longer than its text. The text itself moves once.
+    Texts are dealt out once, by unit and text, for both readings: the first finds names, which meet
+    renames by (unit, name), so that a unit is spread over all tasks; the second puts what comes
+    back, no longer than the text, next to it. text_key tells texts of one unit_id apart. The
+    number of parts is fixed because reading a text costs far more than its bytes suggest.
     """
+    parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = units.select("unit_id", "code", F.xxhash64("code").alias("text_key")).repartition(parts, "unit_id", "text_key")
+    wanted = dealt.join(renames.select("unit_id"), "unit_id", "left_semi")
     names = explode_once(
-        units, "unit_id", name="original_name",
-        array=F.array_distinct(F.regexp_extract_all("code", F.lit(NAMES), F.lit(0))))
-    found = renames.join(names, ["unit_id", "original_name"], "left_semi").groupBy("unit_id").agg(
-        F.collect_list(F.struct("original_name", "suggested_name")).alias("renames"))
-    return units.select("unit_id", "code").join(found, "unit_id", "left").withColumn(
-        "renames", F.coalesce("renames", F.array().cast(PAIRS)))
+        wanted, "unit_id", "text_key", name="name", position="pos", array=lx.tokens(F.col("code"))
+    ).filter(lx.is_name(F.col("name"))).withColumn("pos", F.col("pos").cast("int"))
+    hits = names.join(renames.select("unit_id", F.col("original_name").alias("name"), F.col("suggested_name").alias("new")),
+                      ["unit_id", "name"]).groupBy("unit_id", "text_key").agg(
+        F.sort_array(F.collect_set(F.struct("pos", "name", "new"))).alias("hits"))
+    return dealt.join(hits, ["unit_id", "text_key"], "left").drop("text_key")
 
 
-def _rewritten(rows: DataFrame) -> DataFrame:
-    """(unit_id, code, hits): names looked up by hash, batch by batch."""
-    def rewrite(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = [scan.rename(c, {r["original_name"]: r["suggested_name"] for r in rs}) if c is not None and len(rs)
-                   else (c, {}) for c, rs in zip(f["code"], f["renames"], strict=True)]
-            yield pd.DataFrame({"unit_id": f["unit_id"], "code": [c for c, _ in out],
-                                "hits": [list(h.items()) for _, h in out]})
-    return rows.mapInPandas(rewrite, "unit_id string, code string, hits array<struct<original_name:string,n:long>>")
+def _rewritten(rows: DataFrame, chosen: Callable[[Column, Column], Column]) -> DataFrame:
+    """(unit_id, code) with the chosen hits replaced."""
+    new = let(lx.tokens(F.col("code")), lambda t: let(chosen(t, F.col("hits")), lambda c: lx.replaced(t, c)))
+    return rows.select("unit_id", F.when(F.col("hits").isNull(), F.col("code")).otherwise(new).alias("code"))
 
 
 def apply_by_token(units: DataFrame, suggestions: DataFrame) -> DataFrame:
@@ -302,7 +297,7 @@ def apply_by_token(units: DataFrame, suggestions: DataFrame) -> DataFrame:
     Lexical: strings, comments and template words are kept, properties, object keys and method
     definitions are skipped, scopes and regular-expression literals are not told apart.
     """
-    return _rewritten(_with_renames(units, best_suggestions(suggestions))).select("unit_id", "code")
+    return _rewritten(_hits(units, best_suggestions(suggestions)), lx.free_hits)
 
 
 def apply_everywhere(units: DataFrame, renames: DataFrame) -> DataFrame:
@@ -314,13 +309,7 @@ def apply_everywhere(units: DataFrame, renames: DataFrame) -> DataFrame:
     last = renames.groupBy("unit_id", "original_name").agg(
         F.max_by("suggested_name", "ordinal").alias("suggested_name")
     ).withColumn("suggested_name", guard_reserved(F.col("suggested_name")))
-
-    def rewrite(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"unit_id": f["unit_id"], "code": [
-                scan.rename_all(c, {r["original_name"]: r["suggested_name"] for r in rs}) if c is not None and len(rs)
-                else c for c, rs in zip(f["code"], f["renames"], strict=True)]})
-    return _with_renames(units, last).mapInPandas(rewrite, "unit_id string, code string")
+    return _rewritten(_hits(units, last), lambda toks, hits: hits)
 
 
 def _may_match(units: DataFrame, renames: DataFrame) -> DataFrame:
@@ -361,8 +350,10 @@ def apply_in_sequence(units: DataFrame, suggestions: DataFrame) -> DataFrame:
 def rename_hits(units: DataFrame, suggestions: DataFrame) -> DataFrame:
     """How often applying them changes each suggested name in its unit, zero included."""
     best = best_suggestions(suggestions).select("unit_id", "original_name", "suggested_name")
-    changed = explode_once(
-        _rewritten(_with_renames(units, best)), "unit_id", array=F.col("hits"), name="h").select("unit_id", "h.*")
+    rows = _hits(units, best).filter("hits is not null")
+    changed = explode_once(rows, "unit_id", name="h", array=let(
+        lx.tokens(F.col("code")), lambda t: lx.free_hits(t, F.col("hits")))).groupBy(
+        "unit_id", F.col("h.name").alias("original_name")).agg(F.count(F.lit(1)).alias("n"))
     return best.join(changed, ["unit_id", "original_name"], "left").withColumn(
         "n", F.coalesce("n", F.lit(0))
     )
