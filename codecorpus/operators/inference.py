@@ -32,6 +32,9 @@ MAX_ATTEMPTS = 3
 BASE_DELAY = 1.0
 JITTER = 0.1
 
+#: Answers a task hands over together: so many, or those of so many seconds.
+ANSWERS, SECONDS = 200, 5.0
+
 
 def build_requests(
     chunks: DataFrame, provider: Column, model: Column,
@@ -83,6 +86,21 @@ def _call(
     return row
 
 
+def _gathered(rows: Iterator[dict[str, Any]], answers: int, seconds: float) -> Iterator[pd.DataFrame]:
+    """Rows in frames: so many, or those of so many seconds."""
+    names = [f.name for f in RESPONSES.fields]
+    held: list[dict[str, Any]] = []
+    since = 0.0
+    for row in rows:
+        since = since if held else time.monotonic()
+        held.append(row)
+        if len(held) >= answers or time.monotonic() - since >= seconds:
+            yield pd.DataFrame(held, columns=names)
+            held = []
+    if held:
+        yield pd.DataFrame(held, columns=names)
+
+
 def run_inference(
     requests: DataFrame,
     client_factory: Callable[[], Client],
@@ -91,22 +109,24 @@ def run_inference(
     max_attempts: int = MAX_ATTEMPTS,
     base_delay: float = BASE_DELAY,
     sleep: Callable[[float], None] = time.sleep,
+    answers: int = ANSWERS,
+    seconds: float = SECONDS,
 ) -> DataFrame:
     """Responses of all requests, one row each, failed ones included.
 
     Calls in flight are bounded by tasks times `threads`. Requests are spread round-robin
-    when `partitions` is given, so an expensive unit does not keep one task busy. A task may
-    run twice; write the result and keep one row per request with `latest_responses`.
+    when `partitions` is given, so an expensive unit does not keep one task busy. Answers are
+    handed over when there are `answers` of them or the first has waited `seconds`, at the next
+    answer. A task may run twice; write the result and keep one row per request with
+    `latest_responses`, or let `answer_stream` keep a log.
     """
-    names = [f.name for f in RESPONSES.fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = client_factory()
         with ThreadPoolExecutor(max_workers=threads) as pool:
-            for batch in batches:
-                todo = batch.to_dict("records")
-                for row in pool.map(lambda r: _call(client, r, max_attempts, base_delay, sleep), todo):
-                    yield pd.DataFrame([row], columns=names)  # an answer does not wait for its batch
+            yield from _gathered((
+                row for batch in batches for row in pool.map(
+                    lambda r: _call(client, r, max_attempts, base_delay, sleep), batch.to_dict("records"))), answers, seconds)
 
     spread = requests.repartition(partitions) if partitions else requests
     return spread.mapInPandas(run, RESPONSES)

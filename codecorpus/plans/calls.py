@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import prompts as pr
 from ..operators import chunking as ck
 from ..operators import inference as op
+from ..schemas import RESPONSES
+from ..session import scratch_folder
 from ..sources import catalog as cat
+from ..streaming.calls import answer_stream
 from . import relations as rel
 from .chunks import _overlap_sql
 from .files import CATALOG_SQL
@@ -91,6 +94,24 @@ def inference_responses(spark, sf_dir):
     return op.latest_responses(answers).drop("ms")
 
 
+@register("logged_responses", with_ctes(rel.SCRIPTS_SQL, SCRIPT_CUTS_SQL, REQUESTS_SQL, body="""
+SELECT request_id, CASE WHEN n % 7 = 0 THEN 'non_retryable' WHEN n % 5 = 0 THEN 'exhausted' END AS error_class,
+       CASE WHEN n % 7 <> 0 AND n % 5 = 0 THEN 2 ELSE 1 END::BIGINT AS calls
+FROM (SELECT request_id, length(prompt) AS n FROM requests)"""))
+def logged_responses(spark, sf_dir):
+    """The requests as a stream into a log of answers, and all of them once more with a new
+    checkpoint: only those that may still be answered are called again."""
+    asked, log = scratch_folder(spark, "requests"), scratch_folder(spark, "answers")
+    requests = script_requests(spark, sf_dir)
+    requests.write.parquet(asked)
+    for _ in range(2):
+        stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 4).parquet(asked)
+        answer_stream(stream, log, scratch_folder(spark, "progress"), offline_client, threads=4,
+                      sleep=no_wait).awaitTermination()
+    return spark.read.schema(RESPONSES).parquet(log).groupBy("request_id").agg(
+        F.max("error_class").alias("error_class"), F.count(F.lit(1)).alias("calls"))
+
+
 ROUTING_SQL = "routing(variant, provider, lo, hi, model) AS (VALUES " + ", ".join(
     f"({rel.sql_text(v)}, {rel.sql_text(p)}, {lo}::BIGINT, {'NULL' if hi is None else hi}::BIGINT, {rel.sql_text(m)})"
     for v, p, lo, hi, m in cat.ROUTING_ROWS) + ")"

@@ -42,8 +42,11 @@ def _write_files(force: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.
         for batch in batches:
             rows = []
             for path, code in batch.itertuples(index=False):
+                if not isinstance(path, str) or not path or not isinstance(code, str):
+                    rows.append((path, False, "INVALID_INPUT", "A file needs a path and a text"))
+                    continue
                 fs, inner = open_filesystem(path)
-                data = code.encode("utf8")
+                data = code.encode("utf8", "replace")
                 found = fs.get_file_info(inner)
                 taken = found.type != pafs.FileType.NotFound
                 if taken and not force and not _holds(fs, inner, found.size, data):
@@ -73,7 +76,7 @@ def write_files(units: DataFrame, force: bool = False) -> DataFrame:
 
     A file that exists with other content is an error row unless `force` is set. One with
     the same content counts as written, because a task that runs again after the loss of an
-    executor meets the files of its first attempt. A file appears under its name only when
-    it is complete. The result is lazy: nothing is written until it is read or stored.
+    executor meets the files of its first attempt. A null path or text, and an empty path, is an
+    error row. A file appears under its name only when it is complete. The result is lazy: nothing is written until it is read or stored.
     """
     return units.select("path", "code").mapInPandas(_write_files(force), FILE_RESULT)

@@ -315,3 +315,10 @@ def test_files_are_written_once_and_not_overwritten(spark, tmp_path):
     assert put("new", force=True)["a.js"] == (True, None)
     assert (tmp_path / "w/x/a.js").read_text() == "new"
     assert sorted(p.name for p in (tmp_path / "w").rglob("*.*")) == ["a.js", "b.js"]
+
+
+def test_rows_without_path_or_text_are_error_rows(spark, tmp_path):
+    rows = [(f"{tmp_path}/a.js", None), (None, "x"), ("", "x"), (f"{tmp_path}/b.js", "")]
+    got = sinks.write_files(spark.createDataFrame(rows, "path string, code string")).collect()
+    assert [(r.written, r.error_code) for r in got] == [(False, "INVALID_INPUT")] * 3 + [(True, None)]
+    assert [p.name for p in tmp_path.iterdir()] == ["b.js"]

@@ -1,6 +1,10 @@
 from __future__ import annotations
 
+import uuid
+from collections import Counter
+
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from codecorpus.functions import classify as cl
@@ -10,6 +14,7 @@ from codecorpus.operators import chunking as ck
 from codecorpus.operators import inference as inf
 from codecorpus.operators import renames as rn
 from codecorpus.sources import catalog as cat
+from codecorpus.streaming.calls import answer_stream
 
 
 def no_wait(_):
@@ -61,6 +66,61 @@ def test_threads_and_partitions_keep_every_request(spark):
     assert sorted(r.payload for r in out.collect()) == sorted(f"answer to p{i}" for i in range(50))
 
 
+def test_answers_come_in_batches_by_number_and_time():
+    rows = [{"request_id": str(i), "payload": "x", "tokens_used": 1} for i in range(50)]
+    assert [len(f) for f in inf._gathered(iter(rows), 20, 60)] == [20, 20, 10]
+    assert [len(f) for f in inf._gathered(iter(rows), 20, 0)] == [1] * 50  # no answer waits for another
+    assert list(inf._gathered(iter([]), 20, 60)) == []
+
+
+def counted(folder, stop_at=None):
+    """A client that notes each call in a file of its own and may take the whole run down."""
+    def make():
+        def call(request):
+            p = request["prompt"]
+            if p == stop_at:
+                raise SystemExit("lost")
+            (folder / f"{p}-{uuid.uuid4().hex}").touch()
+            if p.startswith("never"):
+                raise RuntimeError("Unauthorized")
+            if p.startswith("busy"):
+                raise RuntimeError("Server error")
+            return f"answer to {p}", 1
+        return call
+    return make
+
+
+def calls(folder):
+    return Counter(p.name.split("-")[0] for p in folder.iterdir())
+
+
+def test_a_stopped_run_is_taken_up_again(spark, tmp_path):
+    asked, log, check, noted = (tmp_path / d for d in ("asked", "log", "cp", "calls"))
+    noted.mkdir()
+    for k in range(4):  # four files, so four batches
+        names = [f"p{k}{i}" for i in range(5)] + [f"never{k}", f"busy{k}"]
+        rows = [(f"r{n}", n) for n in names]
+        spark.createDataFrame(rows + rows[:1], "request_id string, prompt string").coalesce(1).write.mode("append").parquet(str(asked))
+
+    def run(client, checkpoint):
+        stream = spark.readStream.schema("request_id string, prompt string").option("maxFilesPerTrigger", 1).parquet(str(asked))
+        q = answer_stream(stream, str(log), checkpoint, client, sleep=no_wait, max_attempts=1)
+        q.awaitTermination(180)
+
+    with pytest.raises(StreamingQueryException):
+        run(counted(noted, stop_at="p22"), str(check))
+    stored = {r.request_id for r in spark.read.parquet(str(log)).filter("payload is not null").collect()}
+    assert 5 <= len(stored) < 20
+    run(counted(noted), str(check))
+    assert all(calls(noted)[s[1:]] == 1 for s in stored)  # no stored call is repeated
+    answered = {r.request_id for r in spark.read.parquet(str(log)).filter("payload is not null").collect()}
+    assert answered == {f"rp{k}{i}" for k in range(4) for i in range(5)}
+    before = calls(noted)
+    run(counted(noted), str(tmp_path / "other"))  # a new checkpoint over the same log
+    again = {n for n, c in calls(noted).items() if c > before[n]}
+    assert again == {f"busy{k}" for k in range(4)}  # what may still be answered
+
+
 def test_repeated_tasks_leave_one_response_per_request(spark):
     out = inf.run_inference(requests(spark, "fine", "always"), scripted, sleep=no_wait)
     twice = inf.latest_responses(out.unionByName(out))
