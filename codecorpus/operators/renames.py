@@ -265,19 +265,24 @@ def split_malformed(renames: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def _hits(units: DataFrame, renames: DataFrame) -> DataFrame:
+def _dealt(units: DataFrame) -> DataFrame:
+    """Units by (unit_id, text_key), which tells texts of one unit_id apart. The number of parts is
+    fixed because reading a text costs far more than its bytes suggest."""
+    parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return units.select("unit_id", "code", F.xxhash64("code").alias("text_key")).repartition(parts, "unit_id", "text_key")
+
+
+def _hits(units: DataFrame, renames: DataFrame, tokens: Callable[[Column], Column] = lx.tokens) -> DataFrame:
     """(unit_id, code, hits): each unit with the names in it that have a rename, and where they stand.
 
     Texts are dealt out once, by unit and text, for both readings: the first finds names, which meet
     renames by (unit, name), so that a unit is spread over all tasks; the second puts what comes
-    back, no longer than the text, next to it. text_key tells texts of one unit_id apart. The
-    number of parts is fixed because reading a text costs far more than its bytes suggest.
+    back, no longer than the text, next to it.
     """
-    parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = units.select("unit_id", "code", F.xxhash64("code").alias("text_key")).repartition(parts, "unit_id", "text_key")
+    dealt = _dealt(units)
     wanted = dealt.join(renames.select("unit_id"), "unit_id", "left_semi")
     names = explode_once(
-        wanted, "unit_id", "text_key", name="name", position="pos", array=lx.tokens(F.col("code"))
+        wanted, "unit_id", "text_key", name="name", position="pos", array=tokens(F.col("code"))
     ).filter(lx.is_name(F.col("name"))).withColumn("pos", F.col("pos").cast("int"))
     hits = names.join(renames.select("unit_id", F.col("original_name").alias("name"), F.col("suggested_name").alias("new")),
                       ["unit_id", "name"]).groupBy("unit_id", "text_key").agg(
@@ -329,22 +334,58 @@ def _may_match(units: DataFrame, renames: DataFrame) -> DataFrame:
     return found.unionByName(keyed.filter(F.col("word") == "").select(*found.columns)).drop("word")
 
 
+WORD, ESCAPED = r"^\w+\z", r"\\\w"
+
+
+def _words(code: Column) -> Column:
+    return F.regexp_extract_all(code, F.lit(r"\w+|\W+"), F.lit(0))
+
+
+def _composed(ordered: Column) -> Column:
+    """What each of the renames of a unit comes to when those behind it in the order follow.
+
+    Only a rename whose target is another one's original is followed, and only through such.
+    """
+    names = F.transform(ordered, lambda r: r["original_name"])
+    met = F.array_intersect(F.transform(ordered, lambda r: r["suggested_name"]), names)
+
+    def followed(on: Column) -> Column:
+        placed = F.transform(ordered, lambda r, k: F.struct(
+            r["original_name"].alias("original_name"), r["suggested_name"].alias("suggested_name"), k.alias("k")))
+        links = F.filter(placed, lambda r: F.array_contains(on, r["original_name"]))
+        return let(links, lambda ls: F.transform(placed, lambda r: F.struct(
+            r["original_name"].alias("original_name"),
+            F.when(F.array_contains(on, r["suggested_name"]), F.aggregate(
+                F.filter(ls, lambda x: x["k"] > r["k"]), r["suggested_name"],
+                lambda t, x: F.when(t == x["original_name"], x["suggested_name"]).otherwise(t))
+            ).otherwise(r["suggested_name"]).alias("suggested_name"))))
+
+    plain = F.transform(ordered, lambda r: F.struct(
+        r["original_name"].alias("original_name"), r["suggested_name"].alias("suggested_name")))
+    return let(met, lambda on: F.when(F.size(on) == 0, plain).otherwise(followed(on)))
+
+
 def apply_in_sequence(units: DataFrame, suggestions: DataFrame) -> DataFrame:
     """Apply one rename after the other, longest original first.
 
-    Renames may chain here: a later one also hits names that an earlier one wrote. Only
-    renames that can find something are gathered, each name of a unit once.
+    Renames may chain here: a later one also hits names that an earlier one wrote. Where all
+    names of a unit are single words and its text has no escape before a word, what a word becomes
+    depends on the word alone: the chain is composed first and the text is read once, each word
+    meeting its rename by (unit, word). Other units go through their renames one by one, each name
+    that can be found once.
     """
     best = best_suggestions(suggestions).filter(F.length("original_name") > 1)
-    lists = _may_match(units, best).groupBy("unit_id").agg(
-        F.collect_list(F.struct("original_name", "suggested_name")).alias("l")
-    )
-    joined = units.join(lists, "unit_id", "left")
-    empty = F.array().cast("array<struct<original_name:string,suggested_name:string>>")
-    ordered = rn.longest_first(F.coalesce("l", empty))
-    return joined.select(
-        "unit_id", rn.apply_in_sequence(F.col("code"), ordered).alias("code")
-    )
+    lists = _may_match(_dealt(units), best).groupBy("unit_id").agg(
+        F.collect_list(F.struct("original_name", "suggested_name")).alias("l"))
+    lists = lists.select("unit_id", rn.longest_first(F.col("l")).alias("l"), F.exists(
+        "l", lambda r: ~(r["original_name"].rlike(WORD) & r["suggested_name"].rlike(WORD))).alias("odd"))
+    composed = explode_once(lists.filter(~F.col("odd")), "unit_id", array=_composed(F.col("l")), name="r").select("unit_id", "r.*")
+    rows = _hits(units, composed, _words).join(lists, "unit_id", "left")
+    at_once = let(_words(F.col("code")), lambda t: lx.replaced(t, F.col("hits")))
+    code = F.when(F.col("l").isNull(), F.col("code")).when(
+        F.col("odd") | F.col("code").rlike(ESCAPED), rn.apply_in_sequence(F.col("code"), F.col("l"))).when(
+        F.col("hits").isNull(), F.col("code")).otherwise(at_once)
+    return rows.select("unit_id", code.alias("code"))
 
 
 def rename_hits(units: DataFrame, suggestions: DataFrame) -> DataFrame:

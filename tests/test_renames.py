@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -186,3 +188,38 @@ def test_dead_code_rules(spark):
     kept, dropped = df.select(nm.keep_return_line(F.col("code")), nm.drop_after_return(F.col("code"))).first()
     assert kept == code
     assert dropped == "function r() { return 1;}\nfunction s() {\n  return 2;}\nreturn x\n y}"
+
+
+def in_order(code, renames):
+    """The renames one after the other, as whole words."""
+    for old, new in sorted(renames.items(), key=lambda r: (-len(r[0]), r[0])):
+        if len(old) > 1:
+            code = re.sub(rf"(?<!\w){re.escape(old)}(?!\w)", lambda _: new, code, flags=re.ASCII)
+    return code
+
+
+def test_chains_in_sequence_as_one_by_one(spark):
+    rng = random.Random(8)
+    words = ["aa", "bb", "ccc", "dddd", "ee", "f", "long_name", "x1", "zz"]
+    units, rows, want = [], [], {}
+    for u in range(150):
+        code = "".join(rng.choice(words) + rng.choice([" ", "+", ".", "$", "(", "é", "\n", "-", ""]) for _ in range(40))
+        renames = {w: rng.choice(words) for w in rng.sample(words, rng.randrange(0, 8))}
+        if u % 10 == 0:
+            renames["aa"] = "two words"  # no single word: goes through one by one
+        units.append((f"u{u}", code))
+        rows += [(f"u{u}", 0, i, o, n, 0.9, "", "variable") for i, (o, n) in enumerate(renames.items())]
+        want[f"u{u}"] = in_order(code, renames)
+    df = suggestions(spark)
+    got = op.apply_in_sequence(spark.createDataFrame(units, "unit_id string, code string"), spark.createDataFrame(rows, df.schema))
+    assert {r.unit_id: r.code for r in got.collect()} == want
+
+
+def test_a_text_is_read_once_whatever_the_number_of_renames(spark):
+    n = 3000
+    code = " ".join(f"name{i}" for i in range(n))
+    rows = [("u", 0, i, f"name{i}", f"name{i + 1}" if i % 100 else f"other{i}", 0.9, "", "variable") for i in range(n)]
+    df = suggestions(spark)
+    out = op.apply_in_sequence(
+        spark.createDataFrame([("u", code)], "unit_id string, code string"), spark.createDataFrame(rows, df.schema)).first().code
+    assert out == in_order(code, {r[3]: r[4] for r in rows})
