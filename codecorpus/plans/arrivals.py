@@ -106,6 +106,38 @@ def first_keys_on_stream(spark, sf_dir):
         "key", F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"))
 
 
+BLOCK_DAYS = 4
+
+
+@register("late_keys_on_stream", f"""
+WITH RECURSIVE e AS (SELECT user_id || '-' || event_type AS key, ts FROM events),
+due AS (
+  SELECT key, min(ts) AS ts FROM e GROUP BY key
+  UNION ALL
+  SELECT d.key, min(e.ts) AS ts FROM due d JOIN e ON e.key = d.key AND e.ts >= d.ts + INTERVAL {TTL_DAYS} DAY
+  GROUP BY d.key, d.ts)
+SELECT key, epoch_us(ts) AS at_us FROM due""")
+def late_keys_on_stream(spark, sf_dir):
+    """The same keys from batches out of order: blocks of four days of which each second comes before
+    the first, and at last a row that lets those that wait go."""
+    source, out, checkpoint = (scratch_folder(spark, n) for n in ("blocks", "keys", "progress"))
+    events = rel.table(spark, sf_dir, "events").select(F.concat_ws("-", "user_id", "event_type").alias("key"), "ts")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    first, newest = events.agg(F.min(us), F.max(us)).first()
+    length = BLOCK_DAYS * 86_400_000_000
+    block = F.floor((us - (first or 0)) / length).cast("long")
+    for k in range(((newest or 0) - (first or 0)) // length + 2):
+        events.filter(block.bitwiseXOR(F.lit(1)) == k).coalesce(1).write.mode("append").parquet(source)
+    last = events.agg((F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts")).select(F.lit("").alias("key"), "ts")
+    last.write.mode("append").parquet(source)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    firsts = ar.first_in_ttl(stream, ttl_seconds=TTL_DAYS * 86_400, lateness=f"{2 * BLOCK_DAYS} days")
+    (firsts.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+     .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema(firsts.schema).parquet(out).select(
+        "key", F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"))
+
+
 @register("refused_overwrites", with_ctes(rel.UNITS_SQL, rel.REWORKED_SQL, body="""
 SELECT unit_id, s.code = r.code AS written, CASE WHEN s.code <> r.code THEN 'FILE_WRITE_ERROR' END AS error_code
 FROM scripts s JOIN reworked r USING (unit_id)"""))

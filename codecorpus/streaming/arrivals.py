@@ -84,20 +84,26 @@ def watch_files(
             .trigger(processingTime=every).start())
 
 
-def first_in_ttl(keyed: DataFrame, ttl_seconds: float, ts: str = "ts") -> DataFrame:
+def first_in_ttl(keyed: DataFrame, ttl_seconds: float, ts: str = "ts", lateness: str | None = None) -> DataFrame:
     """(key, ts) of the first row of each key, and of each first row after its time to live, on a stream.
 
-    A key's state is the time it last passed. Rows of a batch are taken in order of time, so
-    what passes does not depend on how rows fall into batches, as long as batches follow
-    each other in time. Once the watermark is past a key's time to live its state is dropped.
+    A key's state is the time it last passed. Once the watermark is past a key's time to live its
+    state is dropped.
+
+    Without `lateness` a row is decided in the batch that brings it. Rows of a batch are taken in
+    order of time, so what passes does not depend on how rows fall into batches, as long as batches
+    follow each other in time; a row older than a former batch's newest one is dropped.
+
+    With `lateness`, an interval such as "10 minutes", a row waits until the watermark, the newest
+    time less this interval, has reached it: rows up to so much late are taken in order with the
+    others, whatever batches bring them, and what passes is what one batch over all of them gives.
+    The state then holds the distinct times of a key that wait. The newest rows of a stream that ends
+    wait for a newer one. Rows that are later still are dropped and counted: see `late_rows`.
     """
-    def passed(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        ttl = int(ttl_seconds * 1_000_000)
-        times = np.sort(np.concatenate([f["us"].to_numpy(np.int64) for f in frames]))
-        last, out = state.get[0] if state.exists else None, []
+    ttl = int(ttl_seconds * 1_000_000)
+
+    def passing(times: np.ndarray, last: int | None) -> tuple[list[int], int | None]:
+        out: list[int] = []
         at = 0
         while at < len(times):
             if last is not None:  # straight to the first row that is due
@@ -106,12 +112,30 @@ def first_in_ttl(keyed: DataFrame, ttl_seconds: float, ts: str = "ts") -> DataFr
                     break
             last = int(times[at])
             out.append(last)
-        if last is not None:
-            state.update((last,))
-            state.setTimeoutTimestamp(max((last + ttl) // 1000, state.getCurrentWatermarkMs() + 1))
+        return out, last
+
+    def passed(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, waiting = state.get if state.exists else (None, [])
+        mark = state.getCurrentWatermarkMs()
+        times = np.array(waiting or [], np.int64)
+        if not state.hasTimedOut:
+            times = np.unique(np.concatenate([times, *(f["us"].to_numpy(np.int64) for f in frames)]))
+        due = len(times) if lateness is None else int(np.searchsorted(times, mark * 1000, "right"))
+        out, last = passing(times[:due], last)
+        rest = times[due:].tolist()
+        if rest or last is not None and (last + ttl) // 1000 >= mark:
+            state.update((last, rest))
+            state.setTimeoutTimestamp(max((rest[0] if rest else last + ttl) // 1000, mark + 1))
+        else:
+            state.remove()
         yield pd.DataFrame({"key": [key[0]] * len(out), "us": np.array(out, np.int64)})
 
-    timed = keyed.select("key", F.col(ts).cast("timestamp").alias(ts)).withWatermark(ts, "0 seconds")
+    timed = keyed.select("key", F.col(ts).cast("timestamp").alias(ts)).withWatermark(ts, lateness or "0 seconds")
     rows = timed.withColumn("us", F.unix_micros(ts)).groupBy("key").applyInPandasWithState(
-        passed, "key string, us long", "last long", "append", "EventTimeTimeout")
+        passed, "key string, us long", "last long, waiting array<long>", "append", "EventTimeTimeout")
     return rows.select("key", F.timestamp_micros("us").cast(keyed.schema[ts].dataType).alias(ts))
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came after the watermark and were dropped, in the batches whose progress the session keeps."""
+    return sum(int(op["numRowsDroppedByWatermark"]) for p in query.recentProgress for op in p["stateOperators"])

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+import random
 import time
 
 import pandas as pd
@@ -289,6 +290,42 @@ def test_keys_pass_again_after_their_time_to_live_within_a_batch(spark, tmp_path
     assert sorted(str(r.ts)[14:] for r in spark.read.parquet(out).collect()) == ["00:00", "08:20", "16:40"]
 
 
+def first_of(rows, ttl):
+    out, last = [], {}
+    for key, t in sorted(set(rows), key=lambda r: r[1]):
+        if key not in last or t >= last[key] + ttl:
+            last[key] = t
+            out.append((key, t))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_batches_out_of_order_give_what_one_batch_gives(spark, tmp_path, seed):
+    src, out, check = (str(tmp_path / d) for d in ("src", "out", "cp"))
+    rng = random.Random(seed)
+    rows = sorted((rng.choice("abcd"), rng.randrange(0, 4000)) for _ in range(300))
+    rows.sort(key=lambda r: r[1] + rng.randrange(0, 600))  # up to ten minutes late
+
+    def send(batch):
+        spark.createDataFrame(batch, "key string, s long").select("key", F.timestamp_seconds("s").alias("ts")).coalesce(1) \
+            .write.mode("append").parquet(src)
+
+    def run():
+        stream = spark.readStream.schema("key string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(src)
+        q = (arrivals.first_in_ttl(stream, 300, lateness="10 minutes").writeStream.format("parquet")
+             .option("checkpointLocation", check).option("path", out).trigger(availableNow=True).start())
+        assert q.awaitTermination(180)
+        return q
+    for i in range(0, 300, 75):
+        send(rows[i:i + 75])
+    send([("end", 100_000)])
+    assert arrivals.late_rows(run()) == 0
+    got = sorted((r.key, int(r.ts.timestamp())) for r in spark.read.parquet(out).collect())
+    assert got == first_of(rows, 300)
+    send([("a", 1), ("new", 2)])  # far too late: dropped, and counted
+    assert arrivals.late_rows(run()) == 2 and spark.read.parquet(out).filter("key = 'new'").count() == 0
+
+
 def test_another_checkpoint_leaves_earlier_output(spark, tmp_path):
     root, out = tmp_path / "in", str(tmp_path / "out")
     write(root, **{"a.js": "x", "skip.js": "y"})
