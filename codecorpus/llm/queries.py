@@ -133,7 +133,7 @@ FROM bits"""
 
 
 def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = warc.archive(read_table(spark, sf_dir, "pages"))
+    out = warc.archive(read_table(spark, sf_dir, "pages"), with_payload=False)
     return out.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

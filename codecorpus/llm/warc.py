@@ -36,6 +36,8 @@ ARC_FIELDS = {
 #: Fixed by the format: the profile of revisit records.
 REVISIT = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 _KEY, _SIZE = "Archive-Key", "Archive-Payload-Length"
+#: Bytes of blocks that a task hands on together.
+FRAME_BYTES = 8 << 20
 #: Bytes of records that are written as one value, and values in a file.
 VALUE_BYTES, VALUES = 1 << 22, 32
 
@@ -145,25 +147,29 @@ _CONVERTED = ("key long, record_id string, uri string, date string, record_type
               "payload {kind}, payload_bytes long, payload_digest string, content_id string")
 
 
-def convert(arcs: DataFrame, with_payload: bool = True) -> DataFrame:
+def convert(arcs: DataFrame, with_payload: bool = True, with_digest: bool = True, with_content_id: bool = True) -> DataFrame:
     """WARC facts of the records in (key, arc) rows, each an ARC file; several records share a key.
 
-    record_id is made from key, place, address and date. content_id is a SHA-256 of the payload.
+    record_id is made from key, place, address and date. content_id is a SHA-256 of the payload. A
+    caller that needs no payload (then empty), digest or content_id (then null) spares their cost.
     """
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in _CONVERTED.split(", ")]
         for f in frames:
-            for i in range(0, len(f), 256):
-                out = []
-                for k, arc in zip(f["key"].iloc[i:i + 256], f["arc"].iloc[i:i + 256], strict=True):
-                    for place, r in enumerate(parse_arc(arc)):
-                        head, payload = split_http(r.block)
-                        uri, date = r.fields["URL"], iso_date(r.fields["Archive-date"])
-                        name = uuid.uuid5(uuid.NAMESPACE_URL, f"{'' if pd.isna(k) else int(k)} {place} {date} {uri}")
-                        out.append((k, f"<urn:uuid:{name}>", uri, date, *type_of(uri, r.fields["Content-type"], head), head,
-                                    payload if with_payload else b"", len(payload), digest(payload),
-                                    hashlib.sha256(payload).hexdigest()))
-                yield pd.DataFrame(out, columns=names).astype({"key": "Int64"})
+            out, size = [], 0
+            for k, arc in zip(f["key"], f["arc"], strict=True):
+                for place, r in enumerate(parse_arc(arc)):
+                    head, payload = split_http(r.block)
+                    uri, date = r.fields["URL"], iso_date(r.fields["Archive-date"])
+                    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{'' if pd.isna(k) else int(k)} {place} {date} {uri}")
+                    out.append((k, f"<urn:uuid:{name}>", uri, date, *type_of(uri, r.fields["Content-type"], head), head,
+                                payload if with_payload else b"", len(payload), digest(payload) if with_digest else None,
+                                hashlib.sha256(payload).hexdigest() if with_content_id else None))
+                    size += len(r.block) if with_payload else 0
+                    if len(out) >= 1000 or size >= FRAME_BYTES:
+                        yield pd.DataFrame(out, columns=names).astype({"key": "Int64"})
+                        out, size = [], 0
+            yield pd.DataFrame(out, columns=names).astype({"key": "Int64"})
     return arcs.mapInPandas(read, _CONVERTED.format(kind="binary"))
 
 
@@ -240,10 +246,11 @@ def parse_warc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, block
 
 
-def read_warc(spark: SparkSession, folder: str) -> DataFrame:
+def read_warc(spark: SparkSession, folder: str, with_payload: bool = True, checked: bool = True) -> DataFrame:
     """One row per record: key, record_id, record_type, uri, date, payload_bytes, payload_digest,
     refers_to_id and payload (null for revisits). Files hold any number of gzip members. Digests of
-    blocks and payloads are checked where a record names SHA-1 ones; a warcinfo has no uri."""
+    blocks and payloads are checked where a record names SHA-1 ones, unless `checked` is false; a
+    warcinfo has no uri. Without `with_payload` all payloads are null."""
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["key", "record_id", "record_type", "uri", "date", "payload_bytes", "payload_digest", "refers_to_id", "payload"]
         for f in frames:
@@ -253,8 +260,8 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
                     head, payload = split_http(block)
                     whole, told = h.get("warc-block-digest", ""), h.get("warc-payload-digest", "")
                     revisit = h["warc-type"] == "revisit"
-                    if whole.startswith("sha1:") and whole != f"sha1:{digest(block)}" or (
-                            not revisit and told.startswith("sha1:") and told != f"sha1:{digest(payload)}"):
+                    if checked and (whole.startswith("sha1:") and whole != f"sha1:{digest(block)}" or (
+                            not revisit and told.startswith("sha1:") and told != f"sha1:{digest(payload)}")):
                         raise ValueError(f"record {h['warc-record-id']} does not have its digest")
                     size = re.search(rb"(?i)^content-length:\s*(\d+)", head, re.M) if revisit else None
                     size = h.get(_SIZE.lower()) if _SIZE.lower() in h else size and size[1]
@@ -262,8 +269,8 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
                     out.append((None if key is None else int(key), h["warc-record-id"], h["warc-type"], h.get("warc-target-uri"),
                                 h["warc-date"], int(size) if size else len(payload),
                                 told.removeprefix("sha1:") or None, h.get("warc-refers-to"),
-                                None if revisit else payload))
-                    if len(out) == 256:
+                                None if revisit or not with_payload else payload))
+                    if len(out) == (256 if with_payload else 2000):
                         yield pd.DataFrame(out, columns=names).astype({"key": "Int64"})
                         out = []
                 yield pd.DataFrame(out, columns=names).astype({"key": "Int64"})
@@ -272,20 +279,23 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
                              "payload_bytes long, payload_digest string, refers_to_id string, payload binary")
 
 
-def archive(pages: DataFrame, key: str = "page_id", url: str = "url", text: str = "html", least: int = 0) -> DataFrame:
+def archive(pages: DataFrame, key: str = "page_id", url: str = "url", text: str = "html", least: int = 0,
+            with_payload: bool = True) -> DataFrame:
     """Pages through ARC into WARC archives below the checkpoint folder, and the records read back.
 
     Adds refers_to, the key of the response that a revisit names, to the columns of read_warc.
     Null texts are empty payloads, null addresses are "-", blanks in addresses are escaped. Rows
     with a null key are responses. Rows that repeat share their record's identifier and type. An
-    empty table gives no rows. Other columns of pages are not read.
+    empty table gives no rows. Other columns of pages are not read. Without `with_payload`
+    payloads are read back and checked, and left out of the result.
     """
     spark = pages.sparkSession
     folder = scratch_folder(spark, "warc")
     arcs = to_arc(pages, key, url, text)
-    write_warc(convert(arcs), first_of_equal(convert(arcs, with_payload=False), least), folder)
-    records = read_warc(spark, folder)
-    targets = records.filter("record_type <> 'revisit'").select(
+    write_warc(convert(arcs, with_content_id=False),
+               first_of_equal(convert(arcs, with_payload=False, with_digest=False), least), folder)
+    records = read_warc(spark, folder, with_payload)
+    targets = read_warc(spark, folder, with_payload=False, checked=False).filter("record_type <> 'revisit'").select(
         F.col("record_id").alias("refers_to_id"), F.col("key").alias("refers_to")).distinct()
     return records.join(targets, "refers_to_id", "left")
 
