@@ -24,13 +24,13 @@ def fold_conditionals(code: Column) -> Column:
 
 
 def keep_return_line(code: Column) -> Column:
-    """Keep the first line of each ``return`` that further lines follow.
+    """The rule that keeps the first line of each ``return`` that further lines follow.
 
-    The part after the first line is empty whenever the rule applies, because the rule
-    already holds at the first line break that does not stand right before a brace. The
-    text therefore comes out unchanged; it is the default of the preprocessing chain.
+    It cuts what stands between that line and a later line break. But it already holds at the first
+    line break that is not right before a brace, where nothing stands between, so it leaves every
+    text as it is, and no text is searched for it. `drop_after_return` is the rule that cuts.
     """
-    return F.regexp_replace(code, rf"(return[^}}\n]*+)[^}}]*?(?=\n{WS}*[^}}])", "$1")
+    return code
 
 
 def drop_after_return(code: Column) -> Column:

@@ -40,7 +40,7 @@ def preprocess(units: DataFrame) -> DataFrame:
         ft.n_chars(code), ft.cyclomatic_score(code), ft.framework_tags(code)
     )
     classed = units.withColumn("w", plan)
-    cleaned = nm.normalize_whitespace(nm.keep_return_line(code))
+    cleaned = nm.normalize_whitespace(code)
     return classed.select(
         "unit_id", F.col("w.profile").alias("profile"),
         F.when(F.col("w.profile").isin("cleanup", "chunks"), cleaned)

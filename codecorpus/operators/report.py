@@ -107,26 +107,34 @@ def split_failed(results: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 # Bottleneck rules (type, severity, metric, above, up to, impact), first rule
-# of a metric that holds.
+# of a metric that holds; then our own words: what was measured, its unit, what may help.
 BOTTLENECKS = (
-    ("memory", "high", "heap_mb", 1000.0, None, 0.8),
-    ("memory", "medium", "heap_mb", 500.0, 1000.0, 0.4),
-    ("cpu", "high", "cpu", 0.9, None, 0.7),
-    ("io", "medium", "seconds", 300.0, None, 0.6),
+    ("memory", "high", "heap_mb", 1000.0, None, 0.8,
+     "Heap use is high", " MB", "Process in smaller chunks, or stream instead of holding whole texts"),
+    ("memory", "medium", "heap_mb", 500.0, 1000.0, 0.4,
+     "Heap use is raised", " MB", "Watch the heap, and trim what is kept if it grows"),
+    ("cpu", "high", "cpu", 0.9, None, 0.7,
+     "CPU is nearly used up", " %", "Run fewer tasks at a time, or give them more cores"),
+    ("io", "medium", "seconds", 300.0, None, 0.6,
+     "The run takes long", " s", "Spread the work over more tasks, or reuse cached answers"),
 )
 
 
 def bottlenecks(samples: DataFrame) -> DataFrame:
-    """Bottlenecks of samples (run_id, sample_id, heap_mb, cpu, seconds), none to three each."""
-    def rule(kind: str, severity: str, metric: str, above: float, upto: float | None,
-             impact: float) -> Column:
+    """Bottlenecks of samples (run_id, sample_id, heap_mb, cpu, seconds), none to three each: type,
+    severity, impact, the rounded measure, a description with it, and a suggestion. A null
+    measure is no bottleneck."""
+    def rule(kind: str, severity: str, metric: str, above: float, upto: float | None, impact: float,
+             words: str, unit: str, advice: str) -> Column:
         hit = F.col(metric) > above
         if upto is not None:
             hit = hit & (F.col(metric) <= upto)
+        measured = js_round(F.col(metric) * (100 if metric == "cpu" else 1))
         return F.when(hit, F.struct(
             F.lit(kind).alias("type"), F.lit(severity).alias("severity"),
-            F.lit(impact).alias("impact"),
-            js_round(F.col(metric) * (100 if metric == "cpu" else 1)).alias("measured"),
+            F.lit(impact).alias("impact"), measured.alias("measured"),
+            F.concat(F.lit(f"{words}: "), measured.cast("string"), F.lit(unit)).alias("description"),
+            F.lit(advice).alias("suggestion"),
         ))
 
     found = F.array_compact(F.array(*[rule(*r) for r in BOTTLENECKS]))

@@ -96,10 +96,16 @@ def step_results_by_kind(spark, sf_dir):
 
 @register("bottlenecks", with_ctes(rel.SAMPLES_SQL, body="""
 SELECT run_id, sample_id, 'memory' AS type, CASE WHEN heap_mb > 1000 THEN 'high' ELSE 'medium' END AS severity,
-       CASE WHEN heap_mb > 1000 THEN 0.8 ELSE 0.4 END::DOUBLE AS impact, floor(heap_mb + 0.5)::BIGINT AS measured
+       CASE WHEN heap_mb > 1000 THEN 0.8 ELSE 0.4 END::DOUBLE AS impact, floor(heap_mb + 0.5)::BIGINT AS measured,
+       CASE WHEN heap_mb > 1000 THEN 'Heap use is high: ' ELSE 'Heap use is raised: ' END || floor(heap_mb + 0.5)::BIGINT || ' MB' AS description,
+       CASE WHEN heap_mb > 1000 THEN 'Process in smaller chunks, or stream instead of holding whole texts'
+            ELSE 'Watch the heap, and trim what is kept if it grows' END AS suggestion
 FROM samples WHERE heap_mb > 500
-UNION ALL SELECT run_id, sample_id, 'cpu', 'high', 0.7, floor(cpu * 100 + 0.5)::BIGINT FROM samples WHERE cpu > 0.9
-UNION ALL SELECT run_id, sample_id, 'io', 'medium', 0.6, floor(seconds + 0.5)::BIGINT
+UNION ALL SELECT run_id, sample_id, 'cpu', 'high', 0.7, floor(cpu * 100 + 0.5)::BIGINT,
+  'CPU is nearly used up: ' || floor(cpu * 100 + 0.5)::BIGINT || ' %', 'Run fewer tasks at a time, or give them more cores'
+FROM samples WHERE cpu > 0.9
+UNION ALL SELECT run_id, sample_id, 'io', 'medium', 0.6, floor(seconds + 0.5)::BIGINT,
+  'The run takes long: ' || floor(seconds + 0.5)::BIGINT || ' s', 'Spread the work over more tasks, or reuse cached answers'
 FROM samples WHERE seconds > 300"""))
 def bottlenecks(spark, sf_dir):
     return op.bottlenecks(rel.samples(spark, sf_dir))
