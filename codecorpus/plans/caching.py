@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fingerprint as fp
 from ..operators import cache as op
-from ..session import ensure_checkpoint_dir
+from ..operators import snapshots
+from ..session import ensure_checkpoint_dir, scratch_folder
 from . import relations as rel
 from .registry import register, with_ctes
 
@@ -60,6 +61,19 @@ def cache_upserted(spark, sf_dir):
     return _cache_cols(op.upsert(op.upsert(entries.limit(0), older), entries))
 
 
+@register("cache_snapshot_upserted", with_ctes(rel.ENTRIES_SQL, body=f"SELECT {CACHE_COLS} FROM cache"))
+def cache_snapshot_upserted(spark, sf_dir):
+    """An older generation of all entries as a stored cache, then the current one upserted in three parts."""
+    entries, folder = rel.cache_entries(spark, sf_dir), scratch_folder(spark, "cache")
+    day = F.expr("INTERVAL 24 HOURS")
+    snapshots.write_snapshot(
+        entries.withColumns({c: F.col(c) - day for c in ("created_at", "expires_at")}), folder, buckets=16)
+    for part in range(3):
+        snapshots.upsert_snapshot(
+            spark, folder, entries.filter(F.pmod(F.hash("payload"), F.lit(3)) == part), buckets=16)
+    return _cache_cols(snapshots.read_snapshot(spark, folder))
+
+
 @register("cache_after_expiry", with_ctes(rel.ENTRIES_SQL, body=f"""
 SELECT {CACHE_COLS} FROM cache WHERE expires_at >= TIMESTAMP '{rel.NOW}'"""))
 def cache_after_expiry(spark, sf_dir):

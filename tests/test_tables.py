@@ -12,7 +12,7 @@ from codecorpus.operators import cache as ca
 from codecorpus.operators import features as ft
 from codecorpus.operators import identifiers as ids
 from codecorpus.operators import report as rp
-from codecorpus.operators import skew
+from codecorpus.operators import skew, snapshots
 
 CACHE = "key string, payload string, created_at timestamp, expires_at timestamp, size long"
 
@@ -208,3 +208,37 @@ def test_requests_that_share_a_key_are_called_once(spark):
     cache = entries(spark, [("b", 0.0, 1, 10)])
     got = sorted((r.request_id, r.key) for r in ca.calls_to_make(asked, cache, at(1)).collect())
     assert got == [("r1", "a"), ("r4", "c")]
+
+
+def stored_entries(spark, rows):
+    """(key, payload, created second)"""
+    df = spark.createDataFrame(rows, "key string, payload string, s long")
+    return df.select("key", "payload", F.timestamp_seconds("s").alias("created_at"), F.timestamp_seconds(F.col("s") + 60).alias("expires_at"),
+                     F.lit(1).cast("long").alias("size"))
+
+
+def test_an_upsert_rewrites_only_the_buckets_it_touches(spark, tmp_path):
+    folder = str(tmp_path / "cache")
+    old = stored_entries(spark, [(f"k{i}", f"p{i}", i) for i in range(200)])
+    snapshots.write_snapshot(old, folder, 32)
+
+    def files():
+        return {str(p.relative_to(tmp_path)) for p in (tmp_path / "cache").rglob("*.parquet")}
+    before = files()
+    fresh = stored_entries(spark, [("k7", "new", 900), ("k7", "new", 900), ("k8", "older", -5), ("added", "x", 3), (None, "no", 1)])
+    touched = snapshots.upsert_snapshot(spark, folder, fresh, 32)
+    assert 0 < len(touched) <= 3
+    gone = {f.split("bucket=")[1].split("/")[0] for f in before - files()}
+    assert gone == {str(b) for b in touched}
+    got = {r.key: r.payload for r in snapshots.read_snapshot(spark, folder).collect()}
+    assert got == {f"k{i}": f"p{i}" for i in range(200)} | {"k7": "new", "added": "x"}
+    assert snapshots.read_snapshot(spark, folder).count() == 201
+    assert snapshots.upsert_snapshot(spark, folder, fresh.limit(0), 32) == []
+
+
+def test_latest_entries_sort_no_payload(spark):
+    plan = snapshots.latest_entries(stored_entries(spark, [("a", "x", 1), ("a", "y", 1)]))._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Sort" in line and "payload" in line]
+    same = stored_entries(spark, [("a", "x", 1), ("a", "y", 1), ("a", "z", 0)])
+    first, again = snapshots.latest_entries(same).collect(), snapshots.latest_entries(same.orderBy("payload")).collect()
+    assert first == again and len(first) == 1
