@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_folder
 from ..sources import files as fl
-from ..sources import sinks
+from ..sources import sinks, versions
 from ..sources.listing import plain_uri, read_files
 from ..streaming import arrivals as ar
 from . import relations as rel
@@ -168,3 +168,16 @@ def rewritten_with_backup(spark, sf_dir):
             "unit_id", F.lit(version).alias("version"), F.sha2("code", 256).alias("digest"))
 
     return digests(backup, "old").unionByName(digests(path, "new"))
+
+
+@register("revised_versions", with_ctes(rel.SCRIPTS_SQL, body=r"""
+SELECT unit_id, 1::BIGINT AS version, sha256(code) AS digest FROM scripts
+UNION ALL SELECT unit_id, 2, sha256(replace(code, ';', ';' || chr(10))) FROM scripts"""))
+def revised_versions(spark, sf_dir):
+    """A table of scripts published, a changed version of it, and both read back."""
+    root = scratch_folder(spark, "versions")
+    versions.publish(rel.scripts(spark, sf_dir).select("unit_id", "code"), root)
+    versions.revise(spark, root, lambda df: df.withColumn("code", F.replace("code", F.lit(";"), F.lit(";\n"))))
+    old, new = (versions.read_version(spark, root, n).select(
+        "unit_id", F.lit(n).cast("long").alias("version"), F.sha2("code", 256).alias("digest")) for n in (1, 2))
+    return old.unionByName(new)

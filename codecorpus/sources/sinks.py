@@ -26,7 +26,8 @@ def rewrite_with_backup(
 
     The old version is copied to ``run_id=…`` below `backup_root` first, and the new one is
     computed from that copy, so that overwriting never reads what it replaces. A run id can
-    be used once. Returns the backup path.
+    be used once. Returns the backup path. A failure while the table is overwritten leaves only
+    the backup whole; `versions.revise` switches a table whole.
     """
     backup = f"{backup_root.rstrip('/')}/run_id={run_id}"
     spark.read.parquet(path).write.mode("errorifexists").parquet(backup)

@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from codecorpus.sources import files as fl
-from codecorpus.sources import listing, sinks
+from codecorpus.sources import listing, sinks, versions
 from codecorpus.streaming import arrivals
 
 
@@ -359,3 +359,32 @@ def test_rows_without_path_or_text_are_error_rows(spark, tmp_path):
     got = sinks.write_files(spark.createDataFrame(rows, "path string, code string")).collect()
     assert [(r.written, r.error_code) for r in got] == [(False, "INVALID_INPUT")] * 3 + [(True, None)]
     assert [p.name for p in tmp_path.iterdir()] == ["b.js"]
+
+
+def test_versions_are_switched_whole(spark, tmp_path):
+    root = str(tmp_path / "t")
+    with pytest.raises(FileNotFoundError):
+        versions.read_version(spark, root)
+    assert versions.publish(spark.range(4), root) == 1
+
+    def failing(df):
+        return df.select(F.when(F.col("id") == 3, F.raise_error(F.lit("lost"))).otherwise(F.col("id")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="lost"):
+        versions.revise(spark, root, failing)  # fails in the middle of a write
+    assert sorted(r.id for r in versions.read_version(spark, root).collect()) == [0, 1, 2, 3]
+    reader = versions.read_version(spark, root)
+    assert versions.revise(spark, root, lambda df: df.select((F.col("id") * 10).alias("id"))) == 2
+    assert sorted(r.id for r in reader.collect()) == [0, 1, 2, 3]  # a reader keeps the version it opened
+    assert sorted(r.id for r in versions.read_version(spark, root).collect()) == [0, 10, 20, 30]
+    assert sorted(r.id for r in versions.read_version(spark, root, 1).collect()) == [0, 1, 2, 3]
+    with pytest.raises(FileNotFoundError):
+        versions.read_version(spark, root, 9)
+
+
+def test_a_switch_that_fails_leaves_the_old_version(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "t")
+    versions.publish(spark.range(2), root)
+    monkeypatch.setattr(versions.uuid, "uuid4", lambda: (_ for _ in ()).throw(OSError("gone")))
+    with pytest.raises(OSError):
+        versions.publish(spark.range(9), root)
+    assert versions.read_version(spark, root).count() == 2
