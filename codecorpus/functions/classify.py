@@ -159,6 +159,7 @@ def dialect_by_extension(path: Column) -> Column:
 def oversize_message(code: Column, max_size: int = MAX_UNIT_SIZE) -> Column:
     """What is wrong with a text over the size limit, else null; fits a step of a chain."""
     mb = 1024 * 1024
+    # fixed value: the sentence
     return F.when(F.length(code) > max_size, F.concat(
         F.lit("Input code too large: "),
         F.floor(F.length(code) / F.lit(float(mb)) + 0.5).cast("string"),

@@ -40,6 +40,7 @@ def split_oversize(
     too_long = F.lit(False) if max_size is None else F.length("code") > max_size
     errors = units.filter(too_long).select(
         "unit_id",
+        # fixed values: code and step of the error row
         F.lit("WEBCRACK_FAILED").alias("code"),
         cl.oversize_message(F.col("code"), max_size or cl.MAX_UNIT_SIZE).alias("message"),
         F.lit("webcrack").alias("step"), F.lit(True).alias("recoverable"),

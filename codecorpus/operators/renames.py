@@ -20,6 +20,14 @@ NEW_FIELDS = ("newName", "suggestedName", "to")
 REASON_FIELDS = ("reasoning", "reason")
 TYPES = ("variable", "function", "class", "method", "property")
 NUMBER = "^(BIGINT|DECIMAL|DOUBLE|FLOAT)"
+# What the error rows of answers, their items and rename rows say.
+NO_JSON = "No JSON found in response"
+NO_LIST = "Response does not contain a suggestions array"
+BAD_ITEM = "Invalid suggestion at index "
+BAD_OLD_NAME = "Invalid originalName: expected non-empty string"
+BAD_NEW_NAME = "Invalid suggestedName: expected non-empty string"
+NO_CODE = "Code must be a string"
+NO_NAMES = "Each rename operation must have name and newName strings"
 
 
 def _kind(v: Column) -> Column:
@@ -94,12 +102,12 @@ def _checked_items(rows: DataFrame, *more: str) -> DataFrame:
         return F.coalesce(F.col(f"{name}_kind") == "STRING", F.lit(False))
 
     error = (
-        F.when(F.col("no_json"), "No JSON found in response")
-        .when(F.col("no_list"), "Response does not contain a suggestions array")
+        F.when(F.col("no_json"), NO_JSON)
+        .when(F.col("no_list"), NO_LIST)
         .when(~F.col("is_object"),
-              F.concat(F.lit("Invalid suggestion at index "), F.col("ordinal").cast("string")))
-        .when(~is_text("old"), "Invalid originalName: expected non-empty string")
-        .when(~is_text("new"), "Invalid suggestedName: expected non-empty string")
+              F.concat(F.lit(BAD_ITEM), F.col("ordinal").cast("string")))
+        .when(~is_text("old"), BAD_OLD_NAME)
+        .when(~is_text("new"), BAD_NEW_NAME)
         .when(F.col("reason_kind").isNotNull() & ~is_text("reason"),
               "Invalid reasoning: expected text")
     )
@@ -253,10 +261,10 @@ def quality_warnings(
 def split_malformed(renames: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(usable rename rows, error rows) of (unit_id, original_name, suggested_name)."""
     reason = (
-        F.when(F.col("unit_id").isNull(), "Code must be a string")
+        F.when(F.col("unit_id").isNull(), NO_CODE)
         .when(F.col("original_name").isNull() | (F.col("original_name") == "")
               | F.col("suggested_name").isNull() | (F.col("suggested_name") == ""),
-              "Each rename operation must have name and newName strings")
+              NO_NAMES)
     )
     checked = renames.withColumn("reason", reason)
     return (

@@ -228,6 +228,7 @@ def throughput_trend(samples: DataFrame, partitions: int | None = None) -> DataF
 
 def format_errors(errors: DataFrame) -> DataFrame:
     """Adds a readable text to error rows (step, message, suggestions, recoverable)."""
+    # fixed values: the sentences and their signs
     hints = F.when(
         F.size("suggestions") > 0,
         F.concat(F.lit("\n\n💡 Suggestions:\n"), F.array_join(
