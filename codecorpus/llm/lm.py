@@ -1,12 +1,14 @@
-"""Log probabilities of texts under a smoothed n-gram model: a backoff automaton kept in buckets.
-
-States are histories, arcs are n-grams, and a failure arc leads from a history to the next
-shorter one. The weight of an arc comes from Dirichlet smoothing (MacKay and Peto),
-(c(hw) + strength * p(w | shorter)) / (c(h) + strength); without the arc, the failure arc's weight
-is strength / (c(h) + strength). All of it follows from counts of n-grams, so the automaton is
-stored as counts, spread over buckets of n-gram hashes. Texts are dealt out in groups. A group
-asks each bucket, in one sorted block, for the n-grams it holds, and brings its own counts along;
-buckets add up and answer in the same order. No task holds more than one group or one bucket.
+"""Log probabilities of texts under smoothed n-grams: a weighted backoff automaton.
+
+States are histories that were learnt, arcs are n-grams, and a failure arc leads from a history to
+the next shorter one. The weight of an arc comes from Dirichlet smoothing (MacKay and Peto),
+(c(hw) + strength * p(w | shorter)) / (c(h) + strength); the weight of a failure arc is
+strength / (c(h) + strength). A text is read once from left to right: where the state has no arc for
+the token, failure arcs are followed until one has.
+
+No task holds the model. Texts are dealt out in groups. A group asks buckets of n-gram hashes for
+the n-grams it holds, in sorted blocks, and brings its own counts along; buckets add up and answer.
+From the answers a group builds the part of the automaton that its texts can reach, and walks it.
 """
 
 from __future__ import annotations
@@ -16,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import pieces_for
+from .tables import pieces_for, stored
 from .textbytes import U64, mix, texts_of, words
 
 ORDER, STRENGTH, UNKNOWN = 2, 500.0, 0.5
 #: Bytes of text in a group.
 GROUP_BYTES = 12 << 20
+#: Tokens of a text that one lane of the traversal reads; longer texts are read by several at once.
+LANE = 256
 START, END = U64(0x51A7), U64(0xE2D5)
 _BASE = U64(0x9E3779B97F4A7C15)
 _BLOCK = 1 << 62
@@ -94,29 +98,28 @@ def _asker(order: int, buckets: int):
         learn = np.repeat(table.column("learn").to_numpy().astype(float), np.diff(bounds))
         counts = np.bincount(where, np.concatenate([learn[h] for h in has]), len(asked)).astype(np.uint32)
         cut = [0, *np.searchsorted(asked, edges).tolist(), len(asked)]
-        parts = list(zip(cut[:-1], cut[1:], strict=True))
+        used = [(b, i, j) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j]
+        parts = [(i, j) for _, i, j in used]
         return pa.table({
-            "grp": pa.array([group] * buckets, pa.int64()), "bucket": pa.array(np.arange(buckets)),
+            "grp": pa.array([group] * len(used), pa.int64()), "bucket": pa.array([b for b, _, _ in used], pa.int64()),
             "keys": pa.array([pack_sorted(asked[a:b]) for a, b in parts], pa.binary()),
-            "counts": pa.array([counts[a:b].tobytes() for a, b in parts], pa.binary())})
+            "counts": pa.array([_narrow(counts[a:b]) for a, b in parts], pa.binary())})
     return ask
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """Adds up a bucket's counts; also says how many single tokens it has learnt, and how often."""
+    """Adds up a bucket's counts; its first row also says how many single tokens are learnt, and how often."""
     each = [unpack_sorted(k) for k in table.column("keys").to_pylist()]
-    sizes = np.array([len(k) for k in each])
     found, where = np.unique(np.concatenate(each), return_inverse=True)
-    given = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32)
-    total = np.bincount(where, given, len(found))
+    total = np.bincount(where, np.concatenate([_wide(c) for c in table.column("counts").to_pylist()]), len(found))
     single = total[(found & U64(1)).astype(bool)]
-    answers = np.split(total[where].astype(np.uint64), np.cumsum(sizes)[:-1])
-    n = len(each)
+    answers = np.split(total[where].astype(np.uint64), np.cumsum([len(k) for k in each])[:-1])
+    rest = [0] * (len(each) - 1)
     return pa.table({
         "grp": table.column("grp"), "bucket": table.column("bucket"),
         "totals": pa.array([_narrow(a) for a in answers], pa.binary()),
-        "distinct": pa.array([int(np.count_nonzero(single))] * n, pa.int64()),
-        "tokens": pa.array([int(single.sum())] * n, pa.int64())})
+        "distinct": pa.array([int(np.count_nonzero(single)), *rest], pa.int64()),
+        "tokens": pa.array([int(single.sum()), *rest], pa.int64())})
 
 
 def _narrow(counts: np.ndarray) -> bytes:
@@ -129,45 +132,96 @@ def _wide(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, f"u{raw[:1].decode()}", offset=1).astype(float)
 
 
-def _scorer(order: int, strength: float):
+class Automaton:
+    """The states and arcs that the texts of a group can reach.
+
+    `arcs` holds, per length 1 to order, the number of the n-gram that ends at each token, or -1 where
+    the text is too short; `count` says how often the n-grams were learnt. The state of a history
+    has the number of its n-gram; two more are the start of a text and the root.
+    """
+
+    def __init__(self, arcs: np.ndarray, bounds: np.ndarray, count: np.ndarray, tokens: int, distinct: int,
+                 strength: float):
+        order, n = len(arcs), len(count)
+        self.arcs, self.bounds, self.start, self.root = arcs, bounds, n, n + 1
+        begins, ends = bounds[:-1], bounds[1:] - 1
+        self.depth = np.zeros(n + 2, np.int64)
+        self.depth[n] = 1
+        self.fail = np.full(n + 2, n + 1)
+        count = np.append(count, [count[arcs[0, ends[0]]] if len(ends) else 0, 0])  # texts learnt: what the start is followed by
+        weight = np.zeros(n + 2)
+        weight[arcs[0]] = (count[arcs[0]] + UNKNOWN) / (tokens + UNKNOWN * (distinct + 1))
+        self.depth[arcs[0]] = 1
+        for k in range(1, order):  # an arc rests on the arc of its failure state for the same token
+            history = np.roll(arcs[k - 1], 1)
+            history[begins] = n
+            at = np.flatnonzero(arcs[k] >= 0)
+            arc, shorter, history = arcs[k, at], arcs[k - 1, at], history[at]
+            weight[arc] = (count[arc] + strength * weight[shorter]) / (count[history] + strength)
+            self.fail[arc], self.depth[arc] = shorter, k + 1
+        self.learnt = count > 0
+        with np.errstate(divide="ignore"):
+            self.weight = np.log10(weight)
+        self.fail_weight = np.log10(strength / (count + strength))
+        self.target = np.where(self.depth < order, np.arange(n + 2), self.fail)  # where an arc leads
+        self.target[~self.learnt] = self.root
+
+    def walk(self) -> np.ndarray:
+        """The log10 weight that each token adds, texts read from left to right and many at a time.
+
+        A text of more than LANE tokens is read by several lanes. All but its first begin at the root as
+        many tokens early as a state remembers, which leads them to the state they would have come with.
+        """
+        begins, size = self.bounds[:-1], np.diff(self.bounds)
+        lanes = -(-size // LANE)
+        text = np.repeat(np.arange(len(size)), lanes)
+        first = begins[text] + (np.arange(len(text)) - np.repeat(np.cumsum(lanes) - lanes, lanes)) * LANE
+        last = np.minimum(first + LANE, self.bounds[1:][text])
+        early = np.maximum(first - (len(self.arcs) - 1), begins[text])
+        longest = np.argsort(early - last, kind="stable")
+        first, last, early = first[longest], last[longest], early[longest]
+        fresh = early == begins[text[longest]]
+        state = np.where(fresh & (len(self.arcs) > 1), self.start, self.root)
+        length, out = last - early, np.zeros(self.arcs.shape[1])
+        for step in range(int(length.max(initial=0))):
+            n = int(np.searchsorted(-length, -step, "left"))  # lanes that still read
+            at, gain, open_ = early[:n] + step, np.zeros(n), np.arange(n)
+            while len(open_):
+                own = state[open_]
+                arc = self.arcs[self.depth[own], at[open_]]
+                found = (arc >= 0) & (self.learnt[arc] | (own == self.root))
+                go, arc = open_[found], arc[found]
+                gain[go] += self.weight[arc]
+                state[go] = self.target[arc]
+                open_, own = open_[~found], own[~found]
+                gain[open_] += self.fail_weight[own]
+                state[open_] = self.fail[own]
+            told = at >= first[:n]
+            out[at[told]] = gain[told]
+        return out
+
+
+def _scorer(order: int, strength: float, n: int, distinct: int):
     def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return docs.select(["doc_id"]).slice(0, 0)
-        answers = answers.sort_by("bucket")
         tokens, bounds = _tokens(docs.column("text"))
         keys, has = _grams(tokens, bounds, order)
         _, where = _asked(keys, has)
-        totals = np.concatenate([_wide(a) for a in answers.column("totals").to_pylist()])[where]
-        counts, at = [], 0
-        for h in has:
-            c = np.zeros(len(tokens))
-            c[h] = totals[at:at + h.sum()]
-            at += h.sum()
-            counts.append(c)
-        n, v = (float(sum(answers.column(c).to_pylist())) for c in ("tokens", "distinct"))
-        chance = (counts[0] + UNKNOWN) / (n + UNKNOWN * (v + 1))
-        base = np.log10(chance)
-        ended = counts[0][bounds[1:] - 1]  # texts learnt: what the start is followed by
-        first = np.zeros(len(tokens), bool)
-        first[bounds[:-1]] = True
-        for k in range(1, order):  # from the shortest history up: arcs of a state rest on its failure state
-            history = np.zeros(len(tokens))
-            history[1:] = counts[k - 1][:-1]
-            if k == 1:
-                history[first] = ended
-            else:
-                history[first] = 0
-            state = history > 0
-            arc = (counts[k] + strength * chance) / (history + strength)
-            fail = strength / (history + strength) * chance
-            chance = np.where(state, np.where(counts[k] > 0, arc, fail), chance)
+        del keys
+        arcs = np.full((order, len(tokens)), -1)
+        arcs[np.array(has)] = where
+        count = np.concatenate([_wide(a) for a in answers.sort_by("bucket").column("totals").to_pylist()])
+        known = count[arcs[0]]
+        base = np.log10((known + UNKNOWN) / (n + UNKNOWN * (distinct + 1)))
+        weights = Automaton(arcs, bounds, count, n, distinct, strength).walk()
         add = lambda x: np.add.reduceat(x, bounds[:-1])  # noqa: E731  every text has its end token
         size = np.diff(bounds)
         return pa.table({
             "doc_id": docs.column("doc_id"), "n_tokens": pa.array(size),
-            "n_known": pa.array(add((counts[0] > 0).astype(np.int64))),
-            "train_tokens": pa.array(np.full(len(size), int(n))),
-            "base_score": pa.array(add(base)), "score": pa.array(add(np.log10(chance)))})
+            "n_known": pa.array(add((known > 0).astype(np.int64))),
+            "train_tokens": pa.array(np.full(len(size), n)),
+            "base_score": pa.array(add(base)), "score": pa.array(add(weights))})
     return score
 
 
@@ -187,8 +241,9 @@ def scored(docs: DataFrame, learn: Column, order: int = ORDER, strength: float =
     groups = pieces_for(size or 0, GROUP_BYTES)
     rows = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups))).repartition(groups, "grp")
     asked = rows.groupBy("grp").applyInArrow(_asker(order, groups), "grp long, bucket long, keys binary, counts binary")
-    told = asked.repartition(groups, "bucket").groupBy("bucket").applyInArrow(
-        _answer, "grp long, bucket long, totals binary, distinct long, tokens long")
-    return rows.groupBy("grp").cogroup(told.repartition(groups, "grp").groupBy("grp")).applyInArrow(
-        _scorer(order, strength), "doc_id long, n_tokens long, n_known long, train_tokens long, "
+    told = stored(asked.repartition(groups, "bucket").groupBy("bucket").applyInArrow(
+        _answer, "grp long, bucket long, totals binary, distinct long, tokens long"), "counts")
+    n, distinct = told.agg(F.sum("tokens"), F.sum("distinct")).first()
+    return rows.groupBy("grp").cogroup(told.select("grp", "bucket", "totals").repartition(groups, "grp").groupBy("grp")).applyInArrow(
+        _scorer(order, strength, n or 0, distinct or 0), "doc_id long, n_tokens long, n_known long, train_tokens long, "
         "base_score double, score double")

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -278,7 +279,7 @@ def test_quadratic_discriminant_against_the_density():
     assert np.allclose(model.score(x), 1 / (1 + np.exp(log[0] - log[1])))
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_language_model_equals_a_walk(spark, corpus, order, monkeypatch):
     monkeypatch.setattr(lm, "GROUP_BYTES", 4000)
     docs = table(spark, corpus)
@@ -314,6 +315,26 @@ def test_language_model_equals_a_walk(spark, corpus, order, monkeypatch):
         assert math.isclose(r["score"], sum(math.log10(chance(w, h)) for w, h in walk), rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lanes_meet_in_the_states_of_one_walk(corpus, order, monkeypatch):
+    tokens, bounds = lm._tokens(pa.chunked_array([pa.array([*corpus, "", " ".join(t or "" for t in corpus)], pa.string())]))
+    keys, has = lm._grams(tokens, bounds, order)
+    asked, where = lm._asked(keys, has)
+    arcs = np.full((order, len(tokens)), -1)
+    arcs[np.array(has)] = where
+    learn = np.repeat(np.arange(len(bounds) - 1) % 3 != 0, np.diff(bounds))
+    count = np.bincount(where, np.concatenate([learn[h] for h in has]), len(asked))
+    model = lm.Automaton(arcs, bounds, count, int(learn.sum()), len(set(tokens[learn].tolist())), 5.0)
+    told = []
+    for lane in (10**9, 256, 7, 1):
+        monkeypatch.setattr(lm, "LANE", lane)
+        told.append(model.walk())
+    assert all((t == told[0]).all() for t in told)
+    states = np.flatnonzero(model.learnt[:-2] & (model.depth[:-2] < order))
+    assert (model.target[states] == states).all() and (model.depth[model.fail[states]] == model.depth[states] - 1).all()
+    assert model.learnt[model.fail[states][model.depth[states] > 1]].all()
+
+
 def test_language_model_of_odd_rows(spark):
     docs = spark.createDataFrame([(None, None), (1, "a"), (1, "a")], "doc_id long, text string")
     rows = lm.scored(docs, F.lit(None).cast("boolean")).collect()
