@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tables import pieces_for, stored
-from .textbytes import U64, mix, texts_of, words
+from .textbytes import TILE, U64, mix, texts_of, words
 
 ORDER, STRENGTH, UNKNOWN = 2, 500.0, 0.5
 #: Bytes of text in a group.
@@ -82,9 +82,21 @@ def _grams(tokens: np.ndarray, bounds: np.ndarray, order: int) -> tuple[list[np.
 
 
 def _asked(keys: list[np.ndarray], has: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys, ascending, and where each length's keys stand among them."""
-    flat = np.concatenate([k[h] for k, h in zip(keys, has, strict=True)])
-    return np.unique(flat, return_inverse=True)
+    """The distinct keys, ascending, and where each length's keys stand among them.
+
+    Lengths are sorted one after the other and leave `keys`, so that one length's copies are held at a time.
+    """
+    each, where = [], []
+    for h in has:
+        some = keys.pop(0)[h]
+        own, place = np.unique(some, return_inverse=True)
+        each.append(own)
+        where.append(place.astype(np.int32))
+        del some, own, place
+    asked = np.unique(np.concatenate(each))
+    for k, own in enumerate(each):
+        where[k] = np.searchsorted(asked, own).astype(np.int32)[where[k]]
+    return asked, np.concatenate(where)
 
 
 def _asker(order: int, buckets: int):
@@ -94,9 +106,10 @@ def _asker(order: int, buckets: int):
         group = table.column("grp")[0].as_py()
         tokens, bounds = _tokens(table.column("text"))
         keys, has = _grams(tokens, bounds, order)
+        del tokens
         asked, where = _asked(keys, has)
-        learn = np.repeat(table.column("learn").to_numpy().astype(float), np.diff(bounds))
-        counts = np.bincount(where, np.concatenate([learn[h] for h in has]), len(asked)).astype(np.uint32)
+        learn = np.repeat(table.column("learn").to_numpy() > 0, np.diff(bounds))
+        counts = np.bincount(where[np.concatenate([learn[h] for h in has])], minlength=len(asked))
         cut = [0, *np.searchsorted(asked, edges).tolist(), len(asked)]
         used = [(b, i, j) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j]
         parts = [(i, j) for _, i, j in used]
@@ -129,7 +142,7 @@ def _narrow(counts: np.ndarray) -> bytes:
 
 
 def _wide(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, f"u{raw[:1].decode()}", offset=1).astype(float)
+    return np.frombuffer(raw, f"u{raw[:1].decode()}", offset=1)
 
 
 class Automaton:
@@ -143,28 +156,29 @@ class Automaton:
     def __init__(self, arcs: np.ndarray, bounds: np.ndarray, count: np.ndarray, tokens: int, distinct: int,
                  strength: float):
         order, n = len(arcs), len(count)
-        self.arcs, self.bounds, self.start, self.root = arcs, bounds, n, n + 1
+        self.arcs, self.bounds, self.strength, self.start, self.root = arcs, bounds, strength, n, n + 1
         begins, ends = bounds[:-1], bounds[1:] - 1
-        self.depth = np.zeros(n + 2, np.int64)
+        texts = count[arcs[0, ends[:1]]]  # texts learnt: what the start is followed by
+        self.count = count = np.concatenate([count, np.resize(texts, 1), np.zeros(1, count.dtype)])
+        self.depth = np.zeros(n + 2, np.int8)
         self.depth[n] = 1
-        self.fail = np.full(n + 2, n + 1)
-        count = np.append(count, [count[arcs[0, ends[0]]] if len(ends) else 0, 0])  # texts learnt: what the start is followed by
-        weight = np.zeros(n + 2)
-        weight[arcs[0]] = (count[arcs[0]] + UNKNOWN) / (tokens + UNKNOWN * (distinct + 1))
+        self.fail = np.full(n + 2, n + 1, arcs.dtype)
+        self.weight = np.zeros(n + 2)
         self.depth[arcs[0]] = 1
+        self.weight[arcs[0]] = (count[arcs[0]] + UNKNOWN) / (tokens + UNKNOWN * (distinct + 1))
         for k in range(1, order):  # an arc rests on the arc of its failure state for the same token
             history = np.roll(arcs[k - 1], 1)
             history[begins] = n
-            at = np.flatnonzero(arcs[k] >= 0)
-            arc, shorter, history = arcs[k, at], arcs[k - 1, at], history[at]
-            weight[arc] = (count[arc] + strength * weight[shorter]) / (count[history] + strength)
-            self.fail[arc], self.depth[arc] = shorter, k + 1
-        self.learnt = count > 0
-        with np.errstate(divide="ignore"):
-            self.weight = np.log10(weight)
-        self.fail_weight = np.log10(strength / (count + strength))
-        self.target = np.where(self.depth < order, np.arange(n + 2), self.fail)  # where an arc leads
-        self.target[~self.learnt] = self.root
+            for at in range(0, len(history), TILE):
+                use = arcs[k, at:at + TILE] >= 0
+                arc, shorter, past = arcs[k, at:at + TILE][use], arcs[k - 1, at:at + TILE][use], history[at:at + TILE][use]
+                self.weight[arc] = (count[arc] + strength * self.weight[shorter]) / (count[past] + strength)
+                self.fail[arc], self.depth[arc] = shorter, k + 1
+
+    def target(self, arc: np.ndarray) -> np.ndarray:
+        """The states that arcs lead to: the history with the token, or its failure state if it is too long."""
+        told = np.where(self.depth[arc] < len(self.arcs), arc, self.fail[arc])
+        return np.where(self.count[arc] > 0, told, self.root)
 
     def walk(self) -> np.ndarray:
         """The log10 weight that each token adds, texts read from left to right and many at a time.
@@ -189,12 +203,12 @@ class Automaton:
             while len(open_):
                 own = state[open_]
                 arc = self.arcs[self.depth[own], at[open_]]
-                found = (arc >= 0) & (self.learnt[arc] | (own == self.root))
+                found = (arc >= 0) & ((self.count[arc] > 0) | (own == self.root))
                 go, arc = open_[found], arc[found]
-                gain[go] += self.weight[arc]
-                state[go] = self.target[arc]
+                gain[go] += np.log10(self.weight[arc])
+                state[go] = self.target(arc)
                 open_, own = open_[~found], own[~found]
-                gain[open_] += self.fail_weight[own]
+                gain[open_] += np.log10(self.strength / (self.count[own] + self.strength))
                 state[open_] = self.fail[own]
             told = at >= first[:n]
             out[at[told]] = gain[told]
@@ -207,21 +221,24 @@ def _scorer(order: int, strength: float, n: int, distinct: int):
             return docs.select(["doc_id"]).slice(0, 0)
         tokens, bounds = _tokens(docs.column("text"))
         keys, has = _grams(tokens, bounds, order)
+        n_tokens = len(tokens)
+        del tokens
         _, where = _asked(keys, has)
-        del keys
-        arcs = np.full((order, len(tokens)), -1)
+        arcs = np.full((order, n_tokens), -1, np.int32)
         arcs[np.array(has)] = where
+        del where, has
         count = np.concatenate([_wide(a) for a in answers.sort_by("bucket").column("totals").to_pylist()])
-        known = count[arcs[0]]
-        base = np.log10((known + UNKNOWN) / (n + UNKNOWN * (distinct + 1)))
-        weights = Automaton(arcs, bounds, count, n, distinct, strength).walk()
         add = lambda x: np.add.reduceat(x, bounds[:-1])  # noqa: E731  every text has its end token
+        known = count[arcs[0]]
+        n_known = add((known > 0).astype(np.int64))
+        base = add(np.log10((known + UNKNOWN) / (n + UNKNOWN * (distinct + 1))))
+        del known
+        weights = add(Automaton(arcs, bounds, count, n, distinct, strength).walk())
         size = np.diff(bounds)
         return pa.table({
-            "doc_id": docs.column("doc_id"), "n_tokens": pa.array(size),
-            "n_known": pa.array(add((known > 0).astype(np.int64))),
+            "doc_id": docs.column("doc_id"), "n_tokens": pa.array(size), "n_known": pa.array(n_known),
             "train_tokens": pa.array(np.full(len(size), n)),
-            "base_score": pa.array(add(base)), "score": pa.array(add(weights))})
+            "base_score": pa.array(base), "score": pa.array(weights)})
     return score
 
 

@@ -330,9 +330,10 @@ def test_lanes_meet_in_the_states_of_one_walk(corpus, order, monkeypatch):
         monkeypatch.setattr(lm, "LANE", lane)
         told.append(model.walk())
     assert all((t == told[0]).all() for t in told)
-    states = np.flatnonzero(model.learnt[:-2] & (model.depth[:-2] < order))
-    assert (model.target[states] == states).all() and (model.depth[model.fail[states]] == model.depth[states] - 1).all()
-    assert model.learnt[model.fail[states][model.depth[states] > 1]].all()
+    learnt = model.count > 0
+    states = np.flatnonzero(learnt[:-2] & (model.depth[:-2] < order))
+    assert (model.target(states) == states).all() and (model.depth[model.fail[states]] == model.depth[states] - 1).all()
+    assert learnt[model.fail[states][model.depth[states] > 1]].all()
 
 
 def test_language_model_of_odd_rows(spark):
