@@ -8,6 +8,7 @@ meet where one of them is at home, and all pairs that meet are verified by their
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterator
 
@@ -24,17 +25,40 @@ from .textbytes import U64, mix
 ROUNDS, PROBES = 3, 1
 #: Vectors of one bucket that a task compares at once; larger buckets are compared block by block.
 BLOCK = 1024
-#: Chance that a pair at a cosine of 0.9 meets in a table of 1 or 2 axes, as measured in 64 dimensions;
-#: per axis beyond; and the share of such pairs that all tables together may miss.
-MEETING, AXIS_CHANCE, MISS = {1: 0.74, 2: 0.4}, 0.6, 1e-4
+#: The share of pairs at the least cosine that all tables together may miss.
+MISS = 1e-4
+#: Components that the simulation of a table draws, and the chances of meeting that it may tell.
+DRAWN, CHANCES = 1 << 20, (1e-3, 0.99)
 
 
-def shape_for(n: int, width: int) -> tuple[int, int]:
-    """Axes per bucket and tables: about n buckets or more, and at most MISS of the pairs missed."""
+def padded_width(width: int) -> int:
+    return 1 << max(width - 1, 1).bit_length()
+
+
+@functools.lru_cache(maxsize=256)
+def meeting_chance(axes: int, width: int, least: float) -> float:
+    """The chance that two vectors at a cosine of `least` meet in one table, by a seeded simulation.
+
+    Two standard errors are taken off, so that chance makes for more tables and not for fewer.
+    """
+    rng, tables = np.random.default_rng(11), 4
+    n = min(2000, max(16, DRAWN // width))
+    a, b = rng.normal(size=(2, n, width))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b -= (a * b).sum(axis=1)[:, None] * a
+    b = least * a + math.sqrt(max(0.0, 1 - least * least)) * b / np.linalg.norm(b, axis=1)[:, None]
+    ka, kb = bucket_keys(a, axes, tables), bucket_keys(b, axes, tables)
+    p = float(((ka[:, :, :1] == kb) | (kb[:, :, :1] == ka)).any(axis=2).mean())
+    low, high = CHANCES
+    return min(high, max(low, p - 2 * math.sqrt(p * (1 - p) / (n * tables))))
+
+
+def shape_for(n: int, width: int, least: float = 0.9) -> tuple[int, int]:
+    """Axes per bucket and tables: about n / 4 buckets or more, and at most MISS of the pairs missed."""
     axes = 1
     while (2 * width) ** axes < n / 4:
         axes += 1
-    return axes, math.ceil(math.log(MISS) / math.log1p(-MEETING.get(axes, AXIS_CHANCE**axes)))
+    return axes, math.ceil(math.log(MISS) / math.log1p(-meeting_chance(axes, padded_width(width), least)))
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -49,9 +73,9 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 
 def bucket_keys(x: np.ndarray, axes: int, tables: int, probes: int = PROBES) -> np.ndarray:
-    """Keys (rows x tables x 1 + probes), a vector's own bucket first; tables have other keys."""
+    """Keys (rows x tables x 1 + probes), a vector's own bucket first; tables and widths have other keys."""
     n, width = x.shape
-    padded = np.zeros((n, 1 << max(width - 1, 1).bit_length()))
+    padded = np.zeros((n, padded_width(width)))
     padded[:, :width] = x
     out = np.empty((n, tables, 1 + probes), np.uint64)
     for t in range(tables):
@@ -70,7 +94,7 @@ def bucket_keys(x: np.ndarray, axes: int, tables: int, probes: int = PROBES) ->
         option = np.stack([lost[:, 1:] for lost in loss], axis=1).reshape(n, -1)
         best = np.argsort(option, axis=1, kind="stable")[:, :probes]
         for p in range(probes + 1):
-            key = np.full(n, U64(t + 1))
+            key = np.full(n, U64((width << 24) + t + 1))
             for a in range(axes):
                 axis = ranked[a][:, 0]
                 if p and best.shape[1] >= p:
@@ -86,17 +110,25 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return np.array(vectors.tolist(), float).reshape(len(vectors), -1)
 
 
-def _hasher(axes: int, tables: int) -> Callable:
+def _of_width(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """The rows parted by the number of components, in the order they have."""
+    width = rows["vector"].map(len).to_numpy()
+    for w in np.unique(width).tolist():
+        yield rows[width == w]
+
+
+def _hasher(shapes: dict[int, tuple[int, int]]) -> Callable:
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for i in range(0, len(f), 4096):
-                part = f.iloc[i:i + 4096]
-                keys = bucket_keys(_unit(part["vector"]), axes, tables).view(np.int64)
-                n, each = len(part), keys.shape[1] * keys.shape[2]
-                home = np.tile(np.arange(keys.shape[2]) == 0, n * keys.shape[1])
-                once = home | (keys != keys[:, :, :1]).ravel()  # where axes are few, a probe can lead back home
-                yield pd.DataFrame({"key": keys.ravel(), "class_id": np.repeat(part["class_id"].to_numpy(), each),
-                                    "home": home})[once]
+                for part in _of_width(f.iloc[i:i + 4096]):
+                    x = _unit(part["vector"])
+                    keys = bucket_keys(x, *shapes[padded_width(x.shape[1])]).view(np.int64)
+                    n, each = len(part), keys.shape[1] * keys.shape[2]
+                    home = np.tile(np.arange(keys.shape[2]) == 0, n * keys.shape[1])
+                    once = home | (keys != keys[:, :, :1]).ravel()  # where axes are few, a probe can lead back home
+                    yield pd.DataFrame({"key": keys.ravel(), "class_id": np.repeat(part["class_id"].to_numpy(), each),
+                                        "home": home})[once]
     return place
 
 
@@ -159,16 +191,15 @@ def _counted(pairs: list[tuple], ids: np.ndarray, many: np.ndarray, x: np.ndarra
 MOST_PAIRS = 1 << 19
 
 
-def _verifier(least: float, axes: int, tables: int) -> Callable:
+def _verifier(least: float, shapes: dict[int, tuple[int, int]]) -> Callable:
     """Streams rows sorted by bucket and block pair; each is compared in one go."""
     group = ["key", "low", "high"]
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def told(f: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            if f.empty:
-                return
             x, marks = _unit(f["vector"]), f[group].to_numpy()
             unit = x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+            axes, tables = shapes[padded_width(x.shape[1])]
             ids, many, home, side = (f[c].to_numpy() for c in ("class_id", "many", "home", "block"))
             ends = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1).tolist(), len(f)]
             pairs, held = [], 0
@@ -191,7 +222,8 @@ def _verifier(least: float, axes: int, tables: int) -> Callable:
             rows = pd.concat([*rest, f], ignore_index=True)
             open_ = (rows[group] == rows[group].iloc[-1]).all(axis=1)
             rest = [rows[open_]]
-            yield from told(rows[~open_])
+            for part in _of_width(rows[~open_]):  # a bucket holds vectors of one width
+                yield from told(part)
         if rest:
             yield from told(rest[0])
     return verify
@@ -205,7 +237,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     no bucket are missed: about MISS of those at the threshold, fewer above it.
 
     Vectors that are null, empty, zero or hold null or non-finite components are linked with
-    nothing, and so are rows without an id and vectors of other than the commonest length. Rows
+    nothing, and so are rows without an id. Vectors of different lengths are never linked. Rows
     that share an id are one row, with the least of their usable vectors. An empty table gives no
     rows.
     """
@@ -214,13 +246,12 @@ def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
         F.col("embedding")).alias("vector"))
     rows = stored(rows.groupBy("vec_id").agg(F.min("vector").alias("vector")), "vectors")
     usable = rows.filter("vector is not null")
-    shapes = usable.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    width, total = shapes if shapes else (1, 0)
-    usable = usable.filter(F.size("vector") == width)
+    length = F.greatest(F.size("vector") - 1, F.lit(1))
+    counted = usable.groupBy(F.length(F.bin(length.cast("long"))).alias("bits")).count().collect()  # 31 rows at most
+    shapes = {1 << r["bits"]: shape_for(r["count"], 1 << r["bits"], least) for r in counted}
     classes = stored(usable.groupBy("vector").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("many")), "classes")
-    axes, tables = shape_for(total, 1 << max(width - 1, 1).bit_length())
     spots = classes.select("class_id", "vector").mapInPandas(
-        _hasher(axes, tables), "key long, class_id long, home boolean")
+        _hasher(shapes), "key long, class_id long, home boolean")
     spots = stored(spots, "buckets")
     sizes = spots.groupBy("key").agg(F.count("*").alias("n"), F.max("home").alias("used")).filter("n > 1 and used")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -230,10 +261,10 @@ def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
               .select("class_id", "key", "home", "block", F.least("block", "other").alias("low"),
                       F.greatest("block", "other").alias("high")))
     met = (placed.join(classes, "class_id")
-           .repartition(max(8, pieces_for(total * tables, 50_000)), "key", "low", "high")
+           .repartition(max(8, pieces_for(sum(r["count"] * shapes[1 << r["bits"]][1] for r in counted), 50_000)), "key", "low", "high")
            .sortWithinPartitions("key", "low", "high")
            .select("key", "low", "high", "block", "home", "class_id", "many", "vector")
-           .mapInPandas(_verifier(least, axes, tables), "a long, b long, n long"))
+           .mapInPandas(_verifier(least, shapes), "a long, b long, n long"))
     met = stored(met, "links")
     links = met.groupBy("a").agg(F.sum("n").alias("links"))
     roots = components(met.filter("b is not null"), "a", "b")

@@ -95,11 +95,13 @@ def search_block(qid: np.ndarray, q: np.ndarray, dq: np.ndarray, cid: np.ndarray
         yield np.full(len(ids), qid[i]), ids, scores
 
 
-def _packer(pivots: np.ndarray) -> Callable:
+def _packer(pivots: dict[int, np.ndarray]) -> Callable:
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         x = np.array(rows["vector"].tolist(), float).reshape(len(rows), -1)
-        return pd.DataFrame({"block": rows["block"].iloc[:1].to_numpy(), "ids": [rows["id"].to_numpy(np.int64).tobytes()],
-                             "vectors": [x.tobytes()], "far": [distances(x, pivots).tobytes()]})
+        width = x.shape[1]
+        return pd.DataFrame({"width": [width], "block": rows["block"].iloc[:1].to_numpy(),
+                             "ids": [rows["id"].to_numpy(np.int64).tobytes()], "vectors": [x.tobytes()],
+                             "far": [distances(x, pivots.get(width, np.zeros((1, width)))).tobytes()]})
     return pack
 
 
@@ -110,9 +112,8 @@ def _searcher(k: int) -> Callable:
                 qid, cid = np.frombuffer(row.q_ids, np.int64), np.frombuffer(row.c_ids, np.int64)
                 q, dq, c, dc = (np.frombuffer(raw, float).reshape(n, -1) for raw, n in (
                     (row.q_vectors, len(qid)), (row.q_far, len(qid)), (row.c_vectors, len(cid)), (row.c_far, len(cid))))
-                if q.shape[1] == c.shape[1]:
-                    found = [np.concatenate(x) for x in zip(*search_block(qid, q, dq, cid, c, dc, k), strict=True)]
-                    yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
+                found = [np.concatenate(x) for x in zip(*search_block(qid, q, dq, cid, c, dc, k), strict=True)]
+                yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
     return search
 
 
@@ -125,9 +126,10 @@ def top_k(vectors: DataFrame, queries: F.Column, k: int = 20, scale: float = 64.
     query meets every block of candidates; a task gets one block of each.
 
     Vectors that are null, empty, or hold null or non-finite components take no part, nor do rows
-    without an id. Rows that share an id count once, with the least of their vectors. Only vectors
-    of the commonest number of components are compared. An empty table gives no rows. Pivots come
-    from at most `SAMPLE` rows: those with the least hashes of their ids.
+    without an id. Rows that share an id count once, with the least of their vectors. Vectors are
+    compared with those of as many components. An empty table gives no rows. Pivots come from at
+    most `SAMPLE` rows, those with the least hashes of their ids, each for its own number of
+    components; where none has that number, the origin is the pivot.
     """
     whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("double"))
     rows = vectors.withColumn("_asks", F.coalesce(queries, F.lit(False))).select(
@@ -135,23 +137,24 @@ def top_k(vectors: DataFrame, queries: F.Column, k: int = 20, scale: float = 64.
         F.col("id").isNotNull() & finite(F.col("embedding")) & (F.size("embedding") > 0))
     rows = stored(rows.select("id", "_asks", whole.alias("vector")).groupBy("id").agg(
         F.min("vector").alias("vector"), F.max("_asks").alias("asks")), "vectors")
-    shapes = rows.groupBy(F.size("vector").alias("size")).agg(
-        F.count("*").alias("n"), F.count_if("asks").alias("asks")).orderBy(F.desc("n"), "size").first()
-    width, total, asking = shapes if shapes else (1, 0, 0)
-    rows = rows.filter(F.size("vector") == width)
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").collect()
-    pivots = choose_pivots(np.array([r["vector"] for r in sample], float).reshape(-1, width))
+    total, asking = rows.agg(F.count("*"), F.count_if("asks")).first()
+    by_width: dict[int, list] = {}
+    for r in rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").collect():
+        by_width.setdefault(len(r["vector"]), []).append(r["vector"])
+    pivots = {w: choose_pivots(np.array(x, float)) for w, x in by_width.items()}
 
     def packed(part: DataFrame, blocks: int, name: str) -> DataFrame:
-        cut = part.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-        cut = cut.groupBy("block").applyInPandas(_packer(pivots), "block int, ids binary, vectors binary, far binary")
-        return cut.select(*[F.col(c).alias(f"{name}_{c}") for c in cut.columns])
+        cut = part.select("id", "vector", F.size("vector").alias("width"),
+                          F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+        cut = cut.groupBy("width", "block").applyInPandas(
+            _packer(pivots), "width int, block int, ids binary, vectors binary, far binary")
+        return cut.select("width", *[F.col(c).alias(f"{name}_{c}") for c in cut.columns[1:]])
 
     many, few = pieces_for(total, candidate_block), pieces_for(asking, query_block)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))  # noqa: E731  a stated query set against all, in blocks
     left = packed(rows, many, "c").withColumn("q_block", every(few))
     right = packed(rows.filter("asks"), few, "q").withColumn("c_block", every(many))
-    pairs = left.join(right, ["q_block", "c_block"]).drop("q_block", "c_block")
+    pairs = left.join(right, ["width", "q_block", "c_block"]).drop("width", "q_block", "c_block")
     best = pairs.mapInPandas(_searcher(k), "query_id long, vec_id long, score long")
     ranked = best.withColumn("rank", F.row_number().over(
         Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)

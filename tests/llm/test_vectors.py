@@ -42,6 +42,31 @@ def test_top_k_equals_brute_force(spark, blocks):
     assert {tuple(r) for r in got.collect()} == brute_top(x, 20)
 
 
+def test_vectors_of_several_widths_are_each_compared(spark, monkeypatch):
+    monkeypatch.setattr(pivots, "SAMPLE", 40)
+    parts, rows = [clustered(seed=w, width=w)[:n] for w, n in ((24, 100), (16, 60), (3, 40), (17, 2))], []
+    for k, x in enumerate(parts):
+        rows += [(1000 * k + i, [float(v) for v in r], 0) for i, r in enumerate(x)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {tuple(r) for r in pivots.top_k(docs, F.col("vec_id") % 20 == 0, candidate_block=30, query_block=3).collect()}
+    assert got == {(1000 * k + q, r, 1000 * k + i, s) for k, x in enumerate(parts) for q, r, i, s in brute_top(x, 20)}
+    got = {tuple(r) for r in crosspoly.near_vectors(docs).collect()}
+    assert got == {(1000 * k + i, n, 1000 * k + c, own) for k, x in enumerate(parts) for i, n, c, own in brute_links(x, 0.9)}
+
+
+@pytest.mark.parametrize("width", [16, 64, 200, 1024])
+@pytest.mark.parametrize("least", [0.7, 0.8, 0.95])
+def test_pairs_meet_at_other_widths_and_thresholds(width, least):
+    rng = np.random.default_rng(5)
+    axes, tables = crosspoly.shape_for(2000, width, least)
+    a, b = rng.normal(size=(2, 300, width))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b -= (a * b).sum(axis=1)[:, None] * a
+    b = least * a + math.sqrt(1 - least * least) * b / np.linalg.norm(b, axis=1)[:, None]
+    ka, kb = (crosspoly.bucket_keys(v, axes, tables) for v in (a, b))
+    assert ((ka[:, :, :1] == kb) | (kb[:, :, :1] == ka)).any(axis=(1, 2)).mean() >= 0.99
+
+
 def test_search_stops_early_and_is_exact():
     x = np.floor(clustered(n=2000) * 64).astype(float)
     far = pivots.distances(x, pivots.choose_pivots(x))
