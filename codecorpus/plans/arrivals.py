@@ -107,6 +107,8 @@ def first_keys_on_stream(spark, sf_dir):
 
 
 BLOCK_DAYS = 4
+#: Rows of a file of a block, about: files are written, and read, by a task each.
+BLOCK_FILE_ROWS = 200_000
 
 
 @register("late_keys_on_stream", f"""
@@ -123,14 +125,16 @@ def late_keys_on_stream(spark, sf_dir):
     source, out, checkpoint = (scratch_folder(spark, n) for n in ("blocks", "keys", "progress"))
     events = rel.table(spark, sf_dir, "events").select(F.concat_ws("-", "user_id", "event_type").alias("key"), "ts")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    first, newest = events.agg(F.min(us), F.max(us)).first()
+    first, newest, rows = events.agg(F.min(us), F.max(us), F.count(us)).first()
     length = BLOCK_DAYS * 86_400_000_000
     block = F.floor((us - (first or 0)) / length).cast("long")
-    for k in range(((newest or 0) - (first or 0)) // length + 2):
-        events.filter(block.bitwiseXOR(F.lit(1)) == k).coalesce(1).write.mode("append").parquet(source)
+    blocks = ((newest or 0) - (first or 0)) // length + 2
+    files = -(-rows // (blocks * BLOCK_FILE_ROWS)) or 1  # of each block, and of each batch
+    for k in range(blocks):
+        events.filter(block.bitwiseXOR(F.lit(1)) == k).repartition(files).write.mode("append").parquet(source)
     last = events.agg((F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts")).select(F.lit("").alias("key"), "ts")
     last.write.mode("append").parquet(source)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(source)
     firsts = ar.first_in_ttl(stream, ttl_seconds=TTL_DAYS * 86_400, lateness=f"{2 * BLOCK_DAYS} days")
     (firsts.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
      .trigger(availableNow=True).start().awaitTermination())

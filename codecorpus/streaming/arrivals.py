@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -84,11 +85,32 @@ def watch_files(
             .trigger(processingTime=every).start())
 
 
-def first_in_ttl(keyed: DataFrame, ttl_seconds: float, ts: str = "ts", lateness: str | None = None) -> DataFrame:
+#: Groups of keys that share a row of state; a call of Python for each would cost more than its keys.
+KEY_GROUPS = 1024
+
+
+def _decided(times: list[int], start: int, due: int, last: int | None, ttl: int, out: list[int]) -> int | None:
+    """Appends the places from `start` to `due` of rows that pass to `out`; returns the time of the last that did."""
+    at = start
+    while at < due:
+        if last is not None:  # straight to the first row that is due
+            at = bisect_left(times, last + ttl, at, due)
+            if at == due:
+                break
+        last = times[at]
+        out.append(at)
+        at += 1
+    return last
+
+
+def first_in_ttl(
+    keyed: DataFrame, ttl_seconds: float, ts: str = "ts", lateness: str | None = None, groups: int = KEY_GROUPS,
+) -> DataFrame:
     """(key, ts) of the first row of each key, and of each first row after its time to live, on a stream.
 
-    A key's state is the time it last passed. Once the watermark is past a key's time to live its
-    state is dropped.
+    What is kept of a key is the time it last passed. Once the watermark is past a key's time to live
+    nothing is kept of it. Keys are dealt to `groups` rows of state by hash: the number must stay the
+    same for a checkpoint, and a task holds one row of state at a time.
 
     Without `lateness` a row is decided in the batch that brings it. Rows of a batch are taken in
     order of time, so what passes does not depend on how rows fall into batches, as long as batches
@@ -102,37 +124,48 @@ def first_in_ttl(keyed: DataFrame, ttl_seconds: float, ts: str = "ts", lateness:
     """
     ttl = int(ttl_seconds * 1_000_000)
 
-    def passing(times: np.ndarray, last: int | None) -> tuple[list[int], int | None]:
-        out: list[int] = []
-        at = 0
-        while at < len(times):
-            if last is not None:  # straight to the first row that is due
-                at = int(np.searchsorted(times, last + ttl))
-                if at == len(times):
-                    break
-            last = int(times[at])
-            out.append(last)
-        return out, last
-
-    def passed(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, waiting = state.get if state.exists else (None, [])
+    def passed(_group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        keys, lasts, waiting = state.get if state.exists else ([], [], [])
         mark = state.getCurrentWatermarkMs()
-        times = np.array(waiting or [], np.int64)
-        if not state.hasTimedOut:
-            times = np.unique(np.concatenate([times, *(f["us"].to_numpy(np.int64) for f in frames)]))
-        due = len(times) if lateness is None else int(np.searchsorted(times, mark * 1000, "right"))
-        out, last = passing(times[:due], last)
-        rest = times[due:].tolist()
-        if rest or last is not None and (last + ttl) // 1000 >= mark:
-            state.update((last, rest))
-            state.setTimeoutTimestamp(max((rest[0] if rest else last + ttl) // 1000, mark + 1))
-        else:
+        new = [] if state.hasTimedOut else [(f["key"].to_numpy(object), f["us"].to_numpy(np.int64)) for f in frames]
+        held = np.repeat(np.arange(len(keys)), [len(w) for w in waiting])
+        codes, names = pd.factorize(np.concatenate([np.array(keys, object), *(k for k, _ in new)]), use_na_sentinel=False)
+        names = np.where(pd.isna(names), None, names)
+        code = np.concatenate([held, codes[len(keys):]]).astype(np.int64)  # the keys held come first, in their order
+        us = np.concatenate([np.array([t for w in waiting for t in w], np.int64), *(u for _, u in new)])
+        order = np.lexsort((us, code))
+        code, us = code[order], us[order]
+        fresh = np.ones(len(us), bool)
+        fresh[1:] = (code[1:] != code[:-1]) | (us[1:] != us[:-1])
+        code, us = code[fresh], us[fresh]
+        bounds = np.searchsorted(code, np.arange(len(names) + 1))
+        settled = np.ones(len(us), bool) if lateness is None else us <= mark * 1000
+        dues = (bounds[:-1] + np.bincount(code[settled], minlength=len(names))).tolist()
+        starts, times, out = bounds.tolist(), us.tolist(), []
+        kept: tuple[list, list, list] = ([], [], [])
+        wake = None
+        for k, name in enumerate(names):
+            last = _decided(times, starts[k], dues[k], lasts[k] if k < len(lasts) else None, ttl, out)
+            rest = times[dues[k]:starts[k + 1]]
+            if rest or last is not None and (last + ttl) // 1000 >= mark:
+                for values, value in zip(kept, (name, last, rest), strict=True):
+                    values.append(value)
+                at = (rest[0] if rest else last + ttl) // 1000
+                wake = at if wake is None else min(wake, at)
+        if wake is None:
             state.remove()
-        yield pd.DataFrame({"key": [key[0]] * len(out), "us": np.array(out, np.int64)})
+        else:
+            state.update(kept)
+            state.setTimeoutTimestamp(max(wake, mark + 1))
+        yield pd.DataFrame({"key": names[code[out]], "us": us[out]})
 
+    # A row without a time counts as the oldest of its key.
+    micros = F.coalesce(F.unix_micros(ts), F.lit(-(2**63)))
     timed = keyed.select("key", F.col(ts).cast("timestamp").alias(ts)).withWatermark(ts, lateness or "0 seconds")
-    rows = timed.withColumn("us", F.unix_micros(ts)).groupBy("key").applyInPandasWithState(
-        passed, "key string, us long", "last long, waiting array<long>", "append", "EventTimeTimeout")
+    dealt = timed.withColumns({"us": micros, "group": F.pmod(F.xxhash64("key"), F.lit(groups))})
+    rows = dealt.groupBy("group").applyInPandasWithState(
+        passed, "key string, us long", "keys array<string>, last array<long>, waiting array<array<long>>",
+        "append", "EventTimeTimeout")
     return rows.select("key", F.timestamp_micros("us").cast(keyed.schema[ts].dataType).alias(ts))
 
 

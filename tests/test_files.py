@@ -326,6 +326,24 @@ def test_batches_out_of_order_give_what_one_batch_gives(spark, tmp_path, seed):
     assert arrivals.late_rows(run()) == 2 and spark.read.parquet(out).filter("key = 'new'").count() == 0
 
 
+def test_many_keys_share_rows_of_state(spark, tmp_path):
+    src, out, check = (str(tmp_path / d) for d in ("src", "out", "cp"))
+    rng = random.Random(5)
+    rows = [(rng.choice([None, *(f"k{i}" for i in range(1500))]), rng.randrange(5000, 6000)) for _ in range(4000)]
+    for part in (rows[:2000], rows[2000:], [("end", 20_000)]):
+        spark.createDataFrame(part, "key string, s long").select("key", F.timestamp_seconds("s").alias("ts")).coalesce(1) \
+            .write.mode("append").parquet(src)
+    stream = spark.readStream.schema("key string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(src)
+    q = (arrivals.first_in_ttl(stream, 200, lateness="20 minutes").writeStream.format("parquet")
+         .option("checkpointLocation", check).option("path", out).trigger(availableNow=True).start())
+    assert q.awaitTermination(180)
+    got = [(r.key, int(r.ts.timestamp())) for r in spark.read.parquet(out).collect()]
+    want = first_of([(k or "", t) for k, t in rows], 200)
+    assert sorted((k or "", t) for k, t in got) == want and (None in {k for k, _ in got})
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert 0 < max(held) <= arrivals.KEY_GROUPS  # and not a row, and a call, for each key
+
+
 def test_another_checkpoint_leaves_earlier_output(spark, tmp_path):
     root, out = tmp_path / "in", str(tmp_path / "out")
     write(root, **{"a.js": "x", "skip.js": "y"})
