@@ -40,6 +40,7 @@ FILE_RESULT = "path string, written boolean, error_code string, error_message st
 
 def _write_files(force: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made: set[str] = set()
         for batch in batches:
             rows = []
             for path, code in batch.itertuples(index=False):
@@ -54,7 +55,10 @@ def _write_files(force: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.
                     rows.append((path, False, "FILE_WRITE_ERROR",
                                  f"Output file already exists: {path}"))
                     continue
-                fs.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+                folder = path.rsplit("/", 1)[0]
+                if folder not in made:
+                    fs.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+                    made.add(folder)
                 draft = f"{inner}.{uuid.uuid4().hex}.part"
                 with fs.open_output_stream(draft) as stream:
                     stream.write(data)

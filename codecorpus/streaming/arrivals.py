@@ -18,10 +18,18 @@ from ..sources.listing import read_files
 
 
 SEEN = "path string, rel string, n_bytes long, modified timestamp"
+#: Files of a batch for each of its tasks, unless a caller says how many a batch may have.
+TASK_FILES = 1000
+
+
+def batch_files(spark: SparkSession) -> int:
+    """Files of a batch by default: TASK_FILES for each task that reads them, so that a large tree takes few
+    batches on a large cluster."""
+    return TASK_FILES * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def discover(
-    spark: SparkSession, root: str, log: str, max_files: int = 1000, recursive: bool = True,
+    spark: SparkSession, root: str, log: str, max_files: int | None = None, recursive: bool = True,
     patterns: Sequence[str] | None = None, exclude: Sequence[str] = (),
 ) -> int:
     """Adds the chosen files below `root` that the log lacks to it; returns how many.
@@ -29,8 +37,9 @@ def discover(
     The log is a Parquet table of paths and times of change: a file that changes is a new row. Rows
     that are in it count as found, however much of an append became visible before a failure,
     so what a failed one did not write is found again and nothing is found twice. One process at a
-    time may write to a log. A file of the log holds `max_files` rows at most.
+    time may write to a log. A file of the log holds `max_files` rows at most, `batch_files` by default.
     """
+    max_files = max_files or batch_files(spark)
     spark.createDataFrame([], SEEN).write.mode("ignore").parquet(log)
     seen = spark.read.schema(SEEN).parquet(log).select("path", "modified")
     new = chosen_files(spark, root, recursive, patterns, exclude).join(seen, ["path", "modified"], "left_anti")
@@ -52,7 +61,7 @@ def file_stream(spark: SparkSession, log: str) -> DataFrame:
 def watch_files(
     spark: SparkSession, root: str, output: str, checkpoint: str,
     change: Callable[[DataFrame], DataFrame], available_now: bool = True,
-    max_files: int = 1000, recursive: bool = True, patterns: Sequence[str] | None = None,
+    max_files: int | None = None, recursive: bool = True, patterns: Sequence[str] | None = None,
     exclude: Sequence[str] = (), every: str = "10 seconds",
 ) -> StreamingQuery:
     """Apply `change` to every new file once, empty ones and names with an underscore included.
@@ -60,7 +69,8 @@ def watch_files(
     Each micro-batch owns one ``progress=…/batch_id=…`` folder and overwrites it, so a batch that
     is repeated after a failure replaces its own half-written output. A stream with another
     checkpoint starts its batches anew, in a folder of its own. Below `checkpoint` lie the log of
-    files and the progress of the stream over it. Without `available_now` the tree is listed
+    files and the progress of the stream over it. A batch has `max_files` files at most, by default as
+    many as `batch_files` says. Without `available_now` the tree is listed
     at each tick, and what is new is processed before the next one.
     """
     own = f"{output.rstrip('/')}/progress={hashlib.sha256(checkpoint.encode()).hexdigest()[:12]}"

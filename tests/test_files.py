@@ -228,6 +228,20 @@ def test_batches_of_files_are_bounded(spark, tmp_path):
     assert sum(sizes) == 25 and max(sizes) <= 10
 
 
+def test_by_default_a_batch_has_files_for_each_of_its_tasks(spark, tmp_path, monkeypatch):
+    root, out, check = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "cp")
+    write(root, **{f"{i}.js": str(i) for i in range(60)})
+    assert arrivals.batch_files(spark) == 1000 * 8
+    monkeypatch.setattr(arrivals, "TASK_FILES", 4)
+    sizes = []
+
+    def change(df):
+        sizes.append(df.count())
+        return df
+    assert arrivals.watch_files(spark, str(root), out, check, change).awaitTermination(120)
+    assert sum(sizes) == 60 and len(sizes) <= 3 and max(sizes) <= 32
+
+
 def test_a_log_half_written_is_taken_up_again(spark, tmp_path):
     root, log = tmp_path / "in", str(tmp_path / "log")
     write(root, **{f"{i}.js": str(i) for i in range(9)})
