@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -242,3 +243,23 @@ def test_latest_entries_sort_no_payload(spark):
     same = stored_entries(spark, [("a", "x", 1), ("a", "y", 1), ("a", "z", 0)])
     first, again = snapshots.latest_entries(same).collect(), snapshots.latest_entries(same.orderBy("payload")).collect()
     assert first == again and len(first) == 1
+
+
+def test_an_upsert_shuffles_an_entry_once(spark, tmp_path):
+    plans = []
+
+    def noted(df, place):
+        out = latest(df, place)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+    latest, snapshots.latest_entries = snapshots.latest_entries, noted
+    try:
+        old = stored_entries(spark, [(f"k{i % 40}", f"p{i}", i) for i in range(120)] + [("hot", "h", t) for t in range(60)])
+        snapshots.write_snapshot(old, str(tmp_path / "cache"), 4)
+    finally:
+        snapshots.latest_entries = latest
+    assert len(plans) == 1 and plans[0].count("Exchange") == 4  # times, hashes, outcomes, entries
+    assert len(re.findall(r"Exchange hashpartitioning\(bucket#\d+, _part#", plans[0])) == 2
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+    got = {r.key: r.payload for r in snapshots.read_snapshot(spark, str(tmp_path / "cache")).collect()}
+    assert got == {f"k{i % 40}": f"p{i}" for i in range(80, 120)} | {"hot": "h"}
