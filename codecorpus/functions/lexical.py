@@ -7,6 +7,8 @@ possessively, which the engine does in a loop: neither long texts nor long token
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,9 +45,24 @@ _METHOD_AFTER = ("{", "}", ";", "static", "async", "get", "set")
 #: How a name is written when it is replaced: alone, or so that a key, an import or an export keeps its name.
 ALONE, KEY, IMPORT, EXPORT = range(4)
 _METHOD = 0  # in the codes of `_marked`: a method definition, no name of a variable
-#: Sorts of events in `_marked`.
-_OPENS, _CLOSES, _BOTH, _DEFINES, _SHORT = range(5)
+#: Marks of tokens in `_marked`, one character each: brackets, hits that are asked about, all others.
+_OPENS, _CLOSES, _BOTH, _DEFINES, _SHORT, _OTHER = "oxbds."
+
+
+def _closed(deepest: int) -> str:
+    """A pattern of marks from an opening bracket to its closing one without a hit between."""
+    inside = rf"[{_BOTH}{_OTHER}]"
+    pattern = f"{_OPENS}{inside}*+{_CLOSES}"
+    for _ in range(deepest):
+        pattern = f"{_OPENS}(?:{inside}|{pattern})*+{_CLOSES}"
+    return pattern
+
+
+#: Marks in a row that leave the open brackets as they are, or one mark. A bracket behind a definition counts.
+_STRETCH = rf"(?:\{_OTHER}|(?<!{_DEFINES}\{_OTHER}?){_closed(8)})++|[\s\S]"
 BLOCK = 256
+#: Up to so many names are looked up in a list for each token; more are found in the sorted tokens.
+FEW = 64
 HITS = "array<struct<pos:int,name:string,new:string>>"
 
 
@@ -77,6 +94,42 @@ def is_name(token: Column) -> Column:
     return token.rlike("^" + NAME)
 
 
+def runs(code: Column) -> Column:
+    """All runs of letters a name may have, whatever they stand in: each name among `tokens` is one."""
+    return _all(code, NAME + "++")
+
+
+def placed(toks: Column, found: Column) -> Column:
+    """Where the names of `found` (array<struct<name, new>>) stand among the tokens: array<struct<pos, name,
+    new>> in order of position. Names do not repeat."""
+    def hit(pos: Column, x: Column) -> Column:
+        return F.struct(pos.alias("pos"), x["name"].alias("name"), x["new"].alias("new"))
+
+    def listed(names: Column) -> Column:
+        places = F.array_compact(F.transform(toks, lambda t, i: F.when(F.array_contains(names, t), i)))
+        return F.transform(places, lambda i: hit(i, F.get(found, F.array_position(names, F.get(toks, i)).cast("int") - 1)))
+
+    def searched(ordered: Column) -> Column:
+        def before(is_before: Callable[[Column], Column]) -> Column:
+            """How many of the ordered tokens come before, by halving."""
+            def step(acc: Column, _: Column) -> Column:
+                return let(F.shiftright(acc["lo"] + acc["hi"], 1), lambda m: F.when(acc["lo"] >= acc["hi"], acc).when(
+                    is_before(F.get(ordered, m)["name"]), F.struct((m + 1).alias("lo"), acc["hi"].alias("hi"))).otherwise(
+                    F.struct(acc["lo"].alias("lo"), m.alias("hi"))))
+            return F.aggregate(F.sequence(F.lit(1), F.length(F.bin(F.size(ordered)))), F.struct(
+                F.lit(0).alias("lo"), F.size(ordered).alias("hi")), step)["lo"]
+
+        def places(x: Column) -> Column:
+            return let(before(lambda n: n < x["name"]), lambda lo: F.transform(
+                F.slice(ordered, lo + 1, before(lambda n: n <= x["name"]) - lo), lambda y: hit(y["pos"], x)))
+        return F.sort_array(F.flatten(F.transform(found, places)))
+
+    names = F.transform(found, lambda x: x["name"])
+    ordered = F.sort_array(F.array_compact(F.transform(toks, lambda t, i: F.when(
+        is_name(t), F.struct(t.alias("name"), i.alias("pos"))))))
+    return F.when(F.size(found) <= FEW, let(names, listed).cast(HITS)).otherwise(let(ordered, searched).cast(HITS))
+
+
 def _is_space(t: Column) -> Column:
     return F.substring(t, 1, 1).isin(*_BLANKS) | t.startswith("//") | t.startswith("/*")
 
@@ -93,62 +146,61 @@ def _beside(toks: Column, pos: Column, step: int) -> Column:
 _STACK, _CODES = "array<struct<h:int,role:int>>", "array<int>"
 
 
-def _event(pos: Column, kind: Column, role: Column, flag: Column, h: Column) -> Column:
-    return F.struct(pos.alias("pos"), kind.alias("kind"), role.alias("role"), flag.alias("flag"), h.alias("h"))
+def _mark(t: Column) -> Column:
+    return F.when(F.lit("{([").contains(t), _OPENS).when(F.lit("})]").contains(t), _CLOSES).when(
+        t.endswith("${"), F.when(t.startswith("}"), _BOTH).otherwise(_OPENS)).when(t.startswith("}"), _CLOSES).otherwise(_OTHER)
 
 
-def _brackets(toks: Column) -> Column:
-    """An event per bracket: what an opening one opens, whether a block follows a closing one."""
-    places = F.array_compact(F.transform(toks, lambda t, i: F.when(
-        t.isin("{", "(", "[", "}", ")", "]") | t.endswith("${") | t.startswith("}"), i)))
+def _marked(toks: Column, asked: Column) -> Column:
+    """Codes 4 * h + form: hits that a bracket around them gives a form, and method definitions.
 
-    def event(i: Column) -> Column:
-        return let(F.get(toks, i), lambda t: of(t, i))
+    `asked` is array<struct<pos, h, mark, given>> in order of position. Brackets that open and close
+    between two such hits are passed over together; the others are gone through with the stack of
+    open ones, in blocks, so that a block's codes are appended to a short array.
+    """
+    def state(acc: Column, **new: Column) -> Column:
+        return F.struct(*[new.get(n, acc[n]).alias(n) for n in ("at", "n", "defines", "stack", "codes")])
 
-    def of(t: Column, i: Column) -> Column:
-        opens = t.isin("{", "(", "[") | t.endswith("${")
-        closes = t.isin(")", "]") | t.startswith("}")
-        role = F.when(t != "{", 0).otherwise(let(_beside(toks, i, -1), lambda b: F.when(b == "import", IMPORT).when(
+    def role(t: Column, i: Column) -> Column:
+        return F.when(t != "{", 0).otherwise(let(_beside(toks, i, -1), lambda b: F.when(b == "import", IMPORT).when(
             b == "export", EXPORT).when(b.isin(*_OBJECT_AFTER), KEY).otherwise(0)))
-        body = F.when(closes & (F.length(t) == 1), F.coalesce(let(F.get(toks, i + 1), lambda n: F.when(
-            _is_space(n), F.get(toks, i + 2)).otherwise(n)) == "{", F.lit(False))).otherwise(F.lit(False))
-        return _event(i, F.when(opens & closes, _BOTH).when(opens, _OPENS).otherwise(_CLOSES), role, body, F.lit(-1))
-    return F.transform(places, event)
-
 
-def _marked(events: Column) -> Column:
-    """Codes 4 * h + form: hits that a bracket around them gives a form, and method definitions.
-
-    One pass over brackets and such hits with the stack of open brackets, in blocks, so that a
-    block's codes are appended to a short array.
-    """
-    def state(stack: Column, codes: Column, defines: Column) -> Column:
-        return F.struct(stack.alias("stack"), codes.alias("codes"), defines.alias("defines"))
-
-    def step(acc: Column, x: Column) -> Column:
-        stack, kind = acc["stack"], x["kind"]
-        top = F.get(stack, F.size(stack) - 1)
-        closes, opens = kind.isin(_CLOSES, _BOTH), kind.isin(_OPENS, _BOTH)
-        code = F.when(closes, F.when(x["flag"] & (top["h"] >= 0), top["h"] * 4 + _METHOD)).when(
-            (kind == _SHORT) & (top["role"] > 0) & (~x["flag"] | (top["role"] == KEY)), x["h"] * 4 + top["role"])
+    def body(t: Column, i: Column) -> Column:
+        """Whether a block follows a closing bracket."""
+        return (F.length(t) == 1) & F.coalesce(let(F.get(toks, i + 1), lambda n: F.when(
+            _is_space(n), F.get(toks, i + 2)).otherwise(n)) == "{", F.lit(False))
+
+    def one(acc: Column, mark: Column) -> Column:
+        stack, at = acc["stack"], acc["at"]
+        t, x, top = F.get(toks, at), F.get(asked, acc["n"]), F.get(stack, F.size(stack) - 1)
+        closes, opens, hit = mark.isin(_CLOSES, _BOTH), mark.isin(_OPENS, _BOTH), mark.isin(_DEFINES, _SHORT)
+        code = F.when(closes, F.when((top["h"] >= 0) & body(t, at), top["h"] * 4 + _METHOD)).when(
+            (mark == _SHORT) & (top["role"] > 0) & (~x["given"] | (top["role"] == KEY)), x["h"] * 4 + top["role"])
         closed = F.when(closes & (F.size(stack) > 0), F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0)))).otherwise(stack)
-        pushed = F.array(F.struct(acc["defines"].alias("h"), x["role"].alias("role")))
+        pushed = F.array(F.struct(acc["defines"].alias("h"), role(t, at).alias("role")))
         return let(code, lambda c: state(
-            F.when(opens, F.concat(closed, pushed)).otherwise(closed),
-            F.when(c.isNull(), acc["codes"]).otherwise(F.concat(acc["codes"], F.array(c))),
-            F.when(kind == _DEFINES, x["h"]).otherwise(F.lit(-1))))
+            acc, at=at + 1, n=F.when(hit, acc["n"] + 1).otherwise(acc["n"]),
+            defines=F.when(mark == _DEFINES, x["h"]).otherwise(F.lit(-1)),
+            stack=F.when(opens, F.concat(closed, pushed)).otherwise(closed),
+            codes=F.when(c.isNull(), acc["codes"]).otherwise(F.concat(acc["codes"], F.array(c)))))
+
+    def step(acc: Column, some: Column) -> Column:
+        return F.when(some.rlike(rf"^[{_OPENS}{_CLOSES}{_BOTH}{_DEFINES}{_SHORT}]\z"), one(acc, some)).otherwise(
+            state(acc, at=acc["at"] + F.length(some)))
 
     def block(acc: Column, some: Column) -> Column:
-        done = F.aggregate(some, state(acc["stack"], F.array().cast(_CODES), acc["defines"]), step)
-        return let(done, lambda d: F.struct(
-            d["stack"].alias("stack"), d["defines"].alias("defines"),
-            F.concat(acc["out"], F.array(d["codes"])).alias("out")))
+        return let(F.aggregate(some, state(acc, codes=F.array().cast(_CODES)), step), lambda d: state(
+            d, codes=F.concat(acc["codes"], F.array(d["codes"]))))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit(-1).alias("defines"),
+                     F.array().cast(_STACK).alias("stack"), F.array().cast(f"array<{_CODES}>").alias("codes"))
+    marks = let(F.transform(toks, _mark), lambda ms: replaced(
+        ms, F.transform(asked, lambda x: F.struct(x["pos"].alias("pos"), x["mark"].alias("new")))))
 
-    start = F.struct(F.array().cast(_STACK).alias("stack"), F.lit(-1).alias("defines"),
-                     F.array().cast(f"array<{_CODES}>").alias("out"))
-    starts = F.sequence(F.lit(0), F.greatest(F.size(events) - 1, F.lit(0)), F.lit(BLOCK))
-    blocks = F.transform(starts, lambda s: F.slice(events, s + 1, F.lit(BLOCK)))
-    return F.flatten(F.aggregate(blocks, start, block)["out"])
+    def blocks(some: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(some) - 1, F.lit(0)), F.lit(BLOCK))
+        return F.transform(starts, lambda s: F.slice(some, s + 1, F.lit(BLOCK)))
+    return F.flatten(F.aggregate(let(_all(marks, _STRETCH), blocks), start, block)["codes"])
 
 
 def free_hits(toks: Column, hits: Column) -> Column:
@@ -163,14 +215,12 @@ def free_hits(toks: Column, hits: Column) -> Column:
             x["pos"].alias("pos"), h.alias("h"),
             (~((y["b"] == ".") | ((y["a"] == ":") & y["b"].isin("{", ",")))).alias("free"),
             F.when((y["a"] == "(") & y["b"].isin(*_METHOD_AFTER), _DEFINES).when(
-                y["b"].isin("{", ",") & y["a"].isin("}", ",", "="), _SHORT).alias("kind"),
+                y["b"].isin("{", ",") & y["a"].isin("}", ",", "="), _SHORT).alias("mark"),
             (y["a"] == "=").alias("given")))
 
     def found(facts: Column) -> Column:
-        asked = F.filter(facts, lambda x: x["kind"].isNotNull())
-        events = F.sort_array(F.concat(_brackets(toks), F.transform(
-            asked, lambda x: _event(x["pos"], x["kind"], F.lit(0), x["given"], x["h"]))))
-        codes = F.when(F.size(asked) > 0, let(events, _marked)).otherwise(F.array().cast(_CODES))
+        asked = F.filter(facts, lambda x: x["mark"].isNotNull())
+        codes = let(asked, lambda xs: F.when(F.size(xs) > 0, _marked(toks, xs)).otherwise(F.array().cast(_CODES)))
         free = F.transform(F.filter(facts, lambda x: x["free"]), lambda x: x["h"])
 
         def change(h: Column, form: Column) -> Column:
@@ -191,10 +241,12 @@ def _written(name: Column, new: Column, form: Column) -> Column:
 
 def replaced(toks: Column, changes: Column) -> Column:
     """The text with tokens exchanged: changes is array<struct<pos, name, new>> in order of position."""
-    def upto(c: Column, k: Column) -> Column:
-        last = F.coalesce(F.get(changes, k - 1)["pos"], F.lit(-1))
+    def upto(bound: Column, c: Column, k: Column) -> Column:
+        last = F.coalesce(F.get(bound, k - 1)["pos"], F.lit(-1))
         return F.concat(F.array_join(F.slice(toks, last + 2, c["pos"] - last - 1), ""), c["new"])
 
-    end = F.coalesce(F.get(changes, F.size(changes) - 1)["pos"], F.lit(-1))
-    rest = F.slice(toks, end + 2, F.greatest(F.size(toks) - end - 1, F.lit(0)))
-    return F.concat(F.array_join(F.transform(changes, upto), ""), F.array_join(rest, ""))
+    def joined(bound: Column) -> Column:
+        end = F.coalesce(F.get(bound, F.size(bound) - 1)["pos"], F.lit(-1))
+        rest = F.slice(toks, end + 2, F.greatest(F.size(toks) - end - 1, F.lit(0)))
+        return F.concat(F.array_join(F.transform(bound, lambda c, k: upto(bound, c, k)), ""), F.array_join(rest, ""))
+    return let(changes, joined)

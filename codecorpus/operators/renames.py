@@ -280,28 +280,31 @@ def _dealt(units: DataFrame) -> DataFrame:
     return units.select("unit_id", "code", F.xxhash64("code").alias("text_key")).repartition(parts, "unit_id", "text_key")
 
 
-def _hits(units: DataFrame, renames: DataFrame, tokens: Callable[[Column], Column] = lx.tokens) -> DataFrame:
-    """(unit_id, code, hits): each unit with the names in it that have a rename, and where they stand.
+def _found(dealt: DataFrame, renames: DataFrame, runs: Callable[[Column], Column] = lx.runs) -> DataFrame:
+    """(unit_id, text_key, found): the runs of each text that have a rename, and what replaces them.
 
-    Texts are dealt out once, by unit and text, for both readings: the first finds names, which meet
-    renames by (unit, name), so that a unit is spread over all tasks; the second puts what comes
-    back, no longer than the text, next to it.
+    Each different run of a text meets renames once, by (unit, name), so that a unit is spread over
+    all tasks and the rows shuffled do not grow with how often a name is used.
     """
-    dealt = _dealt(units)
-    wanted = dealt.join(renames.select("unit_id"), "unit_id", "left_semi")
-    names = explode_once(
-        wanted, "unit_id", "text_key", name="name", position="pos", array=tokens(F.col("code"))
-    ).filter(lx.is_name(F.col("name"))).withColumn("pos", F.col("pos").cast("int"))
-    hits = names.join(renames.select("unit_id", F.col("original_name").alias("name"), F.col("suggested_name").alias("new")),
+    names = explode_once(dealt, "unit_id", "text_key", name="name", array=F.array_distinct(runs(F.col("code"))))
+    return names.join(renames.select("unit_id", F.col("original_name").alias("name"), F.col("suggested_name").alias("new")),
                       ["unit_id", "name"]).groupBy("unit_id", "text_key").agg(
-        F.sort_array(F.collect_set(F.struct("pos", "name", "new"))).alias("hits"))
-    return dealt.join(hits, ["unit_id", "text_key"], "left").drop("text_key")
+        F.sort_array(F.collect_set(F.struct("name", "new"))).alias("found"))
+
+
+def _with_found(units: DataFrame, renames: DataFrame) -> DataFrame:
+    """(unit_id, code, found): each unit with its names that have a rename, null without any. Texts are
+    dealt out once; what is found, no longer than the text, is put next to it."""
+    dealt = _dealt(units)
+    return dealt.join(_found(dealt, renames), ["unit_id", "text_key"], "left").drop("text_key")
 
 
 def _rewritten(rows: DataFrame, chosen: Callable[[Column, Column], Column]) -> DataFrame:
-    """(unit_id, code) with the chosen hits replaced."""
-    new = let(lx.tokens(F.col("code")), lambda t: let(chosen(t, F.col("hits")), lambda c: lx.replaced(t, c)))
-    return rows.select("unit_id", F.when(F.col("hits").isNull(), F.col("code")).otherwise(new).alias("code"))
+    """(unit_id, code) with the chosen hits replaced; a text without hits is kept as it is."""
+    code = F.col("code")
+    new = let(lx.tokens(code), lambda t: let(lx.placed(t, F.col("found")), lambda hits: F.when(
+        F.size(hits) == 0, code).otherwise(let(chosen(t, hits), lambda c: lx.replaced(t, c)))))
+    return rows.select("unit_id", F.when(F.col("found").isNull(), code).otherwise(new).alias("code"))
 
 
 def apply_by_token(units: DataFrame, suggestions: DataFrame) -> DataFrame:
@@ -310,7 +313,7 @@ def apply_by_token(units: DataFrame, suggestions: DataFrame) -> DataFrame:
     Lexical: strings, comments and template words are kept, properties, object keys and method
     definitions are skipped, scopes and regular-expression literals are not told apart.
     """
-    return _rewritten(_hits(units, best_suggestions(suggestions)), lx.free_hits)
+    return _rewritten(_with_found(units, best_suggestions(suggestions)), lx.free_hits)
 
 
 def apply_everywhere(units: DataFrame, renames: DataFrame) -> DataFrame:
@@ -322,7 +325,7 @@ def apply_everywhere(units: DataFrame, renames: DataFrame) -> DataFrame:
     last = renames.groupBy("unit_id", "original_name").agg(
         F.max_by("suggested_name", "ordinal").alias("suggested_name")
     ).withColumn("suggested_name", guard_reserved(F.col("suggested_name")))
-    return _rewritten(_hits(units, last), lambda toks, hits: hits)
+    return _rewritten(_with_found(units, last), lambda toks, hits: hits)
 
 
 def _may_match(units: DataFrame, renames: DataFrame) -> DataFrame:
@@ -345,8 +348,8 @@ def _may_match(units: DataFrame, renames: DataFrame) -> DataFrame:
 WORD, ESCAPED = r"^\w+\z", r"\\\w"
 
 
-def _words(code: Column) -> Column:
-    return F.regexp_extract_all(code, F.lit(r"\w+|\W+"), F.lit(0))
+def _words(code: Column, pattern: str = r"\w+|\W+") -> Column:
+    return F.regexp_extract_all(code, F.lit(pattern), F.lit(0))
 
 
 def _composed(ordered: Column) -> Column:
@@ -383,25 +386,29 @@ def apply_in_sequence(units: DataFrame, suggestions: DataFrame) -> DataFrame:
     that can be found once.
     """
     best = best_suggestions(suggestions).filter(F.length("original_name") > 1)
-    lists = _may_match(_dealt(units), best).groupBy("unit_id").agg(
+    dealt = _dealt(units)
+    lists = _may_match(dealt, best).groupBy("unit_id").agg(
         F.collect_list(F.struct("original_name", "suggested_name")).alias("l"))
     lists = lists.select("unit_id", rn.longest_first(F.col("l")).alias("l"), F.exists(
         "l", lambda r: ~(r["original_name"].rlike(WORD) & r["suggested_name"].rlike(WORD))).alias("odd"))
     composed = explode_once(lists.filter(~F.col("odd")), "unit_id", array=_composed(F.col("l")), name="r").select("unit_id", "r.*")
-    rows = _hits(units, composed, _words).join(lists, "unit_id", "left")
-    at_once = let(_words(F.col("code")), lambda t: lx.replaced(t, F.col("hits")))
+    # what a text needs meets it in one join by (unit_id, text_key), the way texts are dealt
+    needed = dealt.select("unit_id", "text_key").distinct().join(lists, "unit_id").join(
+        _found(dealt, composed, lambda c: _words(c, r"\w+")), ["unit_id", "text_key"], "left")
+    rows = dealt.join(needed, ["unit_id", "text_key"], "left")
+    at_once = let(_words(F.col("code")), lambda t: lx.replaced(t, lx.placed(t, F.col("found"))))
     code = F.when(F.col("l").isNull(), F.col("code")).when(
         F.col("odd") | F.col("code").rlike(ESCAPED), rn.apply_in_sequence(F.col("code"), F.col("l"))).when(
-        F.col("hits").isNull(), F.col("code")).otherwise(at_once)
+        F.col("found").isNull(), F.col("code")).otherwise(at_once)
     return rows.select("unit_id", code.alias("code"))
 
 
 def rename_hits(units: DataFrame, suggestions: DataFrame) -> DataFrame:
     """How often applying them changes each suggested name in its unit, zero included."""
     best = best_suggestions(suggestions).select("unit_id", "original_name", "suggested_name")
-    rows = _hits(units, best).filter("hits is not null")
-    changed = explode_once(rows, "unit_id", name="h", array=let(
-        lx.tokens(F.col("code")), lambda t: lx.free_hits(t, F.col("hits")))).groupBy(
+    rows = _with_found(units, best).filter("found is not null")
+    changed = explode_once(rows, "unit_id", name="h", array=let(lx.tokens(F.col("code")), lambda t: let(
+        lx.placed(t, F.col("found")), lambda hits: lx.free_hits(t, hits)))).groupBy(
         "unit_id", F.col("h.name").alias("original_name")).agg(F.count(F.lit(1)).alias("n"))
     return best.join(changed, ["unit_id", "original_name"], "left").withColumn(
         "n", F.coalesce("n", F.lit(0))

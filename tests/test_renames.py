@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codecorpus.functions import classify as cl
+from codecorpus.functions import lexical as lx
 from codecorpus.functions import renames as fn
 from codecorpus.operators import renames as op
 
@@ -223,3 +224,35 @@ def test_a_text_is_read_once_whatever_the_number_of_renames(spark):
     out = op.apply_in_sequence(
         spark.createDataFrame([("u", code)], "unit_id string, code string"), spark.createDataFrame(rows, df.schema)).first().code
     assert out == in_order(code, {r[3]: r[4] for r in rows})
+
+
+def test_a_name_meets_its_renames_once_however_often_it_is_used(spark, monkeypatch):
+    made, plain = [], op.explode_once
+
+    def watched(*args, **how):
+        made.append(plain(*args, **how))
+        return made[-1]
+    monkeypatch.setattr(op, "explode_once", watched)
+    code = "alpha(beta + c); " * 2000
+    for how in ("apply_by_token", "apply_everywhere", "apply_in_sequence"):
+        assert apply(spark, how, code, ("alpha", "x"), ("beta", "y")) == "x(y + c); " * 2000
+    assert max(rows.count() for rows in made) <= 6
+
+
+@pytest.mark.parametrize("few", [0, 64])
+def test_names_are_placed_alike_by_list_and_by_search(spark, monkeypatch, few):
+    monkeypatch.setattr(lx, "FEW", few)
+    rng = random.Random(3)
+    toks = [rng.choice(["aa", "b", "c1", " ", "(", "dd", "é"]) for _ in range(300)]
+    found = [(n, n.upper() if n != "b" else None) for n in ("aa", "b", "c1", "missing", "é")]
+    df = spark.createDataFrame([(toks, found), ([], found)], "t array<string>, f array<struct<name:string,new:string>>")
+    got = [[tuple(h) for h in r[0]] for r in df.select(lx.placed(F.col("t"), F.col("f"))).collect()]
+    new = dict(found)
+    assert got == [[(i, t, new[t]) for i, t in enumerate(toks) if t in new], []]
+
+
+def test_brackets_passed_over_leave_the_enclosing_one(spark):
+    deep = "{" * 12 + "(" * 600 + ")" * 600 + "}" * 12  # deeper than what is passed over together, more than a block
+    code = f"f({{ a, b: [{deep}], val, ...g(() => {{ {deep} val }}) }}); class K {{ val(x = {{ y: {deep} }}) {{ }} }} {deep} {{ val }}"
+    assert apply(spark, "apply_by_token", code, ("val", "V")) == (
+        f"f({{ a, b: [{deep}], val: V, ...g(() => {{ {deep} V }}) }}); class K {{ val(x = {{ y: {deep} }}) {{ }} }} {deep} {{ V }}")
