@@ -215,6 +215,81 @@ def test_pieces_and_packing(spark, corpus):
     assert len(filled) <= 1.02 * math.ceil(total / capacity) + 1
 
 
+def pieces_here(texts, capacity=16, with_ids=None):
+    """What a task makes of the texts: rows of (doc_id, piece, start, length, checksum[, ids])."""
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["doc_id", "text"])
+    made = tokens._piecer(tokens.default_tokenizer(), capacity, with_ids)(iter([batch]))
+    return [tuple(r.values()) for b in made for r in b.to_pylist()]
+
+
+def expected_pieces(texts, capacity=16):
+    from tokenizers import Tokenizer
+    tool, out = Tokenizer.from_file(tokens.default_tokenizer()), []
+    for d, t in enumerate(texts):
+        ids = [*tool.encode(t or "", add_special_tokens=False).ids, 0]
+        for p, at in enumerate(range(0, len(ids), capacity)):
+            own = ids[at:at + capacity]
+            out.append((d, p, at, len(own), zlib.crc32(np.array(own, "<u4").tobytes()), np.array(own, "<u2").tobytes()))
+    return out
+
+
+def odd_words(rng, n):
+    """Chunks of letters of many kinds, marks, digits, white space and special tokens."""
+    letters = [chr(k) for k in (*range(65, 91), *range(97, 123), *range(0xAA, 0x250), 0x3A3, 0x3C2, 0x430, 0x1E9E, 0x301, 0x4E2D, 0x1F600)]
+    marks = [*"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", "'s", "'re", "\u2019t", "<|", "|>", "<|endoftext|>", "7", "\x0b", "\x1c", "\0", "\u2028"]
+    return ["".join(rng.choice(letters) for _ in range(rng.randrange(6))) + "".join(
+        rng.choice(marks) for _ in range(rng.randrange(4))) + rng.choice(["", "", "", "s", "É"]) for _ in range(n)]
+
+
+def test_ids_of_every_kind_of_chunk(monkeypatch):
+    rng = random.Random(11)
+    texts = [f"{chr(k)} x{chr(k)}. {chr(k)}{chr(k)}a***" for k in (*range(0x21, 0x250), 0x3A3, 0x1E9E, 0x212A, 0x212B, 0xFB01)]
+    texts += ["".join(w + rng.choice(" \n\t\r\x0b\xa0") for w in odd_words(rng, 40)) for _ in range(150)]
+    texts += [None, "", " ", "\n\n", "the " * 500]
+    want = expected_pieces(texts)
+    assert pieces_here(texts, with_ids="<u2") == want
+    for name, few in (("MOST_KEPT", 50), ("BLOCK", 300), ("TILE", 7), ("BATCH_PIECES", 3)):  # every bound is met
+        monkeypatch.setattr(tokens, name, few)
+    assert pieces_here(texts, with_ids="<u2") == want
+    assert pieces_here(texts) == [r[:-1] for r in want]
+
+
+def test_tokenizer_gets_a_word_once(monkeypatch):
+    from tokenizers import Tokenizer
+
+    class Counted:
+        given = 0
+
+        def __init__(self, tool):
+            self.tool = tool
+
+        def encode_batch_fast(self, texts, **options):
+            Counted.given += sum(map(len, texts))
+            return self.tool.encode_batch_fast(texts, **options)
+
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdeénßö") for _ in range(12)) for _ in range(500)]
+    texts = [" ".join(rng.choice([w, w.capitalize()]) + rng.choice(["", ".", ",", "***", "%%%", ")", "\"."]) for w in words) for _ in range(80)]
+    monkeypatch.setattr(tokens, "_encoders", {})
+    tool = tokens.encoder(tokens.default_tokenizer())
+    for name, held in list(vars(tool).items()):
+        if isinstance(held, Tokenizer):
+            setattr(tool, name, Counted(held))
+    got = pieces_here(texts, 2048, "<u2")
+    assert sum(map(len, words)) <= Counted.given <= 1.5 * sum(map(len, words))
+    assert got == expected_pieces(texts, 2048)
+
+
+def test_words_of_another_tokenizer(tmp_path):
+    import json
+    made = json.loads(open(tokens.default_tokenizer()).read())
+    made["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] += "|x^"
+    (tmp_path / "other.json").write_text(json.dumps(made))
+    tool = tokens.WordEncoder(str(tmp_path / "other.json"))
+    assert tool.latin is tool.tokenizer  # not known to keep words whole, so no shorter way
+    assert tokens.WordEncoder(tokens.default_tokenizer()).latin is not tool.tokenizer
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_packing_plans(seed):
     rng = random.Random(seed)
