@@ -230,7 +230,8 @@ def _linked(docs: DataFrame, percent: int, width: int = 5, slots: int = SLOTS, r
              .repartition(max(parts, 8), "family", "low", "high").sortWithinPartitions("family", "low", "high")
              .select("family", "low", "high", "block", "class_id", "members")
              .mapInPandas(_verifier(percent), "a long, b long"))
-    linked = components(links, "a", "b")
+    # dealt out anew: verifying and union-find in one task would need two Python workers, which stay and hold memory
+    linked = components(links.distinct(), "a", "b")
 
     joined = linked.withColumnRenamed("id", "class_id").join(texts, "class_id")
     least = joined.groupBy("root").agg(F.min("doc_id").alias("least"))

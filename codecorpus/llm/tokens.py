@@ -226,6 +226,8 @@ def _piecer(path: str, capacity: int, with_ids: str | None) -> Callable:
                         columns.append(pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, ends, held]))
                         names.append("ids")
                     yield pa.record_batch(columns, names)
+        # the worker stays for other stages; pages that Arrow holds but does not use are of no use to them
+        pa.default_memory_pool().release_unused()
     return pieces
 
 

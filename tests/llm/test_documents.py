@@ -97,6 +97,24 @@ def test_near_duplicates_in_blocks(spark, corpus, monkeypatch):
     assert {tuple(r) for r in minhash.near_duplicates(table(spark, corpus)).collect()} == want
 
 
+def test_a_task_of_near_duplicates_has_one_python_step(spark, corpus, monkeypatch):
+    plans, keep = [], graph.stored
+
+    def noted(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, name)
+
+    for module in (minhash, graph):
+        monkeypatch.setattr(module, "stored", noted)
+    plans.append(minhash.near_duplicates(table(spark, corpus))._jdf.queryExecution().executedPlan().toString())
+    assert any("MapInPandas" in p and "MapInArrow" in p for p in plans)
+    for plan in plans:  # two steps in one task are two workers, which hold memory long after
+        held = 0
+        for line in plan.splitlines():
+            held = 0 if "Exchange" in line or "Join" in line else held + ("MapInArrow" in line or "MapInPandas" in line)
+            assert held < 2, plan
+
+
 def test_super_minhash_estimates_similarity():
     rng = np.random.default_rng(5)
     pool = rng.integers(1, 2**63, 3000, dtype=np.uint64)
@@ -280,6 +298,21 @@ def test_tokenizer_gets_a_word_once(monkeypatch):
     assert got == expected_pieces(texts, 2048)
 
 
+def test_a_tokenizer_task_gives_back_what_arrow_holds(monkeypatch):
+    seen = []
+
+    class Pool:
+        def release_unused(self):
+            seen.append("released")
+
+    tokens.encoder(tokens.default_tokenizer())
+    monkeypatch.setattr(tokens.pa, "default_memory_pool", Pool)
+    batch = pa.record_batch([pa.array([1, 2]), pa.array(["a b", None])], ["doc_id", "text"])
+    for _ in tokens._piecer(tokens.default_tokenizer(), 4, None)(iter([batch, batch])):
+        seen.append("piece")
+    assert seen == ["piece", "piece", "released"]
+
+
 def test_words_of_another_tokenizer(tmp_path):
     import json
     made = json.loads(open(tokens.default_tokenizer()).read())
